@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .line_dedup import OP9_SQL, op9_line_dedup
 from .sharding import op7_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_sharding,)}
+    return {f.__name__: f for f in (op7_sharding, op9_line_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
