@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import OP5_SQL, op5_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .near_dedup import op3_near_dedup
 from .sharding import op7_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontamination, op7_sharding, op9_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_near_dedup, op5_decontamination, op7_sharding, op9_line_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
