@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import OP5_SQL, op5_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .mixing import OP2_SQL, op2_mixing
 from .near_dedup import op3_near_dedup
 from .sharding import op7_sharding
 from .substring_dedup import op6_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_near_dedup, op5_decontamination, op6_substring_dedup, op7_sharding, op9_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_mixing, op3_near_dedup, op5_decontamination, op6_substring_dedup, op7_sharding, op9_line_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_mixing": OP2_SQL, "op5_decontamination": OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
