@@ -12,12 +12,13 @@ from .html_text import op8_html_text
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .mixing import OP2_SQL, op2_mixing
 from .near_dedup import op3_near_dedup
+from .quality import op4_quality
 from .sharding import op7_sharding
 from .substring_dedup import op6_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_near_dedup, op5_decontamination, op6_substring_dedup, op7_sharding, op8_html_text, op9_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_mixing, op3_near_dedup, op4_quality, op5_decontamination, op6_substring_dedup, op7_sharding, op8_html_text, op9_line_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
