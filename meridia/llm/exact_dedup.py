@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, lower_ascii, written
 
+#: Many small stores: no disk is set aside ahead for each.
 STATE_CONF = {
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
