@@ -15,11 +15,12 @@ from .near_dedup import op3_near_dedup
 from .quality import op4_quality
 from .sharding import op7_sharding
 from .substring_dedup import op6_substring_dedup
+from .warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_mixing, op3_near_dedup, op4_quality, op5_decontamination, op6_substring_dedup, op7_sharding, op8_html_text, op9_line_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_mixing, op3_near_dedup, op4_quality, op5_decontamination, op6_substring_dedup, op7_sharding, op8_html_text, op9_line_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL, "op5_decontamination": OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL, "op5_decontamination": OP5_SQL, "op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
