@@ -97,8 +97,8 @@ def box_distance(x: Column, y: Column, xmin: Column, ymin: Column, xmax: Column,
 
 
 def edges(polygons: DataFrame, rings: str) -> DataFrame:
-    """The polygons' edges as rows with ax, ay, bx, by in a direction of their own, the lesser end first."""
+    """The polygons' edges as rows with x0, y0, x1, y1 in a direction of their own, the lesser end first."""
     each = polygons.withColumn("ring", F.explode(rings)).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("ring") - 1)))
     a, b = F.get("ring", F.col("i")), F.get("ring", (F.col("i") + 1) % F.size("ring"))
     low, high = F.least(a, b), F.greatest(a, b)
-    return each.select(*[c for c in polygons.columns if c != rings], low["x"].alias("ax"), low["y"].alias("ay"), high["x"].alias("bx"), high["y"].alias("by"))
+    return each.select(*[c for c in polygons.columns if c != rings], low["x"].alias("x0"), low["y"].alias("y0"), high["x"].alias("x1"), high["y"].alias("y1"))

@@ -1,6 +1,6 @@
 """Every module here registers its queries on import."""
 
-from . import joins, scalars  # noqa: F401
+from . import aggregates, joins, scalars, shaping  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
