@@ -39,4 +39,7 @@ def with_views(sql: str) -> str:
         return sql
     head = ", ".join(f"{v} AS ({VIEWS[v]})" for v in used)
     body = sql.strip()
-    return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{head}, {body[len(start):]}"
+    return f"WITH {head} {body}"
