@@ -8,8 +8,10 @@ keeps its earliest point, so two documents agree in a register with the probabil
 similarity. Points come in order of time, and a process stops as soon as it is past the latest register of its document.
 
 Banding gives candidates, the real multisets decide, and classes are the connected components of the links found. A
-band's bucket is never turned into all of its pairs: its members are compared with one leader; only buckets that still
-hold members of more than one component are looked at again, with the components' own leaders.
+band's bucket is never turned into all of its pairs: its members are first compared with one leader, the member with the
+most company over all bands. Members that are not in their leader's component by then are compared with the rest of
+their bucket in blocks of bounded size: a row is a pair of blocks, the overlaps in it are matrix products, and only
+links come out.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .words import GOLDEN, U64, Text, chunks, mix, sequence_digests, shingles, w
 
 #: 25 bands of 5 registers: a pair of similarity 0.8 shares a band with probability 0.99995, one of 0.5 with 0.55, of 0.2 with 0.008.
 BANDS, ROWS, REGISTERS = 25, 5, 128
+#: Documents and 5-grams in a block on average, at most.
+BLOCK_DOCS, BLOCK_GRAMS = 256, 1 << 17
 ID_BITS = U64((1 << 24) - 1)
 NEVER = U64(0x7FF0000000000000)
 
@@ -117,6 +121,43 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verified(it, threshold), pairs.select("a", "b").schema)
 
 
+def _gram_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            doc, gram, weight = bags(part)
+            # The k-th time that a gram occurs is an element of its own: multisets become sets.
+            nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+            element = mix(np.repeat(gram, weight) * GOLDEN + nth.astype(U64))
+            first = np.searchsorted(np.repeat(doc, weight), np.arange(len(part.bounds)))
+            yield pa.record_batch([part.rows.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(element.view(np.int64)))], names=["id", "grams"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(len(batch)):
+            sides = [batch.column(k)[row].values for k in (0, 1)]
+            lists = [x.field("grams") for x in sides]
+            sizes = [x.value_lengths().to_numpy(zero_copy_only=False) for x in lists]
+            flat = [x.flatten().to_numpy(zero_copy_only=False) for x in lists]
+            of = [np.repeat(np.arange(len(n)), n) for n in sizes]
+            shared = np.intersect1d(*flat)
+            at = [np.minimum(np.searchsorted(shared, x), max(len(shared) - 1, 0)) for x in flat]
+            both = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+            for k in range(0, len(shared), 8192):
+                m = []
+                for x, i, d, n in zip(flat, at, of, sizes, strict=True):
+                    own = np.flatnonzero((i >= k) & (i < k + 8192) & (shared[i] == x))
+                    dense = np.zeros((len(n), min(8192, len(shared) - k)), np.float32)
+                    dense[d[own], i[own] - k] = 1
+                    m.append(dense)
+                both += m[0] @ m[1].T
+            comps = [x.field("comp") for x in sides]
+            names = pa.concat_arrays(comps).dictionary_encode().indices.to_numpy()
+            apart = names[: len(comps[0]), None] != names[None, len(comps[0]) :]
+            i, j = np.nonzero(apart & (both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both)))
+            yield pa.record_batch([sides[0].field("id").take(pa.array(i)), sides[1].field("id").take(pa.array(j))], names=["a", "b"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, comp): for every end of a link (a, b) the least id of its connected component.
 
@@ -163,32 +204,37 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id"
     # Same words: one node. Copies fold into one row in each task before the shuffle.
     nodes = written(signed.groupBy("da", "db").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
     firsts = signed.where("n_words > 0 AND id IS NOT NULL").join(nodes.where("copies > 1").select("da", "db", "node"), ["da", "db"], "left").where("node IS NULL OR node = id")
-    spread = firsts.select("id", F.explode("bands").alias("band")).dropDuplicates(["id", "band"])
-    sizes = spread.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 AND lead < last")
-    leads = written(sizes.select("band", "lead", "last"), "leads")
-    members = written(firsts.select("id", F.explode("bands").alias("band")).join(leads, "band"), "members")
-    texts = rows.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    texts = written(texts, "texts")
-
-    pairs = members.select(F.col("id").alias("b"), F.col("lead").alias("a")).where("a < b").unionByName(members.select(F.col("last").alias("b"), F.col("id").alias("a")).where("a < b")).distinct()
-    tried = written(pairs.select("a", "b"), "pairs")
-    links = written(verified(tried, texts, threshold), "links")
+    spread = firsts.select("id", "n_words", F.explode("bands").alias("band"))
+    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("grams"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band", "n", "grams")
+    members = written(spread.select("id", "band").join(written(shared, "buckets"), "band"), "members")
+    company = written(members.groupBy("id").agg(F.sum("n").alias("company")), "company")
+    leads = members.join(company, "id").groupBy("band").agg(F.max(F.struct("company", "id"))["id"].alias("lead"))
+    leads = written(leads, "leads")
+    texts = written(rows.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+
+    pairs = members.join(leads, "band").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    links = written(verified(written(pairs, "pairs"), texts, threshold), "links")
     comp = written(components(links), "comp")
-    while True:
-        # Buckets with members of several components: each component's members against the least member of every other.
-        named = members.select("band", "id").join(comp, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-        mixed = written(named.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band"), "mixed")
-        own = written(named.join(mixed, "band"), "mixed-members")
-        other = own.select("band", F.col("id").alias("id2"), F.col("comp").alias("comp2"))
-        across = own.join(other, "band").where("comp < comp2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        fresh = written(across.join(tried, ["a", "b"], "left_anti"), "across")
-        if fresh.isEmpty():
-            break
-        more = written(verified(fresh, texts, threshold), "more-links")
-        if more.isEmpty():
-            break
-        tried, links = tried.unionByName(fresh), links.unionByName(more)
-        comp = written(components(links), "comp")
+    # Members outside their leader's component, against all of their bucket.
+    head = leads.select("band", F.col("lead").alias("id")).join(comp, "id", "left").select("band", F.coalesce("comp", "id").alias("head"))
+    named = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(written(head, "heads"), "band")
+    out_of = written(named.where("comp <> head").select("band", "id", "comp", "grams", "n"), "outside")
+    mixed = written(out_of.groupBy("band").agg(F.count(F.lit(1)).alias("outside")), "mixed")
+    lists = texts.join(named.join(mixed, "band").select("id").distinct(), "id", "left_semi").mapInArrow(_gram_lists, f"id {kind}, grams array<long>")
+    lists = written(lists, "gram-lists")
+
+    def blocks(side: DataFrame, n: str, name: str) -> DataFrame:
+        """Rows of (band, block): the members whose id's hash falls on that block."""
+        many = F.ceil(F.greatest(F.col(n) / BLOCK_DOCS, F.col("grams") * F.col(n) / F.col("n") / BLOCK_GRAMS))
+        dealt = side.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), many)).drop("grams").join(lists, "id").select("band", "block", F.struct("id", "comp", "grams").alias("m"))
+        return written(dealt.groupBy("band", "block").agg(F.collect_list("m").alias(name)).drop("block"), name)
+
+    left = blocks(out_of.join(mixed, "band"), "outside", "outsiders")
+    right = blocks(named.join(mixed, "band"), "n", "everyone")
+    more = left.join(right, "band").select("outsiders", "everyone").mapInArrow(lambda it: _block_links(it, threshold), f"a {kind}, b {kind}")
+    more = written(more.distinct(), "more-links")
+    if not more.isEmpty():
+        comp = written(components(links.unionByName(more)), "comp")
     found = signed.select("id", "da", "db").join(nodes.select("da", "db", "node"), ["da", "db"]).join(comp.select(F.col("id").alias("node"), "comp"), "node", "left")
     found = written(found.select("id", F.coalesce("comp", "node").alias("class_id")), "classes")
     sizes = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).select(F.col("class_id").alias("c"), "class_size")
