@@ -28,7 +28,7 @@ def uniform(*parts: Column) -> Column:
 def rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, epochs: float, source: str, text: str) -> DataFrame:
     """(source, rate, part, cdf): mean copies of a document, number of parts of the mean, distribution function of a part.
 
-    weights: target share by source, normalised over the sources there are; a source not in it has weight 0. None: the
+    weights: target share by source, normalised over the sources there are; a source not in it has weight 0, and if all have, nothing is drawn. None: the
     source's bytes to the power alpha. A source without bytes has rate 1 (0 if its weight is 0), as no rate changes its share.
     """
     size = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0))).cast("double").alias("bytes"))
@@ -40,7 +40,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, alpha: float, epoch
         weight = F.coalesce("weight", F.lit(0.0))
     size = written(size.select("source", "bytes", weight.alias("w")), "mix-sizes")
     both = size.agg(F.sum("w").alias("all_w"), F.sum("bytes").alias("all_bytes"))  # one row
-    rate = F.when(F.col("bytes") > 0, F.col("w") / F.col("all_w") * F.col("all_bytes") * F.lit(epochs) / F.col("bytes")).when(F.col("w") > 0, 1.0).otherwise(1.0 if weights is None else 0.0)
+    rate = F.when(F.col("bytes") > 0, F.coalesce(F.try_divide("w", "all_w"), F.lit(0.0)) * F.col("all_bytes") * F.lit(epochs) / F.col("bytes")).when(F.col("w") > 0, 1.0).otherwise(1.0 if weights is None else 0.0)
     out = size.crossJoin(F.broadcast(both)).select("source", rate.alias("rate")).withColumn("part", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int"))
     mean = F.col("rate") / F.col("part")
     steps = F.sequence(F.lit(1), F.ceil(mean + 12 * F.sqrt(mean) + 20).cast("int"))
