@@ -1,6 +1,6 @@
 """Every module here registers its queries on import."""
 
-from . import aggregates, joins, scalars, sets, shaping  # noqa: F401
+from . import aggregates, files, joins, scalars, sets, shaping, streams  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
