@@ -2,7 +2,7 @@
 
 A gear hash rolls over the bytes of a text; a chunk ends where it falls below a threshold. Where chunks end depends on
 the bytes just before alone, so text inserted elsewhere shifts no later chunk. Chunks are deduplicated by a 128-bit
-digest: of equal chunks the one of the least id stays, in a document the first. Runs of chunks that would go are cut
+digest: of equal chunks those of the least id stay. Runs of chunks that would go are cut
 from the text if they have enough words, so that phrases which happen to recur are left alone.
 """
 
@@ -29,14 +29,14 @@ _GEAR = (mix(np.arange(1, 257, dtype=U64) * GOLDEN) >> U64(32)).astype(np.uint32
 @dataclass
 class Cuts:
     """start, end: byte places of the chunks; first: number of the first chunk of each document, with one more bound; a, b:
-    digest; again: an equal chunk comes before in the same document."""
+    digest; same: number of the first equal chunk in the same document, the chunk's own if there is none before."""
 
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
     a: np.ndarray
     b: np.ndarray
-    again: np.ndarray
+    same: np.ndarray
 
 
 def cuts(text: Text) -> Cuts:
@@ -44,7 +44,7 @@ def cuts(text: Text) -> Cuts:
     n = len(raw)
     none = np.zeros(0, np.int64)
     if not n:
-        return Cuts(none, none, np.zeros(len(bounds), np.int64), none, none, np.zeros(0, bool))
+        return Cuts(none, none, np.zeros(len(bounds), np.int64), none, none, none)
     h = _GEAR[raw]
     for k in (1, 2, 4, 8):  # sums of 2, 4, 8 and 16 shifted entries
         h[k:] += h[:-k] << np.uint32(k)
@@ -71,9 +71,11 @@ def cuts(text: Text) -> Cuts:
     b = mix(np.add.reduceat(_BYTE2[raw] * powers(BASE2, int(length.max()))[place], start) ^ length.astype(U64))
     doc = doc_of(start)
     order = np.lexsort((a, doc))
-    again = np.zeros(len(start), bool)
-    again[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-    return Cuts(start, end, np.searchsorted(start, bounds), a, b, again)
+    new = np.ones(len(start), bool)
+    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+    same = np.empty(len(start), np.int64)
+    same[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return Cuts(start, end, np.searchsorted(start, bounds), a, b, same)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,18 +83,21 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batch, "text"):
             c = cuts(part)
             first = pa.array(c.first, pa.int32())
-            lists = [pa.ListArray.from_arrays(first, x) for x in (pa.array(c.a.view(np.int64)), pa.array(c.b.view(np.int64)), pa.array(c.again))]
+            lists = [pa.ListArray.from_arrays(first, x) for x in (pa.array(c.a.view(np.int64)), pa.array(c.b.view(np.int64)), pa.array(c.same != np.arange(len(c.same))))]
             yield pa.record_batch([part.rows.column(0), part.rows.column(1), *lists], names=["id", "text_key", "a", "b", "again"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], min_words: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], min_words: int, within: bool, out: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
             c, w = cuts(part), words(part)
             gone = part.rows.column(part.rows.schema.get_field_index("gone"))
             size = np.array([len(g) if g is not None else 0 for g in gone.to_pylist()], np.int64) if gone.null_count < len(gone) else np.zeros(len(gone), np.int64)
-            flag = c.again.copy()
+            flag = np.zeros(len(c.start), bool)
             flag[np.repeat(c.first[:-1], size) + gone.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.int64)] = True
+            flag = flag[c.same]  # repeats of a chunk in its document share its fate
+            if within:
+                flag |= c.same != np.arange(len(flag))
             # Runs of flagged chunks, parted where documents are.
             begins, ends = flag.copy(), flag.copy()
             inner = np.ones(len(flag), bool)
@@ -116,11 +121,11 @@ def _cut(batches: Iterator[pa.RecordBatch], min_words: int, out: pa.Schema) -> I
             yield pa.record_batch([x.cast(f.type) for x, f in zip(cols, out, strict=True)], schema=out)
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, min_words: int = 25, within: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: id_col, n_chunks, removed (byte spans of the UTF-8 text that go), kept_text.
 
-    A run of successive chunks, each of which also stands in a row of a lesser id or earlier in the same text, goes if
-    at least min_words words begin in it. As a passage's first and last chunk reach into what is around it, a passage
+    A run of successive chunks, each of which also stands in a row of a lesser id (or, with within, earlier in the same
+    text), goes if at least min_words words begin in it. As a passage's first and last chunk reach into what is around it, a passage
     must be some 15 words longer than min_words to be sure to be found. Null and empty texts have no chunks and are kept
     as empty. Ids are meant to be unique; rows that repeat the least id are all kept. A null id is more than any other;
     among null ids nothing goes. An empty table gives no rows; further columns are not read.
@@ -139,8 +144,10 @@ def substring_dedup(docs: DataFrame, min_words: int = 25, id_col: str = "doc_id"
     joined = rows.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left").select("id", "text", "gone")
     schema = docs.sparkSession.createDataFrame([], f"id {kind}, n_chunks long, removed array<struct<start:int,end:int>>, kept_text string").schema
     arrow = to_arrow_schema(schema)
-    return joined.mapInArrow(lambda it: _cut(it, min_words, arrow), schema).withColumnRenamed("id", id_col)
+    return joined.mapInArrow(lambda it: _cut(it, min_words, within, arrow), schema).withColumnRenamed("id", id_col)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"))
+    found = substring_dedup(table(spark, sf_dir, "documents"))
+    size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_chunks", (F.size("removed") > 0).alias("changed"), size.alias("removed_bytes"), "removed", "kept_text")

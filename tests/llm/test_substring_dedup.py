@@ -36,6 +36,15 @@ def test_passages_go_from_all_but_the_least_id(spark):
         assert got[i].kept_text == (kept + b[at:]).decode()
 
 
+def test_repeats_within_a_document(spark):
+    p = prose(random.Random(9), 80)
+    df = spark.createDataFrame([(1, p + "\n" + p), (2, "x\n" + p + "\ny\n" + p)], "doc_id long, text string")
+    left = {r.doc_id: len(r.kept_text) for r in substring_dedup(df).collect()}
+    assert left[1] == 2 * len(p) + 1 and left[2] < 0.5 * len(p)
+    left = {r.doc_id: len(r.kept_text) for r in substring_dedup(df, within=True).collect()}
+    assert left[1] < 1.4 * len(p)
+
+
 def test_odd_rows(spark):
     long = prose(random.Random(1), 5000)
     rows = [(1, None), (2, ""), (3, long), (4, long), (None, long), (5, "é" * 20000), (6, "é" * 20000), (7, "one"), (7, "one")]
