@@ -37,3 +37,48 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         labels = new.select("id", "component")
         if new.where("was <> component").isEmpty():
             return labels
+
+
+def merge_lines(segments: DataFrame, key: str, attrs: list[str], start: str, end: str) -> DataFrame:
+    """(key, line): segments of equal attrs that meet end to end, with no third segment at the point, are one line, named
+    by its least key. start and end are columns that compare equal where segments meet."""
+    ends = segments.select(key, *attrs, F.explode(F.array(start, end)).alias("node"))
+    node = ends.groupBy(*attrs, "node").agg(F.count(F.lit(1)).alias("degree"), F.min(key).alias("src"), F.max(key).alias("dst")).where("degree = 2 AND src <> dst")
+    of = components(segments.select(F.col(key).alias("id")), node.select("src", "dst"))
+    return of.select(F.col("id").alias(key), F.col("component").alias("line"))
+
+
+def greedy_colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, colour): each node in order of falling degree (ties by rising id) has the least colour that no neighbour before
+    it has. A round colours all nodes whose neighbours before them are coloured, which gives what one by one would give.
+    """
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
+    degree = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    ranked = scratch(nodes.select("id").join(degree, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree")), "ranked")
+    one, two = ranked.select(F.col("id").alias("src"), F.col("degree").alias("d1")), ranked.select(F.col("id").alias("dst"), F.col("degree").alias("d2"))
+    before = scratch(both.join(one, "src").join(two, "dst").where("d2 > d1 OR d2 = d1 AND dst < src").select(F.col("src").alias("id"), F.col("dst").alias("of")), "before")
+    done = None
+    rest = ranked.select("id")
+    while True:
+        coloured = done if done is not None else ranked.select("id", F.lit(0).alias("colour")).limit(0)
+        seen = before.join(coloured.select(F.col("id").alias("of"), "colour"), "of", "left").groupBy("id").agg(F.count_if(F.col("colour").isNull()).alias("open"), F.collect_set("colour").alias("used"))
+        ready = rest.join(seen, "id", "left").where("coalesce(open, 0) = 0")
+        free = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(F.coalesce("used", F.array().cast("array<int>")))), F.coalesce("used", F.array().cast("array<int>"))))
+        done = scratch(coloured.unionByName(ready.select("id", free.alias("colour"))), "coloured")
+        rest = scratch(rest.join(done, "id", "left_anti"), "rest")
+        if rest.isEmpty():
+            return done
+
+
+def reuse_ids(members: DataFrame, old: str, new: str) -> DataFrame:
+    """(new, id): a new component that is the only successor of its only predecessor keeps its id; one of several successors
+    gets a numbered child id; one without a single predecessor gets an id of its own. members: rows with an old (or null)
+    and a new component."""
+    pairs = members.where(F.col(old).isNotNull()).select(old, new).distinct()
+    successors = pairs.groupBy(old).agg(F.count(F.lit(1)).alias("children"), F.sort_array(F.collect_set(new)).alias("all"))
+    predecessors = pairs.groupBy(new).agg(F.count(F.lit(1)).alias("parents"), F.min(old).alias(old))
+    named = predecessors.join(successors, old, "left")
+    own = F.concat(F.lit("new_"), F.col(new).cast("string"))
+    child = F.concat(F.col(old).cast("string"), F.lit("__"), F.array_position("all", F.col(new)).cast("string"))
+    found = named.select(new, F.when(F.col("parents") > 1, own).when(F.col("children") == 1, F.col(old).cast("string")).otherwise(child).alias("id"))
+    return members.select(new).distinct().join(found, new, "left").select(new, F.coalesce("id", own).alias("id"))

@@ -110,3 +110,37 @@ def write_tiles(df: DataFrame, path: str, xmin: str, ymin: str, xmax: str, ymax:
     tiles.hint("rebalance", "lod", "tile").write.partitionBy("lod", "tile").parquet(path)
     back = df.sparkSession.read.parquet(path)
     return back.groupBy(F.col("lod").cast("int").alias("lod"), "tile").agg(F.count(F.lit(1)).alias("feature_count"), F.min(xmin).alias("xmin"), F.min(ymin).alias("ymin"), F.max(xmax).alias("xmax"), F.max(ymax).alias("ymax"))
+
+
+TOPOLOGY = "transform struct<scale:array<double>,translate:array<double>>, arcs array<array<array<double>>>, objects map<string,struct<geometries:array<struct<type:string,arcs:array<array<int>>,properties:map<string,string>>>>>"
+
+
+def read_topology(spark: SparkSession, path: str, name: str, properties: list[str]) -> DataFrame:
+    """Polygons of one object of quantised topologies, a file or a line each: arcs are running sums, scaled and shifted;
+    an arc numbered ~k is arc k backwards; arcs of a ring share their joints."""
+    rows = spark.read.schema(TOPOLOGY).json(path)
+    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.array().cast("array<struct<x:double,y:double>>").alias("out"))
+    scale, shift = F.col("transform.scale"), F.col("transform.translate")
+
+    def step(acc: Column, d: Column) -> Column:
+        x, y = acc["x"] + d[0], acc["y"] + d[1]
+        return F.struct(x.alias("x"), y.alias("y"), F.concat(acc["out"], F.array(F.struct((x * scale[0] + shift[0]).alias("x"), (y * scale[1] + shift[1]).alias("y")))).alias("out"))
+
+    rows = rows.withColumn("lines", F.transform("arcs", lambda a: F.aggregate(a, zero, step)["out"])).withColumn("g", F.explode(F.try_element_at("objects", F.lit(name))["geometries"]))
+    arc = lambda k: F.when(k >= 0, F.get("lines", k)).otherwise(F.reverse(F.get("lines", -1 - k)))
+    ring = lambda r: F.flatten(F.transform(r, lambda k: F.slice(arc(k), 1, F.size(arc(k)) - 1)))
+    return rows.select(*[F.try_element_at("g.properties", F.lit(c)).alias(c) for c in properties], F.transform("g.arcs", ring).alias("rings"))
+
+
+def nested_lists(text: Column, key: str) -> Column:
+    """The values of a key, at the top or one level below, of JSON text as an array of strings."""
+    top = F.get_json_object(text, f"$.{key}")
+    below = F.get_json_object(text, f"$.*.{key}")
+    return F.array_compact(F.array(top, below))
+
+
+def read_code_page_csv(spark: SparkSession, path: str, schema: str, encoding: str) -> DataFrame:
+    """CSV in a code page of Java's, text trimmed; sets the session's switch that lets Spark use such charsets."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    rows = spark.read.schema(schema).option("encoding", encoding).csv(path)
+    return rows.select(*[F.trim(c).alias(c) if kind == "string" else F.col(c) for c, kind in rows.dtypes])

@@ -98,3 +98,28 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(n - 1).select(F.col("id").alias("dst"), (F.col("id") + 1).alias("src"))
     got = {r.id: r.component for r in graph.components(nodes, edges).collect()}
     assert all(got[i] == 0 for i in range(n)) and got[n] == n and got[n + 1] == n + 1
+
+
+def test_greedy_colours_are_those_of_one_by_one(spark):
+    rng = random.Random(7)
+    pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(90)}
+    got = {r.id: r.colour for r in graph.greedy_colours(spark.range(42), spark.createDataFrame(sorted(pairs), "src long, dst long")).collect()}
+    near = {i: {b if a == i else a for a, b in pairs if i in (a, b)} for i in range(42)}
+    want = {}
+    for i in sorted(range(42), key=lambda i: (-len(near[i]), i)):
+        want[i] = next(c for c in range(50) if c not in {want.get(j) for j in near[i]})
+    assert got == want
+
+
+def test_scaled_threshold_reaches_its_target(spark, sf):
+    from meridia.plans import QUERIES
+
+    seats = [r.seats for r in QUERIES["e12_scaled_threshold"](spark, sf).collect()]
+    assert abs(sum(seats) - 300) <= len(seats) and min(seats) >= 1 and max(seats) <= 60
+
+
+def test_budget_selection_passes_over_what_does_not_fit(spark, sf):
+    from meridia.plans import QUERIES
+
+    for r in QUERIES["e8_budget_selection"](spark, sf).collect():
+        assert r.used == sum(i % 7 + 1 for i in r.ids) <= 20
