@@ -27,8 +27,8 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 NOISE_TAGS = frozenset("script style noscript template iframe svg canvas object head title nav footer aside form button select textarea dialog menu input".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 NOISE_WORDS = frozenset(
-    "ad ads adv advert advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall "
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar rail widget widgets footer masthead topbar share sharing social comment comments commentlist reply replies respond disqus discussion related recommended recommendations pagination pager login search skip copyright disclaimer hidden".split()
+    "ad ads adv advert advertisement advertising adsense adsbygoogle adslot sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert alerts warning announcement popup modal overlay newsletter subscribe subscription signup paywall "
+    "nav navbar navigation topnav sidenav mainnav menu submenu menubar dropdown breadcrumb breadcrumbs side sidebar aside rail widget widgets header footer colophon masthead topbar share sharing social comment comments commentlist commentform reply replies respond disqus discussion responses feedback talkback related recommended recommendations pagination pager login search skip copyright disclaimer hidden".split()
 )
 #: Elements that an opening tag closes, up to the nearest of the limits.
 SAME_LEVEL = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
@@ -45,7 +45,8 @@ def _noise(tag: str, attrs: str) -> bool:
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if any(w.lower() in NOISE_WORDS for w in WORD.findall(value)):
+            told = {w.lower() for w in WORD.findall(value)}
+            if told & NOISE_WORDS and not told & {"has", "no", "with", "without"}:  # "has-sidebar" names a page, not a sidebar
                 return True
         elif name == "role":
             if value.lower() in NOISE_ROLES:
@@ -117,19 +118,19 @@ class Page:
 
     def main_text(self) -> str:
         tag, parent, n = self.tag, self.parent, len(self.tag)
-        # What is noise by class is not if it holds the page's article or headline; nor is a header inside the article.
+        # What is noise by class, or a form, is not if it holds the page's article or headline; nor is a header inside the article.
         inside = [False] * n  # of an article or main
         holds = [False] * n
         for i in range(1, n):
             inside[i] = inside[parent[i]] or tag[parent[i]] in ("article", "main")
-            if tag[i] == "header" and not inside[i]:
-                self.noise[i] = True
+            if tag[i] == "header":
+                self.noise[i] = not inside[i]
         for i in range(n - 1, 0, -1):
             holds[i] |= tag[i] == "h1" or tag[i] in ("article", "main") and not self.noise[i] and not inside[i]
             holds[parent[i]] |= holds[i]
         gone = [False] * n
         for i in range(1, n):
-            gone[i] = gone[parent[i]] or self.noise[i] and (tag[i] in NOISE_TAGS or not holds[i])
+            gone[i] = gone[parent[i]] or self.noise[i] and (tag[i] in NOISE_TAGS and tag[i] != "form" or not holds[i])
         # Counts of each subtree.
         chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         in_link = [False] * n

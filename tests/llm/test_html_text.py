@@ -22,6 +22,23 @@ def test_article_among_boilerplate():
         assert main_text(f"<body>{''.join(noise)}{wrap % ART}{''.join(noise)}</body>") == WANT
 
 
+def test_layouts_without_semantic_elements():
+    menu = "<ul class='menu'>" + "".join(f"<li><a href=/{i}>Section number {i}</a></li>" for i in range(12)) + "</ul>"
+    links = "<div>" + "".join(f"<a href=/{i}>A story of some length that is told elsewhere {i}</a> " for i in range(8)) + "</div>"
+    side = "<td class=left>" + links + "</td>"
+    pages = [
+        f"<body><div id=header><a href=/>Site</a></div>{menu}<div id=main>{ART}</div><div id=footer>Imprint, privacy and so on, as every site has it.</div></body>",
+        f"<body><table><tr>{side}<td>{ART}</td></tr></table></body>",
+        f"<body><form action=/x><div class='page has-sidebar'>{menu}<div>{ART}</div></div></form></body>",
+        f"<body><div class=content>{ART}<div class=share-buttons>Share this on all of the networks</div><section id=comments><h3>Comments</h3><article class=comment><p>This is a comment which goes on for a while, longer than any paragraph of the text above it does.</p></article></section></div></body>",
+        f"<body><header><div class=logo>The site</div></header><article><header>{ART[:ART.index('<p>')]}</header>{ART[ART.index('<p>'):]}<footer>Tags: a, b</footer></article><aside>More</aside></body>",
+        f"<body>{links}<div>{ART}</div>{links}</body>",
+        f"<body><div class='alert' role=alert>Down for maintenance tonight, all of you be warned.</div><div>{ART}<ins class=adsbygoogle>Buy now</ins></div></body>",
+    ]
+    for page in pages:
+        assert main_text(page) == WANT, page[:80]
+
+
 def test_text_rules():
     assert main_text("<article>a<b>b</b>c <i>d</i>\n\t e<br>f<p>g<p>h&eacute;&#33;&amp;lt;</article>") == "abc d e f g hé!&lt;"
     assert main_text("") == main_text(None) == main_text("<nav>x</nav>") == ""
