@@ -50,10 +50,11 @@ def _(v):
 
 @query("h22_simplify")
 def _(v):
-    # A supplier's line: its first depots by part; the Arrow function keeps points that are over half a degree off.
-    rows = v.lineitem.groupBy("l_suppkey", (F.col("l_orderkey") % 16).alias("part")).agg(F.slice(F.sort_array(F.collect_set(F.struct((F.col("l_partkey") % 3600 / 10.0).alias("x"), F.col("l_quantity").alias("y")))), 1, 200).alias("line"))
-    out = rows.withColumn("simple", M.simplify(0.5)("line"))
-    return out.select("l_suppkey", "part", F.size("line").alias("before"), F.size("simple").alias("after"), F.round(M.line_length(F.col("simple")), 6).alias("length"))
+    # An order's line through (line number, quantity); the Arrow function keeps points that are over 5 off the chord.
+    point = F.struct(F.col("l_linenumber").cast("double").alias("x"), F.col("l_quantity").alias("y"))
+    rows = v.lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(point)).alias("line"))
+    out = rows.withColumn("simple", M.simplify(5.0)("line"))
+    return out.select("l_orderkey", F.size("line").alias("before"), F.size("simple").alias("after"), F.round(F.when(F.size("simple") > 1, M.line_length(F.col("simple"))).otherwise(0.0), 6).alias("length"))
 
 
 @query("h26_centroids", "SELECT zone_id, round((xmin + xmax) / 2, 6) AS x, round((ymin + ymax) / 2, 6) AS y FROM zones")

@@ -12,7 +12,9 @@ from .joins import BOX, polygons
 from .registry import query
 from .scalars import _KEY, _MERC
 
-LENGTH = S.mercator_length_m(*map(F.col, ("x0", "y0", "x1", "y1")))
+
+def length():
+    return S.mercator_length_m(*map(F.col, ("x0", "y0", "x1", "y1")))
 
 
 @query("b1_country_filter", "SELECT c_custkey, code FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN regexp_matches(upper(substr(c_mktsegment, 1, 2)), '^[A-Z]{2}$') THEN upper(substr(c_mktsegment, 1, 2)) END AS code FROM customer) WHERE code IN ('BU', 'MA', 'HO') AND code <> 'HO'")
@@ -58,12 +60,12 @@ def _(v):
 @query("b8_length_threshold", f"SELECT segment_id FROM segments WHERE {_MERC} >= CASE class WHEN 'motorway' THEN 5000 WHEN 'trunk' THEN 15000 ELSE 30000 END")
 def _(v):
     policy = v.spark.createDataFrame([("motorway", 5000.0), ("trunk", 15000.0), ("unknown", 30000.0)], "class string, least double")
-    return v.segments.join(F.broadcast(policy), "class").where(LENGTH >= F.col("least")).select("segment_id")
+    return v.segments.join(F.broadcast(policy), "class").where(length() >= F.col("least")).select("segment_id")
 
 
 @query("b9_preview_tiers", f"SELECT segment_id, CASE WHEN class = 'motorway' AND {_MERC} >= 30000 THEN 'core' WHEN class IN ('motorway', 'trunk') THEN 'expanded' ELSE 'full' END AS tier FROM segments")
 def _(v):
-    tier = F.when((F.col("class") == "motorway") & (LENGTH >= 30000), "core").when(F.col("class").isin("motorway", "trunk"), "expanded").otherwise("full")
+    tier = F.when((F.col("class") == "motorway") & (length() >= 30000), "core").when(F.col("class").isin("motorway", "trunk"), "expanded").otherwise("full")
     return v.segments.select("segment_id", tier.alias("tier"))
 
 
