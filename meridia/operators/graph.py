@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -82,3 +82,22 @@ def reuse_ids(members: DataFrame, old: str, new: str) -> DataFrame:
     child = F.concat(F.col(old).cast("string"), F.lit("__"), F.array_position("all", F.col(new)).cast("string"))
     found = named.select(new, F.when(F.col("parents") > 1, own).when(F.col("children") == 1, F.col(old).cast("string")).otherwise(child).alias("id"))
     return members.select(new).distinct().join(found, new, "left").select(new, F.coalesce("id", own).alias("id"))
+
+
+def grow_parts(nodes: DataFrame, edges: DataFrame, group: str, x: str, quota: int) -> DataFrame:
+    """(id, level, part): every group is cut into parts of quota nodes in the order in which a breadth-first search from its
+    westmost node (ties by id) reaches them; within a level from west to east. Nodes that the search does not reach come
+    last, level null. Rounds grow with the depth of the search; a round handles all groups at once."""
+    own = nodes.select("id", F.col(group).alias("g"), F.col(x).alias("x"))
+    seeds = own.groupBy("g").agg(F.min(F.struct("x", "id"))["id"].alias("id"))
+    a, b = own.select(F.col("id").alias("src"), F.col("g").alias("g1")), own.select(F.col("id").alias("dst"), F.col("g").alias("g2"))
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    inner = scratch(both.join(a, "src").join(b, "dst").where("g1 = g2").select("src", "dst"), "inner")
+    seen = scratch(seeds.select("id", F.lit(0).alias("level")), "seen")
+    front, level = seen.select("id"), 0
+    while not front.isEmpty():
+        level += 1
+        front = scratch(inner.join(front.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti"), "front")
+        seen = scratch(seen.unionByName(front.withColumn("level", F.lit(level))), "seen")
+    order = F.row_number().over(Window.partitionBy("g").orderBy(F.asc_nulls_last("level"), "x", "id"))
+    return own.join(seen, "id", "left").select("id", "level", F.floor((order - 1) / quota).cast("int").alias("part"))

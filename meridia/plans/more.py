@@ -106,3 +106,42 @@ def _(v):
 def _(v):
     builder = lambda part: part.groupBy("class").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x1") - F.col("x0")), 4).alias("width"))
     return v.segments.transform(builder)
+
+
+@query(
+    "i4_contiguous_parts",
+    f"""WITH RECURSIVE e AS (SELECT a.unit_id AS x, b.unit_id AS y FROM units a JOIN units b ON a.group_id = b.group_id AND a.unit_id <> b.unit_id AND {_MEET.format('a', 'b')}),
+s AS (SELECT unit_id FROM (SELECT unit_id, row_number() OVER (PARTITION BY group_id ORDER BY xmin, unit_id) AS rn FROM units) WHERE rn = 1),
+r AS (SELECT unit_id, 0 AS level FROM s UNION SELECT e.y, r.level + 1 FROM r JOIN e ON e.x = r.unit_id WHERE r.level < 12),
+l AS (SELECT unit_id, min(level) AS level FROM r GROUP BY unit_id)
+SELECT u.unit_id AS id, l.level, CAST((row_number() OVER (PARTITION BY u.group_id ORDER BY l.level NULLS LAST, u.xmin, u.unit_id) - 1) // 2 AS INTEGER) AS part FROM units u LEFT JOIN l USING (unit_id)""",
+)
+def _(v):
+    pairs = G.box_pairs(v.units.withColumnRenamed("unit_id", "src"), second(v.units, unit_id="dst"), BOX, BOX2).where("src < dst")
+    return graph.grow_parts(v.units.withColumnRenamed("unit_id", "id"), pairs.select("src", "dst"), "group_id", "xmin", 2)
+
+
+_SNAP = "SELECT zone_id, zone_id % 7 AS country, round(xmin / 25) * 25 + 0.0 AS sx0, round(ymin / 25) * 25 + 0.0 AS sy0, round(xmax / 25) * 25 + 0.0 AS sx1, round(ymax / 25) * 25 + 0.0 AS sy1, xmin, ymin FROM zones"
+
+
+@query("m3_canonical_boundaries", f"WITH s AS ({_SNAP}), c AS (SELECT country, count(*) FILTER (WHERE sx0 = sx1 OR sy0 = sy1) AS lost FROM s GROUP BY country) SELECT zone_id, CASE WHEN lost = 0 THEN sx0 ELSE xmin END AS x, CASE WHEN lost = 0 THEN sy0 ELSE ymin END AS y, CASE WHEN lost = 0 THEN 'snapped' ELSE 'would lose features' END AS reason FROM s JOIN c USING (country)")
+def _(v):
+    # Corners snap to a grid; a country keeps its own where a feature would collapse.
+    snap = lambda c: F.round(F.col(c) / 25) * 25 + 0.0
+    s = v.zones.select("zone_id", (F.col("zone_id") % 7).alias("country"), *[snap(c).alias("s" + c) for c in BOX], "xmin", "ymin")
+    lost = s.groupBy("country").agg(F.count_if(F.expr("sxmin = sxmax OR symin = symax")).alias("lost"))
+    ok = F.col("lost") == 0
+    return s.join(lost, "country").select("zone_id", F.when(ok, F.col("sxmin")).otherwise(F.col("xmin")).alias("x"), F.when(ok, F.col("symin")).otherwise(F.col("ymin")).alias("y"), F.when(ok, "snapped").otherwise("would lose features").alias("reason"))
+
+
+@query("f3_scan_limit", "SELECT least(count(*), 500) AS n, count(*) > 500 AS more FROM segments")
+def _(v):
+    # As many rows as were asked for and one more, to tell whether the scan was cut; which rows is left to the scan.
+    return v.segments.limit(501).agg(F.least(F.count("*"), F.lit(500)).alias("n"), (F.count("*") > 500).alias("more"))
+
+
+@query("a17_feature_sink", "SELECT place_id, name, population FROM places")
+def _(v):
+    path = shared(v.spark, "features")
+    v.places.select(F.to_json(F.struct("place_id", "name", "population")).alias("value")).write.text(path)
+    return v.spark.read.text(path).select(F.from_json("value", "place_id long, name string, population long").alias("f")).select("f.*")
