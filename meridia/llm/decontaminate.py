@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table
+from .common import free_name, table
 from .words import U64, Text, chunks, words
 
 #: Bytes of benchmark text in one block, the most that is sent to the tasks at once.
@@ -141,14 +141,14 @@ def common_prefix(text: np.ndarray, at: np.ndarray, suffix: np.ndarray, items: I
     return out
 
 
-def _batches(batches: Iterator[pa.RecordBatch], block, window: int, text: str, keep: list[str], out: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], block, window: int, text: str, keep: list[str], names: tuple[str, str, str], out: pa.Schema) -> Iterator[pa.RecordBatch]:
     """One block's pass: adds n_words, hit_spans and matches, after those of an earlier pass if there are any."""
     items = Items(*block.value, window)
     for batch in batches:
         for part in chunks(batch, text):
             column = lambda c, rows=part.rows: rows.column(rows.schema.get_field_index(c))
             n = len(part.bounds) - 1
-            spans, found = [column(c).to_pylist() if c in part.rows.schema.names else [[] for _ in range(n)] for c in ("hit_spans", "matches")]
+            spans, found = [column(c).to_pylist() if c in part.rows.schema.names else [[] for _ in range(n)] for c in names[1:]]
             n_words, m, mask = _shard(part, items)
             for d, i, p, q, k in zip(*(x.tolist() for x in m), strict=True):
                 found[d].append({"item_id": items.ids[i], "item_word": p, "doc_word": q, "n_words": k})
@@ -157,25 +157,23 @@ def _batches(batches: Iterator[pa.RecordBatch], block, window: int, text: str, k
             for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
                 d = int(np.searchsorted(first, a, "right")) - 1
                 spans[d].append({"start": a - int(first[d]), "end": b - int(first[d])})
-            new = [pa.array(n_words, pa.int64()), pa.array(spans, out.field("hit_spans").type), pa.array(found, out.field("matches").type)]
+            new = [pa.array(n_words, pa.int64()), pa.array(spans, out.field(names[1]).type), pa.array(found, out.field(names[2]).type)]
             yield pa.record_batch([c.cast(f.type) for c, f in zip([*map(column, keep), *new], out, strict=True)], schema=out)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or the columns keep of it) with n_words, hit_spans (word spans inside an occurrence of a window) and matches
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("n_words", "hit_spans", "matches")) -> DataFrame:
+    """docs (or the columns keep of it) with names: n_words, hit_spans (word spans inside an occurrence of a window) and matches
     (item, first word in the item, first word in the document, words: the whole verbatim stretch, of a window or more).
 
     A window is that many successive words of an item; an item of fewer, but not none, is one window; an item without
     words, or null, has none. Null and empty documents have no words. Repeated items are all told. Items are sent to the
-    tasks in blocks of about BLOCK_BYTES; each block of a larger benchmark is a further pass in the same tasks. Columns of docs named as the new ones clash and are an error.
+    tasks in blocks of about BLOCK_BYTES; each block of a larger benchmark is a further pass in the same tasks. Columns of docs named as the new ones are replaced.
     """
-    keep = docs.columns if keep is None else keep
-    if clash := {"n_words", "hit_spans", "matches"} & {c.lower() for c in keep}:
-        raise ValueError(f"the table already has {sorted(clash)}")
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
     items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL")
     # The size of the benchmark, then its blocks of so many bytes.
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0) // BLOCK_BYTES))
-    new = T.StructType.fromDDL(f"n_words long, hit_spans {SPAN}, matches {MATCH.format(id=items.schema['i'].dataType.simpleString())}")
+    new = T.StructType.fromDDL(f"`{names[0]}` long, `{names[1]}` {SPAN}, `{names[2]}` {MATCH.format(id=items.schema['i'].dataType.simpleString())}")
     carried = list(dict.fromkeys([*keep, text_col]))  # a later pass reads the text again
     out = docs.select(*carried)
     for k in range(blocks):
@@ -184,7 +182,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
         own = carried if k + 1 < blocks else keep
         schema = T.StructType([*docs.select(*own).schema.fields, *new.fields])
         arrow = to_arrow_schema(schema)
-        out = out.mapInArrow(lambda it, b=block, own=own, arrow=arrow: _batches(it, b, window, text_col, own, arrow), schema)
+        out = out.mapInArrow(lambda it, b=block, own=own, arrow=arrow: _batches(it, b, window, text_col, own, names, arrow), schema)
     return out
 
 
@@ -205,7 +203,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents without any window of a benchmark item."""
-    return find_contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("hit_spans") == 0).select(*docs.columns)
+    names = tuple(free_name(docs, f"leak_{x}") for x in ("words", "spans", "matches"))
+    return find_contamination(docs, table(spark, sf_dir, "benchmark"), names=names).where(F.size(names[1]) == 0).select(*docs.columns)
 
 
 OP5_SQL = r"""

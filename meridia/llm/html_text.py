@@ -16,6 +16,7 @@ from math import e, log
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -224,11 +225,10 @@ def extract_text(pages: DataFrame, html_col: str = "html", text: str = "text") -
 
     Null, empty and text-free pages give an empty text. Broken markup is read as browsers do in the main: unclosed
     paragraphs and items end where the next begins, stray closing tags are passed over. Each page is read alone, so
-    repeated rows give repeated results. A column already named as text is an error.
+    repeated rows give repeated results. A column already named as text is replaced.
     """
-    if text.lower() in {c.lower() for c in pages.columns if c != html_col}:
-        raise ValueError(f"the table already has a column {text}")
-    schema = pages.drop(html_col).schema.add(text, "string")
+    pages = pages.select(*[c for c in pages.columns if c == html_col or c.lower() != text.lower()])
+    schema = T.StructType([*pages.drop(html_col).schema.fields, T.StructField(text, T.StringType())])
     return pages.mapInArrow(lambda it: _extract(it, html_col, text), schema)
 
 

@@ -59,10 +59,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     Expected bytes: epochs times those of docs, shared among the sources as weights say (see rates). Null is a source
     like any other. Rows with the same id get the same draw and the order among them is free; null ids count as one id.
     A null or empty text counts as no bytes and is copied as its source is. An empty table gives no rows. A column of
-    docs named as copy is an error; other names never clash.
+    docs named as copy is replaced; other names never clash.
     """
-    if copy.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"the table already has a column {copy}")
+    docs = docs.drop(copy)
     found = rates(docs, weights, alpha, epochs, source_col, text_col)
     src, rate, part, cdf, key = (free_name(docs, f"mix_{x}") for x in ("source", "rate", "part", "cdf", "key"))
     found = found.toDF(src, rate, part, cdf)
@@ -82,7 +81,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the copies as rows of their own, without the copy's number."""
-    return mix(docs, copy="mix_copy").drop("mix_copy")
+    copy = free_name(docs, "mix_copy")
+    return mix(docs, copy=copy).drop(copy)
 
 
 OP2_SQL = """

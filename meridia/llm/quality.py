@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import free_name, table
 from .words import GOLDEN, U64, Text, chunks, mix, words
 
 #: Bytes of a passage.
@@ -160,9 +160,8 @@ def _scores(batches: Iterator[pa.RecordBatch], model, text: str, name: str) -> I
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 by the whole text alone. Null and empty texts are one empty passage and get that
-    passage's score; equal texts get equal scores. A column already named as the score is an error."""
-    if name.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"the table already has a column {name}")
+    passage's score; equal texts get equal scores. A column already named as the score is replaced."""
+    docs = docs.drop(name)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(lambda it: _scores(it, sent, text_col, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
@@ -176,4 +175,5 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents predicted to be good."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model, name="quality_score").where(F.col("quality_score") >= CUT).select(*docs.columns)
+    name = free_name(docs, "quality_score")
+    return score(docs, model, name=name).where(F.col(name) >= CUT).select(*docs.columns)

@@ -35,14 +35,14 @@ def shard_by_bytes(df: DataFrame, size: Column, shards: int, order: list[Column]
     The shards are contiguous in the given order, and a row belongs to the shard on whose part of the byte line its
     first byte lies, so shards differ from the target by less than the rows at their two ends. A null size counts as 0;
     nulls in order come first; ties in it are cut anywhere, as each row has its own place. Rows without any size at
-    all (total 0) all go to shard 0. An empty table gives an empty one. The new names must not be among df's columns.
+    all (total 0) all go to shard 0. An empty table gives an empty one. Columns of df named as the new ones are replaced,
+    no other name clashes.
     """
     spark = df.sparkSession
-    if {shard.lower(), slot.lower()} & {c.lower() for c in df.columns}:
-        raise ValueError(f"the table already has a column {shard} or {slot}")
-    names = {k: free_name(df, k) for k in ("own_size", "own_part", "bytes_before", "rows_before", *(f"order_{i}" for i in range(len(order))))}
+    names = {k: free_name(df, k) for k in ("own_size", "own_part", "bytes_before", "rows_before", "base_bytes", "base_rows", "first_place", *(f"order_{i}" for i in range(len(order))))}
     sized = df.select("*", F.coalesce(size.cast("long"), F.lit(0)).alias(names["own_size"]), *(c.alias(names[f"order_{i}"]) for i, c in enumerate(order)))
     keys = [names[f"order_{i}"] for i in range(len(order))]
+    sized = sized.drop(shard, slot)
     dealt = sized.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).drop(*keys)
     schema = T.StructType([*dealt.schema.fields, T.StructField(names["bytes_before"], T.LongType()), T.StructField(names["rows_before"], T.LongType())])
     own, before, rank = names["own_size"], names["bytes_before"], names["rows_before"]
@@ -54,17 +54,18 @@ def shard_by_bytes(df: DataFrame, size: Column, shards: int, order: list[Column]
     for r in totals:
         bases.append((r[0], b, n))
         b, n = b + r.b, n + r.n
-    base = spark.createDataFrame(bases, f"`{names['own_part']}` int, base_bytes long, base_rows long")
+    base = spark.createDataFrame(bases, f"`{names['own_part']}` int, `{names['base_bytes']}` long, `{names['base_rows']}` long")
     offset, place = free_name(df, "offset"), free_name(df, "place")
     based = (
         placed.join(F.broadcast(base), names["own_part"])
-        .withColumn(offset, F.col(before) + F.col("base_bytes"))
-        .withColumn(place, F.col(rank) + F.col("base_rows"))
+        .withColumn(offset, F.col(before) + F.col(names["base_bytes"]))
+        .withColumn(place, F.col(rank) + F.col(names["base_rows"]))
         # Integer arithmetic on decimals, as offset * shards may pass 2^63.
         .withColumn(shard, F.least(F.lit(shards - 1), F.floor(F.col(offset).cast("decimal(38,0)") * F.lit(shards) / F.lit(max(b, 1)).cast("decimal(20,0)")).cast("int")))
     )
-    first = based.groupBy(shard).agg(F.min(place).alias("first_place"))  # at most shards rows
-    return based.join(F.broadcast(first), shard).select(*df.columns, shard, (F.col(place) - F.col("first_place")).alias(slot))
+    first = based.groupBy(shard).agg(F.min(place).alias(names["first_place"]))  # at most shards rows
+    kept = [c for c in df.columns if c.lower() not in (shard.lower(), slot.lower())]
+    return based.join(F.broadcast(first), shard).select(*kept, shard, (F.col(place) - F.col(names["first_place"])).alias(slot))
 
 
 def text_size(text: Column) -> Column:

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from meridia.llm.sharding import shard_by_bytes, stage_sharding, text_size
@@ -24,5 +23,5 @@ def test_odd_rows(spark):
         assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
     assert stage_sharding(spark, df.limit(0), "").count() == 0
     assert {r.shard for r in shard_by_bytes(df, F.lit(0), 4, [F.col("doc_id")]).collect()} == {0}
-    with pytest.raises(ValueError):
-        shard_by_bytes(df.withColumn("Slot", F.lit(1)), F.lit(1), 4, [F.col("doc_id")])
+    again = shard_by_bytes(df.withColumn("Slot", F.lit("x")).withColumn("base_rows", F.lit(1)).withColumn("first_place", F.lit(2)), F.lit(1), 5, [F.col("doc_id")])
+    assert again.columns[-2:] == ["shard", "slot"] and "Slot" not in again.columns and {(r.shard, r.slot, r.base_rows, r.first_place) for r in again.collect()} == {(k, 0, 1, 2) for k in range(5)}
