@@ -32,7 +32,7 @@ def _(v):
     return by.groupBy("owner").agg(F.sum("n").alias("features"), F.max("worst").alias("worst"), F.max(F.struct("n", "src"))["src"].alias("primary_source"), F.max("syn").alias("synthetic"), F.count("src").alias("sources"))
 
 
-@query("d4_gate_metrics", "SELECT unit_id, count(*) AS features, sum(CASE WHEN owner <> controller THEN 1 ELSE 0 END) AS split, round(avg(CASE WHEN owner = controller THEN 1.0 ELSE 0.0 END), 9) AS agree FROM features GROUP BY unit_id")
+@query("d4_gate_metrics", "SELECT unit_id, count(*) AS features, CAST(sum(CASE WHEN owner <> controller THEN 1 ELSE 0 END) AS BIGINT) AS split, round(avg(CASE WHEN owner = controller THEN 1.0 ELSE 0.0 END), 9) AS agree FROM features GROUP BY unit_id")
 def _(v):
     return v.features.groupBy("unit_id").agg(F.count("*").alias("features"), F.sum((F.col("owner") != F.col("controller")).cast("int")).alias("split"), F.round(F.avg((F.col("owner") == F.col("controller")).cast("double")), 9).alias("agree"))
 
@@ -50,7 +50,7 @@ def _(v):
     return v.places.groupBy("home_unit_id").agg(F.count("*").alias("total"), F.count_if(F.col("kind") == "BUILDING").alias("building"), F.count_if(big).alias("promoted"), (F.count_if(~big) == 0).alias("promoted_only"))
 
 
-@query("d8_split_count", "SELECT count(*) AS features, sum(CASE WHEN coalesce(a.owner, b.controller) <> coalesce(b.controller, a.owner) THEN 1 ELSE 0 END) AS split FROM (SELECT feature_id, owner FROM features WHERE feature_id % 5 <> 0) a FULL JOIN (SELECT feature_id, controller FROM features WHERE feature_id % 7 <> 0) b ON a.feature_id = b.feature_id")
+@query("d8_split_count", "SELECT count(*) AS features, CAST(sum(CASE WHEN coalesce(a.owner, b.controller) <> coalesce(b.controller, a.owner) THEN 1 ELSE 0 END) AS BIGINT) AS split FROM (SELECT feature_id, owner FROM features WHERE feature_id % 5 <> 0) a FULL JOIN (SELECT feature_id, controller FROM features WHERE feature_id % 7 <> 0) b ON a.feature_id = b.feature_id")
 def _(v):
     a, b = v.features.where("feature_id % 5 <> 0").select("feature_id", "owner"), v.features.where("feature_id % 7 <> 0").select("feature_id", "controller")
     return a.join(b, "feature_id", "full_outer").agg(F.count("*").alias("features"), F.count_if(F.coalesce("owner", "controller") != F.coalesce("controller", "owner")).alias("split"))
@@ -114,7 +114,7 @@ def _(v):
     return v.features.join(v.units.select("unit_id", "group_id"), "unit_id").rollup("group_id", "unit_id").agg(F.count("*").alias("features"))
 
 
-@query("d18_counts_and_samples", "SELECT owner, count(*) AS n, list_slice(list_sort(list(feature_id)), 1, 10) AS sample FROM features GROUP BY owner")
+@query("d18_counts_and_samples", "SELECT owner, count(*) AS n, list_slice(list_sort(list(feature_id)), 1, 10) AS sample FROM features GROUP BY owner", lists=("sample",))
 def _(v):
     # The ten least are kept in each partial step: ranks before the lists are gathered.
     w = Window.partitionBy("owner").orderBy("feature_id")
@@ -172,7 +172,7 @@ def _(v):
     return votes.groupBy("place_id").agg(F.max(F.struct("w", "tag"))["tag"].alias("tag"))
 
 
-@query("d23_adjacency_contrast", "SELECT count(*) AS edges, sum(CASE WHEN a.unit_id % 4 = b.unit_id % 4 THEN 1 ELSE 0 END) AS same FROM units a JOIN units b ON a.unit_id < b.unit_id AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax")
+@query("d23_adjacency_contrast", "SELECT count(*) AS edges, CAST(sum(CASE WHEN a.unit_id % 4 = b.unit_id % 4 THEN 1 ELSE 0 END) AS BIGINT) AS same FROM units a JOIN units b ON a.unit_id < b.unit_id AND a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax")
 def _(v):
     pairs = G.box_pairs(v.units, second(v.units, unit_id="other"), BOX, BOX2).where("unit_id < other")
     return pairs.agg(F.count("*").alias("edges"), F.count_if(F.col("unit_id") % 4 == F.col("other") % 4).alias("same"))
@@ -195,7 +195,7 @@ def _(v):
     return each.groupBy("zone_id").agg(F.count("*").cast("int").alias("parts"), F.sum("points").cast("int").alias("points"), (F.max("hi") - F.min("lo")).alias("width"), (F.max("hi") > 150).alias("near_date_line"))
 
 
-@query("d26_core_index", "SELECT tag, list_sort(list(DISTINCT feature_id)) AS cores FROM (SELECT owner AS tag, unit_id AS feature_id FROM features UNION ALL SELECT controller, unit_id FROM features) GROUP BY tag")
+@query("d26_core_index", "SELECT tag, list_sort(list(DISTINCT feature_id)) AS cores FROM (SELECT owner AS tag, unit_id AS feature_id FROM features UNION ALL SELECT controller, unit_id FROM features) GROUP BY tag", lists=("cores",))
 def _(v):
     return v.features.select(F.explode(F.array_distinct(F.array("owner", "controller"))).alias("tag"), "unit_id").groupBy("tag").agg(F.sort_array(F.collect_set("unit_id")).alias("cores"))
 
@@ -223,12 +223,12 @@ def _(v):
     return lists.select("district", F.explode("members").alias("feature_id")).groupBy("feature_id").agg(F.min("district").alias("district"))
 
 
-@query("d32_regional_presets", "SELECT owner, list_sort(list(feature_id)) AS ids FROM features WHERE owner LIKE 'Brand#1%' GROUP BY owner")
+@query("d32_regional_presets", "SELECT owner, list_sort(list(feature_id)) AS ids FROM features WHERE owner LIKE 'Brand#1%' GROUP BY owner", lists=("ids",))
 def _(v):
     return v.features.where("owner LIKE 'Brand#1%'").groupBy("owner").agg(F.sort_array(F.collect_list("feature_id")).alias("ids"))
 
 
-@query("d33_child_index", "SELECT n_regionkey AS parent, list(n_name ORDER BY n_nationkey) AS children FROM nation GROUP BY n_regionkey")
+@query("d33_child_index", "SELECT n_regionkey AS parent, list(n_name ORDER BY n_nationkey) AS children FROM nation GROUP BY n_regionkey", lists=("children",))
 def _(v):
     lists = v.nation.groupBy(F.col("n_regionkey").alias("parent")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("c"))
     return lists.select("parent", F.col("c.n_name").alias("children"))

@@ -70,7 +70,7 @@ def _(v):
     return R.read_hierarchy(v.spark, path)
 
 
-@query("a9_rules_scan", "SELECT 'r' || s_suppkey AS rule_id, CAST(s_nationkey AS INTEGER) AS priority, ['u' || s_nationkey] AS include FROM supplier WHERE s_suppkey % 4 <> 0")
+@query("a9_rules_scan", "SELECT 'r' || s_suppkey AS rule_id, CAST(s_nationkey AS INTEGER) AS priority, ['u' || s_nationkey] AS include FROM supplier WHERE s_suppkey % 4 <> 0", lists=("include",))
 def _(v):
     path = shared(v.spark, "rules")
     quality = F.when(F.col("s_suppkey") % 4 == 0, "unknown").otherwise("manual")

@@ -66,7 +66,7 @@ def _(v):
 _MEET = "{0}.xmin <= {1}.xmax AND {1}.xmin <= {0}.xmax AND {0}.ymin <= {1}.ymax AND {1}.ymin <= {0}.ymax"
 
 
-@query("c5_adjacency", f"SELECT a.unit_id, list_sort(list(b.unit_id)) AS neighbours FROM units a JOIN units b ON a.unit_id <> b.unit_id AND {_MEET.format('a', 'b')} GROUP BY a.unit_id")
+@query("c5_adjacency", f"SELECT a.unit_id, list_sort(list(b.unit_id)) AS neighbours FROM units a JOIN units b ON a.unit_id <> b.unit_id AND {_MEET.format('a', 'b')} GROUP BY a.unit_id", lists=("neighbours",))
 def _(v):
     pairs = G.box_pairs(v.units, second(v.units, unit_id="other"), BOX, BOX2).where("unit_id <> other")
     return pairs.groupBy("unit_id").agg(F.sort_array(F.collect_set("other")).alias("neighbours"))

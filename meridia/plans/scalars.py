@@ -25,7 +25,7 @@ def _(v):
     return v.documents.select("doc_id", S.match_key(F.col("text")).alias("key"))
 
 
-@query("h3_alias_split", "SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(p_name || '|' || p_brand || ' ;; ' || p_type, '[|,;/]+'), lambda x: trim(x)), lambda x: x <> '') AS aliases FROM part")
+@query("h3_alias_split", "SELECT p_partkey, list_filter(list_transform(regexp_split_to_array(p_name || '|' || p_brand || ' ;; ' || p_type, '[|,;/]+'), lambda x: trim(x)), lambda x: x <> '') AS aliases FROM part", lists=("aliases",))
 def _(v):
     return v.part.select("p_partkey", S.alias_split(F.concat("p_name", F.lit("|"), "p_brand", F.lit(" ;; "), "p_type")).alias("aliases"))
 
@@ -186,6 +186,6 @@ def _(v):
     return near.groupBy("place_id").agg(F.min(F.struct("deg", "depot_id")).alias("m")).select("place_id", "m.depot_id", F.round("m.deg", 9).alias("deg"))
 
 
-@query("h33_tag_lists", "SELECT feature_id, CASE WHEN upper(owner) = upper(controller) THEN [upper(owner)] ELSE [upper(owner), upper(controller)] END AS tags FROM features")
+@query("h33_tag_lists", "SELECT feature_id, CASE WHEN upper(owner) = upper(controller) THEN [upper(owner)] ELSE [upper(owner), upper(controller)] END AS tags FROM features", lists=("tags",))
 def _(v):
     return v.features.select("feature_id", S.tag_list(F.array(F.lower("owner"), F.lit(" "), F.concat(F.lit(" "), "controller"), "owner")).alias("tags"))

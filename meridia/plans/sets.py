@@ -136,7 +136,7 @@ def _(v):
     return v.features.join(v.features.select(F.col("owner").alias("controller")).distinct(), "controller", "left_anti").groupBy(F.col("controller").alias("tag")).agg(F.count("*").alias("n"))
 
 
-@query("g20_unsynced_edits", "SELECT unit_id, count(*) AS n, list_slice(list_sort(list(feature_id)), 1, 25) AS sample FROM features WHERE lower(trim(owner)) <> lower(trim(controller)) GROUP BY unit_id")
+@query("g20_unsynced_edits", "SELECT unit_id, count(*) AS n, list_slice(list_sort(list(feature_id)), 1, 25) AS sample FROM features WHERE lower(trim(owner)) <> lower(trim(controller)) GROUP BY unit_id", lists=("sample",))
 def _(v):
     changed = v.features.where("lower(trim(owner)) <> lower(trim(controller))")
     rn = F.row_number().over(Window.partitionBy("unit_id").orderBy("feature_id"))

@@ -25,7 +25,7 @@ def _(v):
     return pairs.select("zone_id", "unit_id", M.overlap_area("a", "b").alias("area")).where("area > 1e-9").withColumn("area", F.round("area", 6))
 
 
-@query("c8_line_hardening", f"WITH m AS (SELECT segment_id, (x0 + x1) / 2 AS lon, (y0 + y1) / 2 AS lat FROM segments WHERE class = 'motorway'), d AS (SELECT m.segment_id, depots.name, {_HAV.format(a='m.lat', b='depots.lat', c='m.lon', d='depots.lon')} AS km, depots.depot_id FROM m, depots WHERE abs(m.lat - depots.lat) < 3), n AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY km, depot_id) AS rn FROM d WHERE km <= 200) SELECT segment_id, name AS official_name, CASE WHEN km > 100 THEN ['matched', 'far'] ELSE ['matched'] END AS flags FROM n WHERE rn = 1")
+@query("c8_line_hardening", f"WITH m AS (SELECT segment_id, (x0 + x1) / 2 AS lon, (y0 + y1) / 2 AS lat FROM segments WHERE class = 'motorway'), d AS (SELECT m.segment_id, depots.name, {_HAV.format(a='m.lat', b='depots.lat', c='m.lon', d='depots.lon')} AS km, depots.depot_id FROM m, depots WHERE abs(m.lat - depots.lat) < 3), n AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY km, depot_id) AS rn FROM d WHERE km <= 200) SELECT segment_id, name AS official_name, CASE WHEN km > 100 THEN ['matched', 'far'] ELSE ['matched'] END AS flags FROM n WHERE rn = 1", lists=("flags",))
 def _(v):
     mid = v.segments.where("class = 'motorway'").select("segment_id", ((F.col("x0") + F.col("x1")) / 2).alias("lon"), ((F.col("y0") + F.col("y1")) / 2).alias("lat"))
     d = v.depots.select("depot_id", "name", F.col("lon").alias("x"), F.col("lat").alias("y"))
@@ -92,7 +92,7 @@ def _(v):
     return v.places.select("place_id", F.floor(turn / (F.pi() / 3)).alias("sector"))
 
 
-@query("i3_migration_map", f"SELECT z.zone_id AS old, list(u.unit_id ORDER BY {_OV} DESC, u.unit_id) AS successors FROM zones z JOIN units u ON {_OV} > 1e-9 GROUP BY z.zone_id")
+@query("i3_migration_map", f"SELECT z.zone_id AS old, list(u.unit_id ORDER BY {_OV} DESC, u.unit_id) AS successors FROM zones z JOIN units u ON {_OV} > 1e-9 GROUP BY z.zone_id", lists=("successors",))
 def _(v):
     pairs = G.box_pairs(v.zones, second(v.units, unit_id="unit_id"), BOX, BOX2).withColumn("area", G.box_overlap(BOX, BOX2)).where("area > 1e-9")
     lists = pairs.groupBy(F.col("zone_id").alias("old")).agg(F.sort_array(F.collect_list(F.struct((-F.col("area")).alias("a"), "unit_id"))).alias("s"))
@@ -138,7 +138,7 @@ def _(v):
     return lists.select("view", F.aggregate("tiles", zero, step).alias("s")).select("view", "s.used", "s.ids")
 
 
-@query("m2_tile_payloads", "SELECT unit_id, to_json(list(zone_id ORDER BY zone_id)) AS payload FROM (SELECT z.zone_id, u.unit_id FROM zones z JOIN units u ON " + _OV + " > 0) GROUP BY unit_id")
+@query("m2_tile_payloads", "SELECT unit_id, CAST(to_json(list(zone_id ORDER BY zone_id)) AS VARCHAR) AS payload FROM (SELECT z.zone_id, u.unit_id FROM zones z JOIN units u ON " + _OV + " > 0) GROUP BY unit_id")
 def _(v):
     pairs = G.box_pairs(v.zones, second(v.units, unit_id="unit_id"), BOX, BOX2).where(G.box_overlap(BOX, BOX2) > 0)
     return pairs.groupBy("unit_id").agg(F.to_json(F.sort_array(F.collect_list("zone_id"))).alias("payload"))

@@ -52,7 +52,7 @@ def _(v):
     return v.places.join(top, "home_unit_id").where("population >= 500000 OR population = top OR place_id % 100 = 0").select("place_id")
 
 
-@query("b7_despeckle", "SELECT owner, min(name) AS name, list_sort(list(feature_id)) AS parts FROM features WHERE feature_id % 13 >= 2 GROUP BY owner")
+@query("b7_despeckle", "SELECT owner, min(name) AS name, list_sort(list(feature_id)) AS parts FROM features WHERE feature_id % 13 >= 2 GROUP BY owner", lists=("parts",))
 def _(v):
     return v.features.where("feature_id % 13 >= 2").groupBy("owner").agg(F.min("name").alias("name"), F.sort_array(F.collect_list("feature_id")).alias("parts"))
 
