@@ -25,3 +25,23 @@ def test_odd_rows(spark):
     assert {r.shard for r in shard_by_bytes(df, F.lit(0), 4, [F.col("doc_id")]).collect()} == {0}
     again = shard_by_bytes(df.withColumn("Slot", F.lit("x")).withColumn("base_rows", F.lit(1)).withColumn("first_place", F.lit(2)), F.lit(1), 5, [F.col("doc_id")])
     assert again.columns[-2:] == ["shard", "slot"] and "Slot" not in again.columns and {(r.shard, r.slot, r.base_rows, r.first_place) for r in again.collect()} == {(k, 0, 1, 2) for k in range(5)}
+
+
+def test_op7_against_brute_force(spark):
+    import zlib
+
+    import xxhash
+
+    from meridia.llm.sharding import op7_sharding
+
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    signed = lambda b: (h := xxhash.xxh64_intdigest(b, seed=42)) - (1 << 64) * (h >> 63)
+    at, want, seen = 0, {}, {}
+    total = sum(len(b) + 16 for _, b in docs)
+    for i, b in sorted(docs, key=lambda d: (signed(d[1]), d[0])):
+        shard = min(39, at * 40 // total)
+        want[i] = (len(b) + 16, zlib.crc32(b), "bytes", shard, seen.setdefault(shard, 0), None)
+        seen[shard] += 1
+        at += len(b) + 16
+    assert {r.doc_id: tuple(r)[1:] for r in op7_sharding(spark, sf).collect()} == want
