@@ -179,17 +179,12 @@ class Page:
             if density[i] >= threshold and density[i] > 0:
                 marked.add(best[i])
                 open_ += children[i]
-        # An article element that holds marked nodes is taken whole; around one, only the articles are.
-        articles = [i for i in range(1, n) if tag[i] in ("article", "main") and not gone[i] and not inside[i] and chars[i]]
-        roots, of, whole = set(), [0] * n, set(articles)
+        # Marked nodes decide on every page; an article or main around one only widens it, and none is dropped for standing outside.
+        of = [0] * n
         for i in range(1, n):
-            of[i] = i if i in whole else of[parent[i]]
-        for i in marked:
-            if of[i]:
-                roots.add(of[i])
-            elif not articles:
-                roots.add(i)
-        roots |= set(articles) if not roots else set()
+            whole = tag[i] in ("article", "main") and not gone[i] and not inside[i]
+            of[i] = i if whole else of[parent[i]]
+        roots = {of[i] or i for i in marked}
         kept = [False] * n
         for i in range(n):
             kept[i] = not gone[i] and (i in roots or i > 0 and kept[parent[i]])

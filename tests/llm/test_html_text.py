@@ -39,6 +39,15 @@ def test_layouts_without_semantic_elements():
         assert main_text(page) == WANT, page[:80]
 
 
+def test_density_decides_beside_articles():
+    teaser = "<article class=teaser><h2><a href=/t>Another story of the day</a></h2><p><a href=/t>What it says in short, with a link to all of it.</a></p></article>"
+    for tag in ("article", "main"):
+        one = teaser.replace("article", tag)
+        for page in (f"<div class=story>{ART}</div>{one}", f"{one}<div class=story>{ART}</div>", f"{one}<div><div class=story>{ART}</div></div>{one}{one}"):
+            assert main_text(f"<body>{page}</body>") == WANT, page
+    assert main_text(f"<body><article>{ART}</article>{teaser}</body>") == WANT  # widened to its headline, and no further
+
+
 def test_text_rules():
     assert main_text("<article>a<b>b</b>c <i>d</i>\n\t e<br>f<p>g<p>h&eacute;&#33;&amp;lt;</article>") == "abc d e f g hé!&lt;"
     assert main_text("") == main_text(None) == main_text("<nav>x</nav>") == ""
