@@ -31,23 +31,31 @@ NOISE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense adsbygoogle adslot sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert alerts warning announcement popup modal overlay newsletter subscribe subscription signup paywall "
     "nav navbar navigation topnav sidenav mainnav menu submenu menubar dropdown breadcrumb breadcrumbs side sidebar aside rail widget widgets header footer colophon masthead topbar share sharing social comment comments commentlist commentform reply replies respond disqus discussion responses feedback talkback related recommended recommendations pagination pager login search skip copyright disclaimer hidden".split()
 )
+#: The words that tell boilerplate inside an article or main too, where the others may name a part of the story.
+CLEAR_WORDS = frozenset(
+    "ad ads adv advert advertisement advertising adsense adsbygoogle adslot sponsor sponsored sponsors promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription signup paywall "
+    "nav navbar navigation topnav sidenav mainnav menu submenu menubar dropdown breadcrumb breadcrumbs sidebar widget widgets share sharing comment comments commentlist commentform disqus pagination pager login".split()
+)
 #: Elements that an opening tag closes, up to the nearest of the limits.
 SAME_LEVEL = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 SAME_LEVEL = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SAME_LEVEL.items()}
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _noise(tag: str, attrs: str) -> bool:
+def _noise(tag: str, attrs: str, inside: bool) -> bool:
     if tag in NOISE_TAGS:
         return True
+    words = CLEAR_WORDS if inside else NOISE_WORDS
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             told = {w.lower() for w in WORD.findall(value)}
-            if told & NOISE_WORDS and not told & {"has", "no", "with", "without"}:  # "has-sidebar" names a page, not a sidebar
+            if told & words and not told & {"has", "no", "with", "without"}:  # "has-sidebar" names a page, not a sidebar
+                return True
+            if name == "class" and "hidden" in value.lower().split():
                 return True
         elif name == "role":
             if value.lower() in NOISE_ROLES:
@@ -55,7 +63,7 @@ def _noise(tag: str, attrs: str) -> bool:
         elif name == "style":
             if "display:none" in value.replace(" ", "").lower():
                 return True
-        elif name == "hidden" or value.lower() == "true":
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
     return False
 
@@ -65,6 +73,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.noise, self.last = ["body"], [-1], [False], [0]
+        self.inside = [False]  # of an article or main
         self.pieces: list[tuple[int, str]] = []
         stack, at, n = [0], 0, len(source)
         while at < n:
@@ -99,7 +108,8 @@ class Page:
                 self._close(stack, *SAME_LEVEL[name])
             self.tag.append(name)
             self.parent.append(stack[-1])
-            self.noise.append(_noise(name, attrs))
+            self.inside.append(self.inside[stack[-1]] or self.tag[stack[-1]] in ("article", "main"))
+            self.noise.append(_noise(name, attrs, self.inside[-1]))
             if name not in INLINE:
                 self.pieces.append((len(self.tag) - 1, ""))  # parts the blocks
             if name not in VOID and not attrs.endswith("/"):
@@ -118,12 +128,10 @@ class Page:
                 return
 
     def main_text(self) -> str:
-        tag, parent, n = self.tag, self.parent, len(self.tag)
+        tag, parent, inside, n = self.tag, self.parent, self.inside, len(self.tag)
         # What is noise by class, or a form, is not if it holds the page's article or headline; nor is a header inside the article.
-        inside = [False] * n  # of an article or main
         holds = [False] * n
         for i in range(1, n):
-            inside[i] = inside[parent[i]] or tag[parent[i]] in ("article", "main")
             if tag[i] == "header":
                 self.noise[i] = not inside[i]
         for i in range(n - 1, 0, -1):

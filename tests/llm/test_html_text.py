@@ -48,6 +48,21 @@ def test_density_decides_beside_articles():
     assert main_text(f"<body><article>{ART}</article>{teaser}</body>") == WANT  # widened to its headline, and no further
 
 
+def test_only_whole_names_of_attributes_count():
+    for a in ('href="/the-hidden-river"', 'title="Hidden valley"', 'href="/p?id=search"', "data-hidden=false", 'title="a class=comment"', "data-id=nav", "title='role=search' data-x", "aria-hidden=false", "href=/x?class=share"):
+        assert main_text(f"<article>{ART}<p>See <a {a}>the river</a> there.</p><section {a}>More of it.</section></article>") == f"{WANT} See the river there. More of it.", a
+    for a in ("hidden", "HIDDEN=''", 'title="x" hidden', "hidden=until-found", 'aria-hidden="true"', "style='display: none'", 'data-x=">" class="comment"', "role = search", "id=nav", 'class="box hidden"'):
+        assert main_text(f"<article>{ART}<div {a}>Not this.</div></article>") == WANT, a
+
+
+def test_parts_of_an_article_are_kept():
+    for a in ("id=discussion", "class=warning", "class=related", "class=header", "class=social", "id=responses", "id=hidden-river"):
+        assert main_text(f"<article>{ART}<section {a}><p>A part of the story.</p></section></article>") == f"{WANT} A part of the story.", a
+        assert main_text(f"<body><div {a}><p>Around it.</p></div><article>{ART}</article>") == WANT, a
+    for a in ("class=comments", "class=share-buttons", "class=advert", "id=nav"):
+        assert main_text(f"<article>{ART}<section {a}><p>No part of it.</p></section></article>") == WANT, a
+
+
 def test_text_rules():
     assert main_text("<article>a<b>b</b>c <i>d</i>\n\t e<br>f<p>g<p>h&eacute;&#33;&amp;lt;</article>") == "abc d e f g hé!&lt;"
     assert main_text("") == main_text(None) == main_text("<nav>x</nav>") == ""
