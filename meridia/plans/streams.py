@@ -15,6 +15,10 @@ def log(v):
     return events.selectExpr("event_id AS seq", "ts", "user_id AS feature_id", "CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS value")
 
 
+def days(v):
+    return T.windowed_counts(log(v).where("value IS NOT NULL"), "ts", "value", "1 day", "2 days").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("l1_latest_state", "SELECT feature_id, seq, value, edits FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY seq DESC) AS rn, count(*) OVER (PARTITION BY feature_id) AS edits FROM mutations) WHERE rn = 1")
 def _(v):
     return T.latest_state(log(v), "feature_id", "seq", "value")
@@ -43,4 +47,9 @@ def _(v):
 
 @query("l5_windowed_counts", "WITH w AS (SELECT time_bucket(INTERVAL '1 day', ts) AS start, value, count(*) AS n FROM mutations WHERE value IS NOT NULL GROUP BY 1, 2), t AS (SELECT max(ts) - INTERVAL '2 days' AS mark FROM mutations WHERE value IS NOT NULL) SELECT start, value, n FROM w, t WHERE start + INTERVAL '1 day' <= mark")
 def _(v):
-    return T.windowed_counts(log(v).where("value IS NOT NULL"), "ts", "value", "1 day", "2 days").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return days(v).where("closed").drop("closed")
+
+
+@query("l5_windowed_counts_all", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, value, count(*) AS n FROM mutations WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2")
+def _(v):
+    return days(v).drop("closed")

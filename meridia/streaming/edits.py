@@ -52,14 +52,16 @@ def latest_state(log: DataFrame, key: str, seq: str, value: str) -> DataFrame:
 
 
 def windowed_counts(log: DataFrame, ts: str, by: str, width: str, late: str) -> DataFrame:
-    """(start, by, n): counts in windows of event time; a window's row comes once it is later than the watermark, so the
-    last windows of a finished stream stay open."""
-    spark = log.sparkSession
-    sink = shared(spark, "windows")
-    counts = log.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count(F.lit(1)).alias("n"))
-    flat = counts.select(F.col("window.start").alias("start"), by, "n")
-    flat.writeStream.outputMode("append").format("parquet").option("path", sink).option("checkpointLocation", shared(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(flat.schema).parquet(sink)
+    """(start, by, n, closed): counts of all rows in windows of event time, whatever the number and order of the files.
+
+    There is no watermark, as it would drop rows that come late: the state has a row for each window and value. closed
+    tells the windows that end at least late before the last event. A row without a time is in no window.
+    """
+    at = log.withColumn(ts, F.col(ts).cast("timestamp"))
+    counts = at.groupBy(F.window(ts, width), by).agg(F.count(F.lit(1)).alias("n"), F.max(ts).alias("last"))
+    rows = run_updates(counts.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), by, "n", "last"), ["start", "end", by], "n")
+    mark = rows.agg((F.max("last") - F.expr(f"INTERVAL '{late}'")).alias("mark"))
+    return rows.crossJoin(F.broadcast(mark)).select("start", by, "n", (F.col("end") <= F.col("mark")).alias("closed"))
 
 
 def ingest(stream: DataFrame, partition: str) -> DataFrame:
