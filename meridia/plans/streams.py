@@ -29,14 +29,25 @@ def _(v):
     return T.latest_state(log(v), "feature_id", "seq", "value").where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("features"))
 
 
-@query("l3_state_at", "SELECT feature_id, value, before FROM (SELECT *, lag(value) OVER (PARTITION BY feature_id ORDER BY seq) AS before, row_number() OVER (PARTITION BY feature_id ORDER BY seq DESC) AS rn FROM mutations WHERE seq % 1000 < 700) WHERE rn = 1")
-def _(v):
+def last_two(edits):
     # The last two edits up to the point, picked in each task before the shuffle: the state, and what an undo goes back to.
     rn = F.row_number().over(Window.partitionBy("feature_id").orderBy(F.desc("seq")))
-    two = v.mutations.where("seq % 1000 < 700").withColumn("rn", rn).where("rn <= 2")
+    two = edits.withColumn("rn", rn).where("rn <= 2")
     return two.groupBy("feature_id").agg(F.max(F.when(F.col("rn") == 1, F.col("value"))).alias("value"), F.max(F.when(F.col("rn") == 2, F.col("value"))).alias("before"))
 
 
+@query("l3_state_at", "SELECT feature_id, value, before FROM (SELECT *, lag(value) OVER (PARTITION BY feature_id ORDER BY seq) AS before, row_number() OVER (PARTITION BY feature_id ORDER BY seq DESC) AS rn FROM mutations WHERE seq % 1000 < 700) WHERE rn = 1")
+def _(v):
+    return last_two(v.mutations.where("seq % 1000 < 700"))
+
+
+@query("l3_state_at_point", "SELECT feature_id, value, before FROM (SELECT *, lag(value) OVER (PARTITION BY feature_id ORDER BY seq) AS before, row_number() OVER (PARTITION BY feature_id ORDER BY seq DESC) AS rn FROM mutations WHERE seq <= (SELECT min(seq) + (max(seq) - min(seq)) // 10 * 7 FROM mutations)) WHERE rn = 1")
+def _(v):
+    # The point lies seven tenths into the log's range of numbers; every edit up to it counts.
+    point = v.mutations.agg(F.expr("min(seq) + (max(seq) - min(seq)) div 10 * 7").alias("point"))
+    return last_two(v.mutations.crossJoin(F.broadcast(point)).where("seq <= point"))
+
+
 @query("l4_micro_batch_ingest", "SELECT CAST(floor((x0 + 180) / 60) AS BIGINT) AS shard, count(*) AS n, round(sum(x1 - x0), 4) AS width FROM segments GROUP BY 1")
 def _(v):
     rows = T.read_stream(v.spark, f"{v.sf_dir}/lineitem.parquet")

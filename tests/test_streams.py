@@ -5,6 +5,7 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from meridia.plans import QUERIES
 from meridia.streaming import edits as T
 
 
@@ -19,3 +20,14 @@ def test_windows_count_all_rows_of_unordered_files(spark, tmp_path):
         got = T.windowed_counts(T.read_stream(spark, f"{tmp_path}/log", files), "ts", "value", "1 day", "2 days").withColumn("day", F.to_date("start")).collect()
         assert {(r.day, r.value): r.n for r in got} == want and len(got) == len(want), (files, sum(r.n for r in got))
         assert {r.day for r in got if r.closed} == {d for d, _ in want if d + timedelta(days=1) <= mark.date()}
+
+
+def test_state_at_a_point_knows_every_edit_up_to_it(spark, tmp_path):
+    log = [(n, datetime(2024, 1, 1) + timedelta(minutes=n), n * n % 7, ("view", "click", "error")[n * n % 11 % 3]) for n in range(500, 1500)]
+    spark.createDataFrame(log[::-1], "event_id long, ts timestamp_ntz, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    state = {}
+    for n, _, k, kind in log:
+        if n <= 500 + 999 // 10 * 7:
+            state[k] = (None if kind == "error" else kind, state.get(k, (None,))[0])
+    got = QUERIES["l3_state_at_point"](spark, str(tmp_path)).collect()
+    assert {r.feature_id: (r.value, r.before) for r in got} == state and len(got) == len(state) > 3
