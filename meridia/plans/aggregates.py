@@ -219,8 +219,7 @@ def _(v):
 
 @query("d31_feature_group_first", "SELECT l_partkey AS feature_id, min(l_suppkey) AS district FROM lineitem GROUP BY l_partkey")
 def _(v):
-    lists = v.lineitem.groupBy(F.col("l_suppkey").alias("district")).agg(F.collect_set("l_partkey").alias("members"))
-    return lists.select("district", F.explode("members").alias("feature_id")).groupBy("feature_id").agg(F.min("district").alias("district"))
+    return v.lineitem.groupBy(F.col("l_partkey").alias("feature_id")).agg(F.min("l_suppkey").alias("district"))
 
 
 @query("d32_regional_presets", "SELECT owner, list_sort(list(feature_id)) AS ids FROM features WHERE owner LIKE 'Brand#1%' GROUP BY owner", lists=("ids",))
