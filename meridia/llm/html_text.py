@@ -1,15 +1,16 @@
 """Main text of web pages by composite text density.
 
-Every node of a page's tree gets its characters for each tag, adjusted for links; every node also gets the sum of its
-children's densities. The node of the greatest sum is the core of the article; the least density on the path from it to
-the body is the threshold above which other subtrees join it. Menus, notices, comments and the like, known by element,
-role or class, are taken out before anything is counted.
+Every block of a page's tree gets its characters for each tag, adjusted for links; every block also gets the sum of its
+children's densities. The block of the greatest sum is the core of the article; the least density on the path from it to
+the body is the threshold above which the best blocks of other subtrees join it. Menus, notices, comments and the like,
+known by element, role or class, are taken out before anything is counted; no element is taken in by its name.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from math import e, log
 
@@ -31,182 +32,305 @@ NOISE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense adsbygoogle adslot sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert alerts warning announcement popup modal overlay newsletter subscribe subscription signup paywall "
     "nav navbar navigation topnav sidenav mainnav menu submenu menubar dropdown breadcrumb breadcrumbs side sidebar aside rail widget widgets header footer colophon masthead topbar share sharing social comment comments commentlist commentform reply replies respond disqus discussion responses feedback talkback related recommended recommendations pagination pager login search skip copyright disclaimer hidden".split()
 )
-#: The words that tell boilerplate inside an article or main too, where the others may name a part of the story.
+#: The words that tell boilerplate inside an article, a main or the chosen text too, where the others may name a part of the story.
 CLEAR_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense adsbygoogle adslot sponsor sponsored sponsors promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription signup paywall "
     "nav navbar navigation topnav sidenav mainnav menu submenu menubar dropdown breadcrumb breadcrumbs sidebar widget widgets share sharing comment comments commentlist commentform disqus pagination pager login".split()
 )
-#: Elements that an opening tag closes, up to the nearest of the limits.
-SAME_LEVEL = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
-SAME_LEVEL = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in SAME_LEVEL.items()}
+#: Elements that an opening tag closes, unless one of the limits is nearer.
+SAME_LEVEL = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+SAME_LEVEL = {k: (a.split(), b.split()) for k, (a, b) in SAME_LEVEL.items()}
+P_LEVEL = (["p"], ["table", "td", "th", "button", "object"])
+BARRIERS = ("table", "article", "section", "main")
+#: Elements whose class or id names a part of a page; on others, such as p, the words that are not clear tell nothing.
+CONTAINERS = frozenset("div section ul ol dl table tr td header figure article main center details fieldset".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTR = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"?|'[^']*'?|[^\s>]+))?""")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+ATTR = re.compile(r"""[\s/]*([^\s/>=]?[^\s/>=]*)(\s*=\s*)?""")
+BARE = re.compile(r"[^\s>]*")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+NAMES = frozenset(("class", "id", "role", "style", "hidden", "aria-hidden"))
 
 
-def _noise(tag: str, attrs: str, inside: bool) -> bool:
+def noise_level(tag: str, attrs: list[tuple[str, str]]) -> int:
+    """2: boilerplate wherever it stands; 1: by a word that may also name a part of a story; 0: none."""
     if tag in NOISE_TAGS:
-        return True
-    words = CLEAR_WORDS if inside else NOISE_WORDS
-    for name, value in ATTR.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
+        return 2
+    level = 0
+    for name, value in attrs:
         if name in ("class", "id"):
             told = {w.lower() for w in WORD.findall(value)}
-            if told & words and not told & {"has", "no", "with", "without"}:  # "has-sidebar" names a page, not a sidebar
-                return True
             if name == "class" and "hidden" in value.lower().split():
-                return True
+                return 2
+            if not told & {"has", "no", "with", "without"}:  # "has-sidebar" names a page, not a sidebar
+                if told & CLEAR_WORDS:
+                    return 2
+                if tag in CONTAINERS and told & NOISE_WORDS:
+                    level = 1
         elif name == "role":
             if value.lower() in NOISE_ROLES:
-                return True
+                return 2
         elif name == "style":
             if "display:none" in value.replace(" ", "").lower():
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+                return 2
+        elif name == "hidden" or value.lower() == "true":
+            return 2
+    return level
+
+
+def density(chars: int, tags: int, links: int, link_tags: int, body: float) -> float:
+    """Composite density: characters for each tag, times a logarithm that falls with the share of links in both; body is
+    the share of linked characters in the whole page. A block of links alone has 0."""
+    c, t, lc, lt = chars, tags or 1, links or 1, link_tags or 1
+    base = log(c / max(c - links, 1) * links + body * c + e)
+    return c / t * log(max(c / lc * t / lt, 1.0)) / log(max(base, 1.0 + 1e-9))
 
 
 class Page:
-    """The tree as parallel lists; a node's number is less than its children's. Node 0 is the whole page; texts are nodes' own pieces in page order."""
+    """The tree as parallel lists; a node's number is less than its children's. Node 0 is the whole page; pieces are nodes'
+    own texts in page order. Time and memory are linear in the page's length, however broken its markup is."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.noise, self.last = ["body"], [-1], [False], [0]
+        self.tag, self.parent, self.noise = ["body"], [-1], [0]
         self.inside = [False]  # of an article or main
         self.pieces: list[tuple[int, str]] = []
-        stack, at, n = [0], 0, len(source)
+        self.source, self.stack, self.open = source, [0], defaultdict(list)  # open: places in the stack by tag
+        self.quotes, unclosed = True, set()
+        at, n = 0, len(source)
         while at < n:
-            m = TOKEN.search(source, at)
-            self._text(stack[-1], source[at : m.start() if m else n])
-            if not m:
+            lt = source.find("<", at)
+            if lt < 0:
                 break
-            at = m.end()
-            closing, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-            if not name:
-                continue
-            name = name.lower()
-            if closing:
-                if name not in ("html", "body"):
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == name:
-                            del stack[k:]
-                            break
-                        if self.tag[stack[k]] in ("table", "article", "section", "main") and name in INLINE | {"p", "li"}:
-                            break
+            m = TAG.match(source, lt)
+            if not m:
+                end = self._declaration(lt)
+                if end is None:  # a bare "<" is text
+                    self._text(source[at : lt + 1])
+                    at = lt + 1
+                else:
+                    self._text(source[at:lt])
+                    at = end
                 continue
+            attrs, bare, end = self._attributes(m.end())
+            if end < 0:  # no ">" in the rest of the page: text
+                break
+            self._text(source[at:lt])
+            at, name = end, m[2].lower()
+            if self.open["head"] and name not in IN_HEAD and not m[1]:  # a head that was not closed
+                self._pop(self.open["head"][-1])
             if name in ("html", "body"):
                 continue
-            if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else (n if name in ("script", "style") else at)
-                if end or name in ("script", "style"):
+            if m[1]:
+                self._closing(name)
+                continue
+            if name in RAW and name not in unclosed:
+                close = re.compile(rf"</{re.escape(name)}(?![^\s/>])", re.I).search(source, at)
+                if close or name in ("script", "style"):
+                    end = source.find(">", close.end()) if close else -1
+                    at = end + 1 if end >= 0 else n
                     continue
-            if name in CLOSES_P:
-                self._close(stack, frozenset("p"), frozenset(("table", "td", "th", "button", "object")))
-            if name in SAME_LEVEL:
-                self._close(stack, *SAME_LEVEL[name])
-            self.tag.append(name)
-            self.parent.append(stack[-1])
-            self.inside.append(self.inside[stack[-1]] or self.tag[stack[-1]] in ("article", "main"))
-            self.noise.append(_noise(name, attrs, self.inside[-1]))
-            if name not in INLINE:
-                self.pieces.append((len(self.tag) - 1, ""))  # parts the blocks
-            if name not in VOID and not attrs.endswith("/"):
-                stack.append(len(self.tag) - 1)
-
-    def _text(self, node: int, text: str) -> None:
+                unclosed.add(name)
+            self._opening(name, attrs, bare)
+        self._text(source[at:])
+
+    def _declaration(self, lt: int) -> int | None:
+        """Where the comment or declaration at lt ends, the page's end if it is not closed; None if there is none."""
+        if self.source.startswith("<!--", lt):
+            end = self.source.find("-->", lt + 4)
+            return end + 3 if end >= 0 else len(self.source)
+        if self.source.startswith(("!", "?", "/"), lt + 1):
+            end = self.source.find(">", lt)
+            return end + 1 if end >= 0 else len(self.source)
+        return None
+
+    def _attributes(self, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+        """The attributes of NAMES, whether the tag closes itself, and the place behind it (-1: it never ends). If quotes leave the page's
+        last tag open, this tag and all after it end at the next ">", whatever is quoted."""
+        source, n, begin = self.source, len(self.source), at
+        found: list[tuple[str, str]] = []
+        while self.quotes:
+            m = ATTR.match(source, at)
+            at, name, value = m.end(), m[1].lower(), ""
+            if m[2] or at < n and source[at] == "=":
+                at += 0 if m[2] else 1
+                quote = source[at : at + 1]
+                if quote and quote in "'\"":
+                    end = source.find(quote, at + 1)
+                    if end < 0:
+                        break
+                    value, at = source[at + 1 : end], end + 1
+                else:
+                    b = BARE.match(source, at)
+                    value, at = b[0], b.end()
+            if name in NAMES:
+                found.append((name, value))
+            if at >= n:
+                break
+            if source[at] == ">":
+                return found, source[at - 1] == "/", at + 1
+        self.quotes = False
+        end = source.find(">", begin)
+        return [], end > 0 and source[end - 1] == "/", end + 1 if end >= 0 else -1
+
+    def _text(self, text: str) -> None:
         if text:
-            self.pieces.append((node, html.unescape(text)))
+            self.pieces.append((self.stack[-1], html.unescape(text)))
 
-    def _close(self, stack: list[int], names: frozenset, limits: frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] in names:
-                del stack[k:]
-                return
-            if self.tag[stack[k]] in limits:
-                return
+    def _pop(self, place: int) -> None:
+        """Closes all open elements from that place in the stack."""
+        while len(self.stack) > place:
+            self.open[self.tag[self.stack.pop()]].pop()
 
-    def main_text(self) -> str:
+    def _last(self, names: list[str] | tuple[str, ...]) -> int:
+        return max((self.open[x][-1] if self.open[x] else -1) for x in names)
+
+    def _closing(self, name: str) -> None:
+        place = self._last((name,))
+        if place > 0 and not (name in INLINE or name in ("p", "li")) or place > self._last(BARRIERS):
+            self._pop(place)
+
+    def _opening(self, name: str, attrs: list[tuple[str, str]], bare: bool) -> None:
+        for names, limits in ([P_LEVEL] if name in CLOSES_P else []) + ([SAME_LEVEL[name]] if name in SAME_LEVEL else []):
+            place = self._last(names)
+            if place > self._last(limits):
+                self._pop(place)
+        i, above = len(self.tag), self.stack[-1]
+        self.tag.append(name)
+        self.parent.append(above)
+        self.inside.append(self.inside[above] or self.tag[above] in ("article", "main"))
+        self.noise.append(noise_level(name, attrs))
+        if name not in INLINE:
+            self.pieces.append((i, ""))  # parts the blocks
+        if name not in VOID and not bare:
+            self.open[name].append(len(self.stack))
+            self.stack.append(i)
+
+    def removed(self) -> tuple[list[bool], list[bool]]:
+        """For each node: whether it is boilerplate wherever it stands, and whether it is by what may also name a part of the story.
+
+        Neither goes if it holds the page's article or headline; a header stays inside an article, and there only what is clear goes.
+        """
         tag, parent, inside, n = self.tag, self.parent, self.inside, len(self.tag)
-        # What is noise by class, or a form, is not if it holds the page's article or headline; nor is a header inside the article.
-        holds = [False] * n
+        level = list(self.noise)
         for i in range(1, n):
-            if tag[i] == "header":
-                self.noise[i] = not inside[i]
+            if tag[i] == "header" and level[i] < 2:
+                level[i] = 1
+            if inside[i] and level[i] == 1:
+                level[i] = 0
+        holds = [False] * n
         for i in range(n - 1, 0, -1):
-            holds[i] |= tag[i] == "h1" or tag[i] in ("article", "main") and not self.noise[i] and not inside[i]
+            holds[i] |= tag[i] == "h1" or tag[i] in ("article", "main") and not level[i] and not inside[i]
             holds[parent[i]] |= holds[i]
-        gone = [False] * n
+        hard, soft = [False] * n, [False] * n
         for i in range(1, n):
-            gone[i] = gone[parent[i]] or self.noise[i] and (tag[i] in NOISE_TAGS and tag[i] != "form" or not holds[i])
-        # Counts of each subtree.
-        chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        in_link = [False] * n
+            goes = tag[i] in NOISE_TAGS and tag[i] != "form" or not holds[i]
+            hard[i] = hard[parent[i]] or level[i] == 2 and goes
+            soft[i] = soft[parent[i]] or level[i] == 1 and goes
+        return hard, soft
+
+    def densities(self, gone: list[bool]) -> tuple[list[float], list[float], list[int]]:
+        """For each block its density and the sum of its children's, and the block around each node. Inline elements but links
+        are no tags, their text is their block's; text right in a block counts as a child of its own."""
+        tag, parent, n = self.tag, self.parent, len(self.tag)
+        block, in_link = list(range(n)), [False] * n
         for i in range(1, n):
             in_link[i] = in_link[parent[i]] or tag[i] == "a"
+            if tag[i] in INLINE:
+                block[i] = block[parent[i]]
+        own, own_links, own_a = [0] * n, [0] * n, [0] * n
         for i, text in self.pieces:
             if text and not gone[i]:
                 k = len("".join(text.split()))
-                chars[i] += k
-                links[i] += k * in_link[i]
+                own[block[i]] += k
+                own_links[block[i]] += k * in_link[i]
+        for i in range(1, n):
+            own_a[block[i]] += tag[i] == "a" and not gone[i]
+        chars, links, link_tags, tags = list(own), list(own_links), list(own_a), list(own_a)
         for i in range(n - 1, 0, -1):
-            if not gone[i]:
-                p = parent[i]
+            if block[i] == i and not gone[i]:
+                p = block[parent[i]]
                 chars[p] += chars[i]
                 links[p] += links[i]
+                link_tags[p] += link_tags[i]
                 tags[p] += tags[i] + 1
-                link_tags[p] += link_tags[i] + (tag[i] == "a")
-        if not chars[0]:
-            return ""
-        body = links[0] / chars[0]
-        density, total = [0.0] * n, [0.0] * n
+        body = links[0] / max(chars[0], 1)
+        dense, total = [0.0] * n, [0.0] * n
         for i in range(n - 1, -1, -1):
-            if chars[i] and not gone[i]:
-                c, t, lc, lt = chars[i], tags[i] or 1, links[i] or 1, link_tags[i] or 1
-                base = log(c / max(c - links[i], 1) * links[i] + body * c + e)
-                density[i] = c / t * log(max(c / lc * t / lt, 1.0)) / log(max(base, 1.0 + 1e-9))
-            total[i] = total[i] or density[i]  # a leaf's own
-            if i:
-                total[parent[i]] += density[i]
-        best = list(range(n))  # node of the greatest sum in each subtree, the outermost of equals
+            if chars[i] and block[i] == i and not gone[i]:
+                dense[i] = density(chars[i], tags[i], links[i], link_tags[i], body)
+                total[i] += density(own[i], own_a[i], own_links[i], own_a[i], body) if own[i] else 0.0
+                if i:
+                    total[block[parent[i]]] += dense[i]
+        return dense, total, block
+
+    def picked(self, gone: list[bool]) -> set[int]:
+        """The block of the greatest sum, and the best ones of the subtrees that reach the threshold."""
+        dense, total, block = self.densities(gone)
+        n = len(dense)
+        best = list(range(n))  # block of the greatest sum in each subtree, the innermost of equals
         for i in range(n - 1, 0, -1):
-            if total[best[i]] > total[best[parent[i]]]:
-                best[parent[i]] = best[i]
+            p = block[self.parent[i]]
+            if block[i] == i and total[best[i]] > 0 and total[best[i]] >= total[best[p]]:
+                best[p] = best[i]
         core = best[0]
-        threshold, i = density[core], core
+        threshold, i = dense[core], core
         while i:
-            i = parent[i]
-            threshold = min(threshold, density[i])
-        marked, open_ = {core}, [0]
-        children: list[list[int]] = [[] for _ in range(n)]
+            i = block[self.parent[i]]
+            threshold = min(threshold, dense[i])
+        reach = [False] * n
+        reach[0] = True
         for i in range(1, n):
-            children[parent[i]].append(i)
-        while open_:
-            i = open_.pop()
-            if density[i] >= threshold and density[i] > 0:
-                marked.add(best[i])
-                open_ += children[i]
-        # Marked nodes decide on every page; an article or main around one only widens it, and none is dropped for standing outside.
-        of = [0] * n
-        for i in range(1, n):
-            whole = tag[i] in ("article", "main") and not gone[i] and not inside[i]
-            of[i] = i if whole else of[parent[i]]
-        roots = {of[i] or i for i in marked}
-        kept = [False] * n
+            p = block[self.parent[i]]
+            reach[i] = block[i] == i and reach[p] and dense[i] >= threshold and dense[i] > 0
+        return {core} | {best[i] for i in range(n) if reach[i]}
+
+    def main_text(self) -> str:
+        """What is picked, the last headline before it, and what stands between these, unless most of it is links. White space is one space."""
+        tag, parent, n = self.tag, self.parent, len(self.tag)
+        hard, soft = self.removed()
+        gone = [a or b for a, b in zip(hard, soft, strict=True)]
+        roots = self.picked(gone)
+        kept, linked, headline = [False] * n, [False] * n, [0] * n
         for i in range(n):
             kept[i] = not gone[i] and (i in roots or i > 0 and kept[parent[i]])
+            linked[i] = tag[i] == "a" or i > 0 and linked[parent[i]]
+            headline[i] = i if tag[i] == "h1" and not gone[i] else headline[parent[i]] if i else 0
+        told = [k for k, (i, text) in enumerate(self.pieces) if not hard[i] and text and not text.isspace()]
+        taken = {k for k in told if kept[self.pieces[k][0]]}
+        if not taken:
+            return ""
+        first, last = min(taken), max(taken)
+        title = 0
+        for k in told:
+            if k < first and headline[self.pieces[k][0]]:
+                title = headline[self.pieces[k][0]]
+        if title:
+            own = [k for k in told if headline[self.pieces[k][0]] == title]
+            taken.update(own)
+            first = own[0]
+        gap: list[int] = []
+        for k in told:
+            if first <= k <= last:
+                if k not in taken:
+                    gap.append(k)
+                elif gap:
+                    size = [len(self.pieces[g][1].strip()) for g in gap]
+                    if 2 * sum(s for s, g in zip(size, gap, strict=True) if linked[self.pieces[g][0]]) < sum(size):
+                        taken.update(gap)
+                    gap = []
         out, before = [], 0
-        for i, text in self.pieces:
-            block = i
-            while block and tag[block] in INLINE:
-                block = parent[block]
-            if block != before:
-                out.append(" ")
-            before = block
-            if not text:
+        block = list(range(n))
+        for i in range(1, n):
+            if tag[i] in INLINE:
+                block[i] = block[parent[i]]
+        for k, (i, text) in enumerate(self.pieces):
+            if block[i] != before:
                 out.append(" ")
-            elif kept[i]:
+            before = block[i]
+            if not text or text.isspace():
+                out.append(" " if not text or not hard[i] else "")
+            elif k in taken:
                 out.append(text)
         return " ".join("".join(out).split())
 
@@ -215,20 +339,26 @@ def main_text(source: str | None) -> str:
     return Page(source).main_text() if source else ""
 
 
-def _extract(batches: Iterator[pa.RecordBatch], column: str, name: str) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], column: str, name: str, bytes_at_once: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        at = b.schema.get_field_index(column)
-        for k in range(0, len(b), 500):
-            part = b.slice(k, 500)
-            yield part.remove_column(at).append_column(name, pa.array([main_text(x) for x in part.column(at).to_pylist()], pa.string()))
+        at, begin, texts, size = b.schema.get_field_index(column), 0, [], 0
+        for k in range(len(b)):
+            texts.append(main_text(b.column(at)[k].as_py()))
+            size += len(texts[-1])
+            if size >= bytes_at_once or k + 1 == len(b):
+                part = b.slice(begin, k + 1 - begin)
+                yield part.remove_column(at).append_column(name, pa.array(texts, pa.string()))
+                begin, texts, size = k + 1, [], 0
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text: str = "text") -> DataFrame:
     """pages with html_col replaced by the main text: white space is one space within and between blocks.
 
-    Null, empty and text-free pages give an empty text. Broken markup is read as browsers do in the main: unclosed
-    paragraphs and items end where the next begins, stray closing tags are passed over. Each page is read alone, so
-    repeated rows give repeated results. A column already named as text is replaced.
+    Null, empty and text-free pages, and empty tables, give empty texts or none. Broken markup is read as browsers do in the main: unclosed
+    paragraphs and items end where the next begins, stray closing tags are passed over, what is never closed ends with
+    the page. Very long pages take time and memory in proportion to their length. Of blocks with the same density sum the
+    innermost is the core, of these the first. Each page is read alone, so repeated rows give repeated results. A column
+    already named as text is replaced; others are kept whatever their names.
     """
     pages = pages.select(*[c for c in pages.columns if c == html_col or c.lower() != text.lower()])
     schema = T.StructType([*pages.drop(html_col).schema.fields, T.StructField(text, T.StringType())])

@@ -1,7 +1,13 @@
 import html
 import random
 import re
+import time
+from math import e, log
 
+import pytest
+from pyspark.sql import functions as F
+
+from meridia.llm import html_text as H
 from meridia.llm.html_text import extract_text, main_text
 
 PARA = ["The first paragraph of the story is long enough to be told from what stands around it, and says so.", "A second one goes on at some length about the matter at hand & what came of it in the end.", "Short one."]
@@ -80,7 +86,86 @@ def test_whole_table(spark):
         return " ".join(html.unescape(re.sub(r"<[^>]*>", "", a)).split())
 
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    got = {r.page_id: r.text for r in extract_text(pages).collect()}
-    assert got == {r.page_id: truth(r.html) for r in pages.collect()}
+    want = {r.page_id: truth(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in extract_text(pages).collect()} == want
+    renamed = pages.withColumn("html", F.regexp_replace("html", "<(/?)(article|main)\\b", "<$1div"))
+    assert {r.page_id: r.text for r in extract_text(renamed).collect()} == want  # no element is taken by its name
     odd = spark.createDataFrame([(1, None), (1, ""), (None, ART)], "page_id long, html string")
     assert sorted(r.text for r in extract_text(odd).collect()) == ["", "", WANT] and extract_text(odd.limit(0)).count() == 0
+
+
+LINKS = "<div>" + "".join(f"<div><a href=/{i}>Story {i}</a></div>" for i in range(9)) + "</div>"
+
+
+def test_density_decides(monkeypatch):
+    pages = [f"<body>{LINKS}<{t}>{ART}</{t}></body>" for t in ("article", "main", "div")]
+    assert [main_text(p) for p in pages] == [WANT] * 3
+    monkeypatch.setattr(H, "density", lambda *a: 1.0)
+    assert [main_text(p) == WANT for p in pages] == [False] * 3
+
+
+def naive(node, body, inside_link=False):
+    """(characters, tags, linked characters, link tags) of a tree (tag, children) by the definition, and a list of (density, sum) of
+    its blocks in page order."""
+    tag, children = node
+    link = inside_link or tag == "a"
+    c = t = lc = lt = total = 0
+    own, out, a = [0, 0], [], 0
+    for x in children:
+        if isinstance(x, str):
+            k = len(x.replace(" ", ""))
+            own = [own[0] + k, own[1] + k * link]
+        elif x[0] in ("a", "b"):  # inline: text of this block
+            for y in x[1]:
+                k = len(y.replace(" ", ""))
+                own = [own[0] + k, own[1] + k * (link or x[0] == "a")]
+            a += x[0] == "a"
+        else:
+            (c2, t2, lc2, lt2), blocks = naive(x, body, link)
+            c, t, lc, lt, total = c + c2, t + t2 + 1, lc + lc2, lt + lt2, total + blocks[0][0]
+            out += blocks
+    d = lambda c, t, lc, lt: c / (t or 1) * log(max(c / (lc or 1) * (t or 1) / (lt or 1), 1)) / log(max(log(c / max(c - lc, 1) * lc + body * c + e), 1 + 1e-9)) if c else 0.0
+    total += d(own[0], a, own[1], a)
+    whole = (c + own[0], t + a, lc + own[1], lt + a)
+    return whole, [(d(*whole), total), *out]
+
+
+def test_densities_by_definition():
+    rng = random.Random(5)
+
+    def tree(depth):
+        kinds = ["text", "a", "b", "div", "section"] if depth < 4 else ["text", "a", "b"]
+        kids = []
+        for _ in range(rng.randint(0, 4)):
+            k, text = rng.choice(kinds), "x" * rng.randint(1, 40)
+            kids.append(text if k == "text" else (k, [text]) if k in "ab" else (k, tree(depth + 1)))
+        return kids
+
+    show = lambda x: x if isinstance(x, str) else f"<{x[0]}>{''.join(map(show, x[1]))}</{x[0]}>"
+    for _ in range(300):
+        kids = tree(0)
+        page = H.Page("".join(map(show, kids)))
+        whole, _ = naive(("body", kids), 0.0)
+        _, want = naive(("body", kids), whole[2] / max(whole[0], 1))
+        dense, total, block = page.densities([False] * len(page.tag))
+        got = [(dense[i], total[i]) for i in range(len(block)) if block[i] == i]
+        assert len(got) == len(want) and all(x == pytest.approx(y) for x, y in zip(got, want, strict=True))
+        blocks = [i for i in range(len(block)) if block[i] == i]
+        assert not any(d for d, _ in want) or want[blocks.index(min(page.picked([False] * len(block)), key=lambda i: -total[i]))][1] == pytest.approx(max(t for _, t in want))
+
+
+def test_words_that_may_name_a_part_of_the_story():
+    mid = "<div class='pull-side quote'>A quote.</div><section class=discussion>A discussion.</section><p class=warning>A warning.</p>"
+    cut = ART.rindex("<p>")
+    for tag in ("article", "div"):
+        text = main_text(f"<body>{LINKS}<{tag}>{ART[:cut]}{mid}{ART[cut:]}</{tag}><div class=related>Related stories without a link.</div></body>")
+        assert text == WANT.replace(" Short one.", " A quote. A discussion. A warning. Short one."), tag
+
+
+def test_long_hostile_pages_take_linear_time():
+    for part in ("<div>", '<a href="', "<p><b><table>", "<!", "<title>", "</script ", "<a b='", "<li>", "</p>", "<b>", "<", "&", "<a ", "<td><p>", "<a =\"=\"="):
+        page = part * (1_000_000 // len(part))
+        began = time.process_time()
+        main_text(page + "story")
+        assert time.process_time() - began < 5, part
+    assert main_text("<head><title>T</title><p>" + PARA[0]) == PARA[0]  # a head that is never closed
