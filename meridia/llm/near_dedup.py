@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import free_name, table, written
 from .words import GOLDEN, U64, Text, chunks, mix, sequence_digests, shingles, words
 
 #: 25 bands of 5 registers: a pair of similarity 0.8 shares a band with probability 0.99995, one of 0.5 with 0.55, of 0.2 with 0.008.
@@ -86,10 +86,11 @@ def _signatures(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.Rec
         for part in chunks(batch, text):
             w = words(part)
             a, b = sequence_digests(w)
-            keys = band_keys(bag_min_hash(*bags(part), len(a)))
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            bands = pa.array([None] * len(a), bands.type) if not len(w.hash) else bands
-            yield pa.record_batch([part.rows.column(0), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(w.counts(), pa.int64()), bands], names=["id", "da", "db", "n_words", "bands"])
+            n = len(a)
+            digest = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * 16), pa.py_buffer(np.column_stack((a, b)).tobytes())])
+            keys = band_keys(bag_min_hash(*bags(part), n))
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+            yield pa.record_batch([part.rows.column(0), part.rows.column(1), digest, pa.array(w.counts(), pa.int64()), bands], names=["id", "text_key", "digest", "n_words", "bands"])
 
 
 def similarity(a: Text, b: Text) -> np.ndarray:
@@ -117,7 +118,7 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose texts' multisets of 5-grams have at least this similarity."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: _verified(it, threshold), pairs.select("a", "b").schema)
 
 
@@ -129,7 +130,7 @@ def _gram_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
             element = mix(np.repeat(gram, weight) * GOLDEN + nth.astype(U64))
             first = np.searchsorted(np.repeat(doc, weight), np.arange(len(part.bounds)))
-            yield pa.record_batch([part.rows.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(element.view(np.int64)))], names=["id", "grams"])
+            yield pa.record_batch([part.rows.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(element.view(np.int64)))], names=["node", "grams"])
 
 
 def _block_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -155,11 +156,11 @@ def _block_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
             names = pa.concat_arrays(comps).dictionary_encode().indices.to_numpy()
             apart = names[: len(comps[0]), None] != names[None, len(comps[0]) :]
             i, j = np.nonzero(apart & (both >= threshold * (sizes[0][:, None] + sizes[1][None, :] - both)))
-            yield pa.record_batch([sides[0].field("id").take(pa.array(i)), sides[1].field("id").take(pa.array(j))], names=["a", "b"])
+            yield pa.record_batch([sides[0].field("node").take(pa.array(i)), sides[1].field("node").take(pa.array(j))], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, comp): for every end of a link (a, b) the least id of its connected component.
+    """(node, comp): for every end of a link (a, b) the least node of its connected component.
 
     Alternates the large-star and small-star steps, each a map-side combined minimum by node and a join, until the links
     no longer change; rounds grow with the logarithm of the nodes, and every round is written.
@@ -186,60 +187,75 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(now) == tuple(was):
             break
         was = now
-    return edges.select(F.col("b").alias("id"), F.col("a").alias("comp")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("comp"))).distinct()
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("comp"))).distinct()
 
 
-def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row of docs: id_col, class_id (least id of its class), class_size, kept (the row has that id).
-
-    Two documents are linked if the multisets of their word 5-grams overlap by threshold or more (sum of lesser counts by
-    sum of greater counts); a class is a connected component of links. Texts with the same words in the same order are
-    one node, and so are all texts without words, null and empty ones among them. A document of fewer than five words
-    has one gram of all its words. Ids are meant to be unique; rows that repeat an id share its fate. A null id is in a
-    class by its text, but is never kept while another member has an id. An empty table gives no rows.
-    """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """For each row: id, text_key (a hash of the text; with the id it names the row), class_id, class_size, kept."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    signed = written(rows.mapInArrow(lambda it: _signatures(it, "text"), f"id {kind}, da long, db long, n_words long, bands array<long>"), "signatures")
-    # Same words: one node. Copies fold into one row in each task before the shuffle.
-    nodes = written(signed.groupBy("da", "db").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "nodes")
-    firsts = signed.where("n_words > 0 AND id IS NOT NULL").join(nodes.where("copies > 1").select("da", "db", "node"), ["da", "db"], "left").where("node IS NULL OR node = id")
-    spread = firsts.select("id", "n_words", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("grams"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("band", "n", "grams")
-    members = written(spread.select("id", "band").join(written(shared, "buckets"), "band"), "members")
-    company = written(members.groupBy("id").agg(F.sum("n").alias("company")), "company")
-    leads = members.join(company, "id").groupBy("band").agg(F.max(F.struct("company", "id"))["id"].alias("lead"))
+    signed = rows.mapInArrow(lambda it: _signatures(it, "text"), f"id {kind}, text_key long, digest binary, n_words long, bands array<long>")
+    signed = written(signed, "signatures")
+    row = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")  # its order puts the least id first, null ids last
+    # Texts with the same words are one node. Copies fold into one row in each task before the shuffle.
+    nodes = signed.groupBy("digest").agg(F.min(row).alias("row"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    spread = nodes.where("n_words > 0").select("node", "n_words", F.explode("bands").alias("band"))
+    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("grams")).where("n > 1")
+    members = written(spread.select("node", "band").join(written(shared, "buckets"), "band"), "members")
+    company = written(members.groupBy("node").agg(F.sum("n").alias("company")), "company")
+    leads = members.join(company, "node").groupBy("band").agg(F.max(F.struct("company", "node"))["node"].alias("lead"))
     leads = written(leads, "leads")
-    texts = written(rows.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    wanted = nodes.select("node", F.struct("row.id", "row.text_key").alias("row")).join(company.select("node"), "node", "left_semi")
+    texts = rows.select(F.struct("id", "text_key").alias("row"), "text").join(wanted, "row").dropDuplicates(["row"]).select("node", "text")
+    texts = written(texts, "texts")
 
-    pairs = members.join(leads, "band").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+    pairs = members.join(leads, "band").where("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     links = written(verified(written(pairs, "pairs"), texts, threshold), "links")
     comp = written(components(links), "comp")
     # Members outside their leader's component, against all of their bucket.
-    head = leads.select("band", F.col("lead").alias("id")).join(comp, "id", "left").select("band", F.coalesce("comp", "id").alias("head"))
-    named = members.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id")).join(written(head, "heads"), "band")
-    out_of = written(named.where("comp <> head").select("band", "id", "comp", "grams", "n"), "outside")
+    head = leads.select("band", F.col("lead").alias("node")).join(comp, "node", "left").select("band", F.coalesce("comp", "node").alias("head"))
+    named = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(written(head, "heads"), "band")
+    out_of = written(named.where("comp <> head").select("band", "node", "comp", "grams", "n"), "outside")
     mixed = written(out_of.groupBy("band").agg(F.count(F.lit(1)).alias("outside")), "mixed")
-    lists = texts.join(named.join(mixed, "band").select("id").distinct(), "id", "left_semi").mapInArrow(_gram_lists, f"id {kind}, grams array<long>")
+    lists = texts.join(named.join(mixed, "band").select("node").distinct(), "node", "left_semi").select("node", "text").mapInArrow(_gram_lists, "node long, grams array<long>")
     lists = written(lists, "gram-lists")
+    blocks_of = lambda n: F.ceil(F.greatest(F.col(n) / BLOCK_DOCS, F.col("grams") * F.col(n) / F.col("n") / BLOCK_GRAMS))
 
     def blocks(side: DataFrame, n: str, name: str) -> DataFrame:
-        """Rows of (band, block): the members whose id's hash falls on that block."""
-        many = F.ceil(F.greatest(F.col(n) / BLOCK_DOCS, F.col("grams") * F.col(n) / F.col("n") / BLOCK_GRAMS))
-        dealt = side.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), many)).drop("grams").join(lists, "id").select("band", "block", F.struct("id", "comp", "grams").alias("m"))
-        return written(dealt.groupBy("band", "block").agg(F.collect_list("m").alias(name)).drop("block"), name)
+        """Rows of (band, block): the members whose hash falls on that block; others: the blocks of all members of the band."""
+        dealt = side.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), blocks_of(n))).withColumn("others", blocks_of("n")).drop("grams")
+        dealt = dealt.join(lists, "node").select("band", "block", "others", F.struct("node", "comp", "grams").alias("m"))
+        return written(dealt.groupBy("band", "block", "others").agg(F.collect_list("m").alias(name)), name)
 
     left = blocks(out_of.join(mixed, "band"), "outside", "outsiders")
-    right = blocks(named.join(mixed, "band"), "n", "everyone")
-    more = left.join(right, "band").select("outsiders", "everyone").mapInArrow(lambda it: _block_links(it, threshold), f"a {kind}, b {kind}")
-    more = written(more.distinct(), "more-links")
+    right = blocks(named.join(mixed, "band"), "n", "everyone").select("band", "block", "everyone")
+    # A key is a band and one block of its members, so a large bucket is many keys.
+    met = left.select("band", "outsiders", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("block")).join(right, ["band", "block"])
+    more = written(met.select("outsiders", "everyone").mapInArrow(lambda it: _block_links(it, threshold), "a long, b long").distinct(), "more-links")
     if not more.isEmpty():
         comp = written(components(links.unionByName(more)), "comp")
-    found = signed.select("id", "da", "db").join(nodes.select("da", "db", "node"), ["da", "db"]).join(comp.select(F.col("id").alias("node"), "comp"), "node", "left")
-    found = written(found.select("id", F.coalesce("comp", "node").alias("class_id")), "classes")
-    sizes = found.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")).select(F.col("class_id").alias("c"), "class_size")
-    out = found.join(written(sizes, "class-sizes"), F.col("class_id").eqNullSafe(F.col("c")))
-    return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    found = signed.select("id", "text_key", "digest").join(nodes.select("digest", "node"), "digest").join(comp, "node", "left")
+    found = written(found.select("id", "text_key", F.coalesce("comp", "node").alias("class")), "classes")
+    classes = found.groupBy("class").agg(F.count(F.lit(1)).alias("class_size"), F.min(row).alias("first"))
+    out = found.join(written(classes, "class-sizes"), "class")
+    return out.select("id", "text_key", F.col("first.id").alias("class_id"), "class_size", (row == F.col("first")).alias("kept"))
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row of docs: id_col, class_id (least id of its class), class_size, kept (the row has that id).
+
+    Two documents are linked if the multisets of their word 5-grams overlap by threshold or more (sum of lesser counts by
+    sum of greater counts); a class is a connected component of links. Texts with the same words in the same order are
+    one node, and so are all texts without words, null and empty ones among them. A document of fewer than five words
+    has one gram of all its words. Very long texts are taken whole and alone; a text's grams must fit a task. Ids are
+    meant to be unique; rows that repeat id and text share their fate, rows that repeat an id alone are texts of their
+    own, and of a class's rows with the least id one text is kept. A null id is in a class by its text like any other,
+    and is kept only in a class without ids (class_id null), of whose texts one is kept. Ties between buckets' leaders
+    change no class. An empty table gives no rows; further columns are not read, whatever their names.
+    """
+    found = _classes(docs, threshold, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), "class_id", "class_size", "kept")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,6 +263,13 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class the document with the least id; rows with a null id are all kept, once for each row."""
-    gone = near_classes(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each class one document, that with the least id, null ids last; very long texts, nulls and empty
+    tables as in near_classes. Rows that repeat both id and text fold into one, any of them. All columns stay, whatever their names."""
+    key = free_name(docs, "near_key")
+    keyed = docs.withColumn(key, F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_key")))
+    found = written(_classes(docs, 0.8, "doc_id", "text").select(F.struct("id", "text_key").alias(key), "kept"), "near-rows")
+    kept = keyed.join(found.where("NOT kept").select(key), key, "left_anti")
+    again = written(found.where("kept").groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "near-again")
+    if not again.isEmpty():
+        kept = kept.join(again, key, "left_anti").unionByName(kept.join(again, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*docs.columns)

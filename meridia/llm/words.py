@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
+STEP = U64(0xD1B54A32D192ED03)
 
 
 def _lowered() -> np.ndarray:
@@ -40,20 +41,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U64) * GOLDEN)
-_BYTE2 = mix(np.arange(1001, 1257, dtype=U64) * GOLDEN)
+_SHORT = 64
+_SHORT_TABLE = mix(np.arange(1, _SHORT * 256 + 1, dtype=U64) * GOLDEN)
 
 
-def powers(base: int, n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006
-    """base**0 to base**(n-1) modulo 2**64; base is odd."""
-    if len(_kept.get(base, ())) < n:
-        p = np.full(max(n, 1024), U64(base), U64)
-        p[0] = 1
-        _kept[base] = np.multiply.accumulate(p)
-    return _kept[base][:n]
-
-
-BASE, BASE2 = 0x9E6C63D0876A9A47 | 1, 0xD1B54A32D192ED03
+def byte_values(byte: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A random-looking number for each byte at its place in a word. Their sums tell words apart whatever their pattern is, which powers of one base
+    modulo 2**64 do not."""
+    at = place * 256 + byte
+    if not len(at) or int(place.max()) < _SHORT:
+        return _SHORT_TABLE[at]
+    return mix((at.astype(U64) + U64(1)) * GOLDEN)
 
 
 @dataclass
@@ -115,7 +113,7 @@ def words(text: Text) -> Words:
     packed = code[inside]
     cum = np.concatenate(([0], np.cumsum(length)[:-1]))
     place = np.arange(len(packed)) - np.repeat(cum, length)
-    h = np.add.reduceat(_BYTE[packed] * powers(BASE, int(length.max()))[place], cum)
+    h = np.add.reduceat(byte_values(packed, place), cum)
     return Words(start, end, mix(h + length.astype(U64)), np.searchsorted(start, bounds))
 
 
@@ -126,15 +124,14 @@ def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sequence_digests(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each document's word sequence, equal for equal sequences."""
+    """128 bits for each document's word sequence, equal for equal sequences: sums of two mixed numbers for each word at its place."""
     counts = w.counts()
     if not len(w.hash):
         zero = np.zeros(len(counts), U64)
         return zero, zero.copy()
-    place = np.arange(len(w.hash)) - np.repeat(w.first[:-1], counts)
-    top = int(counts.max())
-    a = segment_sums(w.hash * powers(BASE, top)[place], w.first)
-    b = segment_sums(mix(w.hash + GOLDEN) * powers(BASE2, top)[place], w.first)
+    place = (np.arange(len(w.hash)) - np.repeat(w.first[:-1], counts)).astype(U64) + U64(1)
+    a = segment_sums(mix(w.hash + place * GOLDEN), w.first)
+    b = segment_sums(mix((w.hash ^ STEP) * GOLDEN + place * STEP), w.first)
     return mix(a + counts.astype(U64)), mix(b ^ counts.astype(U64))
 
 
@@ -148,5 +145,5 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(at), U64)
     padded = np.concatenate((w.hash, np.zeros(k, U64)))
     for i in range(k):
-        h = h * U64(BASE2) + np.where(left[at] > i, padded[at + i], U64(0))
+        h = h * STEP + np.where(left[at] > i, padded[at + i], U64(0))
     return doc[at], mix(h)

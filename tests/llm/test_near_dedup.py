@@ -5,7 +5,8 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from meridia.llm.near_dedup import bag_min_hash, near_classes, ID_BITS
+from meridia.llm.near_dedup import ID_BITS, bag_min_hash, near_classes, stage_near_dedup
+from meridia.llm.words import chunks, sequence_digests, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -63,6 +64,33 @@ def test_odd_rows(spark):
     assert near_classes(df.limit(0)).count() == 0
 
 
+def test_null_ids_are_told_apart_by_their_texts(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(200)) for c in "xyz"]
+    got = near_classes(spark.createDataFrame([(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[0] + " more")], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == [(5, 5, 2, True), (None, 5, 2, False), (None, None, 1, True), (None, None, 1, True)]
+
+    # Against brute force: the same rows with and without ids have the same classes.
+    rows = [(i, r.text) for i, r in enumerate(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect())]
+    want = brute(rows)
+    size = Counter(want.values())
+    some = spark.createDataFrame([(i if i % 3 else None, t) for i, t in rows], "doc_id long, text string")
+    assert Counter(r.class_size for r in near_classes(some).collect()) == Counter(size[c] for c in want.values())
+    docs = some.selectExpr("*", "'x' AS near_key")
+    kept = stage_near_dedup(spark, docs, "")
+    assert kept.columns == docs.columns and kept.count() == len(size)
+    assert stage_near_dedup(spark, docs.unionByName(docs), "").count() == len(size)
+
+
+def test_digests_tell_patterned_texts_apart():
+    bits = [bin(i).count("1") % 2 for i in range(2048)]  # sums of powers modulo 2**64 are equal for these
+    pair = ["".join("ab"[b ^ k] for b in bits) for k in (0, 1)] + [" ".join(["aa", "bb"][b ^ k] for b in bits) for k in (0, 1)]
+    (part,) = chunks(pa.record_batch([pa.array(pair)], names=["t"]), "t")
+    w = words(part)
+    assert w.hash[0] != w.hash[1]
+    a, b = sequence_digests(w)
+    assert a[2] != a[3] and b[2] != b[3]
+
+
 def test_signatures_estimate_the_weighted_jaccard_similarity():
     rng = np.random.default_rng(1)
     hits = []
