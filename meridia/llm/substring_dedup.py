@@ -2,14 +2,15 @@
 
 A gear hash rolls over the bytes of a text; a chunk ends where it falls below a threshold. Where chunks end depends on
 the bytes just before alone, so text inserted elsewhere shifts no later chunk. Chunks are deduplicated by a 128-bit
-digest: of equal chunks those of the least id stay. Runs of chunks that would go are cut
-from the text if they have enough words, so that phrases which happen to recur are left alone.
+BLAKE2 digest: of equal chunks those of the least id stay. Runs of chunks that would go are cut from the text if they
+have enough words, so that phrases which happen to recur are left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .words import _BYTE, _BYTE2, BASE, BASE2, GOLDEN, U64, Text, chunks, mix, powers, words
+from .words import GOLDEN, U64, Text, chunks, mix, words
 
 #: Bytes of context of the gear hash; bytes between candidates on average; fewest bytes between an end and the candidate before; most bytes of a chunk.
 WINDOW, MEAN_GAP, LEAST_GAP, MOST = 16, 24, 8, 2048
@@ -65,10 +66,9 @@ def cuts(text: Text) -> Cuts:
             extra = extra - follows[extra]
         edges = np.unique(np.concatenate((edges, extra)))
     start, end = edges[:-1], edges[1:]
-    length = end - start
-    place = np.arange(n) - np.repeat(start - start[0], length) - start[0]
-    a = mix(np.add.reduceat(_BYTE[raw] * powers(BASE, int(length.max()))[place], start) + length.astype(U64))
-    b = mix(np.add.reduceat(_BYTE2[raw] * powers(BASE2, int(length.max()))[place], start) ^ length.astype(U64))
+    whole = memoryview(np.ascontiguousarray(raw))
+    digest = b"".join(blake2b(whole[i:j], digest_size=16).digest() for i, j in zip(start.tolist(), end.tolist(), strict=True))
+    a, b = np.frombuffer(digest, U64).reshape(-1, 2).T.copy()
     doc = doc_of(start)
     order = np.lexsort((a, doc))
     new = np.ones(len(start), bool)
