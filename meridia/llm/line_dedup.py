@@ -75,18 +75,34 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def batch_cuts(ids: DataFrame, least: int, batch_rows: int) -> list:
+    """The least ids of all batches but the last, in descending order: at least so many batches, none of many more rows than batch_rows
+    but where one id has more. Ids may be of any type that has an order; the driver gets one row for each shuffle partition."""
+    dealt = ids.repartitionByRange(max(partitions(ids.sparkSession), 4 * least), F.col("doc").desc_nulls_last())
+    parts = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min("doc").alias("lo"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    rows = sum(r.n for r in parts)
+    batches, cuts, seen = max(least, -(-rows // batch_rows)), [], 0
+    for r in parts:
+        seen += r.n
+        if r.lo is not None and seen < rows and seen * batches >= (len(cuts) + 1) * rows:
+            cuts.append(r.lo)
+    return cuts
+
+
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, batch_rows: int = 1 << 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: id_col, n_lines, n_dropped, kept_text.
 
     Lines whose key (stripped of ASCII white space, A-Z lower-cased) has at least min_chars code points and is in at
     least min_docs rows go everywhere but from the largest id that holds them; the rest is joined by newlines. Each row
-    counts as one document; ids are meant to be unique, and rows that share the largest id all keep the line. A null id
-    is less than any other. Null and empty texts are one empty line. No rows give no rows; further columns are not read.
+    counts as one document; ids may be of any ordered type and are meant to be unique, and rows that share the largest
+    id all keep the line. A null id is less than any other. Null and empty texts are one empty line. Texts of any length
+    are taken whole; a text's lines must fit a task. At least batches of them, of about batch_rows rows at most. No rows
+    give no rows; further columns are not read, whatever their names.
     """
     spark = docs.sparkSession
-    cuts = docs.stat.approxQuantile(id_col, [1 - k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+    cuts = batch_cuts(docs.select(F.col(id_col).alias("doc")), batches, batch_rows)
     place = sum((F.coalesce(F.col("doc") < F.lit(c), F.lit(True)).cast("int") for c in cuts), F.lit(0))
-    keys = F.transform(lines_of(F.col("text")), lambda x: F.when(F.length(line_key(x)) >= min_chars, F.md5(line_key(x))))
+    keys = F.transform(lines_of(F.col("text")), lambda x: F.when(F.length(line_key(x)) >= min_chars, F.unhex(F.md5(line_key(x)))))
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
     path = fresh_path(spark, "line-hashes")
     hashed = rows.select("doc", "text_key", keys.alias("hashes"), place.alias("batch"))
@@ -94,11 +110,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     hashed = spark.read.schema(hashed.schema).parquet(path)
 
     runs = LineRuns(spark, min_docs)
-    for k in range(len(cuts) + 1):
-        own = hashed.where(F.col("batch") == k)
-        runs.add(own.select("doc", F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("h")))
-    repeated = written(runs.repeated(), "lines-repeated")
-    runs.close()
+    try:
+        for k in range(len(cuts) + 1):
+            own = hashed.where(F.col("batch") == k)
+            runs.add(own.select("doc", F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("h")))
+        repeated = written(runs.repeated(), "lines-repeated")
+    finally:
+        runs.close()
 
     # Rows with the same id and text lose the same lines, so the pair identifies what to cut.
     held = hashed.select("doc", "text_key", F.posexplode("hashes").alias("pos", "h")).where("h IS NOT NULL")
