@@ -3,7 +3,7 @@
 Each source gets a mean repetition rate from its target weight and its bytes. Each document's number of copies is a
 Poisson variate of that mean, by inverting the distribution at a number in [0, 1) hashed from a seed and the document's
 id; the same seed gives the same copies on any cluster, and no document's copies depend on another's. The copies are
-then shuffled globally by a range partitioning on a hash of seed, id and copy.
+then shuffled globally: dealt to partitions, and sorted in each, by a hash of seed, id and copy.
 """
 
 from __future__ import annotations
@@ -57,9 +57,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     """docs, each row as often as drawn (often not at all), with its copy's number from 0, in global random order.
 
     Expected bytes: epochs times those of docs, shared among the sources as weights say (see rates). Null is a source
-    like any other. Rows with the same id get the same draw and the order among them is free; null ids count as one id.
-    A null or empty text counts as no bytes and is copied as its source is. An empty table gives no rows. A column of
-    docs named as copy is replaced; other names never clash.
+    like any other. Rows with the same id get the same draw and the order among them (ties) is free; null ids count as one id.
+    A null or empty text counts as no bytes and is copied as its source is; a very long one is copied whole. An empty
+    table gives no rows. A column of docs named as copy is replaced; other names never clash.
     """
     docs = docs.drop(copy)
     found = rates(docs, weights, alpha, epochs, source_col, text_col)
@@ -67,12 +67,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     found = found.toDF(src, rate, part, cdf)
     found = F.broadcast(found) if found.count() <= BROADCAST_SOURCES else found
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    # The variate: how many values of the distribution function the number has reached.
-    draw = lambda j: F.size(F.filter(cdf, lambda c: c <= uniform(F.lit(str(seed)), ident, j.cast("string"))))
-    n = F.aggregate(F.sequence(F.lit(1), F.col(part)), F.lit(0), lambda a, j: a + draw(j))
+    # The variate: how many values of the distribution function the number has reached. One hash for each part of the mean.
+    drawn = F.transform(F.sequence(F.lit(1), F.col(part)), lambda j: uniform(F.lit(str(seed)), ident, j.cast("string")))
+    n = F.aggregate(drawn, F.lit(0), lambda a, u: a + F.size(F.filter(cdf, lambda c: c <= u)))
     copies = docs.join(found, F.col(source_col).eqNullSafe(F.col(src))).withColumn(copy, n).where(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copy) - 1)))
-    mixed = copies.select(*docs.columns, copy).withColumn(key, F.xxhash64(F.lit(seed), ident, F.col(copy)))
-    return mixed.repartitionByRange(partitions(docs.sparkSession), key).sortWithinPartitions(key).drop(key)
+    # Rows without an id are dealt by their text too, so that many of them are no hot key.
+    mixed = copies.select(*docs.columns, copy).withColumn(key, F.xxhash64(F.lit(seed), ident, F.col(copy), F.when(F.col(id_col).isNull(), F.xxhash64(text_col))))
+    return mixed.repartition(partitions(docs.sparkSession), key).sortWithinPartitions(key).drop(key)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +81,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the copies as rows of their own, without the copy's number."""
+    """Pipeline stage: the copies as rows of their own, without the copy's number. Nulls, ties, repeated rows, empty tables and
+    names as in mix."""
     copy = free_name(docs, "mix_copy")
     return mix(docs, copy=copy).drop(copy)
 
