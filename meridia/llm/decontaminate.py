@@ -1,28 +1,34 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
 Every task cuts its documents into shards of about a million bytes and builds each shard's word suffix array by prefix
-doubling. Every suffix of every benchmark item is then binary-searched in every shard, all of them at once, which
-gives its longest verbatim match and the interval of places that hold a whole window. Documents and items never leave
-their tasks; the benchmark is sent to the tasks in blocks of bounded size.
+doubling. Every window of every benchmark item is binary-searched in every shard, all of them at once, which gives the
+interval of places that hold it; stretches of windows are followed to their whole length where locations are asked for.
+Documents and items never leave their tasks; the benchmark lies in blocks of bounded size in the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import free_name, table
+from .common import free_name, fresh_path, table, written
 from .words import U64, Text, chunks, words
 
-#: Bytes of benchmark text in one block, the most that is sent to the tasks at once.
+#: Bytes of benchmark text in one block, which a task holds at a time.
 BLOCK_BYTES = 16 << 20
-MATCH = "array<struct<item_id:{id},item_word:int,doc_word:int,n_words:int>>"
+#: Shards that are searched together, each block being read once for them.
+SHARDS = 16
+#: Pairs of windows and places that are spread out at a time.
+AT_ONCE = 1 << 20
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -56,34 +62,71 @@ def suffix_array(words_: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def equal_runs(order: np.ndarray, flat: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """For places in word order: the number of each one's class, equal if as many words as both need are equal."""
+    if not len(order):
+        return order
+    i, j, n = order[:-1], order[1:], len(flat)
+    same = need[:-1] == need[1:]
+    for k in range(int(need.max())):
+        same &= (k >= need[1:]) | (flat[np.minimum(i + k, n - 1)] == flat[np.minimum(j + k, n - 1)])
+    return np.cumsum(np.append(False, ~same))
+
+
 class Items:
-    """A block of benchmark items as word arrays, ready to be searched."""
+    """A block of distinct item texts as word arrays. Windows that several texts have, or one has often, are one class: each class is searched
+    once, and texts stands for the distinct texts of class c at places texts_of[c] to texts_of[c + 1]."""
 
-    def __init__(self, ids: list, texts: list[str | None], window: int):
-        rows = pa.record_batch([pa.array(texts, pa.large_string())], names=["t"])
+    def __init__(self, texts: pa.Array, ids: pa.ListArray, window: int):
+        rows = pa.record_batch([texts], names=["t"])
         parts = [words(t) for t in chunks(rows, "t")]
         counts = np.concatenate([p.counts() for p in parts]) if parts else np.zeros(0, np.int64)
-        self.ids, self.counts, self.window = ids, counts, window
-        self.words = np.concatenate([p.hash for p in parts]) if parts else np.zeros(0, U64)
-        first = np.concatenate(([0], np.cumsum(counts)))
-        self.item = np.repeat(np.arange(len(counts)), counts)
-        self.place = np.arange(len(self.words)) - first[self.item]
-        self.left = counts[self.item] - self.place  # length of each suffix
+        self.ids, self.values, self.bounds = ids, ids.flatten(), np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))).astype(np.int64)
+        self.flat, self.first = flat_words(np.concatenate([p.hash for p in parts]) if parts else np.zeros(0, U64), counts)
+        self.item = np.repeat(np.arange(len(counts)), counts + 1)
+        self.left = self.first[1:][self.item] - 1 - np.arange(len(self.flat))  # words from here to the item's end; 0 at its separator
         self.need = np.minimum(window, counts)[self.item]  # words of a window of its item
+        order = suffix_array(self.flat, window)
+        starts = order[(self.left[order] >= self.need[order]) & (self.need[order] > 0)]
+        starts = starts[np.lexsort((np.arange(len(starts)), self.need[starts]))]  # by need, in word order within
+        self.starts, kind = starts, equal_runs(starts, self.flat, self.need[starts])
+        self.start_of = np.searchsorted(kind, np.arange((int(kind[-1]) if len(kind) else -1) + 2))  # first window of each class, with one more bound
+        self.one = starts[self.start_of[:-1]]  # a window of each class
+        pair = np.unique(kind * max(len(counts), 1) + self.item[starts])
+        self.texts = pair % max(len(counts), 1)
+        self.texts_of = np.searchsorted(pair // max(len(counts), 1), np.arange(len(self.one) + 1))
+
+
+def flat_words(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with a separator, 0, after each text, so that no match passes a text's end; first place of each text, with one more bound."""
+    n = len(counts)
+    flat = np.zeros(len(hashes) + n, U64)
+    flat[np.arange(len(hashes)) + np.repeat(np.arange(n), counts)] = np.where(hashes == 0, U64(1), hashes)
+    return flat, np.concatenate(([0], np.cumsum(counts + 1)))
+
 
+class Shard:
+    """About a million bytes of documents as a suffix array."""
 
-def search(text: np.ndarray, order: np.ndarray, items: Items, length: np.ndarray, upper: bool) -> np.ndarray:
-    """For each item suffix, cut to length words: the first slot whose place is not less (upper: is greater)."""
-    padded = np.concatenate((text, np.zeros(int(length.max(initial=0)), U64)))
-    own = np.concatenate((items.words, np.zeros(int(length.max(initial=0)), U64)))
-    at = np.arange(len(items.words))
-    lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(order), np.int64)
+    def __init__(self, text: Text, depth: int):
+        self.rows, self.counts = text.rows, (w := words(text)).counts()
+        self.flat, self.first = flat_words(w.hash, self.counts)
+        self.order = suffix_array(self.flat, depth)
+
+    def doc(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, at, "right") - 1
+
+
+def search(shard: Shard, items: Items, suffix: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
+    """For each item suffix, cut to length words: the first slot of the array whose place is not less (upper: is greater)."""
+    text, own = (np.concatenate((x, np.zeros(int(length.max(initial=0)), U64))) for x in (shard.flat, items.flat))
+    lo, hi = np.zeros(len(suffix), np.int64), np.full(len(suffix), len(shard.order), np.int64)
     while len(live := np.flatnonzero(lo < hi)):
         mid = (lo[live] + hi[live]) // 2
         same, i, less = np.ones(len(live), bool), 0, np.full(len(live), upper)
-        place = order[mid]
+        place = shard.order[mid]
         while len(open_ := np.flatnonzero(same & (i < length[live]))):
-            a, b = padded[place[open_] + i], own[at[live[open_]] + i]
+            a, b = text[place[open_] + i], own[suffix[live[open_]] + i]
             differ = a != b
             less[open_[differ]] = a[differ] < b[differ]
             same[open_[differ]] = False
@@ -93,117 +136,192 @@ def search(text: np.ndarray, order: np.ndarray, items: Items, length: np.ndarray
     return lo
 
 
-def _shard(text: Text, items: Items) -> tuple[np.ndarray, tuple[np.ndarray, ...], np.ndarray]:
-    """For a shard: words of each document; (document, item, item word, document word, words) of the matches; which words
-    are hit, with one place more after each document."""
-    w = words(text)
-    counts = w.counts()
-    docs = len(counts)
-    # A separator that no item has stands after each document, so that no match passes a document's end.
-    place = np.arange(len(w.hash)) + np.repeat(np.arange(docs), counts)
-    flat = np.zeros(len(w.hash) + docs, U64)
-    flat[place] = np.where(w.hash == 0, U64(1), w.hash)
-    first = w.first + np.arange(docs + 1)
-    hit = np.zeros(len(flat) + 1, np.int64)
-    none = (np.zeros(0, np.int64),) * 5
-    if not len(items.words) or not len(w.hash):
-        return counts, none, hit[:-1] > 0
-    order = suffix_array(flat, max(2 * items.window, 1))
-    low = search(flat, order, items, items.need, False)
-    high = search(flat, order, items, items.need, True)
-    whole = np.flatnonzero((items.left >= items.need) & (high > low))  # suffixes that begin a window found here
-    found = np.repeat(whole, (high - low)[whole])
-    step = np.arange(len(found)) - np.repeat(np.cumsum((high - low)[whole]) - (high - low)[whole], (high - low)[whole])
-    at = order[low[found] + step]
-    np.add.at(hit, at, 1)
-    np.add.at(hit, at + items.need[found], -1)
-    mask = np.cumsum(hit)[:-1] > 0
-    # Of windows that continue one another only the first is told, with its whole length.
-    key_item, key_doc = items.item[found], np.searchsorted(first, at, "right") - 1
-    before = (items.place[found] > 0) & (at > 0)
-    before[before] = items.words[found[before] - 1] == flat[at[before] - 1]
-    start = np.flatnonzero(~before)
-    span = common_prefix(flat, at[start], found[start], items)
-    matches = (key_doc[start], key_item[start], items.place[found[start]], at[start] - first[key_doc[start]], span)
-    return counts, matches, mask
-
-
-def common_prefix(text: np.ndarray, at: np.ndarray, suffix: np.ndarray, items: Items) -> np.ndarray:
+def ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """low[i] to low[i] + size[i] - 1 for each i, one after another."""
+    return np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def slices(size: np.ndarray, most: int = AT_ONCE) -> Iterator[slice]:
+    """Slices of about most in sum of size; a larger element is alone."""
+    ends, at = np.cumsum(size), 0
+    while at < len(size):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def occurrences(shard: Shard, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, low, size): the window classes found in the shard and their slots in its array."""
+    length = items.need[items.one]
+    low, high = (search(shard, items, items.one, length, upper) for upper in (False, True))
+    found = np.flatnonzero(high > low)
+    return found, low[found], (high - low)[found]
+
+
+def hits(shard: Shard, items: Items, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, text) once for each item text with a window in the document. Adds the windows' words to mask, as steps up and down."""
+    kind, low, size = occurrences(shard, items)
+    at, of = shard.order[ranges(low, size)], np.repeat(kind, size)
+    np.add.at(mask, at, 1)
+    np.add.at(mask, at + items.need[items.one[of]], -1)
+    n = max(len(items.ids), 1)
+    pair = np.unique(shard.doc(at) * max(len(items.one), 1) + of)  # a class counts once for a document
+    doc, of = pair // max(len(items.one), 1), pair % max(len(items.one), 1)
+    many, found = items.texts_of[of + 1] - items.texts_of[of], np.zeros(0, np.int64)
+    for s in slices(many):
+        found = np.union1d(found, np.repeat(doc[s], many[s]) * n + items.texts[ranges(items.texts_of[of[s]], many[s])])
+    return found // n, found % n
+
+
+def stretches(shard: Shard, items: Items) -> Iterator[tuple[np.ndarray, ...]]:
+    """(item suffix, place, words) of the verbatim stretches of a window or more, as long as they get; a bounded number at a time."""
+    kind, low, size = occurrences(shard, items)
+    many = items.start_of[kind + 1] - items.start_of[kind]
+    for s in slices(many * size):
+        for t in slices(np.full(many[s].sum(), 1) * np.repeat(size[s], many[s])):
+            suffix = items.starts[ranges(items.start_of[kind[s]], many[s])][t]
+            own = np.repeat(size[s], many[s])[t]
+            slot = np.repeat(low[s], many[s])[t]
+            place, suffix = shard.order[ranges(slot, own)], np.repeat(suffix, own)
+            # Of windows that continue one another only the first is told, with its whole length.
+            before = (place > 0) & (suffix > items.first[items.item[suffix]])
+            before[before] = shard.flat[place[before] - 1] == items.flat[suffix[before] - 1]
+            place, suffix = place[~before], suffix[~before]
+            yield suffix, place, common_prefix(shard, place, suffix, items)
+
+
+def common_prefix(shard: Shard, at: np.ndarray, suffix: np.ndarray, items: Items) -> np.ndarray:
     """Words that the text at these places and these item suffixes have in common."""
-    out = np.zeros(len(at), np.int64)
-    live = np.arange(len(at))
+    out, live = np.zeros(len(at), np.int64), np.arange(len(at))
     while len(live):
         i = out[live]
-        live = live[(i < items.left[suffix[live]]) & (at[live] + i < len(text))]
+        live = live[i < items.left[suffix[live]]]
         i = out[live]
-        live = live[text[at[live] + i] == items.words[suffix[live] + i]]
+        live = live[shard.flat[at[live] + i] == items.flat[suffix[live] + i]]
         out[live] += 1
     return out
 
 
-def _batches(batches: Iterator[pa.RecordBatch], block, window: int, text: str, keep: list[str], names: tuple[str, str, str], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """One block's pass: adds n_words, hit_spans and matches, after those of an earlier pass if there are any."""
-    items = Items(*block.value, window)
-    for batch in batches:
-        for part in chunks(batch, text):
-            column = lambda c, rows=part.rows: rows.column(rows.schema.get_field_index(c))
-            n = len(part.bounds) - 1
-            spans, found = [column(c).to_pylist() if c in part.rows.schema.names else [[] for _ in range(n)] for c in names[1:]]
-            n_words, m, mask = _shard(part, items)
-            for d, i, p, q, k in zip(*(x.tolist() for x in m), strict=True):
-                found[d].append({"item_id": items.ids[i], "item_word": p, "doc_word": q, "n_words": k})
-            first = np.concatenate(([0], np.cumsum(n_words + 1)))
-            edge = np.diff(np.concatenate(([False], mask, [False])).astype(np.int8))
-            for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                d = int(np.searchsorted(first, a, "right")) - 1
-                spans[d].append({"start": a - int(first[d]), "end": b - int(first[d])})
-            new = [pa.array(n_words, pa.int64()), pa.array(spans, out.field(names[1]).type), pa.array(found, out.field(names[2]).type)]
-            yield pa.record_batch([c.cast(f.type) for c, f in zip([*map(column, keep), *new], out, strict=True)], schema=out)
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("n_words", "hit_spans", "matches")) -> DataFrame:
-    """docs (or the columns keep of it) with names: n_words, hit_spans (word spans inside an occurrence of a window) and matches
-    (item, first word in the item, first word in the document, words: the whole verbatim stretch, of a window or more).
+class Blocks:
+    """The benchmark's blocks, written in the shared folder; a task holds one at a time."""
+
+    def __init__(self, path: str, files: list[str], window: int):
+        self.path, self.files, self.window, self.kept = path, files, window, (None, None)
+
+    def __iter__(self) -> Iterator[Items]:
+        for f in self.files:
+            if self.kept[0] != f:
+                fs, _ = pafs.FileSystem.from_uri(self.path)
+                rows = pq.read_table(f, filesystem=fs).combine_chunks()
+                self.kept = f, Items(rows.column("text").combine_chunks(), rows.column("ids").combine_chunks(), self.window)
+            yield self.kept[1]
+
+
+def blocks_of(benchmark: DataFrame, window: int, item_id: str, item_text: str) -> Blocks:
+    """Writes the items in blocks of about BLOCK_BYTES, equal texts as one with all their ids; the driver gets the files' names."""
+    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("text")).where("text IS NOT NULL")
+    folded = written(items.groupBy("text").agg(F.sort_array(F.collect_set("i")).alias("ids")).select("text", "ids"), "items")
+    many = max(1, -(-(folded.agg(F.sum(F.octet_length("text") + 64 + 16 * F.size("ids"))).first()[0] or 0) // BLOCK_BYTES))
+    path = fresh_path(benchmark.sparkSession, "item-blocks")
+    folded.repartition(many).write.parquet(path)
+    fs, root = pafs.FileSystem.from_uri(path)
+    files = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".parquet"))
+    return Blocks(path, files, window)
+
+
+def _found(batches: Iterator[pa.RecordBatch], blocks: Blocks, text: str, keep: list[str], out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """keep, n_words, hit_spans and item ids. All blocks are searched in one array for each shard."""
+    for parts in (p for batch in batches for p in batched(chunks(batch, text), SHARDS)):
+        shards = [Shard(part, blocks.window) for part in parts]
+        masks = [np.zeros(len(s.flat) + 1, np.int64) for s in shards]
+        found: list[list] = [[] for _ in shards]
+        for items in blocks:
+            for shard, mask, own in zip(shards, masks, found, strict=True):
+                doc, t = hits(shard, items, mask)
+                size = items.bounds[t + 1] - items.bounds[t]
+                own.append((np.repeat(doc, size), items.values.take(pa.array(ranges(items.bounds[t], size)))))
+        for shard, mask, own in zip(shards, masks, found, strict=True):
+            n, rows = len(shard.counts), shard.rows
+            edge = np.diff(np.concatenate(([False], np.cumsum(mask) > 0)).astype(np.int8))
+            start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            doc = shard.doc(start)
+            base = shard.first[doc]
+            span = pa.StructArray.from_arrays([pa.array(start - base, pa.int32()), pa.array(end - base, pa.int32())], names=["start", "end"])
+            spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)), pa.int32()), span)
+            doc = np.concatenate([d for d, _ in own]) if own else np.zeros(0, np.int64)
+            order = np.argsort(doc, kind="stable")
+            ids = pa.concat_arrays([v for _, v in own]).take(pa.array(order)) if own else pa.array([], out.field(-1).type.value_type)
+            ids = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[order], np.arange(n + 1)), pa.int32()), ids)
+            new = [*(rows.column(rows.schema.get_field_index(c)) for c in keep), pa.array(shard.counts, pa.int64()), spans, ids]
+            yield pa.record_batch([c.cast(f.type) for c, f in zip(new, out, strict=True)], schema=out)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("n_words", "hit_spans", "items")) -> DataFrame:
+    """docs (or the columns keep of it) with names: n_words, hit_spans (word spans inside an occurrence of a window) and items (ids
+    of the items with a window there, each once).
 
     A window is that many successive words of an item; an item of fewer, but not none, is one window; an item without
-    words, or null, has none. Null and empty documents have no words. Repeated items are all told. Items are sent to the
-    tasks in blocks of about BLOCK_BYTES; each block of a larger benchmark is a further pass in the same tasks. Columns of docs named as the new ones are replaced.
+    words, or null, has none. Null and empty documents have no words; an empty table gives no rows, an empty benchmark no
+    hits. Items of equal texts (ties) are all told; repeated rows of documents have the same result each. A very long
+    document is a shard of its own. The benchmark lies in blocks of about BLOCK_BYTES in the shared folder, and a task
+    holds one at a time. Columns of docs named as the new ones are replaced, no other name clashes.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).where("t IS NOT NULL")
-    # The size of the benchmark, then its blocks of so many bytes.
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("t") + 64)).first()[0] or 0) // BLOCK_BYTES))
-    new = T.StructType.fromDDL(f"`{names[0]}` long, `{names[1]}` {SPAN}, `{names[2]}` {MATCH.format(id=items.schema['i'].dataType.simpleString())}")
-    carried = list(dict.fromkeys([*keep, text_col]))  # a later pass reads the text again
-    out = docs.select(*carried)
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect()
-        block = docs.sparkSession.sparkContext.broadcast(([r.i for r in rows], [r.t for r in rows]))
-        own = carried if k + 1 < blocks else keep
-        schema = T.StructType([*docs.select(*own).schema.fields, *new.fields])
-        arrow = to_arrow_schema(schema)
-        out = out.mapInArrow(lambda it, b=block, own=own, arrow=arrow: _batches(it, b, window, text_col, own, names, arrow), schema)
-    return out
+    blocks = blocks_of(benchmark, window, item_id, item_text)
+    new = T.StructType.fromDDL(f"`{names[0]}` long, `{names[1]}` {SPAN}, `{names[2]}` array<{benchmark.schema[item_id].dataType.simpleString()}>")
+    schema = T.StructType([*docs.select(*keep).schema.fields, *new.fields])
+    arrow = to_arrow_schema(schema)
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(lambda it: _found(it, blocks, text_col, keep, arrow), schema)
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], blocks: Blocks, text: str, id_col: str, depth: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in chunks(batch, text):
+            shard = Shard(part, depth)
+            for items in blocks:
+                for suffix, place, n in stretches(shard, items):
+                    doc, item = shard.doc(place), items.item[suffix]
+                    size = items.bounds[item + 1] - items.bounds[item]
+                    for s in slices(size):  # an item's ids are rows of their own
+                        ids = items.values.take(pa.array(ranges(items.bounds[item[s]], size[s])))
+                        row = np.repeat(np.arange(len(item))[s], size[s])
+                        own = part.rows.column(part.rows.schema.get_field_index(id_col)).take(pa.array(doc[row]))
+                        places = [pa.array(x, pa.int32()) for x in ((suffix - items.first[item])[row], (place - shard.first[doc])[row], n[row])]
+                        yield pa.record_batch([x.cast(f.type) for x, f in zip([own, ids, *places], out, strict=True)], schema=out)
+
+
+def match_locations(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows (id_col, item id as item, item_word, doc_word, n_words): every verbatim stretch of a window or more, as long as it gets in both
+    texts, and its first word in each. Items and documents as in find_contamination; a lower window tells shorter matches.
+    """
+    blocks = blocks_of(benchmark, window, item_id, item_text)
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("item", benchmark.schema[item_id].dataType), *T.StructType.fromDDL("item_word int, doc_word int, n_words int").fields])
+    arrow = to_arrow_schema(schema)
+    return docs.select(id_col, text_col).mapInArrow(lambda it: _stretches(it, blocks, text_col, id_col, window, arrow), schema)
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """For each item with a match: its longest verbatim stretch and where it is (of equal ones that of the greatest document id)."""
+    return match_locations(docs, benchmark, **how).groupBy("item").agg(F.max(F.struct("n_words", how.get("id_col", "doc_id"), "doc_word", "item_word")).alias("m")).select("item", "m.*")
 
 
 def count_hits(spans: str = "hit_spans"):
-    """Words in the union of the spans: sorted by start, each adds what passes the furthest end so far."""
-    ordered = F.array_sort(spans)
-    zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
-    return F.aggregate(ordered, zero, lambda a, s: F.struct(F.greatest(a["end"], s["end"]).alias("end"), (a["n"] + F.greatest(s["end"] - F.greatest(a["end"], s["start"]), F.lit(0))).alias("n")))["n"]
+    """Words in the spans, which are apart."""
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
-    ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"].cast("string"))))
+    ids = F.array_sort(F.array_distinct(F.transform("items", lambda i: i.cast("string"))))
     return found.select(
         "doc_id", "n_words", count_hits().alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated")
     )
 
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without any window of a benchmark item."""
-    names = tuple(free_name(docs, f"leak_{x}") for x in ("words", "spans", "matches"))
+    """Pipeline stage: the documents without any window of a benchmark item. Nulls, empty and very long texts, ties, repeated
+    rows and empty tables as in find_contamination; all columns stay, whatever their names."""
+    names = tuple(free_name(docs, f"leak_{x}") for x in ("words", "spans", "items"))
     return find_contamination(docs, table(spark, sf_dir, "benchmark"), names=names).where(F.size(names[1]) == 0).select(*docs.columns)
 
 

@@ -8,7 +8,7 @@ from meridia.llm.html_text import extract_text
 from meridia.llm.mixing import mix
 from meridia.llm.quality import fit, score
 
-NAMES = "quality_score score n_words hit_spans matches leak_words mix_copy copy rate id text_key bands shard slot own_size offset place digest node comp class_id kept order_0 cdf".split()
+NAMES = "quality_score score n_words hit_spans items leak_words mix_copy copy rate id text_key bands shard slot own_size offset place digest node comp class_id kept order_0 cdf".split()
 
 
 def test_stages_keep_columns_of_any_name(spark, sf):
@@ -31,10 +31,10 @@ def test_stages_take_nulls_in_every_column(spark, sf):
 
 def test_results_replace_columns_of_their_name(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(20)
-    odd = docs.select("*", *[F.lit("x").alias(n) for n in ("Score", "copy", "n_words", "Matches", "html")])
+    odd = docs.select("*", *[F.lit("x").alias(n) for n in ("Score", "copy", "n_words", "Items", "html")])
     model = fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     assert dict(score(odd, model).dtypes)["score"] == "double"
     assert dict(mix(odd).dtypes)["copy"] == "int"
     found = find_contamination(odd, spark.read.parquet(f"{sf}/benchmark.parquet"))
-    assert dict(found.dtypes)["n_words"] == "bigint" and "Matches" not in found.columns and found.count() == 20
+    assert dict(found.dtypes)["n_words"] == "bigint" and "Items" not in found.columns and found.count() == 20
     assert extract_text(odd).select("text").distinct().count() == 1

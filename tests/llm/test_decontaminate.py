@@ -34,12 +34,32 @@ def check(spark, docs, items, window=5):
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = D.find_contamination(d, b, window).withColumn("n_hit", D.count_hits()).collect()
-    assert {r.doc_id: (r.n_words, r.n_hit, sorted({m.item_id for m in r.matches})) for r in got} == brute(docs, items, window)
-    texts, bench = dict(docs), dict(items)
-    for r in got:
-        for m in r.matches:
-            a, i = split(texts[r.doc_id])[m.doc_word :][: m.n_words], split(bench[m.item_id])[m.item_word :][: m.n_words]
-            assert a == i and m.n_words >= min(window, len(split(bench[m.item_id])))
+    assert {r.doc_id: (r.n_words, r.n_hit, sorted(r.items)) for r in got} == brute(docs, items, window)
+    assert all(len(r.items) == len(set(r.items)) for r in got)
+    told = [tuple(r) for r in D.match_locations(d, b, window).collect()]
+    assert len(told) == len(set(told)) and sorted(told) == sorted(stretches(docs, items, window))
+    best = {r.item: r.n_words for r in D.longest_matches(d, b, window=window).collect()}
+    assert best == {i: max(n for _, j, _, _, n in told if j == i) for i in {x[1] for x in told}}
+
+
+def stretches(docs, items, window):
+    """Every maximal common run of a window or more, by comparing every place of a document with every place of an item."""
+    for d, t in docs:
+        w = split(t)
+        for i, u in items:
+            v = split(u)
+            at = {}
+            for q, x in enumerate(v):
+                at.setdefault(x, []).append(q)
+            for p in range(len(w)):
+                for q in at.get(w[p], ()):
+                    if p and q and w[p - 1] == v[q - 1]:
+                        continue
+                    n = 0
+                    while p + n < len(w) and q + n < len(v) and w[p + n] == v[q + n]:
+                        n += 1
+                    if n >= min(window, len(v)):
+                        yield d, i, q, p, n
 
 
 def test_against_brute_force(spark, monkeypatch):
@@ -63,7 +83,16 @@ def test_suffix_array_is_sorted():
 def test_stage_and_empty(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = D.stage_decontamination(spark, docs, sf)
-    assert kept.columns == docs.columns and D.find_contamination(kept, spark.read.parquet(f"{sf}/benchmark.parquet")).where(F.size("matches") > 0).count() == 0
+    assert kept.columns == docs.columns and D.find_contamination(kept, spark.read.parquet(f"{sf}/benchmark.parquet")).where(F.size("items") > 0).count() == 0
     assert D.stage_decontamination(spark, docs.limit(0), sf).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.find_contamination(docs, none).where(F.size("hit_spans") > 0).count() == 0
+
+
+def test_many_equal_items_and_a_common_word(spark):
+    items = [(i, "yes") for i in range(10000)] + [(20000 + i, f"yes no {i % 3}") for i in range(300)]
+    docs = [(i, "yes " * 3000) for i in range(20)] + [(50, "no"), (51, "Yes, no! 2")]
+    got = {r.doc_id: r for r in D.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(sorted(got[i].items) == list(range(10000)) and got[i].hit_spans == [(0, 3000)] for i in range(20))
+    assert not got[50].items and len(got[51].items) == 10100 and got[51].hit_spans == [(0, 3)]
+    assert D.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("a", "NO"), ("b", "no")], "item_id string, text string")).where("array_size(items) = 2").count() == 2
