@@ -22,6 +22,10 @@ from .words import GOLDEN, U64, Text, chunks, mix, words
 PASSAGE = 512
 #: Labelled documents that a model is fitted on, at most.
 SAMPLE = 4000
+#: Passages of each of them, at most.
+SAMPLE_PASSAGES = 64
+#: Passages that are encoded at a time.
+SPAN = 2048
 #: Score from which a document is predicted to be good.
 CUT = 0.7
 
@@ -40,55 +44,71 @@ LAGS = (1, 2, 3, 4, 6, 8)
 WIDTH = KINDS * KINDS + len(LAGS) + 3
 
 
-def encode(text: Text) -> tuple[np.ndarray, np.ndarray]:
-    """float32 (passages, WIDTH), and the number of the first passage of each document with one more bound. A document
-    without text has one passage of zeros."""
+def passages(text: Text) -> tuple[np.ndarray, np.ndarray]:
+    """Byte bounds of the passages, and the number of the first passage of each document with one more bound. A document
+    without text has one passage without bytes."""
     size = np.diff(text.bounds)
-    n_pass = np.maximum(1, -(-size // PASSAGE))
-    first = np.concatenate(([0], np.cumsum(n_pass)))
-    total = int(first[-1])
+    count = np.maximum(1, -(-size // PASSAGE))
+    first = np.concatenate(([0], np.cumsum(count)))
+    nth = np.arange(int(first[-1])) - np.repeat(first[:-1], count)
+    return np.append(np.repeat(text.bounds[:-1], count) + nth * PASSAGE, text.bounds[-1]), first
+
+
+def encode(text: Text, bounds: np.ndarray) -> np.ndarray:
+    """float32 (passages, WIDTH), each passage by its own bytes alone; one without bytes is all zeros."""
+    total = len(bounds) - 1
     out = np.zeros((total, WIDTH), np.float32)
-    n = len(text.bytes)
-    if not n:
-        return out, first
-    doc = np.repeat(np.arange(len(size)), size)
-    of = first[doc] + (np.arange(n) - text.bounds[doc]) // PASSAGE
-    kind = KIND[text.bytes]
+    raw = text.bytes[bounds[0] : bounds[-1]]
+    if not len(raw):
+        return out
+    bounds = bounds - bounds[0]
+    size = np.diff(bounds)
+    of = np.repeat(np.arange(total), size)
+    kind = KIND[raw]
     before = np.concatenate(([4], kind[:-1]))
-    before[text.bounds[:-1][size > 0]] = 4
+    before[bounds[:-1][size > 0]] = 4
     pairs = np.bincount((of * KINDS + before) * KINDS + kind, minlength=total * KINDS * KINDS).reshape(total, KINDS * KINDS)
-    length = np.maximum(pairs.sum(1, keepdims=True), 1)
-    out[:, : KINDS * KINDS] = np.sqrt(pairs / length)
-    w = words(text)
+    length = np.maximum(size, 1)
+    out[:, : KINDS * KINDS] = np.sqrt(pairs / length[:, None])
+    w = words(Text(text.rows, raw, bounds))
     if len(w.hash):
-        wp, wdoc = of[w.start], doc[w.start]
+        wp = of[w.start]
         count = np.maximum(np.bincount(wp, minlength=total), 1)
         for i, lag in enumerate(LAGS):
             same = np.zeros(len(wp), bool)
-            same[lag:] = (w.hash[lag:] == w.hash[:-lag]) & (wdoc[lag:] == wdoc[:-lag])
+            same[lag:] = (w.hash[lag:] == w.hash[:-lag]) & (wp[lag:] == wp[:-lag])
             out[:, KINDS * KINDS + i] = np.bincount(wp[same], minlength=total) / count
         key = np.sort((wp.astype(U64) << U64(40)) | (mix(w.hash + GOLDEN) >> U64(24)))
         distinct = key[np.concatenate(([True], key[1:] != key[:-1]))] >> U64(40)
         out[:, -3] = np.bincount(distinct.astype(np.int64), minlength=total) / count
         out[:, -2] = np.bincount(wp, w.end - w.start, total) / count / 10
-    out[:, -1] = np.log1p(length[:, 0]) / 6
-    return out, first
+    out[size > 0, -1] = np.log1p(length[size > 0]) / 6
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def forward(m: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-    """Passages to document scores: h encodes, t * s gates, a weighs within each document, z is the document."""
-    at, n = first[:-1], np.diff(first)
+def hidden(m: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
+    """Passages to h, which encodes, t * s, which gates, and e, the attention before it is shared out."""
     h = np.tanh(x @ m["W"] + m["b"])
     t, s = np.tanh(h @ m["V"]), _sigmoid(h @ m["U"])
-    e = (t * s) @ m["w"]
+    return {"h": h, "t": t, "s": s, "e": (t * s) @ m["w"]}
+
+
+def pooled(m: dict[str, np.ndarray], h: np.ndarray, e: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    """Passages to documents: a weighs within each document, z is the document, p its score."""
+    at, n = first[:-1], np.diff(first)
     a = np.exp(e - np.repeat(np.maximum.reduceat(e, at), n))
     a /= np.repeat(np.add.reduceat(a, at), n)
     z = np.add.reduceat(a[:, None] * h, at)
-    return {"h": h, "t": t, "s": s, "a": a, "z": z, "p": _sigmoid(z @ m["c"] + m["d"])}
+    return {"a": a, "z": z, "p": _sigmoid(z @ m["c"] + m["d"])}
+
+
+def forward(m: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
+    f = hidden(m, x)
+    return f | pooled(m, f["h"], f["e"], first)
 
 
 def gradients(m: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
@@ -124,11 +144,15 @@ def train(bags: list[np.ndarray], labels: np.ndarray, width: int = 24, epochs: i
     return m
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bags(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part in chunks(b, "text"):
-            x, first = encode(part)
-            yield pa.record_batch([pa.array([x[i:j].tobytes() for i, j in zip(first, first[1:])], pa.binary()), part.rows.column(1)], names=["bag", "label"])
+            bounds, first = passages(part)
+            bags = []
+            for i, j in zip(first.tolist(), first[1:].tolist()):
+                own = np.unique(np.linspace(i, j - 1, min(most, j - i)).round().astype(np.int64))
+                bags.append(b"".join(encode(part, bounds[[k, k + 1]]).tobytes() for k in own.tolist()) if j - i > most else encode(part, bounds[i : j + 1]).tobytes())
+            yield pa.record_batch([pa.array(bags, pa.binary()), part.rows.column(1)], names=["bag", "label"])
 
 
 def held_out(id_col: str) -> Column:
@@ -136,16 +160,18 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
-    """A model from at most sample labelled documents that are not held out, chosen by a hash of their id.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, most: int = SAMPLE_PASSAGES, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
+    """A model from at most sample labelled documents that are not held out, chosen by a hash of their id, and at most so many
+    passages of each, evenly spread; so the driver gets sample * most * WIDTH * 4 bytes at most (139 MB).
 
-    A document with several labels has their majority, a tie counts as 1; null labels and ids are passed over. Without
-    any label, or with labels of one kind only, the model is what such labels teach.
+    A document with several labels has their majority, a tie counts as 1; null labels and ids are passed over. Null and
+    empty texts are one empty passage, very long ones are sampled; of rows that repeat an id the greatest text is learnt from. Without any label, or with labels of one kind only, or of an empty table, the model is what such labels teach. Further columns are not read.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg((F.avg(label) >= 0.5).cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample)
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "label")  # sample rows at most
-    rows = picked.mapInArrow(_bags, "bag binary, label double").toArrow().to_pydict()
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    picked = picked.groupBy("id").agg(F.max("text").alias("text"), F.first("label").alias("label")).select("text", "label")  # sample rows at most
+    rows = picked.mapInArrow(lambda it: _bags(it, most), "bag binary, label double").toArrow().to_pydict()
     order = sorted(range(len(rows["bag"])), key=lambda i: rows["bag"][i])  # the same order whatever the partitions
     bags = [np.frombuffer(rows["bag"][i], np.float32).reshape(-1, WIDTH) for i in order]
     return train(bags, np.array([rows["label"][i] for i in order]))
@@ -155,12 +181,17 @@ def _scores(batches: Iterator[pa.RecordBatch], model, text: str, name: str) -> I
     m = {k: v.astype(np.float32) for k, v in model.value.items()}
     for b in batches:
         for part in chunks(b, text):
-            yield part.rows.append_column(name, pa.array(forward(m, *encode(part))["p"].astype(np.float64)))
+            bounds, first = passages(part)
+            # A long document's passages are encoded some at a time; only their hidden states are kept.
+            some = [hidden(m, encode(part, bounds[k : k + SPAN + 1])) for k in range(0, len(bounds) - 1, SPAN)]
+            h, e = (np.concatenate([x[k] for x in some]) for k in "he")
+            yield part.rows.append_column(name, pa.array(pooled(m, h, e, first)["p"].astype(np.float64)))
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 by the whole text alone. Null and empty texts are one empty passage and get that
-    passage's score; equal texts get equal scores. A column already named as the score is replaced."""
+    passage's score; equal texts (repeated rows, ties) get equal scores; very long texts are read whole, some passages at a time;
+    an empty table stays empty. A column already named as the score is replaced, no other name clashes."""
     docs = docs.drop(name)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(lambda it: _scores(it, sent, text_col, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
@@ -173,7 +204,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents predicted to be good."""
+    """Pipeline stage: the documents predicted to be good. Nulls, empty and very long texts, repeated rows and empty tables as in
+    score; all columns stay, whatever their names."""
     model = fit(docs, table(spark, sf_dir, "labels"))
     name = free_name(docs, "quality_score")
     return score(docs, model, name=name).where(F.col(name) >= CUT).select(*docs.columns)
