@@ -1,9 +1,10 @@
-"""Exact dedup as a stateful stream, in DataFrame and SQL operations only.
+"""Exact dedup as two streams, in DataFrame and SQL operations only.
 
-The stream keeps, for every digest ever seen, the identifier and the content locator (file and row) of the document that
-stays and the number of documents, in RocksDB state on the executors' disks that never expires and is part of the
-stream's checkpoint. A second pass reads the full bytes of every document whose digest was hit more than once and tells
-texts apart that share a digest.
+The first stream gives each document's digest, identifier and content locator (file and row). The second, stateful,
+keeps for every digest ever seen the identifier and the locator of the document that stays and the number of documents,
+in RocksDB state on the executors' disks that never expires and is part of the stream's checkpoint. The full bytes of
+every document whose digest was hit more than once are then read by its locator, and texts that share a digest are told
+apart.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
-#: Broadcast of the digests that were hit: so many rows of about 100 bytes at most, else a shuffle.
+#: Broadcast of the digests that were hit, or of their rows: so many of about 100 bytes at most, else a shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -47,17 +48,22 @@ def _conf(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def index_stream(stream: DataFrame, id_col: str, text_col: str, checkpoint: str, sink: str, digest=sha256) -> None:
-    """Runs the stream over what is there now and appends each batch's changed digests to sink.
+def digest_stream(stream: DataFrame, id_col: str, text_col: str, checkpoint: str, sink: str, digest=sha256) -> None:
+    """Appends (digest, id, file, row) of all that is there now and was not read before to sink: each text is hashed once."""
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    rows = stream.select(digest(normal(F.col(text_col))).alias("digest"), F.col(id_col).alias("id"), *where)
+    rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(sink).awaitTermination()
+
+
+def index_stream(seen: DataFrame, checkpoint: str, sink: str) -> None:
+    """Runs the stateful stream over the rows (digest, id, file, row) that are there now and appends each batch's changed digests to sink.
 
     Started again with the same checkpoint, it goes on where it ended and reads new files only. A batch that runs
     twice overwrites its own folder. Rows of sink: digest, group_size, keeper (id, file, row) as of that batch; the
     keeper is the largest id so far, a null id the least of all.
     """
-    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
-    seen = stream.select(digest(normal(F.col(text_col))).alias("digest"), F.struct(F.col(id_col).alias("id"), *where).alias("keeper"))
-    state = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max("keeper").alias("keeper"))
-    with _conf(stream.sparkSession, STATE_CONF):
+    state = seen.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "file", "row")).alias("keeper"))
+    with _conf(seen.sparkSession, STATE_CONF):
         query = (
             state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
             .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{sink}/batch={n}")).start()
@@ -68,41 +74,40 @@ def index_stream(stream: DataFrame, id_col: str, text_col: str, checkpoint: str,
 def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", bytes_per_trigger: int = 1 << 30, digest=sha256) -> DataFrame:
     """One row for each row at path: id_col, keep_id, group_size, kept, digest.
 
-    Rows are equal if their texts are identical after lower-casing A-Z; null counts as empty. Of equal rows the one with
-    the largest id stays; ids are meant to be unique, and rows that repeat the keeper's id are kept with it. A null id
-    is less than any other. An empty table gives no rows; further columns are not read.
+    Rows are equal if their texts, of any length, are identical after lower-casing A-Z; null counts as empty. Of equal
+    rows the one with the largest id stays; ids are meant to be unique, and rows that repeat the keeper's id (ties) are
+    kept with it. A null id is less than any other. An empty table gives no rows; further columns are not read, whatever
+    their names.
     """
     docs = spark.read.parquet(path)
     # A stream reads folders; of a path that is one file it takes the folder and that name.
     folder, _, file = path.rpartition("/")
     single = docs.select("_metadata.file_path").limit(1).collect()
-    checkpoint, sink = fresh_path(spark, "dedup-state"), fresh_path(spark, "dedup-index")
-    reader = spark.readStream.schema(docs.schema).option("maxBytesPerTrigger", str(bytes_per_trigger))
-    stream = reader.option("pathGlobFilter", file).parquet(folder) if single and single[0][0].endswith(f"/{file}") else reader.parquet(path)
-    index_stream(stream, id_col, text_col, checkpoint, sink, digest)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    try:
-        index = spark.read.schema(f"digest binary, group_size long, keeper struct<id:{id_type},file:string,row:long>").parquet(sink)
-    except Exception as e:  # a stream without a single batch has written nothing
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not single:
         return docs.limit(0).select(F.col(id_col), F.col(id_col).alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(False).alias("kept"), F.lit(b"").alias("digest"))
+    places = {k: fresh_path(spark, f"dedup-{k}") for k in ("digests", "digest-state", "index", "index-state")}
+    reader = spark.readStream.schema(docs.schema).option("maxBytesPerTrigger", str(bytes_per_trigger))
+    stream = reader.option("pathGlobFilter", file).parquet(folder) if single[0][0].endswith(f"/{file}") else reader.parquet(path)
+    digest_stream(stream, id_col, text_col, places["digest-state"], places["digests"], digest)
+    rows = spark.read.parquet(places["digests"])
+    index_stream(spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(places["digests"]), places["index-state"], places["index"])
+    index = spark.read.schema(f"digest binary, group_size long, keeper struct<id:{rows.schema['id'].dataType.simpleString()},file:string,row:long>").parquet(places["index"])
     # A digest's size only grows from batch to batch, so its largest row is its last.
     last = written(index.groupBy("digest").agg(F.max(F.struct("group_size", "keeper")).alias("s")).select("digest", "s.group_size", F.col("s.keeper.id").alias("keep_id")), "dedup-last")
 
-    rows = docs.select(F.col(id_col), digest(normal(F.col(text_col))).alias("digest"), normal(F.col(text_col)).alias("bytes"))
     hit = last.where("group_size > 1").select("digest")
-    hit = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
-    # Full bytes of all hits: copies fold into one row in each task before the shuffle, so a hot text is no hot task.
-    classes = rows.join(hit, "digest").groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("group_size"), F.max(id_col).alias("keep_id"))
+    located = written(rows.join(F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit, "digest").select("digest", "id", F.col("file").alias("hit_file"), F.col("row").alias("hit_row")), "dedup-hits")
+    # Full bytes of all hits by their locators: copies fold into one row in each task before the shuffle, so a hot text is no hot task.
+    texts = docs.select(normal(F.col(text_col)).alias("bytes"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    read = texts.join(F.broadcast(located) if located.count() <= BROADCAST_ROWS else located, (F.col("file") == F.col("hit_file")) & (F.col("row") == F.col("hit_row")))
+    classes = read.groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("group_size"), F.max("id").alias("keep_id"))
     clash = written(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1").select("digest"), "dedup-clash")
-    if clash.isEmpty():
-        out = rows.drop("bytes").join(last, "digest")
-    else:  # different texts under one digest: these are told apart by their bytes
-        mixed = rows.join(clash, "digest")
-        own = written(mixed.groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("group_size"), F.max(id_col).alias("keep_id")), "dedup-own")
-        out = rows.drop("bytes").join(clash, "digest", "left_anti").join(last, "digest").unionByName(mixed.join(own, ["digest", "bytes"]).drop("bytes"))
-    return out.select(F.col(id_col), "keep_id", "group_size", F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    out = rows.select("id", "digest").join(last, "digest")
+    if not clash.isEmpty():  # different texts under one digest: these are told apart by their bytes
+        mixed = read.join(clash, "digest")
+        own = written(mixed.groupBy("digest", "bytes").agg(F.count(F.lit(1)).alias("group_size"), F.max("id").alias("keep_id")), "dedup-own")
+        out = rows.select("id", "digest").join(clash, "digest", "left_anti").join(last, "digest").unionByName(mixed.join(own, ["digest", "bytes"]).select("id", "digest", "group_size", "keep_id"))
+    return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
