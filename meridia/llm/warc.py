@@ -11,6 +11,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -77,6 +79,45 @@ class WarcReader(DataSourceReader):
                 yield pa.RecordBatch.from_pylist(rows, self.schema)
 
 
+def parsed(lines: list[str]) -> list[tuple[str, str]]:
+    """Headers as (name, value): the blank after the colon is optional, a line that begins with one continues the header before."""
+    out: list[tuple[str, str]] = []
+    for line in lines:
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = out[-1][0], f"{out[-1][1]} {line.strip()}"
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
+
+
+def first(headers: list[tuple[str, str]], name: str, default: str | None = None) -> str | None:
+    """The first header of that name, whatever its case."""
+    return next((v for n, v in headers if n.lower() == name.lower()), default)
+
+
+def sha1(payload: bytes) -> str:
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+
+
+def decoded(headers: list[tuple[str, str]], body: bytes) -> bytes:
+    """An HTTP body without its chunks and its gzip or deflate coding. What is not coded as its headers say, or in another coding, stays as it is."""
+    if "chunked" in (first(headers, "Transfer-Encoding") or "").lower():
+        out, at = [], 0
+        while m := re.compile(rb"([0-9a-fA-F]+)[^\r\n]*\r\n").match(body, at):
+            size = int(m[1], 16)
+            out.append(body[m.end() : m.end() + size])
+            at = m.end() + size + 2
+            if not size:
+                break
+        body = b"".join(out) if at else body
+    coding = (first(headers, "Content-Encoding") or "").lower()
+    try:
+        return gzip.decompress(body) if coding in ("gzip", "x-gzip") else zlib.decompress(body) if coding == "deflate" else body
+    except (OSError, EOFError, zlib.error):
+        return body
+
+
 def records(file, wanted: dict[str, set], payloads: bool) -> Iterator[dict]:
     """The records whose headers are wanted. Of a skipped record nothing after the headers is read; a record cut short or
     a payload that its digest does not fit is an error."""
@@ -101,19 +142,23 @@ def records(file, wanted: dict[str, set], payloads: bool) -> Iterator[dict]:
         at = end + 4
         if not head[0].startswith("WARC/"):
             raise ValueError(f"no WARC record begins with {head[0][:40]!r}")
-        headers = dict(line.split(": ", 1) for line in head[1:] if ": " in line)
-        length = int(headers["Content-Length"])
-        row = {c: headers.get(h) for c, h in HEADERS.items()}
-        if row["payload_digest"]:
-            row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
+        headers = parsed(head[1:])
+        length = int(first(headers, "Content-Length", "0"))
+        row = {c: first(headers, h) for c, h in HEADERS.items()}
+        algorithm, _, value = (row["payload_digest"] or "").rpartition(":")
+        if algorithm.lower() == "sha1":
+            algorithm, row["payload_digest"] = "sha1", value
         keep = all(row[c] in values for c, values in wanted.items())
         payload = None
         if keep and payloads and length:
             if not fill(length):
                 raise ValueError("a WARC record is cut short in its block")
             block = buffer[at : at + length]
-            payload = block[block.find(b"\r\n\r\n") + 4 :] if block.startswith(b"HTTP/") else block
-            if row["payload_digest"] and row["record_type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != row["payload_digest"]:
+            payload = sent = block
+            if block.startswith(b"HTTP/"):
+                http, _, sent = block.partition(b"\r\n\r\n")
+                payload = decoded(parsed(http.decode("latin-1").split("\r\n")[1:]), sent)
+            if algorithm == "sha1" and row["record_type"] == "response" and row["payload_digest"] not in (sha1(payload), sha1(sent)):
                 raise ValueError(f"the payload of {row['record_id']} does not fit its digest")
         if len(buffer) - at >= length + 4:
             at += length + 4
@@ -121,8 +166,8 @@ def records(file, wanted: dict[str, set], payloads: bool) -> Iterator[dict]:
             file.seek(base + at + length + 4)
             base, buffer, at = base + at + length + 4, b"", 0
         if keep:
-            told = headers.get("X-Payload-Length")
-            yield row | {"payload_bytes": len(payload) if payload is not None and row["record_type"] == "response" else int(told) if told else None, "headers": list(headers.items()), "payload": payload}
+            told = first(headers, "X-Payload-Length")
+            yield row | {"payload_bytes": len(payload) if payload is not None and row["record_type"] == "response" else int(told) if told else None, "headers": list(dict(reversed(headers)).items()), "payload": payload}
 
 
 class WarcSource(DataSource):
@@ -141,7 +186,13 @@ class WarcSource(DataSource):
 
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The records at path, by the schema SCHEMA. Filters on the columns of HEADERS are tested on the headers alone."""
+    """The records at path, by the schema SCHEMA. Filters on the columns of HEADERS are tested on the headers alone.
+
+    Names of headers have no case; the map has each name as it was first written, with its first value. Chunked, gzip and
+    deflate bodies are decoded. A missing header is null, a missing length 0; a payload of any length is one value, a folder
+    without records gives no rows, repeated records are told as often as they stand. Spark's setting for filters in Python
+    sources is switched on and stays on, as the returned DataFrame cannot be read without it.
+    """
     spark.dataSource.register(WarcSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
@@ -157,8 +208,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: st
     """One record for each row. Of rows with equal payloads of least bytes or more, that with the largest id is the
     response and the others are revisits of it, without a payload; all others are responses.
 
-    A null payload is empty; a null URI has no header; line breaks in a URI become blanks. A null id is less than any
-    other and written as null. Rows that repeat the largest id of their payload are all responses. No rows, no records.
+    A null payload is empty, one of any length is one record; a null URI has no header; line breaks in a URI become
+    blanks. A null id is less than any other and written as null. Rows that repeat the largest id of their payload (ties)
+    are all responses. No rows, no records. Further columns are not read, whatever their names.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.regexp_replace(uri_col, r"[\r\n]", " ").alias("uri"), payload.alias("payload"), base32_sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))

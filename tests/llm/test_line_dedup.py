@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+from meridia.llm import line_dedup as L
 from meridia.llm.line_dedup import line_dedup
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -34,3 +35,19 @@ def test_random_documents(spark):
 
 def test_empty(spark):
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_of_any_ordered_type(spark):
+    rng = random.Random(8)
+    rows = [(f"id-{i:03}", "\n".join(f"a common line {rng.randint(0, 20)}" for _ in range(5))) for i in range(100)]
+    got = sorted(map(tuple, line_dedup(spark.createDataFrame(rows, "doc_id string, text string"), 12, 3).collect()), key=str)
+    assert got == brute(rows, 12, 3)
+    many = sorted(map(tuple, line_dedup(spark.createDataFrame(rows, "doc_id string, text string"), 12, 3, batches=1, batch_rows=20).collect()), key=str)
+    assert many == got
+
+
+def test_the_shuffled_way_gives_the_same(spark, monkeypatch):
+    rows = [(i, "\n".join(f"a common line {(i * k) % 7}" for k in range(5))) for i in range(60)]
+    monkeypatch.setattr(L, "BROADCAST_BYTES", -1)
+    got = sorted(map(tuple, line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 12, 3).collect()), key=str)
+    assert got == brute(rows, 12, 3)

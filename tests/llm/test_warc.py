@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -49,3 +50,28 @@ def test_damaged_archives_fail(spark, tmp_path):
         (tmp_path / "bad" / "x.warc").write_bytes(bad)
         with pytest.raises(Exception):
             read_warc(spark, f"file://{tmp_path}/bad").collect()
+
+
+def test_archives_of_others(spark, tmp_path):
+    body = "<p>é</p>".encode() * 50
+    digest = base64.b32encode(hashlib.sha1(body).digest())
+    zipped = gzip.compress(body)
+    pieces = b"5\r\n" + zipped[:5] + b"\r\n" + b"%x;x=y\r\n" % (len(zipped) - 5) + zipped[5:] + b"\r\n0\r\n\r\n"
+    blocks = [
+        b"HTTP/1.1 200 OK\r\nserver: x\r\n\r\n" + body,
+        b"HTTP/1.1 200 OK\r\nContent-encoding:gzip\r\nTRANSFER-ENCODING: chunked\r\n\r\n" + pieces,
+        b"HTTP/1.1 200 OK\r\nContent-Encoding: br\r\n\r\n" + body,
+    ]
+    out = b""
+    for i, block in enumerate(blocks):
+        head = b"WARC/1.1\r\nwarc-type:response\r\nWARC-Record-ID:<urn:x:%d>\r\nwarc-target-uri: http://a/\r\n b\r\nWARC-Payload-Digest: SHA1:%s\r\nX-Same: 1\r\nX-Same: 2\r\nContent-length:%d\r\n\r\n"
+        out += head % (i, digest, len(block)) + block + b"\r\n\r\n"
+    out += b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Payload-Digest: md5:00ff\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    (tmp_path / "x.warc").write_bytes(out)
+    (tmp_path / "y.warc.gz").write_bytes(gzip.compress(out[: len(out) // 2]) + gzip.compress(out[len(out) // 2 :]))
+    for name in ("x.warc", "y.warc.gz"):
+        got = read_warc(spark, f"file://{tmp_path}/{name}").collect()
+        assert [bytes(r.payload) for r in got] == [body] * 3 + [b"abc"] and [r.record_type for r in got] == ["response"] * 3 + ["metadata"]
+        assert [r.record_id for r in got] == ["<urn:x:0>", "<urn:x:1>", "<urn:x:2>", None] and {r.target_uri for r in got[:3]} == {"http://a/ b"}
+        assert got[0].payload_digest == digest.decode() and got[3].payload_digest == "md5:00ff" and got[0].headers["X-Same"] == "1"
+    assert read_warc(spark, f"file://{tmp_path}/x.warc").where("record_id = '<urn:x:1>'").count() == 1
