@@ -135,8 +135,9 @@ def douglas_peucker(p: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
-def simplify(tolerance: float):
-    """An Arrow function from lines to simplified lines."""
+def simplify(tolerance: float, degrees: bool = False):
+    """An Arrow function from lines to simplified lines. degrees: points are longitudes and latitudes and the tolerance is metres, on a plane
+    that touches the globe at the line's mean latitude."""
 
     @F.pandas_udf(POINTS)
     def run(lines: pd.Series) -> pd.Series:
@@ -146,6 +147,8 @@ def simplify(tolerance: float):
                 out.append(line)
                 continue
             p = np.array([(q["x"], q["y"]) for q in line], float)
+            if degrees:
+                p = p * (np.pi / 180 * 6_371_008.8) * np.array([np.cos(np.radians(p[:, 1].mean())), 1.0])
             out.append([q for q, k in zip(line, douglas_peucker(p, tolerance), strict=True) if k])
         return pd.Series(out)
 

@@ -5,15 +5,26 @@ Every reader declares its schema; nothing is inferred. Writers write partitioned
 
 from __future__ import annotations
 
+import fnmatch
+import io
+import zipfile
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meridia.functions import scalars as S
 
+from .shared import scratch
+
 # The columns of the gazetteer format, in order.
 GAZETTEER = "geonameid name asciiname alternatenames latitude longitude feature_class feature_code country_code cc2 admin1_code admin2_code admin3_code admin4_code population elevation dem timezone modification_date".split()
-FEATURE = "properties:map<string,string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>"
-RULE = "rule_id string, priority int, quality string, include array<string>, exclude array<string>"
+#: Coordinates and arcs are read as text, as their depth depends on the type of geometry.
+FEATURE = "properties map<string,string>, geometry struct<type:string,coordinates:string>"
+PAIRS, POINTS = "array<array<array<double>>>", "array<struct<x:double,y:double>>"
+RULE = "rule_id string, priority int, quality string, tag string, include array<string>, exclude array<string>, countries array<string>, not_countries array<string>, groups array<string>, not_groups array<string>"
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
@@ -41,21 +52,55 @@ def read_segments(spark: SparkSession, path: str, subtype: str, classes: list[st
     return out
 
 
-def write_geojson(df: DataFrame, path: str, rings: str, properties: list[str]) -> None:
-    """One feature a line; null properties are left out."""
-    points = F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
+def write_geojson(df: DataFrame, path: str, rings: str, properties: list[str], parts: bool = False) -> None:
+    """One feature a line; null properties are left out. parts: the column is an array of polygons (arrays of rings); of several a MultiPolygon is made."""
+    points = lambda polygon: F.transform(polygon, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
     props = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in properties]), lambda e: e["v"].isNotNull()))
-    df.select(F.lit("Feature").alias("type"), props.alias("properties"), F.struct(F.lit("Polygon").alias("type"), points.alias("coordinates")).alias("geometry")).write.json(path)
+    feature = lambda kind, c: F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), F.struct(F.lit(kind).alias("type"), c.alias("coordinates")).alias("geometry")))
+    if parts:
+        line = F.when(F.size(rings) == 1, feature("Polygon", points(F.get(rings, F.lit(0))))).otherwise(feature("MultiPolygon", F.transform(rings, points)))
+    else:
+        line = feature("Polygon", points(F.col(rings)))
+    df.select(line).write.text(path)
+
+
+def polygon_parts(kind: Column, coordinates: Column, pair: str = PAIRS) -> Column:
+    """Text of a Polygon's or MultiPolygon's coordinates (or arcs) to an array of polygons; null for other geometries."""
+    return F.when(kind == "Polygon", F.array(F.from_json(coordinates, pair))).when(kind == "MultiPolygon", F.from_json(coordinates, f"array<{pair}>"))
+
+
+def _features(rows: DataFrame, properties: list[str]) -> DataFrame:
+    xy = lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    parts = F.transform(polygon_parts(F.col("geometry.type"), F.col("geometry.coordinates")), lambda polygon: F.transform(polygon, xy))
+    out = rows.select(*[F.try_element_at("properties", F.lit(c)).alias(c) for c in properties], parts.alias("parts"))
+    return out.withColumn("rings", F.flatten("parts"))
 
 
 def read_geojson(spark: SparkSession, path: str, properties: list[str], collection: bool = False) -> DataFrame:
-    """Polygon features, one a line or (collection) as one FeatureCollection a file; properties as string columns."""
-    reader = spark.read.schema(f"features array<struct<{FEATURE}>>" if collection else FEATURE.replace(":map", " map").replace(",geometry:struct", ", geometry struct"))
-    rows = reader.option("multiLine", collection).json(path)
-    if collection:
-        rows = rows.select(F.explode("features").alias("f")).select("f.*")
-    ring = F.transform("geometry.coordinates", lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
-    return rows.select(*[F.try_element_at("properties", F.lit(c)).alias(c) for c in properties], ring.alias("rings"))
+    """Polygon and MultiPolygon features, one a line or (collection) as one FeatureCollection a file: properties as string columns,
+    parts (an array of polygons, each an array of rings) and rings (those of all parts). Other geometries are null; text that is no JSON is an error."""
+    reader = spark.read.schema(f"features array<struct<{FEATURE}>>" if collection else FEATURE)
+    rows = reader.option("multiLine", collection).option("mode", "FAILFAST").json(path)
+    return _features(rows.select(F.explode("features").alias("f")).select("f.*") if collection else rows, properties)
+
+
+def read_zipped_geojson(spark: SparkSession, path: str, member: str, properties: list[str]) -> DataFrame:
+    """Features of the FeatureCollections in zip archives at path, those members whose name fits the pattern (as of a shell); a task holds a member at a time.
+    An archive without such a member is an error."""
+
+    def unpack(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    names = sorted(n for n in z.namelist() if fnmatch.fnmatch(n, member))
+                    if not names:
+                        raise ValueError(f"no member of the archive is named like {member}")
+                    for n in names:
+                        yield pd.DataFrame({"text": [z.read(n).decode("utf-8-sig")]})
+
+    texts = spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "text string")
+    whole = F.from_json("text", f"features array<struct<{FEATURE}>>", {"mode": "FAILFAST"})
+    return _features(texts.select(F.explode(whole["features"]).alias("f")).select("f.*"), properties)
 
 
 def read_keyed_map(spark: SparkSession, path: str, field: str) -> DataFrame:
@@ -71,8 +116,8 @@ def read_hierarchy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules of a known quality; the order of priority and id is a column, seq, as files have none."""
-    return spark.read.schema(RULE).json(path).where("quality IN ('approx', 'exact', 'manual')").withColumn("order_key", F.struct("priority", "rule_id"))
+    """Rules of a known quality, with the columns of RULE; their order is that of priority and id, which operators.rules goes by."""
+    return spark.read.schema(RULE).json(path).where("quality IN ('approx', 'exact', 'manual')")
 
 
 def with_provenance(df: DataFrame) -> DataFrame:
@@ -112,24 +157,44 @@ def write_tiles(df: DataFrame, path: str, xmin: str, ymin: str, xmax: str, ymax:
     return back.groupBy(F.col("lod").cast("int").alias("lod"), "tile").agg(F.count(F.lit(1)).alias("feature_count"), F.min(xmin).alias("xmin"), F.min(ymin).alias("ymin"), F.max(xmax).alias("xmax"), F.max(ymax).alias("ymax"))
 
 
-TOPOLOGY = "transform struct<scale:array<double>,translate:array<double>>, arcs array<array<array<double>>>, objects map<string,struct<geometries:array<struct<type:string,arcs:array<array<int>>,properties:map<string,string>>>>>"
-
-
-def read_topology(spark: SparkSession, path: str, name: str, properties: list[str]) -> DataFrame:
-    """Polygons of one object of quantised topologies, a file or a line each: arcs are running sums, scaled and shifted;
-    an arc numbered ~k is arc k backwards; arcs of a ring share their joints."""
-    rows = spark.read.schema(TOPOLOGY).json(path)
-    zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.array().cast("array<struct<x:double,y:double>>").alias("out"))
-    scale, shift = F.col("transform.scale"), F.col("transform.translate")
-
-    def step(acc: Column, d: Column) -> Column:
-        x, y = acc["x"] + d[0], acc["y"] + d[1]
-        return F.struct(x.alias("x"), y.alias("y"), F.concat(acc["out"], F.array(F.struct((x * scale[0] + shift[0]).alias("x"), (y * scale[1] + shift[1]).alias("y")))).alias("out"))
-
-    rows = rows.withColumn("lines", F.transform("arcs", lambda a: F.aggregate(a, zero, step)["out"])).withColumn("g", F.explode(F.try_element_at("objects", F.lit(name))["geometries"]))
-    arc = lambda k: F.when(k >= 0, F.get("lines", k)).otherwise(F.reverse(F.get("lines", -1 - k)))
-    ring = lambda r: F.flatten(F.transform(r, lambda k: F.slice(arc(k), 1, F.size(arc(k)) - 1)))
-    return rows.select(*[F.try_element_at("g.properties", F.lit(c)).alias(c) for c in properties], F.transform("g.arcs", ring).alias("rings"))
+TOPOLOGY = "transform struct<scale:array<double>,translate:array<double>>, arcs array<array<array<double>>>, objects map<string,struct<geometries:array<struct<type:string,arcs:string,properties:map<string,string>>>>>"
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def arc_places(arc: pd.Series, scale: pd.Series, shift: pd.Series) -> pd.Series:
+    """An arc's points: of a quantised topology the running sums, scaled and shifted; else as they stand."""
+    out = []
+    for a, k, t in zip(arc, scale, shift, strict=True):
+        p = np.array([list(q)[:2] for q in a], float).reshape(-1, 2)
+        out.append((p if k is None else p.cumsum(0) * np.asarray(k, float) + np.asarray(t, float)).tolist())
+    return pd.Series(out)
+
+
+def read_topology(spark: SparkSession, path: str, name: str, properties: list[str], lines: bool = False) -> DataFrame:
+    """Polygons and MultiPolygons of one object of topologies, a file each (indented or not) or, with lines, a line each: properties,
+    parts and rings as of read_geojson. Quantised or not; an arc numbered ~k is arc k backwards; arcs of a ring share their
+    joints. A geometry of another type has null parts; text that is no JSON, or an arc that is not there, is an error.
+
+    Arcs and geometries become rows that meet by topology and arc, so no row carries a whole file's arcs.
+    """
+    rows = spark.read.schema(TOPOLOGY).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
+    rows = scratch(rows.withColumn("topology", F.monotonically_increasing_id()), "topologies")
+    arcs = rows.select("topology", "transform", F.posexplode("arcs").alias("arc", "points"))
+    arcs = arcs.select("topology", "arc", F.transform(arc_places("points", "transform.scale", "transform.translate"), lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("points"))
+    each = rows.select("topology", F.posexplode(F.try_element_at("objects", F.lit(name))["geometries"]).alias("geometry", "g"))
+    shape = F.transform(polygon_parts(F.col("g.type"), F.col("g.arcs"), "array<array<int>>"), lambda polygon: F.transform(polygon, lambda ring: F.struct(ring.alias("ring"))))
+    uses = each.select("topology", "geometry", F.posexplode(shape).alias("part", "polygon")).select("topology", "geometry", "part", F.posexplode("polygon").alias("ring", "r"))
+    uses = uses.select("topology", "geometry", "part", "ring", F.posexplode("r.ring").alias("place", "k"))
+    met = uses.withColumn("arc", F.when(F.col("k") >= 0, F.col("k")).otherwise(-1 - F.col("k"))).join(arcs, ["topology", "arc"], "left")
+    points = F.coalesce("points", F.raise_error(F.lit("a topology lacks an arc that it names")).cast(POINTS))
+    piece = F.when(F.col("k") >= 0, points).otherwise(F.reverse(points))
+    piece = F.slice(piece, 1, F.size(piece) - 1)  # the last point is the next arc's first
+    rings = met.groupBy("topology", "geometry", "part", "ring").agg(F.array_sort(F.collect_list(F.struct("place", piece.alias("points")))).alias("p"))
+    rings = rings.select("topology", "geometry", "part", "ring", F.flatten("p.points").alias("points"))
+    parts = rings.groupBy("topology", "geometry", "part").agg(F.array_sort(F.collect_list(F.struct("ring", "points"))).alias("r")).select("topology", "geometry", "part", F.col("r.points").alias("rings"))
+    parts = parts.groupBy("topology", "geometry").agg(F.array_sort(F.collect_list(F.struct("part", "rings"))).alias("p")).select("topology", "geometry", F.col("p.rings").alias("parts"))
+    out = each.select("topology", "geometry", *[F.try_element_at("g.properties", F.lit(c)).alias(c) for c in properties]).join(parts, ["topology", "geometry"], "left")
+    return out.select(*properties, "parts", F.flatten("parts").alias("rings"))
 
 
 def nested_lists(text: Column, key: str) -> Column:
