@@ -2,41 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the folder that the cluster shares and reads it back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from meridia.functions import scalars as S
+from meridia.sources.shared import scratch
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each node of nodes (id) reaches over edges (src, dst) in either direction.
 
-    Every round a node takes the least label of its neighbours and then that label's own label, so that labels travel
-    twice as far each time.
+    A round ties every node's greater neighbours to the least node that it knows, then its lesser ones (large and small
+    star); what is left at the end is one edge from each node to its component. Rounds grow with the
+    logarithm of the nodes.
     """
-    both = scratch(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), "edges")
-    labels = scratch(nodes.select("id", F.col("id").alias("component")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("dst"), "component"), "dst").groupBy("src").agg(F.min("component").alias("least"))
-        step = labels.join(near, labels.id == near.src, "left").select("id", "component", F.least("component", "least").alias("to"))
-        jump = labels.select(F.col("id").alias("to"), F.col("component").alias("beyond"))
-        new = scratch(step.join(jump, "to", "left").select("id", F.col("component").alias("was"), F.least("to", "beyond").alias("component")), "labels")
-        labels = new.select("id", "component")
-        if new.where("was <> component").isEmpty():
-            return labels
+
+    def star(e: DataFrame, larger: bool) -> DataFrame:
+        both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        both = both if larger else both.where("dst < src")
+        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+        near = both.join(least, "src").where("dst > src AND dst <> m" if larger else "dst <> m")
+        out = near.select(F.col("m").alias("src"), F.col("dst").alias("dst"))
+        return (out if larger else out.unionByName(least.where("m < src").select(F.col("m").alias("src"), F.col("src").alias("dst")))).distinct()
+
+    kept = scratch(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
+    was, now = None, kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+    while now[0] and now != was:
+        kept = scratch(star(scratch(star(kept, True), "large"), False), "small")
+        was, now = now, kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+    return nodes.select("id").join(kept.select(F.col("dst").alias("id"), F.col("src").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def merge_lines(segments: DataFrame, key: str, attrs: list[str], start: str, end: str) -> DataFrame:
@@ -70,6 +64,31 @@ def greedy_colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return done
 
 
+def palette_colours(nodes: DataFrame, edges: DataFrame, palette: DataFrame) -> DataFrame:
+    """(id, colour): nodes (id, fixed) in order of falling degree (ties by rising id) get the palette's colour (columns place and colour, a hex text)
+    whose least distance in Lab to the coloured neighbours is greatest, of equals that of the least place; colours that a neighbour has are taken
+    only if nothing else is left. A node with a fixed colour has that from the start. A round colours all nodes whose neighbours before them are
+    coloured, which gives what one by one would give. Distances are rounded to 6 digits, so that ties are ties on every machine.
+    """
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
+    degree = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
+    ranked = scratch(nodes.select("id", "fixed").join(degree, "id", "left").select("id", "fixed", F.coalesce("degree", F.lit(0)).alias("degree")), "ranked")
+    one = ranked.where("fixed IS NULL").select(F.col("id").alias("src"), F.col("degree").alias("d1"))
+    two = ranked.select(F.col("id").alias("dst"), F.col("degree").alias("d2"), F.col("fixed").alias("f2"))
+    before = scratch(both.join(one, "src").join(two, "dst").where("f2 IS NOT NULL OR d2 > d1 OR d2 = d1 AND dst < src").select(F.col("src").alias("id"), F.col("dst").alias("of")), "before")
+    pairs = palette.select("place", "colour")
+    done, rest = scratch(ranked.where("fixed IS NOT NULL").select("id", F.upper("fixed").alias("colour")), "coloured"), scratch(one.select(F.col("src").alias("id")), "rest")
+    while not rest.isEmpty():
+        seen = before.join(done.select(F.col("id").alias("of"), "colour"), "of", "left").groupBy("id").agg(F.count_if(F.col("colour").isNull()).alias("open"), F.collect_set("colour").alias("used"))
+        ready = rest.join(seen, "id", "left").where("coalesce(open, 0) = 0").select("id", F.coalesce("used", F.array().cast("array<string>")).alias("used"))
+        each = ready.crossJoin(F.broadcast(pairs))  # a palette is a short list of colours
+        far = F.array_min(F.transform("used", lambda u: F.round(S.delta_e(F.upper("colour"), u), 6)))
+        best = F.max(F.struct((~F.array_contains("used", F.upper("colour"))).alias("free"), F.coalesce(far, F.lit(float("inf"))).alias("far"), (-F.col("place")).alias("p"), F.upper("colour").alias("colour")))
+        done = scratch(done.unionByName(each.groupBy("id").agg(best["colour"].alias("colour"))), "coloured")
+        rest = scratch(rest.join(done, "id", "left_anti"), "rest")
+    return done
+
+
 def reuse_ids(members: DataFrame, old: str, new: str) -> DataFrame:
     """(new, id): a new component that is the only successor of its only predecessor keeps its id; one of several successors
     gets a numbered child id; one without a single predecessor gets an id of its own. members: rows with an old (or null)

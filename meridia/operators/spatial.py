@@ -102,3 +102,12 @@ def edges(polygons: DataFrame, rings: str) -> DataFrame:
     a, b = F.get("ring", F.col("i")), F.get("ring", (F.col("i") + 1) % F.size("ring"))
     low, high = F.least(a, b), F.greatest(a, b)
     return each.select(*[c for c in polygons.columns if c != rings], low["x"].alias("x0"), low["y"].alias("y0"), high["x"].alias("x1"), high["y"].alias("y1"))
+
+
+def bisect(boxes: DataFrame, xmin: str, ymin: str, xmax: str, ymax: str) -> DataFrame:
+    """Two rows, half 0 and 1, for each box, cut across the middle of its longer side (of a square its width)."""
+    wide = F.col(xmax) - F.col(xmin) >= F.col(ymax) - F.col(ymin)
+    half = boxes.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"_x": (F.col(xmin) + F.col(xmax)) / 2, "_y": (F.col(ymin) + F.col(ymax)) / 2, "_wide": wide})
+    cut = lambda own, mid, across, k: F.when(across & (F.col("half") == k), F.col(mid)).otherwise(F.col(own))
+    w = F.col("_wide")
+    return half.withColumns({xmin: cut(xmin, "_x", w, 1), ymin: cut(ymin, "_y", ~w, 1), xmax: cut(xmax, "_x", w, 0), ymax: cut(ymax, "_y", ~w, 0)}).drop("_x", "_y", "_wide")

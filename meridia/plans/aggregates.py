@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meridia.functions import scalars as S
+from meridia.operators import selection
 from meridia.operators import spatial as G
 
 from .joins import BOX, BOX2, second
@@ -97,16 +98,7 @@ def _(v):
 
 @query("d16_percentiles", "WITH x AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM pixels WHERE value > 0) SELECT count(*) AS n, max(value) AS top, max(value) FILTER (WHERE i = CAST(round((n - 1) * 0.5) AS BIGINT)) AS p50, max(value) FILTER (WHERE i = CAST(round((n - 1) * 0.9) AS BIGINT)) AS p90, max(value) FILTER (WHERE i = CAST(round((n - 1) * 0.99) AS BIGINT)) AS p99 FROM x")
 def _(v):
-    # Exact ranks from a histogram of the values: its rows are distinct values, not pixels.
-    h = v.pixels.where("value > 0").groupBy("value").agg(F.count("*").alias("k"))
-    all_ = h.agg(F.sort_array(F.collect_list(F.struct("value", "k"))).alias("h"), F.sum("k").alias("n"), F.max("value").alias("top"))
-
-    def at(q):
-        rank = F.round((F.col("n") - 1) * q).cast("long")
-        step = lambda a, x: F.struct((a["seen"] + x["k"]).alias("seen"), F.when((a["seen"] <= rank) & (rank < a["seen"] + x["k"]), x["value"]).otherwise(a["value"]).alias("value"))
-        return F.aggregate("h", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("value")), step)["value"]
-
-    return all_.select("n", "top", at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
+    return selection.at_ranks(v.pixels.where("value > 0"), "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
 
 
 @query("d17_nested_rollup", "SELECT u.group_id, f.unit_id, count(*) AS features FROM features f JOIN units u USING (unit_id) GROUP BY ROLLUP (u.group_id, f.unit_id)")

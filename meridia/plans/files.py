@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from meridia.functions import geometry as M
+from meridia.operators import manifests
 from meridia.operators import spatial as G
 from meridia.sources import files as R
-from meridia.streaming.edits import shared
+from meridia.sources.shared import shared
 
 from .joins import BOX
 from .registry import query
@@ -53,11 +55,23 @@ def _(v):
     return R.read_geojson(v.spark, path, ["zone_id"]).select("zone_id", xmin.alias("xmin"), ymax.alias("ymax"))
 
 
+@query("a5_multi_part_features", "SELECT CAST(zone_id AS VARCHAR) AS zone_id, CASE WHEN zone_id % 3 = 0 THEN 2 ELSE 1 END AS parts, round((xmax - xmin) * (ymax - ymin) - CASE WHEN zone_id % 3 = 0 THEN 2 * (ymax - ymin) ELSE 0 END, 6) AS area FROM zones")
+def _(v):
+    # Every third zone is cut in two parts with a gap of 2 degrees, as a MultiPolygon.
+    path, mid = shared(v.spark, "geojson"), (F.col("xmin") + F.col("xmax")) / 2
+    z = v.zones.withColumns({"left": mid - 1, "right": mid + 1})
+    parts = F.when(F.col("zone_id") % 3 == 0, F.array(G.box_rings("xmin", "ymin", "left", "ymax"), G.box_rings("right", "ymin", "xmax", "ymax"))).otherwise(F.array(G.box_rings(*BOX)))
+    R.write_geojson(z.select("zone_id", parts.alias("parts")), path, "parts", ["zone_id"], parts=True)
+    own = F.aggregate("parts", F.lit(0.0), lambda a, p: a + M.area(p))
+    return R.read_geojson(v.spark, path, ["zone_id"]).select("zone_id", F.size("parts").alias("parts"), F.round(own, 6).alias("area"))
+
+
 @query("a7_keyed_map_scan", "SELECT CAST(feature_id AS VARCHAR) AS id, upper(owner) AS tag FROM features WHERE feature_id % 10 <> 0")
 def _(v):
     path = shared(v.spark, "owners")
     tag = F.when(F.col("feature_id") % 10 == 0, "  ").otherwise(F.concat(F.lit(" "), F.lower("owner")))
-    files = v.features.groupBy("unit_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("feature_id").cast("string"), tag))).alias("owners"))
+    # A document holds the features of one hash of the ids, some hundreds, however many a unit has; the reader takes any number of files.
+    files = v.features.groupBy("unit_id", F.pmod(F.xxhash64("feature_id"), F.lit(64))).agg(F.map_from_entries(F.collect_list(F.struct(F.col("feature_id").cast("string"), tag))).alias("owners"))
     files.select("owners").write.option("maxRecordsPerFile", 1).json(path)
     return R.read_keyed_map(v.spark, path, "owners")
 
@@ -126,6 +140,19 @@ def _(v):
     return out
 
 
+@query("a18_manifest_artifacts", "SELECT 'places' AS role, 'publish' AS artifact_class, count(*) AS feature_count, TRUE AS whole FROM places UNION ALL SELECT 'zones', 'derived', count(*), TRUE FROM zones UNION ALL SELECT 'segments', 'derived', count(*), TRUE FROM segments")
+def _(v):
+    # Each layer is written; its row tells files, bytes and a digest of all files, which differ from run to run by the files' names and sizes.
+    spec = {}
+    for role, kind in (("places", "publish"), ("zones", "derived"), ("segments", "derived")):
+        path = shared(v.spark, role)
+        getattr(v, role).write.parquet(path)
+        spec[role] = path, kind, 2
+    m = manifests.output_manifest(v.spark, spec)
+    whole = (F.col("files") > 0) & (F.col("bytes") > 0) & F.col("sha256").rlike("^[0-9a-f]{64}$")
+    return m.select("role", "artifact_class", "feature_count", whole.alias("whole"))
+
+
 @query("a19_source_ledger", "SELECT o_orderstatus AS consumer, count(*) AS n, 0 AS unhashed FROM orders GROUP BY o_orderstatus")
 def _(v):
     path = shared(v.spark, "ledger")

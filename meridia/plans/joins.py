@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meridia.functions import scalars as S
+from meridia.operators import rules as rules_of
 from meridia.operators import spatial as G
 
 from .registry import query
@@ -103,11 +104,12 @@ def _(v):
     "SELECT DISTINCT r.r_regionkey AS rule_id, f.feature_id FROM features f JOIN units u ON u.unit_id = f.unit_id, region r WHERE (u.group_id = r.r_regionkey OR f.unit_id = r.r_regionkey * 3 OR f.feature_id % 500 = r.r_regionkey) AND NOT (f.unit_id = r.r_regionkey + 5)",
 )
 def _(v):
-    f = v.features.join(v.units.select("unit_id", "group_id"), "unit_id").select("feature_id", "unit_id", "group_id")
-    rules = v.region.select(F.col("r_regionkey").alias("rule_id"), F.array("r_regionkey").alias("groups"), F.array(F.col("r_regionkey") * 3).alias("units"), F.array("r_regionkey").alias("tails"), F.array(F.col("r_regionkey") + 5).alias("not_units"))
-    by = lambda array, key, column: f.join(rules.select("rule_id", F.explode(array).alias(key)), column == F.col(key)).select("rule_id", "feature_id")
-    taken = by("groups", "g", F.col("group_id")).union(by("units", "u", F.col("unit_id"))).union(by("tails", "t", F.col("feature_id") % 500)).distinct()
-    return taken.join(by("not_units", "x", F.col("unit_id")), ["rule_id", "feature_id"], "left_anti")
+    f = v.features.join(v.units.select("unit_id", "group_id"), "unit_id")
+    r = F.col("r_regionkey")
+    rules = v.region.select(r.alias("rule_id"), F.array(r).alias("groups"), F.array(r * 3).alias("units"), F.array(r).alias("tails"), F.array(r + 5).alias("not_units"), F.array().cast("array<string>").alias("none"))
+    chosen = rules_of.selectors(rules, {"group": ("groups", "none"), "unit": ("units", "not_units"), "tail": ("tails", "none")})
+    known = rules_of.members(f, "feature_id", {"group": F.col("group_id"), "unit": F.col("unit_id"), "tail": F.col("feature_id") % 500})
+    return rules_of.targets(chosen, known).withColumnRenamed("id", "feature_id")
 
 
 @query("c10_code_override", "SELECT p_partkey, coalesce(CASE WHEN p_name LIKE '%1' THEN 'by_name' END, CASE WHEN p_brand = 'Brand#1' AND p_size < 10 THEN 'by_pair' END, CASE split_part(p_type, ' ', 1) WHEN 'STANDARD' THEN 'by_type' END, CASE WHEN regexp_matches(p_name, '7') THEN 'by_regex' END, 'default') AS rule FROM part")
@@ -258,9 +260,18 @@ def _(v):
 
 @query("c30_prefix_selectors", "SELECT f.feature_id FROM features f WHERE f.owner LIKE 'Brand#1%' AND NOT f.name LIKE '%9'")
 def _(v):
-    prefixes = v.spark.createDataFrame([("Brand#1",)], "prefix string")
-    taken = v.features.join(F.broadcast(prefixes), F.col("owner").startswith(F.col("prefix")))
-    return taken.where(~F.col("name").endswith("9")).select("feature_id")
+    chosen = v.spark.createDataFrame([("b", False, "prefix", "Brand#1"), ("b", False, "prefix", "Brand#1x"), ("b", True, "tail", "9")], "rule_id string, exclude boolean, kind string, value string")
+    known = rules_of.prefix_members(v.features, "feature_id", F.col("owner"), chosen).unionByName(rules_of.members(v.features, "feature_id", {"tail": F.substring("name", -1, 1)}))
+    return rules_of.targets(chosen, known).select(F.col("id").alias("feature_id"))
+
+
+@query("c30_missing_selectors", "SELECT 'n' || s_nationkey AS rule_id, 'prefix' AS kind, 'Brand#' || s_suppkey AS value FROM supplier WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT owner FROM features) WHERE starts_with(owner, 'Brand#' || s_suppkey))")
+def _(v):
+    # A rule for each nation, with a prefix for each of its suppliers: those that no owner begins with.
+    prefix = F.concat(F.lit("Brand#"), "s_suppkey")
+    chosen = v.supplier.select(F.concat(F.lit("n"), "s_nationkey").alias("rule_id"), F.lit(False).alias("exclude"), F.lit("prefix").alias("kind"), prefix.alias("value"))
+    known = rules_of.prefix_members(v.features, "feature_id", F.col("owner"), chosen)
+    return rules_of.missing(chosen, known).select("rule_id", "kind", "value")
 
 
 @query("c31_name_sync", "SELECT f.feature_id, p.name AS new_name FROM features f JOIN places p ON p.place_id = f.feature_id WHERE f.feature_id % 10 <> 0 AND p.name IS DISTINCT FROM f.name")

@@ -9,7 +9,7 @@ from meridia.functions import scalars as S
 from meridia.operators import graph
 from meridia.operators import spatial as G
 from meridia.sources import files as R
-from meridia.streaming.edits import shared
+from meridia.sources.shared import shared
 
 from .joins import BOX, BOX2, _MEET, second
 from .registry import query
@@ -25,12 +25,20 @@ def _(v):
 
 @query("a6_topology_scan", "SELECT CAST(zone_id AS VARCHAR) AS zone_id, round(xmin, 4) AS xmin, round(ymin, 4) AS ymin, round(xmax, 4) AS xmax, round(ymax, 4) AS ymax FROM zones")
 def _(v):
+    # Topologies of up to 64 zones, each a file; every zone has two arcs of its own, and every fifth is a MultiPolygon that has its ring twice.
     path = shared(v.spark, "topology")
     d = lambda *p: F.array(*[F.expr(x).cast("double") for x in p])
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("zone_id")) - 1
+    z = v.zones.withColumn("doc", F.floor(F.col("zone_id") / 64)).withColumn("nth", nth)
     arcs = F.array(F.array(d("(xmin + 180) * 100", "(ymin + 90) * 100"), d("3000", "0"), d("0", "2000")), F.array(d("(xmin + 180) * 100", "(ymin + 90) * 100"), d("0", "2000"), d("3000", "0")))
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(F.array(F.lit(0), F.lit(-2))).alias("arcs"), F.create_map(F.lit("zone_id"), F.col("zone_id").cast("string")).alias("properties"))
-    transform = F.struct(d("0.01", "0.01").alias("scale"), d("-180", "-90").alias("translate"))
-    v.zones.select(transform.alias("transform"), arcs.alias("arcs"), F.create_map(F.lit("political"), F.struct(F.array(geometry).alias("geometries"))).alias("objects")).write.json(path)
+    ring = F.array(2 * F.col("nth"), -2 - 2 * F.col("nth"))
+    many = F.col("zone_id") % 5 == 0
+    shape = F.when(many, F.to_json(F.array(F.array(ring), F.array(ring)))).otherwise(F.to_json(F.array(ring)))
+    text = lambda form, *c: F.format_string(form, *c)
+    geometry = text('{"type":"%s","arcs":%s,"properties":{"zone_id":"%s"}}', F.when(many, "MultiPolygon").otherwise("Polygon"), shape, F.col("zone_id"))
+    docs = z.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("nth", geometry.alias("g"), F.to_json(arcs).alias("a")))).alias("m"))
+    inner = F.transform("m.a", lambda a: F.substr(a, F.lit(2), F.length(a) - 2))
+    docs.select(text('{"transform":{"scale":[0.01,0.01],"translate":[-180,-90]},\n "arcs":[%s],\n "objects":{"political":{"geometries":[%s]}}}', F.array_join(inner, ",\n"), F.array_join("m.g", ",\n"))).write.option("maxRecordsPerFile", 1).text(path)
     box = G.bounds(F.col("rings"))
     return R.read_topology(v.spark, path, "political", ["zone_id"]).select("zone_id", *[F.round(b, 4).alias(n) for b, n in zip(box, BOX, strict=True)])
 
@@ -112,6 +120,18 @@ def _(v):
     return graph.greedy_colours(v.zones.select(F.col("zone_id").alias("id")), pairs.select("src", "dst"))
 
 
+#: The colours of the query's palette, by place.
+PALETTE = ("#e6194b", "#3cb44b", "#ffe119", "#4363d8", "#f58231", "#911eb4", "#46f0f0", "#f032e6", "#bcf60c", "#fabebe", "#008080", "#e6beff", "#9a6324", "#800000", "#808000", "#000075")
+
+
+@query("i6_palette_colouring")
+def _(v):
+    # Zones with a number that 50 divides have a fixed colour.
+    pairs = G.box_pairs(v.zones.withColumnRenamed("zone_id", "src"), second(v.zones, zone_id="dst"), BOX, BOX2).where("src < dst")
+    nodes = v.zones.select(F.col("zone_id").alias("id"), F.when(F.col("zone_id") % 50 == 0, PALETTE[0]).alias("fixed"))
+    return graph.palette_colours(nodes, pairs.select("src", "dst"), v.spark.createDataFrame(list(enumerate(PALETTE)), "place int, colour string"))
+
+
 @query("m1_product_builder", "SELECT class, count(*) AS n, round(sum(x1 - x0), 4) AS width FROM segments GROUP BY class")
 def _(v):
     builder = lambda part: part.groupBy("class").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x1") - F.col("x0")), 4).alias("width"))

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from meridia.operators import edits as E
 from meridia.operators import graph
+from meridia.operators import rules as rules_of
 from meridia.operators import spatial as G
 
+from meridia.sources import files as R
+from meridia.sources.shared import shared
+
 from .joins import BOX, BOX2, _MEET, polygons, second
 from .registry import query
 
@@ -70,17 +74,55 @@ def _(v):
 
 @query("g9_mapping_resolution", "SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'verified' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'alias' WHEN c_acctbal < 0 THEN 'deny' WHEN c_nationkey > 20 THEN 'unsupported' ELSE 'unreviewed' END AS status FROM customer")
 def _(v):
-    alias = v.spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "c_mktsegment string").withColumn("aliased", F.lit(True))
-    status = F.when(F.col("c_custkey") % 11 == 0, "verified").when(F.col("aliased"), "alias").when(F.col("c_acctbal") < 0, "deny").when(F.col("c_nationkey") > 20, "unsupported").otherwise("unreviewed")
-    return v.customer.join(F.broadcast(alias), "c_mktsegment", "left").select("c_custkey", status.alias("status"))
+    c, one = v.customer, F.lit("1").alias("value")
+    alias = v.spark.createDataFrame([("BUILDING",), ("MACHINERY",)], "c_mktsegment string")
+    pick = lambda t: t.select("c_custkey", one)
+    sources = [("verified", pick(c.where("c_custkey % 11 = 0"))), ("alias", pick(c.join(F.broadcast(alias), "c_mktsegment"))), ("deny", pick(c.where("c_acctbal < 0"))), ("unsupported", pick(c.where("c_nationkey > 20")))]
+    return rules_of.resolve(c, "c_custkey", sources, "unreviewed").select("c_custkey", "status")
 
 
 @query("g10_rule_assignment", "SELECT feature_id, CASE WHEN feature_id % 9 = 0 THEN 'rule3' WHEN unit_id IN (2, 4) THEN 'rule2' WHEN owner = 'Brand#1' THEN 'rule1' ELSE owner END AS tag FROM features")
 def _(v):
-    f = v.features
-    rules = [("rule1", F.col("owner") == "Brand#1"), ("rule2", F.col("unit_id").isin(2, 4)), ("rule3", F.col("feature_id") % 9 == 0)]
-    hits = F.filter(F.array(*[F.when(c, t) for t, c in rules]), lambda x: x.isNotNull())
-    return f.select("feature_id", F.coalesce(F.get(hits, F.size(hits) - 1), F.col("owner")).alias("tag"))
+    # The rules as a table: a country's selectors, a group's and an id's; the last in the order of priority wins.
+    rows = [("rule1", 1, "rule1", ["Brand#1"], [], []), ("rule2", 2, "rule2", [], ["2", "4"], []), ("rule3", 3, "rule3", [], [], ["0"])]
+    rules = v.spark.createDataFrame([(*r, []) for r in rows], "rule_id string, priority int, tag string, owners array<string>, units array<string>, ninths array<string>, none array<string>")
+    chosen = rules_of.selectors(rules, {"owner": ("owners", "none"), "unit": ("units", "none"), "ninth": ("ninths", "none")})
+    known = rules_of.members(v.features, "feature_id", {"owner": F.col("owner"), "unit": F.col("unit_id"), "ninth": F.col("feature_id") % 9})
+    out = rules_of.assign(v.features, "feature_id", rules, rules_of.targets(chosen, known), F.col("owner"), {})
+    return out.select(F.col("id").alias("feature_id"), "tag")
+
+
+_RULES = "r AS (SELECT 's' || s_suppkey AS rule_id, CAST(s_suppkey % 7 AS INTEGER) AS priority, 'T' || s_nationkey AS tag, 'Brand#' || (s_suppkey % 40) AS country, CAST(s_suppkey % 30 AS BIGINT) AS grp, CAST(s_suppkey * 3 AS BIGINT) AS inc, CAST(s_suppkey * 3 + 1 AS BIGINT) AS exc FROM supplier WHERE s_suppkey % 10 <> 0)"
+_HITS = "h AS (SELECT r.rule_id, r.priority, r.tag, f.feature_id FROM features f JOIN r ON (f.feature_id = r.inc OR (f.owner = r.country AND r.priority = 0) OR (f.unit_id = r.grp AND r.priority = 1)) AND f.feature_id <> r.exc)"
+
+
+def supplier_rules(v):
+    """A file of rules, one for each supplier, read back: those of the first priority select by country, of the second by group, all by an id."""
+    path, k, none = shared(v.spark, "rules"), F.col("s_suppkey"), F.array().cast("array<string>")
+    text = lambda c: F.array(c.cast("string"))
+    v.supplier.select(
+        F.concat(F.lit("s"), k).alias("rule_id"), (k % 7).cast("int").alias("priority"), F.when(k % 10 == 0, "draft").otherwise("manual").alias("quality"), F.concat(F.lit("T"), "s_nationkey").alias("tag"), text(k * 3).alias("include"), text(k * 3 + 1).alias("exclude"),
+        F.when(k % 7 == 0, F.array(F.concat(F.lit("Brand#"), k % 40))).otherwise(none).alias("countries"), F.when(k % 7 == 1, text(k % 30)).otherwise(none).alias("groups"),
+    ).write.json(path)
+    rules = R.read_rules(v.spark, path)
+    chosen = rules_of.selectors(rules, {"id": ("include", "exclude"), "country": ("countries", "not_countries"), "group": ("groups", "not_groups")})
+    known = rules_of.members(v.features, "feature_id", {"id": F.col("feature_id"), "country": F.col("owner"), "group": F.col("unit_id")})
+    return rules, chosen, known
+
+
+@query("g10_rule_table", f"WITH {_RULES}, {_HITS}, w AS (SELECT feature_id, rule_id, tag FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY priority DESC, rule_id DESC) AS rn FROM h) WHERE rn = 1) SELECT f.feature_id, coalesce(w.tag, CASE WHEN f.unit_id < 10 THEN f.owner END, CASE WHEN f.owner = f.controller THEN f.controller END, 'X' || f.unit_id) AS tag, CASE WHEN w.tag IS NOT NULL THEN w.rule_id WHEN f.unit_id < 10 THEN 'direct' WHEN f.owner = f.controller THEN 'mapped' ELSE 'synthetic' END AS source FROM features f LEFT JOIN w USING (feature_id)")
+def _(v):
+    rules, chosen, known = supplier_rules(v)
+    direct = F.when(F.col("unit_id") < 10, F.col("owner"))
+    fallbacks = {"mapped": F.when(F.col("owner") == F.col("controller"), F.col("controller")), "synthetic": F.concat(F.lit("X"), "unit_id")}
+    return rules_of.assign(v.features, "feature_id", rules, rules_of.targets(chosen, known), direct, fallbacks).withColumnRenamed("id", "feature_id")
+
+
+@query("g10_rule_diagnostics", f"WITH {_RULES}, {_HITS} SELECT 'empty rule' AS kind, rule_id FROM r WHERE rule_id NOT IN (SELECT rule_id FROM h) UNION ALL SELECT 'missing group', rule_id FROM r WHERE priority = 1 AND grp NOT IN (SELECT unit_id FROM features) UNION ALL SELECT 'missing country', rule_id FROM r WHERE priority = 0 AND country NOT IN (SELECT owner FROM features) UNION ALL SELECT 'missing id', rule_id FROM (SELECT rule_id, inc AS id FROM r UNION ALL SELECT rule_id, exc FROM r) WHERE id NOT IN (SELECT feature_id FROM features)")
+def _(v):
+    rules, chosen, known = supplier_rules(v)
+    none = rules_of.empty(rules, rules_of.targets(chosen, known)).select(F.lit("empty rule").alias("kind"), "rule_id")
+    return none.unionByName(rules_of.missing(chosen, known).select(F.concat(F.lit("missing "), "kind").alias("kind"), "rule_id"))
 
 
 @query("g11_append_missing", "SELECT place_id, name, population FROM places UNION ALL SELECT place_id, name, NULL FROM gazetteer_b")
@@ -114,8 +156,28 @@ def _(v):
 
 @query("g16_rule_pack", "SELECT rule, count(*) AS matched FROM (SELECT CASE WHEN unit_id < 5 THEN 'west' WHEN owner LIKE '%2' THEN 'two' ELSE 'none' END AS rule FROM features) GROUP BY rule")
 def _(v):
-    rule = F.when(F.col("unit_id") < 5, "west").when(F.col("owner").endswith("2"), "two").otherwise("none")
-    return v.features.groupBy(rule.alias("rule")).agg(F.count("*").alias("matched"))
+    rules = v.spark.createDataFrame([("two", 1, "two", [], ["2"], []), ("west", 2, "west", ["0", "1", "2", "3", "4"], [], [])], "rule_id string, priority int, tag string, units array<string>, ends array<string>, none array<string>")
+    chosen = rules_of.selectors(rules, {"unit": ("units", "none"), "end": ("ends", "none")})
+    known = rules_of.members(v.features, "feature_id", {"unit": F.col("unit_id"), "end": F.substring("owner", -1, 1)})
+    applied = rules_of.apply_pack(v.features, "feature_id", rules, rules_of.targets(chosen, known))
+    return applied.groupBy(F.coalesce("rule_id", F.lit("none")).alias("rule")).agg(F.count("*").alias("matched"))
+
+
+_WON = "w AS (SELECT feature_id, rule_id, tag FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY priority DESC, rule_id DESC) AS rn FROM h) WHERE rn = 1), a AS (SELECT f.feature_id AS id, coalesce(w.tag, f.owner) AS owner, f.controller, coalesce(w.tag, f.owner) AS core, w.rule_id FROM features f LEFT JOIN w USING (feature_id))"
+
+
+@query("g16_pack_applied", f"WITH {_RULES}, {_HITS}, {_WON} SELECT * FROM a")
+def _(v):
+    rules, chosen, known = supplier_rules(v)
+    return rules_of.apply_pack(v.features, "feature_id", rules, rules_of.targets(chosen, known), controllers=False)
+
+
+@query("g16_pack_errors", f"WITH {_RULES}, {_HITS}, {_WON} SELECT 'no target' AS error, rule_id AS subject, 0 AS n FROM r WHERE rule_id NOT IN (SELECT rule_id FROM h) UNION ALL SELECT 'retired owner', owner, count(*) FROM a WHERE owner IN (SELECT 'Brand#' || n_nationkey FROM nation WHERE n_nationkey % 2 = 1) GROUP BY owner")
+def _(v):
+    rules, chosen, known = supplier_rules(v)
+    hit = rules_of.targets(chosen, known)
+    retired = v.nation.where("n_nationkey % 2 = 1").select(F.concat(F.lit("Brand#"), "n_nationkey").alias("tag"))
+    return rules_of.pack_errors(rules, hit, rules_of.apply_pack(v.features, "feature_id", rules, hit, controllers=False), retired)
 
 
 @query("g17_consistent_backfill", "SELECT feature_id, CASE WHEN feature_id % 4 <> 0 THEN owner WHEN owner = controller THEN controller END AS owner FROM features")
@@ -140,8 +202,8 @@ def _(v):
 def _(v):
     changed = v.features.where("lower(trim(owner)) <> lower(trim(controller))")
     rn = F.row_number().over(Window.partitionBy("unit_id").orderBy("feature_id"))
-    top = changed.withColumn("rn", rn)
-    return top.groupBy("unit_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("rn") <= 25, F.col("feature_id")))).alias("sample"))
+    top = changed.withColumn("rn", rn).where("rn <= 25").groupBy("unit_id").agg(F.sort_array(F.collect_list("feature_id")).alias("sample"))
+    return changed.groupBy("unit_id").agg(F.count("*").alias("n")).join(top, "unit_id").select("unit_id", "n", "sample")
 
 
 _ZONES = "zones a JOIN zones b ON a.zone_id <> b.zone_id AND abs(a.xmin - b.xmin) <= 6 AND abs(a.ymin - b.ymin) <= 6"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import geometry as M
 from meridia.functions import scalars as S
-from meridia.operators import graph
+from meridia.operators import graph, manifests, selection
 from meridia.operators import spatial as G
 
 from .joins import BOX, BOX2, second
@@ -65,13 +65,27 @@ def _(v):
 
 @query("h27_bisect", "SELECT zone_id, half, CASE WHEN half = 1 THEN (xmin + xmax) / 2 ELSE xmin END AS xmin, CASE WHEN half = 0 THEN (xmin + xmax) / 2 ELSE xmax END AS xmax FROM zones, (SELECT unnest([0, 1]) AS half)")
 def _(v):
-    # The longer side, here always the width, is halved.
+    # The longer side, in this layer always the width, is halved; h27_bisect_longer has boxes of both kinds.
     wide = (F.col("xmax") - F.col("xmin")) >= (F.col("ymax") - F.col("ymin"))
     mid = (F.col("xmin") + F.col("xmax")) / 2
     z = v.zones.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
     return z.select("zone_id", "half", F.when(wide & (F.col("half") == 1), mid).otherwise(F.col("xmin")).alias("xmin"), F.when(wide & (F.col("half") == 0), mid).otherwise(F.col("xmax")).alias("xmax"))
 
 
+@query("h27_bisect_longer", "SELECT part_id, half, CASE WHEN wide AND half = 1 THEN (xmin + xmax) / 2 ELSE xmin END AS xmin, CASE WHEN NOT wide AND half = 1 THEN (ymin + ymax) / 2 ELSE ymin END AS ymin, CASE WHEN wide AND half = 0 THEN (xmin + xmax) / 2 ELSE xmax END AS xmax, CASE WHEN NOT wide AND half = 0 THEN (ymin + ymax) / 2 ELSE ymax END AS ymax FROM (SELECT p_partkey AS part_id, CAST(0 AS DOUBLE) AS xmin, CAST(0 AS DOUBLE) AS ymin, CAST(p_size AS DOUBLE) AS xmax, CAST(p_partkey % 50 + 1 AS DOUBLE) AS ymax, p_size >= p_partkey % 50 + 1 AS wide FROM part), (SELECT unnest([0, 1]) AS half)")
+def _(v):
+    boxes = v.part.select(F.col("p_partkey").alias("part_id"), F.lit(0.0).alias("xmin"), F.lit(0.0).alias("ymin"), F.col("p_size").cast("double").alias("xmax"), (F.col("p_partkey") % 50 + 1).cast("double").alias("ymax"))
+    return G.bisect(boxes, *BOX).select("part_id", "half", *BOX)
+
+
+@query("h22_simplify_metres")
+def _(v):
+    # Lines of up to seven places of an order's parts, simplified to 50 km; points are degrees, distances metres on a local plane.
+    x, y = (F.col("l_partkey") * 7919 % 3600) / 100.0 - 18, (F.col("l_suppkey") * 104729 % 1400) / 100.0 + 40
+    rows = v.lineitem.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", x.alias("x"), y.alias("y")))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))
+    return rows.select("l_orderkey", F.size("line").alias("before"), F.transform(M.simplify(50_000.0, degrees=True)("line"), lambda p: F.concat(F.round(p["x"], 4).cast("string"), F.lit(" "), F.round(p["y"], 4).cast("string"))).alias("kept"))
+
+
 @query("h28_orientation", "SELECT zone_id, CASE WHEN zone_id % 2 = 0 THEN -1 ELSE 1 END * round((xmax - xmin) * (ymax - ymin), 6) AS signed, TRUE AS rewound FROM zones")
 def _(v):
     ring = F.get(G.box_rings(*BOX), F.lit(0))
@@ -123,19 +137,36 @@ def _(v):
     return tiles.agg(F.count("*").alias("tiles"), (F.count_if(F.col("n") > 0) == F.count("*")).alias("non_empty")).select(F.lit(1).alias("lod"), "tiles", "non_empty")
 
 
+@query(
+    "k6_contract_errors",
+    """WITH m AS (SELECT 'layer' || s_nationkey AS role, CASE WHEN s_nationkey % 6 <> 0 THEN count(*) END AS feature_count, CAST(1 + s_nationkey % 4 AS INTEGER) AS version, CASE WHEN s_nationkey % 8 = 1 THEN 'old' END AS tiles_v0, CASE WHEN s_nationkey % 5 = 0 THEN max(s_suppkey) + 1000000 ELSE max(s_suppkey) END AS capital FROM supplier GROUP BY s_nationkey)
+SELECT role, 'missing feature_count' AS error FROM m WHERE feature_count IS NULL UNION ALL SELECT role, 'missing sha256' FROM m UNION ALL SELECT role, 'legacy tiles_v0' FROM m WHERE tiles_v0 IS NOT NULL UNION ALL SELECT role, 'unknown version' FROM m WHERE version NOT IN (1, 2)
+UNION ALL SELECT 'layer' || n_nationkey, 'no row' FROM nation WHERE 'layer' || n_nationkey NOT IN (SELECT role FROM m) UNION ALL SELECT role, 'dangling capital' FROM m WHERE capital NOT IN (SELECT s_suppkey FROM supplier)""",
+)
+def _(v):
+    s, k = v.supplier, F.col("s_nationkey")
+    m = s.groupBy("s_nationkey").agg(F.count("*").alias("n"), F.max("s_suppkey").alias("top")).select(
+        F.concat(F.lit("layer"), k).alias("role"), F.when(k % 6 != 0, F.col("n")).alias("feature_count"), (1 + k % 4).cast("int").alias("version"), F.when(k % 8 == 1, "old").alias("tiles_v0"), F.when(k % 5 == 0, F.col("top") + 1000000).otherwise(F.col("top")).alias("capital"))
+    roles = v.nation.select(F.concat(F.lit("layer"), "n_nationkey").alias("role"))
+    return manifests.contract_errors(m, roles, ["feature_count", "sha256"], ["tiles_v0", "tiles_v1"], (1, 2), {"capital": s.select("s_suppkey")})
+
+
 @query("e8_budget_selection")
 def _(v):
-    # A view's tiles by priority; a tile whose cost does not fit is passed over, later ones may still fit. A view has at
-    # most the tiles of one unit's zones, so its list is short.
+    # A view's tiles by share of overlap; a tile whose cost does not fit is passed over, later ones may still fit.
     pairs = G.box_pairs(v.zones, second(v.units, unit_id="view"), BOX, BOX2).withColumn("share", G.box_overlap(BOX, BOX2)).where("share > 0")
-    lists = pairs.groupBy("view").agg(F.sort_array(F.collect_list(F.struct((-F.col("share")).alias("rank"), "zone_id", (F.col("zone_id") % 7 + 1).alias("cost")))).alias("tiles"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
+    chosen = selection.within_budget(pairs, "view", [-F.col("share")], "zone_id", F.col("zone_id") % 7 + 1, 20, 1 << 20)
+    return chosen.groupBy("view").agg(F.max("used").alias("used"), F.array_sort(F.collect_list(F.struct("pos", "id")))["id"].alias("ids"))
 
-    def step(acc, t):
-        fits = acc["used"] + t["cost"] <= 20
-        return F.struct((acc["used"] + F.when(fits, t["cost"]).otherwise(0)).alias("used"), F.when(fits, F.concat(acc["ids"], F.array(t["zone_id"]))).otherwise(acc["ids"]).alias("ids"))
 
-    return lists.select("view", F.aggregate("tiles", zero, step).alias("s")).select("view", "s.used", "s.ids")
+@query("e8_focused_selection")
+def _(v):
+    # Tiles of the view's own country (the zone's nation) first, loaded ones next, then by share of the tile and distance; three at least, eight at most.
+    pairs = G.box_pairs(v.zones.withColumn("country", F.col("zone_id") % 25), second(v.units, unit_id="view"), BOX, BOX2).withColumn("share", G.box_overlap(BOX, BOX2)).where("share > 0")
+    size = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
+    far = F.hypot((F.col("xmin") + F.col("xmax") - F.col(BOX2[0]) - F.col(BOX2[2])) / 2, (F.col("ymin") + F.col("ymax") - F.col(BOX2[1]) - F.col(BOX2[3])) / 2)
+    order = [F.col("country") != F.col("view"), F.col("zone_id") % 3 != 0, -F.round(F.col("share") / F.greatest(size, F.lit(1.0)), 4), F.round(far, 4)]
+    return selection.within_budget(pairs, "view", order, "zone_id", F.col("zone_id") % 7 + 1, 20, 8, 3)
 
 
 @query("m2_tile_payloads", "SELECT unit_id, CAST(to_json(list(zone_id ORDER BY zone_id)) AS VARCHAR) AS payload FROM (SELECT z.zone_id, u.unit_id FROM zones z JOIN units u ON " + _OV + " > 0) GROUP BY unit_id")

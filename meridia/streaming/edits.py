@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder where the cluster shares files."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
     """Parquet files at path (a folder, or one file) as a stream."""
     schema = spark.read.parquet(path).schema
