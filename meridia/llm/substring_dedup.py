@@ -121,14 +121,15 @@ def _cut(batches: Iterator[pa.RecordBatch], min_words: int, within: bool, out: p
             yield pa.record_batch([x.cast(f.type) for x, f in zip(cols, out, strict=True)], schema=out)
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 25, within: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, min_words: int = 32, within: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: id_col, n_chunks, removed (byte spans of the UTF-8 text that go), kept_text.
 
     A run of successive chunks, each of which also stands in a row of a lesser id (or, with within, earlier in the same
     text), goes if at least min_words words begin in it. As a passage's first and last chunk reach into what is around it, a passage
     must be some 15 words longer than min_words to be sure to be found. Null and empty texts have no chunks and are kept
-    as empty. Ids are meant to be unique; rows that repeat the least id are all kept. A null id is more than any other;
-    among null ids nothing goes. An empty table gives no rows; further columns are not read.
+    as empty; very long texts are cut whole and alone. Ids are meant to be unique; rows that repeat the least id (ties)
+    are all kept. A null id is more than any other; among null ids nothing goes. An empty table gives no rows; further
+    columns are not read, whatever their names.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

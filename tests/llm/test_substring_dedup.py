@@ -1,11 +1,89 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 
-from meridia.llm.substring_dedup import MOST, cuts, substring_dedup
+from meridia.llm import substring_dedup as S
+from meridia.llm.substring_dedup import _GEAR, LEAST_GAP, MEAN_GAP, MOST, WINDOW, cuts, substring_dedup
 from meridia.llm.words import chunks
 
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def naive_chunks(b):
+    """Chunk after chunk of one text, its hash summed anew at every byte."""
+    ends, before = [0], None
+    for i in range(WINDOW, len(b)):
+        h = sum(int(_GEAR[b[i - 1 - j]]) << j for j in range(WINDOW)) % 2**32
+        if h >> 16 < 65536 // MEAN_GAP and b[i] & 0xC0 != 0x80:
+            if before is None or i - before >= LEAST_GAP:
+                ends.append(i)
+            before = i
+    for k in range(len(ends)):
+        at, to = ends[k], ends[k + 1] if k + 1 < len(ends) else len(b)
+        while to - (at := at + MOST) > 0:
+            cut = at
+            while b[cut] & 0xC0 == 0x80:
+                cut -= 1
+            ends.append(cut)
+    ends = sorted({*ends, len(b)})
+    return [b[i:j] for i, j in zip(ends, ends[1:])] if b else []
+
+
+def naive_dedup(rows, min_words):
+    """The rows' kept texts, by a dictionary from chunk to the least id that has it."""
+    texts = [(i, naive_chunks((t or "").encode())) for i, t in rows]
+    owner = {}
+    for i, parts in texts:
+        for c in parts:
+            if i is not None and (c not in owner or i < owner[c]):
+                owner[c] = i
+    out = []
+    for i, parts in texts:
+        flags = [c in owner and owner[c] != i for c in parts]
+        kept, k = [], 0
+        while k < len(parts):
+            to = k
+            while to < len(parts) and flags[to] == flags[k]:
+                to += 1
+            piece = b"".join(parts[k:to])
+            begins = sum(1 for m in WORD.finditer(b"".join(parts)) if len(b"".join(parts[:k])) <= m.start() < len(b"".join(parts[:k])) + len(piece)) if flags[k] else 0
+            kept += [] if flags[k] and begins >= min_words else [piece]
+            k = to
+        out.append((i, b"".join(kept).decode()))
+    return sorted(out, key=str)
+
+
+def test_agrees_with_a_plain_implementation(spark):
+    rng = random.Random(11)
+    pool = [prose(rng, rng.randint(5, 70)) for _ in range(12)] + ["ab" * 1500 + "é" * 800]
+    rows = [(i, " ".join(rng.choice(pool) if rng.random() < 0.5 else prose(rng, rng.randint(1, 30)) for _ in range(rng.randint(0, 4)))) for i in range(60)]
+    rows += [(None, pool[0] + pool[1]), (None, pool[0] + pool[1]), (70, None), (71, ""), (5, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (1, 12, 25):
+        assert sorted(((r.doc_id, r.kept_text) for r in substring_dedup(df, least).collect()), key=str) == naive_dedup(rows, least)
+
+
+def test_the_shuffled_way_and_clashing_names(spark, monkeypatch):
+    rng = random.Random(12)
+    passage = prose(rng, 80)
+    rows = [(i, prose(rng, 20) + " " + passage + " " + prose(rng, 20), "x", "y", "z") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_key string, id string, kept_text string")
+    want = sorted(map(str, substring_dedup(df).collect()))
+    monkeypatch.setattr(S, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, substring_dedup(df).collect())) == want
+
+
+def test_patterned_chunks_are_told_apart():
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    batch = pa.record_batch([pa.array(["".join("ab"[b ^ k] for b in bits) for k in (0, 1)])], names=["text"])
+    (part,) = chunks(batch, "text", 1 << 30)
+    c = cuts(part)
+    digests = list(zip(c.a.tolist(), c.b.tolist()))
+    texts = [part.bytes[i:j].tobytes() for i, j in zip(c.start, c.end)]
+    assert len(set(digests)) == len(set(texts))
+
 
 def prose(rng, n):
     return " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(rng.randint(2, 9))) for _ in range(n))
