@@ -25,6 +25,8 @@ from .words import U64, Text, chunks, words
 
 #: Bytes of benchmark text in one block, which a task holds at a time.
 BLOCK_BYTES = 16 << 20
+#: Places of a suffix array, at most.
+SHARD_WORDS = 1 << 20
 #: Shards that are searched together, each block being read once for them.
 SHARDS = 16
 #: Pairs of windows and places that are spread out at a time.
@@ -106,25 +108,32 @@ def flat_words(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class Shard:
-    """About a million bytes of documents as a suffix array."""
+    """Some documents as suffix arrays of up to SHARD_WORDS places each; most shards need one, a very long document several. An array
+    sees window - 1 words beyond its places, so that no window is lost between two."""
 
-    def __init__(self, text: Text, depth: int):
+    def __init__(self, text: Text, window: int):
         self.rows, self.counts = text.rows, (w := words(text)).counts()
         self.flat, self.first = flat_words(w.hash, self.counts)
-        self.order = suffix_array(self.flat, depth)
+        self.window = window
+
+    def arrays(self) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(words, their first place in the shard, places in word order)."""
+        for k in range(0, len(self.flat), SHARD_WORDS):
+            own = self.flat[k : k + SHARD_WORDS + self.window - 1]
+            yield own, k, suffix_array(own, self.window)
 
     def doc(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, "right") - 1
 
 
-def search(shard: Shard, items: Items, suffix: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
+def search(text: np.ndarray, order: np.ndarray, items: Items, suffix: np.ndarray, length: np.ndarray, upper: bool) -> np.ndarray:
     """For each item suffix, cut to length words: the first slot of the array whose place is not less (upper: is greater)."""
-    text, own = (np.concatenate((x, np.zeros(int(length.max(initial=0)), U64))) for x in (shard.flat, items.flat))
-    lo, hi = np.zeros(len(suffix), np.int64), np.full(len(suffix), len(shard.order), np.int64)
+    text, own = (np.concatenate((x, np.zeros(int(length.max(initial=0)), U64))) for x in (text, items.flat))
+    lo, hi = np.zeros(len(suffix), np.int64), np.full(len(suffix), len(order), np.int64)
     while len(live := np.flatnonzero(lo < hi)):
         mid = (lo[live] + hi[live]) // 2
         same, i, less = np.ones(len(live), bool), 0, np.full(len(live), upper)
-        place = shard.order[mid]
+        place = order[mid]
         while len(open_ := np.flatnonzero(same & (i < length[live]))):
             a, b = text[place[open_] + i], own[suffix[live[open_]] + i]
             differ = a != b
@@ -150,39 +159,40 @@ def slices(size: np.ndarray, most: int = AT_ONCE) -> Iterator[slice]:
         at = to
 
 
-def occurrences(shard: Shard, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class, low, size): the window classes found in the shard and their slots in its array."""
-    length = items.need[items.one]
-    low, high = (search(shard, items, items.one, length, upper) for upper in (False, True))
-    found = np.flatnonzero(high > low)
-    return found, low[found], (high - low)[found]
-
-
-def hits(shard: Shard, items: Items, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, text) once for each item text with a window in the document. Adds the windows' words to mask, as steps up and down."""
-    kind, low, size = occurrences(shard, items)
-    at, of = shard.order[ranges(low, size)], np.repeat(kind, size)
-    np.add.at(mask, at, 1)
-    np.add.at(mask, at + items.need[items.one[of]], -1)
-    n = max(len(items.ids), 1)
-    pair = np.unique(shard.doc(at) * max(len(items.one), 1) + of)  # a class counts once for a document
-    doc, of = pair // max(len(items.one), 1), pair % max(len(items.one), 1)
-    many, found = items.texts_of[of + 1] - items.texts_of[of], np.zeros(0, np.int64)
+class Found:
+    """The window classes found in one array: kind, and of each its places in the shard (place, from to the next of start)."""
+
+    def __init__(self, array: tuple[np.ndarray, int, np.ndarray], items: Items):
+        text, base, order = array
+        length = items.need[items.one]
+        low, high = (search(text, order, items, items.one, length, upper) for upper in (False, True))
+        place, of = order[ranges(low, high - low)], np.repeat(np.arange(len(low)), high - low)
+        own = place < SHARD_WORDS  # what begins beyond belongs to the next array
+        self.place, of = place[own] + base, of[own]
+        self.kind, self.start, self.size = np.unique(of, return_index=True, return_counts=True)
+        self.of = of
+
+
+def hits(shard: Shard, found: Found, items: Items, mask: np.ndarray) -> np.ndarray:
+    """document * items + text, once for each item text with a window in the document. Adds the windows' words to mask, as steps up and down."""
+    np.add.at(mask, found.place, 1)
+    np.add.at(mask, found.place + items.need[items.one[found.of]], -1)
+    kinds, n = max(len(items.one), 1), max(len(items.ids), 1)
+    pair = np.unique(shard.doc(found.place) * kinds + found.of)  # a class counts once for a document
+    doc, of = pair // kinds, pair % kinds
+    many, out = items.texts_of[of + 1] - items.texts_of[of], np.zeros(0, np.int64)
     for s in slices(many):
-        found = np.union1d(found, np.repeat(doc[s], many[s]) * n + items.texts[ranges(items.texts_of[of[s]], many[s])])
-    return found // n, found % n
+        out = np.union1d(out, np.repeat(doc[s], many[s]) * n + items.texts[ranges(items.texts_of[of[s]], many[s])])
+    return out
 
 
-def stretches(shard: Shard, items: Items) -> Iterator[tuple[np.ndarray, ...]]:
+def stretches(shard: Shard, found: Found, items: Items) -> Iterator[tuple[np.ndarray, ...]]:
     """(item suffix, place, words) of the verbatim stretches of a window or more, as long as they get; a bounded number at a time."""
-    kind, low, size = occurrences(shard, items)
-    many = items.start_of[kind + 1] - items.start_of[kind]
-    for s in slices(many * size):
-        for t in slices(np.full(many[s].sum(), 1) * np.repeat(size[s], many[s])):
-            suffix = items.starts[ranges(items.start_of[kind[s]], many[s])][t]
-            own = np.repeat(size[s], many[s])[t]
-            slot = np.repeat(low[s], many[s])[t]
-            place, suffix = shard.order[ranges(slot, own)], np.repeat(suffix, own)
+    many = items.start_of[found.kind + 1] - items.start_of[found.kind]
+    for s in slices(many):
+        suffixes, own, start = items.starts[ranges(items.start_of[found.kind[s]], many[s])], np.repeat(found.size[s], many[s]), np.repeat(found.start[s], many[s])
+        for t in slices(own):
+            place, suffix = found.place[ranges(start[t], own[t])], np.repeat(suffixes[t], own[t])
             # Of windows that continue one another only the first is told, with its whole length.
             before = (place > 0) & (suffix > items.first[items.item[suffix]])
             before[before] = shard.flat[place[before] - 1] == items.flat[suffix[before] - 1]
@@ -235,9 +245,12 @@ def _found(batches: Iterator[pa.RecordBatch], blocks: Blocks, text: str, keep: l
         shards = [Shard(part, blocks.window) for part in parts]
         masks = [np.zeros(len(s.flat) + 1, np.int64) for s in shards]
         found: list[list] = [[] for _ in shards]
+        arrays = [list(s.arrays()) for s in shards]
         for items in blocks:
-            for shard, mask, own in zip(shards, masks, found, strict=True):
-                doc, t = hits(shard, items, mask)
+            n = max(len(items.ids), 1)
+            for shard, mask, own, some in zip(shards, masks, found, arrays, strict=True):
+                pair = np.unique(np.concatenate([np.zeros(0, np.int64), *(hits(shard, Found(a, items), items, mask) for a in some)]))
+                doc, t = pair // n, pair % n
                 size = items.bounds[t + 1] - items.bounds[t]
                 own.append((np.repeat(doc, size), items.values.take(pa.array(ranges(items.bounds[t], size)))))
         for shard, mask, own in zip(shards, masks, found, strict=True):
@@ -263,7 +276,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     A window is that many successive words of an item; an item of fewer, but not none, is one window; an item without
     words, or null, has none. Null and empty documents have no words; an empty table gives no rows, an empty benchmark no
     hits. Items of equal texts (ties) are all told; repeated rows of documents have the same result each. A very long
-    document is a shard of its own. The benchmark lies in blocks of about BLOCK_BYTES in the shared folder, and a task
+    document is a shard of its own, in several arrays. The benchmark lies in blocks of about BLOCK_BYTES in the shared folder, and a task
     holds one at a time. Columns of docs named as the new ones are replaced, no other name clashes.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in names]
@@ -274,12 +287,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(lambda it: _found(it, blocks, text_col, keep, arrow), schema)
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], blocks: Blocks, text: str, id_col: str, depth: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _stretches(batches: Iterator[pa.RecordBatch], blocks: Blocks, text: str, id_col: str, out: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, text):
-            shard = Shard(part, depth)
+            shard = Shard(part, blocks.window)
+            arrays = list(shard.arrays())
             for items in blocks:
-                for suffix, place, n in stretches(shard, items):
+                for suffix, place, n in (x for a in arrays for x in stretches(shard, Found(a, items), items)):
                     doc, item = shard.doc(place), items.item[suffix]
                     size = items.bounds[item + 1] - items.bounds[item]
                     for s in slices(size):  # an item's ids are rows of their own
@@ -297,7 +311,7 @@ def match_locations(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_
     blocks = blocks_of(benchmark, window, item_id, item_text)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("item", benchmark.schema[item_id].dataType), *T.StructType.fromDDL("item_word int, doc_word int, n_words int").fields])
     arrow = to_arrow_schema(schema)
-    return docs.select(id_col, text_col).mapInArrow(lambda it: _stretches(it, blocks, text_col, id_col, window, arrow), schema)
+    return docs.select(id_col, text_col).mapInArrow(lambda it: _stretches(it, blocks, text_col, id_col, arrow), schema)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -30,6 +30,8 @@ from .words import GOLDEN, U64, Text, chunks, mix, sequence_digests, shingles, w
 BANDS, ROWS, REGISTERS = 25, 5, 128
 #: Documents and 5-grams in a block on average, at most.
 BLOCK_DOCS, BLOCK_GRAMS = 256, 1 << 17
+#: Shingles whose processes run together.
+AT_ONCE = 1 << 18
 ID_BITS = U64((1 << 24) - 1)
 NEVER = U64(0x7FF0000000000000)
 
@@ -45,8 +47,15 @@ def bags(text: Text, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def bag_min_hash(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: int, registers: int = REGISTERS) -> np.ndarray:
-    """uint64 (docs, registers): each register's earliest point, its time's leading bits before 24 bits of the point's identity."""
+    """uint64 (docs, registers): each register's earliest point, its time's leading bits before 24 bits of the point's identity. So many
+    shingles at a time; those that come later stop the sooner."""
     regs = np.full(docs * registers, NEVER, U64)
+    for k in range(0, len(doc), AT_ONCE):
+        _run_processes(regs, doc[k : k + AT_ONCE], shingle[k : k + AT_ONCE], weight[k : k + AT_ONCE], docs, registers)
+    return regs.reshape(docs, registers)
+
+
+def _run_processes(regs: np.ndarray, doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: int, registers: int) -> None:
     # Blocks below or across the weight: number 0 is [0, 1), number b is [2^(b-1), 2^b).
     blocks = np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64) + 1
     of = np.repeat(np.arange(len(weight)), blocks)
@@ -69,7 +78,6 @@ def bag_min_hash(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs:
         last = regs.reshape(docs, registers).max(1)
         live = np.flatnonzero(time.view(U64) < last[d])
         d, seed, time, width, share = d[live], seed[live], time[live], width[live], share[live]
-    return regs.reshape(docs, registers)
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
 STEP = U64(0xD1B54A32D192ED03)
+#: Bytes that are looked at together.
+SPAN = 1 << 22
 
 
 def _lowered() -> np.ndarray:
@@ -93,6 +95,27 @@ class Words:
 
 
 def words(text: Text) -> Words:
+    """The words of a text of any length: beyond SPAN bytes it is gone through in pieces that end where a word does, so that only the words are
+    held, not some arrays for each byte."""
+    n, cuts = len(text.bytes), [0]
+    while n - cuts[-1] > 2 * SPAN:
+        at = cuts[-1] + SPAN
+        while at < n and not len(gap := np.flatnonzero(LOWERED[text.bytes[at : at + 4096]] == 0)):
+            at += 4096
+        if at >= n:
+            break
+        cuts.append(at + int(gap[0]))
+    if len(cuts) == 1:
+        return _words(text)
+    parts = []
+    for i, j in zip(cuts, [*cuts[1:], n]):
+        w = _words(Text(text.rows, text.bytes[i:j], np.clip(text.bounds, i, j) - i))
+        parts.append((w.start + i, w.end + i, w.hash))
+    start, end, h = (np.concatenate(x) for x in zip(*parts))
+    return Words(start, end, h, np.searchsorted(start, text.bounds))
+
+
+def _words(text: Text) -> Words:
     raw, bounds = text.bytes, text.bounds
     n = len(raw)
     if not n:

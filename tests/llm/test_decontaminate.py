@@ -2,9 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from meridia.llm import decontaminate as D
+from meridia.llm import words as W
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -71,6 +73,22 @@ def test_against_brute_force(spark, monkeypatch):
     check(spark, docs, items)
     monkeypatch.setattr(D, "BLOCK_BYTES", 300)  # several blocks
     check(spark, docs, items)
+    part = pa.record_batch([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], names=["doc_id", "text"])
+    items = pa.array([t for _, t in items if t]), pa.array([[i] for i, t in items if t])
+    whole = found_in(part, items)
+    monkeypatch.setattr(D, "SHARD_WORDS", 37)  # arrays that end within documents
+    monkeypatch.setattr(W, "SPAN", 50)
+    assert found_in(part, items) == whole and any(x[2] for x in whole[0])
+
+
+def found_in(part, items):
+    """Both results of one task, with the items as one block."""
+    blocks = D.Blocks("", [""], 5)
+    blocks.kept = "", D.Items(*items, 5)
+    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("items", pa.list_(pa.int64()))])
+    rows = [tuple(r.values()) for b in D._found([part], blocks, "text", ["doc_id"], out) for r in b.to_pylist()]
+    places = pa.schema([("doc_id", pa.int64()), ("item", pa.int64()), ("p", pa.int32()), ("q", pa.int32()), ("n", pa.int32())])
+    return rows, sorted(tuple(r.values()) for b in D._stretches([part], blocks, "text", "doc_id", places) for r in b.to_pylist())
 
 
 def test_suffix_array_is_sorted():
