@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,34 @@ def diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     both = a.join(b, key, "full_outer")
     change = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return both.withColumn("change", change).where("change IS NOT NULL").select(key, "old", "new", "change")
+
+
+def with_replacements(base: DataFrame, over: DataFrame, key: str, replaces: str) -> DataFrame:
+    """base without the rows whose key an override names in its array replaces or has itself, then the overrides; source tells which. Columns are those of over but replaces."""
+    own = [c for c in over.columns if c != replaces]
+    gone = over.select(F.explode(F.array_union(F.coalesce(replaces, F.array().cast(over.schema[replaces].dataType)), F.array(key))).alias(key)).distinct()
+    kept = base.join(gone, key, "left_anti").select(*own).withColumn("source", F.lit("base"))
+    return kept.unionByName(over.select(*own).withColumn("source", F.lit("override")))
+
+
+def apply_log(base: DataFrame, log: DataFrame, key: str, seq: str, value: str, into: str) -> DataFrame:
+    """base with into set by the log's last value of its key, where that is not null, and touched."""
+    last = log.groupBy(key).agg(F.max(F.struct(seq, value))[value].alias("_value"), F.lit(True).alias("touched"))
+    return base.join(last, key, "left").withColumn(into, F.coalesce("_value", into)).withColumn("touched", F.coalesce("touched", F.lit(False))).drop("_value")
+
+
+def unknown_keys(log: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    """Rows of the log whose key the base does not have."""
+    return log.join(base.select(key), key, "left_anti")
+
+
+def override_status(overrides: DataFrame, known: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, status): conflict if the key is given different values, unknown if no row has it, else ok."""
+    n = overrides.groupBy(key).agg(F.countDistinct(value).alias("n"))
+    have = known.select(key).distinct().withColumn("_known", F.lit(True))
+    return n.join(have, key, "left").select(key, F.when(F.col("n") > 1, "conflict").when(F.col("_known").isNull(), "unknown").otherwise("ok").alias("status"))
+
+
+def first_known(steps: list[tuple[str, Column]]) -> Column:
+    """(value, source) of the first step whose column is not null; null if all are."""
+    return F.coalesce(*[F.when(c.isNotNull(), F.struct(c.alias("value"), F.lit(name).alias("source"))) for name, c in steps])

@@ -55,3 +55,10 @@ def at_ranks(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame
     whole = counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.max(value).alias("top"))
     picks = seen.crossJoin(F.broadcast(whole)).agg(*[F.max(F.when((F.col("lo") <= (r := F.round((F.col("n") - 1) * s).cast("long"))) & (r < F.col("hi")), F.col(value))).alias(name) for name, s in shares.items()])
     return whole.crossJoin(picks)  # one row each
+
+
+def despeckle(rows: DataFrame, key: str, size: Column, least: float, regroup: dict[str, Column]) -> DataFrame:
+    """Rows smaller than least are dropped, unless all would go, and the rest is regrouped by key with these aggregates. A null size is small."""
+    top = rows.agg(F.max(size).alias("_top"))  # one row
+    kept = rows.crossJoin(F.broadcast(top)).where((size >= least) | (F.coalesce("_top", F.lit(least - 1)) < least))
+    return kept.groupBy(key).agg(*[c.alias(name) for name, c in regroup.items()])

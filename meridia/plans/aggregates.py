@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from meridia.functions import scalars as S
 from meridia.operators import selection
 from meridia.operators import spatial as G
 
@@ -114,9 +113,9 @@ def _(v):
     return v.features.groupBy("owner").agg(F.count("*").alias("n")).join(top, "owner")
 
 
-@query("d19_catalog_zero_counts", "SELECT u.unit_id, u.name, count(f.feature_id) AS n FROM units u LEFT JOIN features f ON f.unit_id = u.unit_id AND f.feature_id % 40 < 10 GROUP BY u.unit_id, u.name")
+@query("d19_catalog_zero_counts", "SELECT u.unit_id, u.name, count(p.place_id) AS n FROM units u LEFT JOIN places p ON p.home_unit_id = u.unit_id AND p.population >= 9900000 GROUP BY u.unit_id, u.name")
 def _(v):
-    n = v.features.where("feature_id % 40 < 10").groupBy("unit_id").agg(F.count("*").alias("n"))
+    n = v.places.where("population >= 9900000").groupBy(F.col("home_unit_id").alias("unit_id")).agg(F.count("*").alias("n"))
     return v.units.select("unit_id", "name").join(n, "unit_id", "left").select("unit_id", "name", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meridia.functions import scalars as S
+from meridia.operators import checks
 from meridia.operators import rules as rules_of
 from meridia.operators import spatial as G
 
@@ -141,11 +141,9 @@ def _(v):
     return pairs.where("area > 1e-6").select(F.col("zone_id").alias("a"), "b", F.round("area", 6).alias("area"))
 
 
-@query("c14_id_drift", "SELECT coalesce(a.unit_id, b.unit_id) AS unit_id, a.unit_id IS NOT NULL AS in_source, b.unit_id IS NOT NULL AS in_runtime FROM (SELECT DISTINCT unit_id FROM features WHERE feature_id % 3 = 0 AND unit_id < 20) a FULL JOIN (SELECT unit_id FROM units WHERE unit_id >= 5) b ON a.unit_id = b.unit_id")
+@query("c14_id_drift", "SELECT coalesce(a.k, b.k) AS unit_id, a.k IS NOT NULL AS in_source, b.k IS NOT NULL AS in_runtime FROM (SELECT DISTINCT home_unit_id AS k FROM places WHERE population >= 9900000) a FULL JOIN (SELECT DISTINCT home_unit_id AS k FROM depots) b ON a.k = b.k")
 def _(v):
-    a = v.features.where("feature_id % 3 = 0 AND unit_id < 20").select("unit_id").distinct().withColumn("a", F.lit(True))
-    b = v.units.where("unit_id >= 5").select("unit_id").withColumn("b", F.lit(True))
-    return a.join(b, "unit_id", "full_outer").select("unit_id", F.coalesce("a", F.lit(False)).alias("in_source"), F.coalesce("b", F.lit(False)).alias("in_runtime"))
+    return checks.drift(v.places.where("population >= 9900000").withColumnRenamed("home_unit_id", "unit_id"), v.depots.withColumnRenamed("home_unit_id", "unit_id"), "unit_id", "in_source", "in_runtime")
 
 
 @query("c15_probe_coverage", "SELECT p.place_id, bool_or(z.zone_id IS NOT NULL) AS covered, count(z.zone_id) AS zones FROM places p LEFT JOIN zones z ON p.lon >= z.xmin AND p.lon < z.xmax AND p.lat >= z.ymin AND p.lat < z.ymax AND z.zone_id % 2 = p.place_id % 2 GROUP BY p.place_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meridia.functions import scalars as S
-from meridia.operators import graph
+from meridia.operators import graph, ranking
 from meridia.operators import spatial as G
 from meridia.sources import files as R
 from meridia.sources.shared import shared
@@ -71,28 +71,8 @@ def _(v):
 
 @query("e12_scaled_threshold")
 def _(v):
-    # One row for each unit: seats = clip(round(scale * weight), 1, 60), the scale bisected to 300 seats in all. Where units
-    # step together, single seats are added by w / seats or taken by seats / w until they are 300: the first ranks of all steps.
     w = v.places.groupBy("home_unit_id").agg(F.sum("population").cast("double").alias("w"))
-    lists = w.agg(F.collect_list("w").alias("ws"), F.sum("w").alias("t"))
-    total = lambda ws, s: F.aggregate(ws, F.lit(0.0), lambda a, x: a + F.least(F.lit(60.0), F.greatest(F.lit(1.0), F.round(x * s))))
-    zero = F.struct(F.lit(0.0).alias("lo"), (F.lit(6000.0) / F.col("t")).alias("hi"))
-
-    def step(a, _i):
-        mid = (a["lo"] + a["hi"]) / 2
-        low = total(F.col("ws"), mid) < 300
-        return F.struct(F.when(low, mid).otherwise(a["lo"]).alias("lo"), F.when(low, a["hi"]).otherwise(mid).alias("hi"))
-
-    scale = lists.select("ws", F.aggregate(F.sequence(F.lit(1), F.lit(60)), zero, step)["hi"].alias("scale"))
-    scale = scale.select("scale", (total(F.col("ws"), F.col("scale")) - 300).cast("int").alias("over"))
-    seats = w.crossJoin(F.broadcast(scale)).withColumn("seats", F.least(F.lit(60.0), F.greatest(F.lit(1.0), F.round(F.col("w") * F.col("scale")))).cast("int"))
-    add, take = F.expr("CASE WHEN over < 0 AND seats < 60 THEN sequence(seats + 1, 60) END"), F.expr("CASE WHEN over > 0 AND seats > 1 THEN sequence(seats, 2, -1) END")
-    steps = seats.withColumn("step", F.explode(F.concat(F.array(F.lit(None).cast("int")), F.coalesce(add, take, F.array().cast("array<int>")))))  # a null step for the unit itself
-    need = F.expr("CASE WHEN over < 0 THEN w / step WHEN w > 0 THEN step / w ELSE double('infinity') END")
-    order = Window.orderBy(F.col("step").isNull(), need.desc(), "home_unit_id", F.abs(F.col("step") - F.col("seats")))
-    ranked = steps.withColumn("chosen", (F.row_number().over(order) <= F.abs("over")) & F.col("step").isNotNull())
-    change = F.sum(F.when(F.col("chosen"), -F.signum("over")).otherwise(0))
-    return ranked.groupBy("home_unit_id").agg((F.max("seats") + change).cast("int").alias("seats"))
+    return ranking.scaled_seats(w, "home_unit_id", "w", 300, 60)
 
 
 @query("g21_border_detail", f"SELECT a.zone_id FROM zones a WHERE NOT EXISTS (SELECT 1 FROM units b WHERE b.unit_id = 7 AND {_MEET.format('a', 'b')}) UNION ALL SELECT 1000 + unit_id FROM units WHERE unit_id = 7")
@@ -107,11 +87,11 @@ def _(v):
     return v.events.select("event_id", F.get(R.nested_lists(F.col("props"), "k"), F.lit(0)).alias("k"))
 
 
-@query("i2_id_reuse", "WITH m AS (SELECT DISTINCT feature_id % 40 AS o, CASE WHEN feature_id % 40 < 20 THEN feature_id % 40 WHEN feature_id % 40 < 30 THEN 100 + feature_id % 80 ELSE 200 + feature_id % 5 END AS n FROM features WHERE feature_id % 40 < 38), s AS (SELECT o, count(*) AS children FROM m GROUP BY o), p AS (SELECT n, count(*) AS parents, min(o) AS o FROM m GROUP BY n) SELECT p.n, CASE WHEN parents > 1 THEN 'new_' || p.n WHEN children = 1 THEN CAST(p.o AS VARCHAR) ELSE p.o || '__' || (SELECT count(*) FROM m WHERE m.o = p.o AND m.n <= p.n) END AS id FROM p JOIN s ON s.o = p.o")
+@query("i2_id_reuse", "WITH m AS (SELECT DISTINCT feature_id % 40 AS o, CASE WHEN feature_id % 40 < 20 THEN feature_id % 40 WHEN feature_id % 40 < 30 THEN 100 + feature_id % 80 ELSE 200 + feature_id % 5 END AS n FROM features), s AS (SELECT o, count(*) AS children FROM m GROUP BY o), p AS (SELECT n, count(*) AS parents, min(o) AS o FROM m GROUP BY n) SELECT p.n, CASE WHEN parents > 1 THEN 'new_' || p.n WHEN children = 1 THEN CAST(p.o AS VARCHAR) ELSE p.o || '__' || (SELECT count(*) FROM m WHERE m.o = p.o AND m.n <= p.n) END AS id FROM p JOIN s ON s.o = p.o")
 def _(v):
     old = F.col("feature_id") % 40
     new = F.when(old < 20, old).when(old < 30, 100 + F.col("feature_id") % 80).otherwise(200 + F.col("feature_id") % 5)
-    return graph.reuse_ids(v.features.where("feature_id % 40 < 38").select(old.alias("o"), new.alias("n")), "o", "n")
+    return graph.reuse_ids(v.features.select(old.alias("o"), new.alias("n")), "o", "n")
 
 
 @query("i6_colouring")

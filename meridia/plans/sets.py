@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meridia.operators import edits as E
-from meridia.operators import graph
+from meridia.operators import checks, graph
 from meridia.operators import rules as rules_of
 from meridia.operators import spatial as G
 
@@ -26,9 +26,8 @@ def _(v):
 
 @query("g2_replace_ids", "SELECT feature_id, owner, 'base' AS source FROM features WHERE feature_id NOT IN (SELECT feature_id + 1 FROM features WHERE feature_id % 50 = 0) AND feature_id % 50 <> 0 UNION ALL SELECT feature_id, 'override', 'override' FROM features WHERE feature_id % 50 = 0")
 def _(v):
-    over = v.features.where("feature_id % 50 = 0").select("feature_id", F.lit("override").alias("owner"), F.lit("override").alias("source"), F.array("feature_id", F.col("feature_id") + 1).alias("replaces"))
-    gone = over.select(F.explode("replaces").alias("feature_id"))
-    return v.features.join(gone, "feature_id", "left_anti").select("feature_id", "owner", F.lit("base").alias("source")).unionByName(over.drop("replaces"))
+    over = v.features.where("feature_id % 50 = 0").select("feature_id", F.lit("override").alias("owner"), F.array(F.col("feature_id") + 1).alias("replaces"))
+    return E.with_replacements(v.features, over, "feature_id", "replaces")
 
 
 @query("g3_overlay_upsert", "SELECT coalesce(b.feature_id, a.feature_id) AS feature_id, coalesce(b.tag, a.tag) AS tag, CASE WHEN b.feature_id IS NULL THEN 0 ELSE 1 END AS layer FROM (SELECT feature_id, owner AS tag FROM features WHERE feature_id <= 1500) a FULL JOIN (SELECT feature_id, controller AS tag FROM features WHERE feature_id > 1200) b ON a.feature_id = b.feature_id")
@@ -50,13 +49,12 @@ def _(v):
 
 @query("g6_apply_mutations", "WITH m AS (SELECT feature_id, value FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY seq DESC) AS rn FROM mutations) WHERE rn = 1) SELECT f.feature_id, coalesce(m.value, f.owner) AS owner, m.feature_id IS NOT NULL AS touched FROM features f LEFT JOIN m USING (feature_id)")
 def _(v):
-    last = v.mutations.groupBy("feature_id").agg(F.max(F.struct("seq", "value"))["value"].alias("value"), F.lit(True).alias("touched"))
-    return v.features.join(last, "feature_id", "left").select("feature_id", F.coalesce("value", "owner").alias("owner"), F.coalesce("touched", F.lit(False)).alias("touched"))
+    return E.apply_log(v.features, v.mutations, "feature_id", "seq", "value", "owner").select("feature_id", "owner", "touched")
 
 
 @query("g6_mutation_errors", "SELECT m.seq, m.feature_id FROM mutations m LEFT JOIN features f USING (feature_id) WHERE f.feature_id IS NULL")
 def _(v):
-    return v.mutations.join(v.features.select("feature_id"), "feature_id", "left_anti").select("seq", "feature_id")
+    return E.unknown_keys(v.mutations, v.features, "feature_id").select("seq", "feature_id")
 
 
 @query("g7_layered_overrides", "SELECT home_unit_id, coalesce(max(CASE WHEN place_id % 91 = 0 THEN 'renamed' END), max(CASE WHEN place_id % 17 = 0 THEN 'explicit' END), 'default') AS source FROM places GROUP BY home_unit_id")
@@ -67,9 +65,9 @@ def _(v):
 
 @query("g8_locale_merge", "SELECT p_partkey, coalesce(CASE WHEN p_partkey % 7 = 0 THEN 'manual ' || p_name END, CASE WHEN p_partkey % 3 = 0 THEN 'seed ' || p_name END, CASE WHEN p_size > 20 THEN p_type END, p_name) AS text, CASE WHEN p_partkey % 7 = 0 THEN 'manual' WHEN p_partkey % 3 = 0 THEN 'seed' WHEN p_size > 20 THEN 'alias' ELSE 'fallback' END AS source FROM part")
 def _(v):
-    steps = [("manual", F.col("p_partkey") % 7 == 0, F.concat(F.lit("manual "), "p_name")), ("seed", F.col("p_partkey") % 3 == 0, F.concat(F.lit("seed "), "p_name")), ("alias", F.col("p_size") > 20, F.col("p_type")), ("fallback", F.lit(True), F.col("p_name"))]
-    found = F.coalesce(*[F.when(c, F.struct(t.alias("text"), F.lit(s).alias("source"))) for s, c, t in steps])
-    return v.part.select("p_partkey", found.alias("m")).select("p_partkey", "m.text", "m.source")
+    k = F.col("p_partkey")
+    steps = [("manual", F.when(k % 7 == 0, F.concat(F.lit("manual "), "p_name"))), ("seed", F.when(k % 3 == 0, F.concat(F.lit("seed "), "p_name"))), ("alias", F.when(F.col("p_size") > 20, F.col("p_type"))), ("fallback", F.col("p_name"))]
+    return v.part.select("p_partkey", E.first_known(steps).alias("m")).select("p_partkey", F.col("m.value").alias("text"), "m.source")
 
 
 @query("g9_mapping_resolution", "SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN 'verified' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'alias' WHEN c_acctbal < 0 THEN 'deny' WHEN c_nationkey > 20 THEN 'unsupported' ELSE 'unreviewed' END AS status FROM customer")
@@ -132,9 +130,8 @@ def _(v):
 
 @query("g12_override_batch", "SELECT target, CASE WHEN n > 1 THEN 'conflict' WHEN f.feature_id IS NULL THEN 'unknown' ELSE 'ok' END AS status FROM (SELECT l_partkey * 2 AS target, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45 GROUP BY l_partkey) o LEFT JOIN features f ON f.feature_id = o.target")
 def _(v):
-    o = v.lineitem.where("l_linenumber = 1 AND l_quantity > 45").groupBy((F.col("l_partkey") * 2).alias("target")).agg(F.countDistinct("l_suppkey").alias("n"))
-    known = v.features.select(F.col("feature_id").alias("target"), F.lit(True).alias("known"))
-    return o.join(known, "target", "left").select("target", F.when(F.col("n") > 1, "conflict").when(F.col("known").isNull(), "unknown").otherwise("ok").alias("status"))
+    o = v.lineitem.where("l_linenumber = 1 AND l_quantity > 45").select((F.col("l_partkey") * 2).alias("target"), "l_suppkey")
+    return E.override_status(o, v.features.select(F.col("feature_id").alias("target")), "target", "l_suppkey")
 
 
 @query("g13_country_replacement", "SELECT place_id, home_unit_id FROM places WHERE home_unit_id <> 7 UNION ALL SELECT place_id, 7 FROM gazetteer_b WHERE home_unit_id = 7")
@@ -255,11 +252,11 @@ def _(v):
     return of.groupBy(F.col("component").alias("region")).agg(F.count("*").alias("cells")).where("cells >= 2")
 
 
-@query("j3_depth_bands", "SELECT band, count(*) AS cells FROM (SELECT CASE WHEN value <= 5 THEN 0 WHEN value <= 10 THEN 1 WHEN value <= 20 THEN 2 WHEN value <= 30 THEN 3 WHEN value <= 40 THEN 4 ELSE 5 END AS band FROM pixels WHERE (r + c) % 7 <> 0) GROUP BY band HAVING count(*) >= 10")
+@query("j3_depth_bands", "SELECT band, count(*) AS cells FROM (SELECT CASE WHEN value <= 3 THEN 0 WHEN value <= 6 THEN 1 WHEN value <= 10 THEN 2 WHEN value <= 15 THEN 3 WHEN value <= 20 THEN 4 WHEN value <= 30 THEN 5 WHEN value <= 40 THEN 6 ELSE 7 END AS band FROM pixels WHERE value > 1) GROUP BY band HAVING count(*) >= 10")
 def _(v):
-    edges = [5, 10, 20, 30, 40]
-    band = sum(((F.col("value") > e).cast("int") for e in edges), F.lit(0))
-    return v.pixels.where("(r + c) % 7 <> 0").groupBy(band.alias("band")).agg(F.count("*").alias("cells")).where("cells >= 10")
+    # Eight bands, open below and closed above; cells of value 1 and less are land, and bands of less than ten cells are no bands.
+    band = sum(((F.col("value") > e).cast("int") for e in (3, 6, 10, 15, 20, 30, 40)), F.lit(0))
+    return v.pixels.where("value > 1").groupBy(band.alias("band")).agg(F.count("*").alias("cells")).where("cells >= 10")
 
 
 @query("j4_contour_cells", "SELECT a.r, a.c, l.level FROM pixels a JOIN pixels b ON b.r = a.r AND b.c = a.c + 1, (SELECT unnest([10, 20, 30, 40]) AS level) l WHERE (a.value < l.level) <> (b.value < l.level)")
@@ -277,41 +274,37 @@ def _(v):
 
 @query("k1_key_validity", "SELECT count(*) AS n, count(*) - count(DISTINCT o_custkey) AS duplicate_keys, count(*) FILTER (WHERE trim(o_orderpriority) = '' OR o_orderpriority IS NULL) AS blank_codes FROM orders")
 def _(v):
-    per = v.orders.groupBy("o_custkey").agg(F.count("*").alias("k"), F.count_if(F.col("o_orderpriority").isNull() | (F.trim("o_orderpriority") == "")).alias("b"))
-    return per.agg(F.sum("k").alias("n"), (F.sum("k") - F.count("o_custkey")).alias("duplicate_keys"), F.sum("b").alias("blank_codes"))
+    return checks.key_report(v.orders, "o_custkey", {"blank_codes": F.col("o_orderpriority")}).select("n", "duplicate_keys", "blank_codes")
 
 
 @query("k2_regression_gate", "SELECT a.home_unit_id, a.n - coalesce(b.n, 0) AS lost, a.n - coalesce(b.n, 0) <= 45 AS ok FROM (SELECT home_unit_id, count(*) AS n FROM places GROUP BY 1) a LEFT JOIN (SELECT home_unit_id, count(*) AS n FROM gazetteer_b GROUP BY 1) b ON b.home_unit_id = a.home_unit_id")
 def _(v):
-    both = v.places.select("home_unit_id", F.lit(1).alias("a"), F.lit(0).alias("b")).union(v.gazetteer_b.select("home_unit_id", F.lit(0), F.lit(1)))
-    n = both.groupBy("home_unit_id").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 0")
-    return n.select("home_unit_id", (F.col("a") - F.col("b")).alias("lost"), (F.col("a") - F.col("b") <= 45).alias("ok"))
+    gate = checks.regression(v.places, v.gazetteer_b, "home_unit_id", {"n": F.count(F.lit(1))}, {"n": F.lit(45.0)})
+    return gate.select("home_unit_id", (F.col("before") - F.col("after")).cast("long").alias("lost"), "ok")
 
 
 @query("k3_assertions", "SELECT 'count_min' AS rule, count(*) >= 100 AS ok FROM features UNION ALL SELECT 'no_blank', count(*) FILTER (WHERE owner = '') = 0 FROM features UNION ALL SELECT 'owner_max', max(n) <= 1000 FROM (SELECT count(*) AS n FROM features GROUP BY owner)")
 def _(v):
     per = v.features.groupBy("owner").agg(F.count("*").alias("n"))
-    facts = per.agg((F.sum("n") >= 100).alias("count_min"), (F.sum(F.when(F.col("owner") == "", F.col("n")).otherwise(0)) == 0).alias("no_blank"), (F.max("n") <= 1000).alias("owner_max"))
-    return facts.unpivot([], ["count_min", "no_blank", "owner_max"], "rule", "ok")
+    facts = per.agg(F.sum("n").alias("features"), F.sum(F.when(F.col("owner") == "", F.col("n")).otherwise(0)).alias("blanks"), F.max("n").alias("largest"))
+    rules = v.spark.createDataFrame([("count_min", "features", "min", 100.0), ("no_blank", "blanks", "forbidden", 0.0), ("owner_max", "largest", "max", 1000.0)], "rule string, fact string, op string, bound double")
+    return checks.assertions(facts, rules).select("rule", "ok")
 
 
 @query("k4_region_ownership", "SELECT unit_id, count(*) FILTER (WHERE owner <> 'Brand#' || (unit_id % 25 + 1)) AS wrong, count(*) FILTER (WHERE owner <> 'Brand#' || (unit_id % 25 + 1)) = 0 AS pass FROM features GROUP BY unit_id")
 def _(v):
-    wrong = F.count_if(F.col("owner") != F.concat(F.lit("Brand#"), F.col("unit_id") % 25 + 1))
-    return v.features.groupBy("unit_id").agg(wrong.alias("wrong")).withColumn("pass", F.col("wrong") == 0)
+    wrong = F.col("owner") != F.concat(F.lit("Brand#"), F.col("unit_id") % 25 + 1)
+    return checks.group_check(v.features, "unit_id", wrong).select("unit_id", "wrong", "pass")
 
 
 @query("k5_group_coverage", "SELECT feature_id, count(DISTINCT l_suppkey) AS groups FROM features LEFT JOIN lineitem ON l_partkey = feature_id GROUP BY feature_id HAVING count(DISTINCT l_suppkey) <> 1")
 def _(v):
-    n = v.lineitem.select(F.col("l_partkey").alias("feature_id"), "l_suppkey").distinct().groupBy("feature_id").agg(F.count("*").alias("groups"))
-    return v.features.select("feature_id").join(n, "feature_id", "left").select("feature_id", F.coalesce("groups", F.lit(0)).alias("groups")).where("groups <> 1")
+    return checks.not_covered_once(v.features, "feature_id", v.lineitem.select(F.col("l_partkey").alias("feature_id"), "l_suppkey"), "l_suppkey")
 
 
 @query("k7_translation_coverage", "SELECT count(DISTINCT u.k) AS used, count(DISTINCT CASE WHEN c.c_custkey IS NULL THEN u.k END) AS missing FROM (SELECT user_id AS k FROM events) u LEFT JOIN customer c ON c.c_custkey = u.k AND c.c_custkey % 3 <> 0")
 def _(v):
-    used = v.events.select(F.col("user_id").alias("k")).distinct()
-    known = v.customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.lit(1).alias("known"))
-    return used.join(known, "k", "left").agg(F.count("*").alias("used"), F.count_if(F.col("known").isNull()).alias("missing"))
+    return checks.used_but_unknown(v.events.select(F.col("user_id").alias("k")), v.customer.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k")), "k")
 
 
 @query("k8_district_rules", "SELECT l_suppkey AS district, count(DISTINCT l_partkey) AS features, count(DISTINCT CASE WHEN f.controller <> f.owner THEN l_partkey END) AS foreign_owned FROM lineitem JOIN features f ON f.feature_id = l_partkey GROUP BY l_suppkey")
@@ -327,11 +320,10 @@ def _(v):
 
 @query("k11_city_coverage", "SELECT p.place_id, count(z.zone_id) AS zones FROM places p LEFT JOIN zones z ON p.lon >= z.xmin AND p.lon < z.xmax AND p.lat >= z.ymin AND p.lat < z.ymax GROUP BY p.place_id HAVING count(z.zone_id) <> 1")
 def _(v):
-    n = G.within(v.places.select("place_id", "lon", "lat"), polygons(v.zones, "zone_id"), "rings").groupBy("place_id").agg(F.count("*").alias("zones"))
-    return v.places.select("place_id").join(n, "place_id", "left").select("place_id", F.coalesce("zones", F.lit(0)).alias("zones")).where("zones <> 1")
+    held = G.within(v.places.select("place_id", "lon", "lat"), polygons(v.zones, "zone_id"), "rings").select("place_id", "zone_id")
+    return checks.not_covered_once(v.places, "place_id", held, "zone_id").withColumnRenamed("groups", "zones")
 
 
 @query("k12_health", "SELECT unit_id, actual, expected, actual * 1.0 / expected < 0.5 AND expected - actual >= 10 AS error FROM (SELECT unit_id, count(*) FILTER (WHERE feature_id % (unit_id + 2) = 0) AS actual, count(*) AS expected FROM features GROUP BY unit_id)")
 def _(v):
-    n = v.features.groupBy("unit_id").agg(F.count_if(F.col("feature_id") % (F.col("unit_id") + 2) == 0).alias("actual"), F.count("*").alias("expected"))
-    return n.withColumn("error", (F.col("actual") / F.col("expected") < 0.5) & (F.col("expected") - F.col("actual") >= 10))
+    return checks.health(v.features, "unit_id", F.col("feature_id") % (F.col("unit_id") + 2) == 0, 0.5, 10)

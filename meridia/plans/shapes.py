@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridia.functions import geometry as M
-from meridia.functions import scalars as S
 from meridia.operators import graph, manifests, selection
 from meridia.operators import spatial as G
 

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meridia.functions import scalars as S
+from meridia.operators import ranking, selection
 from meridia.operators import spatial as G
 
-from .joins import BOX, polygons
+from .joins import polygons
 from .registry import query
 from .scalars import _KEY, _MERC
 
@@ -52,9 +53,9 @@ def _(v):
     return v.places.join(top, "home_unit_id").where("population >= 500000 OR population = top OR place_id % 100 = 0").select("place_id")
 
 
-@query("b7_despeckle", "SELECT owner, min(name) AS name, list_sort(list(feature_id)) AS parts FROM features WHERE feature_id % 13 >= 2 GROUP BY owner", lists=("parts",))
+@query("b7_despeckle", "SELECT p_brand AS owner, min(p_name) AS name, count(*) AS parts, CAST(sum(p_size) AS BIGINT) AS size FROM part WHERE p_size >= 4 OR (SELECT max(p_size) FROM part) < 4 GROUP BY p_brand")
 def _(v):
-    return v.features.where("feature_id % 13 >= 2").groupBy("owner").agg(F.min("name").alias("name"), F.sort_array(F.collect_list("feature_id")).alias("parts"))
+    return selection.despeckle(v.part, "p_brand", F.col("p_size"), 4, {"name": F.min("p_name"), "parts": F.count(F.lit(1)), "size": F.sum("p_size")}).withColumnRenamed("p_brand", "owner")
 
 
 @query("b8_length_threshold", f"SELECT segment_id FROM segments WHERE {_MERC} >= CASE class WHEN 'motorway' THEN 5000 WHEN 'trunk' THEN 15000 ELSE 30000 END")
@@ -145,8 +146,7 @@ def _(v):
 
 @query("e3_ordinal_suffix", "SELECT feature_id, owner || CASE WHEN rn > 1 THEN '__' || (rn - 1) ELSE '' END AS uid FROM (SELECT *, row_number() OVER (PARTITION BY owner, unit_id ORDER BY feature_id) AS rn FROM features)")
 def _(v):
-    rn = F.row_number().over(Window.partitionBy("owner", "unit_id").orderBy("feature_id"))
-    return v.features.withColumn("rn", rn).select("feature_id", F.concat("owner", F.when(F.col("rn") > 1, F.concat(F.lit("__"), F.col("rn") - 1)).otherwise("")).alias("uid"))
+    return ranking.ordinal_suffix(v.features, ["owner", "unit_id"], [F.col("feature_id")], F.col("owner"), "uid").select("feature_id", "uid")
 
 
 @query("e4_first_match", "SELECT feature_id, min(seq) AS seq, arg_min(value, seq) AS value FROM mutations WHERE value IS NOT NULL GROUP BY feature_id")
@@ -162,23 +162,18 @@ def _(v):
 
 @query("e6_sequential_ids", "SELECT feature_id, 'f::' || row_number() OVER (ORDER BY owner, feature_id) AS seq_id FROM features")
 def _(v):
-    # Gapless numbers without one task for all rows: counts of the owners before, and the place within the owner.
-    n = v.features.groupBy("owner").agg(F.count("*").alias("n"))
-    before = n.select("owner", (F.sum("n").over(Window.orderBy("owner")) - F.col("n")).alias("before"))  # one row for each owner
-    rn = F.row_number().over(Window.partitionBy("owner").orderBy("feature_id"))
-    return v.features.withColumn("rn", rn).join(before, "owner").select("feature_id", F.concat(F.lit("f::"), F.col("rn") + F.col("before")).alias("seq_id"))
+    return ranking.sequential_ids(v.features.select("owner", "feature_id"), [F.col("owner"), F.col("feature_id")], "seq_id", "f::").select("feature_id", "seq_id")
 
 
 @query("e7_quota_reveal", "SELECT place_id FROM (SELECT *, row_number() OVER (PARTITION BY home_unit_id ORDER BY population DESC, place_id) AS rn FROM places) WHERE rn <= CASE WHEN home_unit_id % 2 = 0 THEN 5 ELSE 2 END ORDER BY rn, population DESC, place_id LIMIT 60")
 def _(v):
-    rn = F.row_number().over(Window.partitionBy("home_unit_id").orderBy(F.desc("population"), "place_id"))
     quota = F.when(F.col("home_unit_id") % 2 == 0, 5).otherwise(2)
-    return v.places.withColumn("rn", rn).where(F.col("rn") <= quota).orderBy("rn", F.desc("population"), "place_id").limit(60).select("place_id")
+    return ranking.quota_reveal(v.places, "home_unit_id", [F.desc("population"), F.col("place_id")], quota, 60).select("place_id")
 
 
-@query("e9_candidate_confidence", "SELECT home_unit_id, place_id, CASE WHEN n >= 2 AND population >= 350000 THEN 'high' WHEN population >= 350000 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT *, count(*) OVER (PARTITION BY home_unit_id) AS n, row_number() OVER (PARTITION BY home_unit_id ORDER BY population DESC, place_id) AS rn FROM places WHERE place_id % 3 = 0) WHERE rn = 1")
+@query("e9_candidate_confidence", "SELECT home_unit_id, place_id, CASE WHEN n >= 2 AND population >= 350000 THEN 'high' WHEN population >= 350000 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT *, count(*) OVER (PARTITION BY home_unit_id) AS n, row_number() OVER (PARTITION BY home_unit_id ORDER BY population DESC, place_id) AS rn FROM places) WHERE rn = 1")
 def _(v):
-    best = v.places.where("place_id % 3 = 0").groupBy("home_unit_id").agg(F.count("*").alias("n"), F.max(F.struct("population", (-F.col("place_id")).alias("p"))).alias("b"))
+    best = v.places.groupBy("home_unit_id").agg(F.count("*").alias("n"), F.max(F.struct("population", (-F.col("place_id")).alias("p"))).alias("b"))
     level = F.when((F.col("n") >= 2) & (F.col("b.population") >= 350000), "high").when(F.col("b.population") >= 350000, "medium").otherwise("low")
     return best.select("home_unit_id", (-F.col("b.p")).alias("place_id"), level.alias("confidence"))
 
@@ -197,19 +192,13 @@ SELECT k, CAST(base + CASE WHEN rn <= 500 - (SELECT sum(base) FROM s) THEN 1 ELS
 )
 def _(v):
     w = v.places.groupBy(F.col("home_unit_id").alias("k")).agg(F.sum("population").alias("w"))
-    t = w.agg(F.sum("w").alias("t"))
-    s = w.crossJoin(F.broadcast(t)).select("k", F.expr("(w * 500) div t").alias("base"), F.expr("(w * 500) % t").alias("rest"))  # t is one row
-    given = s.agg((500 - F.sum("base")).alias("left"))
-    rn = F.row_number().over(Window.orderBy(F.desc("rest"), "k"))  # one row for each key, not for each place
-    return s.withColumn("rn", rn).crossJoin(F.broadcast(given)).select("k", (F.col("base") + (F.col("rn") <= F.col("left")).cast("int")).alias("seats"))
+    return ranking.largest_remainder(w, "k", "w", 500)
 
 
 @query("e13_continue_suffix", "WITH n AS (SELECT owner, max(feature_id) AS top FROM features WHERE feature_id % 2 = 0 GROUP BY owner) SELECT f.feature_id, f.owner || '_' || lpad(CAST(coalesce(n.top, 0) + row_number() OVER (PARTITION BY f.owner ORDER BY f.feature_id) AS VARCHAR), 6, '0') AS new_id FROM features f LEFT JOIN n USING (owner) WHERE f.feature_id % 2 = 1")
 def _(v):
-    top = v.features.where("feature_id % 2 = 0").groupBy("owner").agg(F.max("feature_id").alias("top"))
-    rn = F.row_number().over(Window.partitionBy("owner").orderBy("feature_id"))
-    new = v.features.where("feature_id % 2 = 1").withColumn("rn", rn).join(top, "owner", "left")
-    return new.select("feature_id", F.concat("owner", F.lit("_"), F.lpad((F.coalesce("top", F.lit(0)) + F.col("rn")).cast("string"), 6, "0")).alias("new_id"))
+    new, old = v.features.where("feature_id % 2 = 1"), v.features.where("feature_id % 2 = 0")
+    return ranking.continue_suffix(new, old, "owner", F.col("feature_id"), [F.col("feature_id")], "new_id").select("feature_id", "new_id")
 
 
 @query("e14_name_by_best_place", "SELECT u.unit_id, coalesce(arg_max(p.name, p.population * 10000000 - p.place_id), any_value(u.name)) AS name FROM units u LEFT JOIN places p ON p.home_unit_id = u.unit_id AND p.population >= 2000000 GROUP BY u.unit_id")
@@ -220,10 +209,8 @@ def _(v):
 
 @query("f1_multi_key_sort", "SELECT row_number() OVER (ORDER BY home_unit_id, population DESC, place_id) AS pos, place_id FROM places")
 def _(v):
-    n = v.places.groupBy("home_unit_id").agg(F.count("*").alias("n"))
-    before = n.select("home_unit_id", (F.sum("n").over(Window.orderBy("home_unit_id")) - F.col("n")).alias("before"))
-    rn = F.row_number().over(Window.partitionBy("home_unit_id").orderBy(F.desc("population"), "place_id"))
-    return v.places.withColumn("rn", rn).join(before, "home_unit_id").select((F.col("before") + F.col("rn")).alias("pos"), "place_id")
+    sorted_ = selection.numbered(v.places.select("home_unit_id", "population", "place_id"), [F.col("home_unit_id"), -F.col("population"), F.col("place_id")], "number")
+    return sorted_.select((F.col("number") + 1).alias("pos"), "place_id")
 
 
 @query("f2_top_n", "SELECT place_id, population FROM places ORDER BY population DESC, place_id LIMIT 25")
