@@ -61,59 +61,82 @@ def circle(x: Column, y: Column, radius: Column, sides: int = 16) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(sides - 1)), lambda i: F.struct((x + radius * F.cos(angle(i))).alias("x"), (y + radius * F.sin(angle(i))).alias("y")))
 
 
-def clip(subject: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Part of a polygon inside a convex counter-clockwise window, edge by edge; areas are exact for any subject."""
-    out = subject
-    for (ax, ay), (bx, by) in zip(window, np.roll(window, -1, 0), strict=True):
-        if not len(out):
-            break
-        side = (bx - ax) * (out[:, 1] - ay) - (by - ay) * (out[:, 0] - ax)
-        nxt, s2 = np.roll(out, -1, 0), np.roll(side, -1)
-        rows = []
-        for p, q, s, t in zip(out, nxt, side, s2, strict=True):
-            if s >= 0:
-                rows.append(p)
-            if (s >= 0) != (t >= 0):
-                rows.append(p + (q - p) * (s / (s - t)))
-        out = np.array(rows).reshape(-1, 2)
-    return out
-
-
-def shoelace(p: np.ndarray) -> float:
-    return float((p[:, 0] * np.roll(p[:, 1], -1) - np.roll(p[:, 0], -1) * p[:, 1]).sum() / 2) if len(p) else 0.0
-
-
-def _fans(rings: list) -> list[tuple[float, np.ndarray]]:
-    """Signed counter-clockwise triangles whose indicator functions add up to the polygon's: outer rings count positive,
-    holes negative."""
-    out = []
+def clip(p: np.ndarray, n: np.ndarray, start: np.ndarray, direction: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Many convex polygons at once, (polygons, corners, 2) with n corners each, cut to the left of a line each; a cut adds one corner at most."""
+    i = np.arange(p.shape[1])
+    inside = i < n[:, None]
+    side = direction[:, None, 0] * (p[..., 1] - start[:, None, 1]) - direction[:, None, 1] * (p[..., 0] - start[:, None, 0])
+    following = np.where(i + 1 < n[:, None], i + 1, 0)
+    q, t = np.take_along_axis(p, following[..., None], 1), np.take_along_axis(side, following, 1)
+    keep, cross = inside & (side >= 0), inside & ((side >= 0) != (t >= 0))
+    at = np.cumsum(keep.astype(int) + cross, 1) - keep - cross
+    out = np.zeros((len(p), p.shape[1] + 1, 2))
+    out[np.nonzero(keep)[0], at[keep]] = p[keep]
+    share = (side[cross] / (side[cross] - t[cross]))[:, None]
+    out[np.nonzero(cross)[0], (at + keep)[cross]] = p[cross] + (q[cross] - p[cross]) * share
+    return out, keep.sum(1) + cross.sum(1)
+
+
+def shoelace(p: np.ndarray) -> np.ndarray:
+    """Signed areas of rings (..., corners, 2)."""
+    q = np.roll(p, -1, -2)
+    return (p[..., 0] * q[..., 1] - q[..., 0] * p[..., 1]).sum(-1) / 2
+
+
+def fans(rings: list) -> tuple[np.ndarray, np.ndarray]:
+    """(signs, counter-clockwise triangles) whose indicator functions add up to the polygon's: outer rings count positive, holes negative."""
+    out = [np.zeros((0, 3, 2))]
     for k, ring in enumerate(rings):
-        p = np.array([(q["x"], q["y"]) for q in ring], float)
-        p = p if (shoelace(p) >= 0) == (k == 0) else p[::-1]
-        for i in range(1, len(p) - 1):
-            t = p[[0, i, i + 1]]
-            s = shoelace(t)
-            if s:
-                out.append((np.sign(s), t if s > 0 else t[::-1]))
-    return out
-
-
-def shared_area(a: list, b: list) -> float:
-    """Area that two polygons have in common, by their fans: sum of s * t * area(T and U). Works for holes and concave rings."""
-    fa, fb = _fans(a), _fans(b)
-    total = 0.0
-    for s, t in fa:
-        lo, hi = t.min(0), t.max(0)
-        for z, u in fb:
-            if (u.min(0) < hi).all() and (u.max(0) > lo).all():
-                total += s * z * shoelace(clip(t, u))
+        p = np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2)
+        if len(p) > 2:
+            p = p if (shoelace(p) >= 0) == (k == 0) else p[::-1]
+            out.append(np.stack((np.broadcast_to(p[0], (len(p) - 2, 2)), p[1:-1], p[2:]), 1))
+    t = np.concatenate(out)
+    size = shoelace(t)
+    t, sign = t[size != 0], np.sign(size[size != 0])
+    return sign, np.where(sign[:, None, None] > 0, t, t[:, ::-1])
+
+
+def shared_areas(a: list, b: list, at_once: int = 1 << 16) -> np.ndarray:
+    """Area that two polygons have in common, row by row, by their fans: sum of s * t * area(T and U). Works for holes and concave rings.
+    The triangles of all rows are clipped together, so many pairs at a time."""
+    one, two = [fans(x) for x in a], [fans(x) for x in b]
+    total = np.zeros(len(a))
+    pending: list[tuple] = []
+
+    def settle() -> None:
+        row, sign, t, u = (np.concatenate(x) for x in zip(*pending, strict=True))
+        p, n = t, np.full(len(t), 3)
+        for k in range(3):
+            p, n = clip(p, n, u[:, k], u[:, (k + 1) % 3] - u[:, k])
+        # Unused corners repeat the first, which adds no area.
+        p = np.where((np.arange(p.shape[1]) < n[:, None])[..., None], p, p[:, :1])
+        np.add.at(total, row, sign * np.where(n > 2, shoelace(p), 0.0))
+        pending.clear()
+
+    size = 0
+    for row, ((s, t), (z, u)) in enumerate(zip(one, two, strict=True)):
+        for k in range(0, len(t), 256):
+            lo, hi = t[k : k + 256].min(1), t[k : k + 256].max(1)
+            i, j = np.nonzero((u.min(1)[None] < hi[:, None]).all(2) & (u.max(1)[None] > lo[:, None]).all(2))
+            pending.append((np.full(len(i), row), s[k + i] * z[j], t[k + i], u[j]))
+            size += len(i)
+            if size >= at_once:
+                settle()
+                size = 0
+    if pending:
+        settle()
     return total
 
 
 @F.pandas_udf(T.DoubleType())
 def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    """shared_area by rows; null if either is null."""
-    return pd.Series([None if x is None or y is None else shared_area(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    """shared_areas by rows; null if either is null."""
+    known = [x is not None and y is not None for x, y in zip(a, b, strict=True)]
+    out = pd.Series(np.nan, range(len(a)), dtype="object")
+    out[:] = None
+    out[known] = shared_areas([x for x, k in zip(a, known, strict=True) if k], [y for y, k in zip(b, known, strict=True) if k])
+    return out.astype("Float64")
 
 
 def douglas_peucker(p: np.ndarray, tolerance: float) -> np.ndarray:
