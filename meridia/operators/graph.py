@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import scalars as S
@@ -23,13 +23,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
         near = both.join(least, "src").where("dst > src AND dst <> m" if larger else "dst <> m")
         out = near.select(F.col("m").alias("src"), F.col("dst").alias("dst"))
-        return (out if larger else out.unionByName(least.where("m < src").select(F.col("m").alias("src"), F.col("src").alias("dst")))).distinct()
-
-    kept = scratch(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "edges")
-    was, now = None, kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-    while now[0] and now != was:
-        kept = scratch(star(scratch(star(kept, True), "large"), False), "small")
-        was, now = now, kept.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        # Repeated edges that the large star makes go with those of the small one.
+        return out if larger else out.unionByName(least.where("m < src").select(F.col("m").alias("src"), F.col("src").alias("dst"))).distinct()
+
+    def kept_with_sum(e: DataFrame) -> tuple[DataFrame, dict]:
+        """e written, and a sum over it that tells whether a round has changed anything, taken while it is written."""
+        seen = Observation()
+        return scratch(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("sum")), "star"), seen.get
+
+    kept, now = kept_with_sum(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    was = None
+    while now["n"] and now != was:
+        was = now
+        kept, now = kept_with_sum(star(star(kept, True), False))
     return nodes.select("id").join(kept.select(F.col("dst").alias("id"), F.col("src").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
