@@ -35,8 +35,9 @@ def shard_by_bytes(df: DataFrame, size: Column, shards: int, order: list[Column]
     The shards are contiguous in the given order, and a row belongs to the shard on whose part of the byte line its
     first byte lies, so shards differ from the target by less than the rows at their two ends. A null size counts as 0;
     nulls in order come first; ties in it are cut anywhere, as each row has its own place. Rows without any size at
-    all (total 0) all go to shard 0. An empty table gives an empty one. Columns of df named as the new ones are replaced,
-    no other name clashes.
+    all (total 0) all go to shard 0. Repeated rows have a place each; a very long row fills its shard, and shards that its
+    bytes pass over stay empty. An empty table gives an empty one. Columns of df named as the new ones are replaced, no
+    other name clashes.
     """
     spark = df.sparkSession
     names = {k: free_name(df, k) for k in ("own_size", "own_part", "bytes_before", "rows_before", "base_bytes", "base_rows", "first_place", *(f"order_{i}" for i in range(len(order))))}
@@ -84,6 +85,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFram
 
 
 def stage_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str, shards: int = 40) -> DataFrame:
-    """Pipeline stage: every row of docs, repeated ones too, with shard and slot."""
+    """Pipeline stage: every row of docs, repeated ones too, with shard and slot. Nulls, very long texts, ties and empty tables as in
+    shard_by_bytes; columns named shard or slot are replaced."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return shard_by_bytes(docs, text_size(F.col("text")), shards, [F.xxhash64(text, F.lit(7)), F.col("doc_id")])
