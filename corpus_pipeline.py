@@ -23,6 +23,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that all stages keep, as often as they are mixed in, with shard and slot. Each stage states what it does with nulls, empty
+    and very long texts, ties, repeated rows and columns of clashing names; an empty table gives an empty result."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
