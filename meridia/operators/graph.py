@@ -10,11 +10,16 @@ from meridia.sources.shared import scratch
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id that each node of nodes (id) reaches over edges (src, dst) in either direction.
+    """(id, component): the least id that each node of nodes (id) reaches over edges (src, dst) in either direction."""
+    return nodes.select("id").join(linked(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def linked(edges: DataFrame) -> DataFrame:
+    """(id, component): for each end of an edge (src, dst) to another node the least id that it reaches in either direction.
 
     A round ties every node's greater neighbours to the least node that it knows, then its lesser ones (large and small
-    star); what is left at the end is one edge from each node to its component. Rounds grow with the
-    logarithm of the nodes.
+    star); what is left at the end is one edge from each node to its component. Rounds grow with the logarithm of the
+    nodes; minima combine before the shuffle, so a node with many neighbours is no hot task.
     """
 
     def star(e: DataFrame, larger: bool) -> DataFrame:
@@ -36,7 +41,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while now["n"] and now != was:
         was = now
         kept, now = kept_with_sum(star(star(kept, True), False))
-    return nodes.select("id").join(kept.select(F.col("dst").alias("id"), F.col("src").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return kept.select(F.col("dst").alias("id"), F.col("src").alias("component")).unionByName(kept.select(F.col("src").alias("id"), F.col("src").alias("component")).distinct())
 
 
 def merge_lines(segments: DataFrame, key: str, attrs: list[str], start: str, end: str) -> DataFrame:
