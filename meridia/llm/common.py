@@ -1,42 +1,20 @@
-"""Helpers shared by the corpus operators: the shared folder, written tables, table reading and text columns."""
+"""Helpers shared by the corpus operators: written tables in the shared folder, table reading and text columns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridia.sources.shared import scratch as written
+from meridia.sources.shared import shared as fresh_path
+
+__all__ = ["fresh_path", "free_name", "lower_ascii", "partitions", "table", "written"]
+
 #: The white space and the case folding that the text contracts name.
 ASCII_SPACE = " \t\n\v\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own on one machine, as in
-    tests; an error on a cluster, whose machines would each have another."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet to the shared folder and reads it back, so that a lost executor costs nothing before it."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

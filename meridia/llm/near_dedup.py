@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meridia.operators.graph import linked
+
 from .common import free_name, table, written
 from .words import GOLDEN, U64, Text, chunks, mix, sequence_digests, shingles, words
 
@@ -168,34 +170,8 @@ def _block_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): for every end of a link (a, b) the least node of its connected component.
-
-    Alternates the large-star and small-star steps, each a map-side combined minimum by node and a join, until the links
-    no longer change; rounds grow with the logarithm of the nodes, and every round is written.
-    """
-
-    def star(e: DataFrame, larger: bool) -> DataFrame:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        if not larger:
-            both = both.where("v < u")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = written(least, "cc-least")
-        near = both.join(least, "u")
-        out = near.where("v > u AND v <> m" if larger else "v <> m").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        return (out if larger else out.unionByName(least.where("m < u").select(F.col("m").alias("a"), F.col("u").alias("b")))).distinct()
-
-    def state(e: DataFrame) -> tuple:
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    edges = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc")
-    was = state(edges)
-    while was[0]:
-        edges = written(star(written(star(edges, True), "cc-large"), False), "cc")
-        now = state(edges)
-        if tuple(now) == tuple(was):
-            break
-        was = now
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("comp"))).distinct()
+    """(node, comp): for every end of a link (a, b) the least node of its connected component."""
+    return linked(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("node"), F.col("component").alias("comp"))
 
 
 def _classes(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
