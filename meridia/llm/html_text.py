@@ -209,15 +209,25 @@ class Page:
     def removed(self) -> tuple[list[bool], list[bool]]:
         """For each node: whether it is boilerplate wherever it stands, and whether it is by what may also name a part of the story.
 
-        Neither goes if it holds the page's article or headline; a header stays inside an article, and there only what is clear goes.
+        Neither goes if it holds the page's article or headline; inside an article a header stays, and what may name a part
+        of the story, unless links are more than half of its characters.
         """
         tag, parent, inside, n = self.tag, self.parent, self.inside, len(self.tag)
-        level = list(self.noise)
+        level, size, links, in_link = list(self.noise), [0] * n, [0] * n, [False] * n
+        for i in range(1, n):
+            in_link[i] = in_link[parent[i]] or tag[i] == "a"
+        for i, text in self.pieces:
+            if text:
+                size[i] += len(text.strip())
+                links[i] += len(text.strip()) * in_link[i]
+        for i in range(n - 1, 0, -1):
+            size[parent[i]] += size[i]
+            links[parent[i]] += links[i]
         for i in range(1, n):
-            if tag[i] == "header" and level[i] < 2:
-                level[i] = 1
             if inside[i] and level[i] == 1:
-                level[i] = 0
+                level[i] = 2 * (2 * links[i] > size[i])
+            elif tag[i] == "header" and level[i] < 2 and not inside[i]:
+                level[i] = 1
         holds = [False] * n
         for i in range(n - 1, 0, -1):
             holds[i] |= tag[i] == "h1" or tag[i] in ("article", "main") and not level[i] and not inside[i]
@@ -229,8 +239,8 @@ class Page:
             soft[i] = soft[parent[i]] or level[i] == 1 and goes
         return hard, soft
 
-    def densities(self, gone: list[bool]) -> tuple[list[float], list[float], list[int]]:
-        """For each block its density and the sum of its children's, and the block around each node. Inline elements but links
+    def densities(self, gone: list[bool]) -> tuple[list[float], list[float], list[int], list[int]]:
+        """For each block its density, the sum of its children's and its linked characters, and the block around each node. Inline elements but links
         are no tags, their text is their block's; text right in a block counts as a child of its own."""
         tag, parent, n = self.tag, self.parent, len(self.tag)
         block, in_link = list(range(n)), [False] * n
@@ -262,17 +272,18 @@ class Page:
                 total[i] += density(own[i], own_a[i], own_links[i], own_a[i], body) if own[i] else 0.0
                 if i:
                     total[block[parent[i]]] += dense[i]
-        return dense, total, block
+        return dense, total, links, block
 
     def picked(self, gone: list[bool]) -> set[int]:
         """The block of the greatest sum, and the best ones of the subtrees that reach the threshold."""
-        dense, total, block = self.densities(gone)
+        dense, total, links, block = self.densities(gone)
         n = len(dense)
-        best = list(range(n))  # block of the greatest sum in each subtree, the innermost of equals
+        best = list(range(n))  # block of the greatest sum in each subtree; of equals the outermost that has no more links, then the first
         for i in range(n - 1, 0, -1):
             p = block[self.parent[i]]
-            if block[i] == i and total[best[i]] > 0 and total[best[i]] >= total[best[p]]:
-                best[p] = best[i]
+            own, other = best[i], best[p]
+            if block[i] == i and total[own] > 0 and (total[own] > total[other] or total[own] == total[other] and (other != p or links[own] < links[other])):
+                best[p] = own
         core = best[0]
         threshold, i = dense[core], core
         while i:
@@ -356,8 +367,8 @@ def extract_text(pages: DataFrame, html_col: str = "html", text: str = "text") -
 
     Null, empty and text-free pages, and empty tables, give empty texts or none. Broken markup is read as browsers do in the main: unclosed
     paragraphs and items end where the next begins, stray closing tags are passed over, what is never closed ends with
-    the page. Very long pages take time and memory in proportion to their length. Of blocks with the same density sum the
-    innermost is the core, of these the first. Each page is read alone, so repeated rows give repeated results. A column
+    the page. Very long pages take time and memory in proportion to their length. Of blocks with the same density sum (ties)
+    the outermost without more links is the core, of several the first. Each page is read alone, so repeated rows give repeated results. A column
     already named as text is replaced; others are kept whatever their names.
     """
     pages = pages.select(*[c for c in pages.columns if c == html_col or c.lower() != text.lower()])

@@ -147,7 +147,7 @@ def test_densities_by_definition():
         page = H.Page("".join(map(show, kids)))
         whole, _ = naive(("body", kids), 0.0)
         _, want = naive(("body", kids), whole[2] / max(whole[0], 1))
-        dense, total, block = page.densities([False] * len(page.tag))
+        dense, total, _, block = page.densities([False] * len(page.tag))
         got = [(dense[i], total[i]) for i in range(len(block)) if block[i] == i]
         assert len(got) == len(want) and all(x == pytest.approx(y) for x, y in zip(got, want, strict=True))
         blocks = [i for i in range(len(block)) if block[i] == i]
@@ -162,6 +162,14 @@ def test_words_that_may_name_a_part_of_the_story():
         assert text == WANT.replace(" Short one.", " A quote. A discussion. A warning. Short one."), tag
 
 
+def test_linked_parts_and_single_letters():
+    posts = "<div class=related-posts><h3>Related</h3><ul>" + "".join(f"<li><a href=/{i}>Another story {i}</a></li>" for i in range(4)) + "</ul></div>"
+    cut = ART.rindex("<p>")
+    for tag in ("article", "main", "div"):
+        assert main_text(f"<body>{LINKS}<{tag}>{ART[:cut]}{posts}{ART[cut:]}</{tag}></body>") == WANT, tag
+        assert main_text(f"<body>{LINKS}<{tag}><h1>A headline of some words</h1><p>|</p></{tag}></body>") == "A headline of some words |", tag
+
+
 def test_long_hostile_pages_take_linear_time():
     for part in ("<div>", '<a href="', "<p><b><table>", "<!", "<title>", "</script ", "<a b='", "<li>", "</p>", "<b>", "<", "&", "<a ", "<td><p>", "<a =\"=\"="):
         page = part * (1_000_000 // len(part))
