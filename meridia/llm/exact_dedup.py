@@ -23,7 +23,7 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
-#: Broadcast of the digests that were hit, or of their rows: so many of about 100 bytes at most, else a shuffle.
+#: Broadcast of the digests that were hit, or of their rows: so many of about 200 bytes (100 MB) at most, else a shuffle.
 BROADCAST_ROWS = 500_000
 
 

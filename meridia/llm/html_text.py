@@ -46,6 +46,9 @@ BARRIERS = ("table", "article", "section", "main")
 CONTAINERS = frozenset("div section ul ol dl table tr td header figure article main center details fieldset".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 
+#: What a wider block adds must have at least this part of the core's density.
+WIDEN = 0.25
+
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 ATTR = re.compile(r"""[\s/]*([^\s/>=]?[^\s/>=]*)(\s*=\s*)?""")
 BARE = re.compile(r"[^\s>]*")
@@ -265,6 +268,7 @@ class Page:
                 link_tags[p] += link_tags[i]
                 tags[p] += tags[i] + 1
         body = links[0] / max(chars[0], 1)
+        self.counts = chars, tags, links, link_tags
         dense, total = [0.0] * n, [0.0] * n
         for i in range(n - 1, -1, -1):
             if chars[i] and block[i] == i and not gone[i]:
@@ -284,7 +288,7 @@ class Page:
             own, other = best[i], best[p]
             if block[i] == i and total[own] > 0 and (total[own] > total[other] or total[own] == total[other] and (other != p or links[own] < links[other])):
                 best[p] = own
-        core = best[0]
+        core = self.widened(best[0], dense, block)
         threshold, i = dense[core], core
         while i:
             i = block[self.parent[i]]
@@ -296,6 +300,20 @@ class Page:
             reach[i] = block[i] == i and reach[p] and dense[i] >= threshold and dense[i] > 0
         return {core} | {best[i] for i in range(n) if reach[i]}
 
+    def widened(self, core: int, dense: list[float], block: list[int]) -> int:
+        """The core, or the block around it while what that adds is less than half links and, but inside an article or main, text like the core's: at
+        least WIDEN of its density. An article or main is not left."""
+        chars, tags, links, link_tags = self.counts
+        body = links[0] / max(chars[0], 1)
+        while core and self.tag[core] not in ("article", "main"):
+            out = block[self.parent[core]]
+            more = [x[out] - x[core] for x in (chars, tags, links, link_tags)]
+            thin = not self.inside[core] and density(more[0], more[1] - 1, more[2], more[3], body) < WIDEN * dense[core] if more[0] else False
+            if more[0] and (2 * more[2] >= more[0] or thin):
+                break
+            core = out
+        return core
+
     def main_text(self) -> str:
         """What is picked, the last headline before it, and what stands between these, unless most of it is links. White space is one space."""
         tag, parent, n = self.tag, self.parent, len(self.tag)

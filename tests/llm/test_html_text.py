@@ -162,6 +162,14 @@ def test_words_that_may_name_a_part_of_the_story():
         assert text == WANT.replace(" Short one.", " A quote. A discussion. A warning. Short one."), tag
 
 
+def test_sections_of_unequal_length():
+    long, short = "".join(f"<p>{p}</p>" for p in PARA * 3), "<h2>Later</h2><p>A short section at the end.</p>"
+    want = " ".join(PARA * 3) + " Later A short section at the end."
+    for tag in ("article", "main", "div"):
+        for form in ("<section>%s</section><section>%s</section>", "<div><div>%s</div></div><div class=row><div class=col>%s</div></div>"):
+            assert main_text(f"<body>{LINKS}<{tag}><h1>Head line</h1>{form % (long, short)}</{tag}>{LINKS}</body>") == f"Head line {want}", (tag, form)
+
+
 def test_linked_parts_and_single_letters():
     posts = "<div class=related-posts><h3>Related</h3><ul>" + "".join(f"<li><a href=/{i}>Another story {i}</a></li>" for i in range(4)) + "</ul></div>"
     cut = ART.rindex("<p>")
