@@ -69,7 +69,16 @@ def _(v):
     return line.groupBy("line").agg(F.count("*").alias("segments")).select(F.floor(F.col("line") / 100).alias("l_orderkey"), (F.col("line") % 100).alias("first"), "segments")
 
 
-@query("e12_scaled_threshold")
+@query(
+    "e12_scaled_threshold",
+    """WITH RECURSIVE w AS (SELECT home_unit_id AS k, CAST(sum(population) AS DOUBLE) AS w FROM places GROUP BY 1),
+b AS (SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(6000 AS DOUBLE) / (SELECT sum(w) FROM w) AS hi UNION ALL SELECT i + 1, CASE WHEN s < 300 THEN mid ELSE lo END, CASE WHEN s < 300 THEN hi ELSE mid END FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, sum(least(60, greatest(1, round(w.w * ((lo + hi) / 2))))) AS s FROM b, w WHERE i < 60 GROUP BY i, lo, hi)),
+n AS (SELECT k, w, CAST(least(60, greatest(1, round(w * hi))) AS INTEGER) AS seats FROM w, b WHERE i = 60), o AS (SELECT CAST(sum(seats) AS INTEGER) - 300 AS miss FROM n),
+st AS (SELECT k, w, seats, miss, unnest(CASE WHEN miss < 0 AND seats < 60 THEN range(seats + 1, 61) WHEN miss > 0 AND seats > 1 THEN range(seats, 1, -1) ELSE CAST([] AS BIGINT[]) END) AS step FROM n, o),
+r AS (SELECT k, miss, row_number() OVER (ORDER BY CASE WHEN miss < 0 THEN w / step WHEN w > 0 THEN step / w ELSE CAST('infinity' AS DOUBLE) END DESC, k, abs(step - seats)) AS rn FROM st),
+c AS (SELECT k, count(*) * -sign(any_value(miss)) AS change FROM r WHERE rn <= abs(miss) GROUP BY k)
+SELECT n.k AS home_unit_id, CAST(seats + coalesce(change, 0) AS INTEGER) AS seats FROM n LEFT JOIN c USING (k)""",
+)
 def _(v):
     w = v.places.groupBy("home_unit_id").agg(F.sum("population").cast("double").alias("w"))
     return ranking.scaled_seats(w, "home_unit_id", "w", 300, 60)

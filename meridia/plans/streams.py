@@ -36,9 +36,9 @@ def last_two(edits):
     return two.groupBy("feature_id").agg(F.max(F.when(F.col("rn") == 1, F.col("value"))).alias("value"), F.max(F.when(F.col("rn") == 2, F.col("value"))).alias("before"))
 
 
-@query("l3_state_at", "SELECT feature_id, value, before FROM (SELECT *, lag(value) OVER (PARTITION BY feature_id ORDER BY seq) AS before, row_number() OVER (PARTITION BY feature_id ORDER BY seq DESC) AS rn FROM mutations WHERE seq % 1000 < 700) WHERE rn = 1")
+@query("l3_state_at", "SELECT feature_id, value, before FROM (SELECT *, lag(value) OVER (PARTITION BY feature_id ORDER BY seq) AS before, row_number() OVER (PARTITION BY feature_id ORDER BY seq DESC) AS rn FROM mutations) WHERE rn = 1")
 def _(v):
-    return last_two(v.mutations.where("seq % 1000 < 700"))
+    return last_two(v.mutations)  # the point is the log's end
 
 
 @query("l3_state_at_point", "SELECT feature_id, value, before FROM (SELECT *, lag(value) OVER (PARTITION BY feature_id ORDER BY seq) AS before, row_number() OVER (PARTITION BY feature_id ORDER BY seq DESC) AS rn FROM mutations WHERE seq <= (SELECT min(seq) + (max(seq) - min(seq)) // 10 * 7 FROM mutations)) WHERE rn = 1")

@@ -109,9 +109,32 @@ def test_palette_one_by_one(spark):
     assert {r.id: r.colour for r in got.collect()} == done
 
 
+def plain_simplify(line, tolerance):
+    """Douglas and Peucker by recursion."""
+    if len(line) < 3:
+        return line
+    (ax, ay), (bx, by) = line[0], line[-1]
+    n = math.hypot(bx - ax, by - ay)
+    far = [abs((bx - ax) * (y - ay) - (by - ay) * (x - ax)) / n if n else math.hypot(x - ax, y - ay) for x, y in line[1:-1]]
+    k = max(range(len(far)), key=lambda i: far[i])
+    return plain_simplify(line[: k + 2], tolerance)[:-1] + plain_simplify(line[k + 1 :], tolerance) if far[k] > tolerance else [line[0], line[-1]]
+
+
 def test_simplified_lines(spark, sf):
+    items = defaultdict(list)
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect():
+        items[r.l_orderkey].append((r.l_linenumber, r.l_quantity, r.l_partkey, r.l_suppkey))
+    length = lambda p: sum(math.dist(a, b) for a, b in zip(p, p[1:]))
+    for r in QUERIES["h22_simplify"](spark, sf).collect():
+        line = sorted((float(n), float(q)) for n, q, *_ in items[r.l_orderkey])
+        want = plain_simplify(line, 5.0)
+        assert (r.before, r.after) == (len(line), len(want)) and abs(r.length - length(want)) < 1e-5
     for r in QUERIES["h22_simplify_metres"](spark, sf).collect():
-        assert min(r.before, 2) <= len(r.kept) <= r.before
+        line = [(x, y) for _, x, y in sorted((n, (p * 7919 % 3600) / 100.0 - 18, (s * 104729 % 1400) / 100.0 + 40) for n, _, p, s in items[r.l_orderkey])]
+        metre = math.pi / 180 * 6_371_008.8
+        flat = math.cos(math.radians(sum(y for _, y in line) / len(line)))
+        back = {(x * metre * flat, y * metre): f"{round(x, 4)} {round(y, 4)}" for x, y in line}
+        assert r.kept == [back[p] for p in plain_simplify([(x * metre * flat, y * metre) for x, y in line], 50_000.0)]
     line = [(0.0, 60.0), (0.5, 60.2), (1.0, 60.0)]  # the bend is 22 km off the chord, in degrees it would be 0.2
     df = spark.createDataFrame([([{"x": x, "y": y} for x, y in line],)], "line array<struct<x:double,y:double>>")
     from meridia.functions.geometry import simplify
