@@ -127,6 +127,16 @@ def _(v):
     return v.segments.transform(builder)
 
 
+@query("m1_chunk_products", "SELECT class, count(*) AS n, round(sum(x1 - x0), 4) AS width, TRUE AS bounded FROM segments GROUP BY class")
+def _(v):
+    # Chunks of at most 5000 segments; a product is a row for each chunk and class.
+    path = shared(v.spark, "chunks")
+    v.segments.select("class", "x0", "x1").write.option("maxRecordsPerFile", 5000).parquet(path)
+    builder = lambda rows, chunk: rows.groupBy(chunk, "class").agg(F.count("*").alias("n"), F.sum(F.col("x1") - F.col("x0")).alias("width"))
+    products = R.build_by_chunks(v.spark.read.parquet(path), builder)
+    return products.groupBy("class").agg(F.sum("n").alias("n"), F.round(F.sum("width"), 4).alias("width"), (F.max("n") <= 5000).alias("bounded"))
+
+
 @query(
     "i4_contiguous_parts",
     f"""WITH RECURSIVE e AS (SELECT a.unit_id AS x, b.unit_id AS y FROM units a JOIN units b ON a.group_id = b.group_id AND a.unit_id <> b.unit_id AND {_MEET.format('a', 'b')}),

@@ -8,6 +8,7 @@ from __future__ import annotations
 import fnmatch
 import io
 import zipfile
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -125,6 +126,12 @@ def with_provenance(df: DataFrame) -> DataFrame:
     return df.withColumn("source_member", F.element_at(F.split("_metadata.file_path", "/"), -1))
 
 
+def build_by_chunks(chunks: DataFrame, builder: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """The products of all chunk files together: builder gets the rows of all chunks with the name of the column that tells their chunk, and
+    groups by it, so that chunks are worked on side by side and no product waits for another."""
+    return builder(chunks.withColumn("chunk", F.col("_metadata.file_path")), "chunk")
+
+
 def file_ledger(spark: SparkSession, path: str) -> DataFrame:
     """(name, size, sha256) of each file under path; a task holds one file at a time."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
