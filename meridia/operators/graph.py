@@ -88,16 +88,22 @@ def palette_colours(nodes: DataFrame, edges: DataFrame, palette: DataFrame) -> D
     two = ranked.select(F.col("id").alias("dst"), F.col("degree").alias("d2"), F.col("fixed").alias("f2"))
     before = scratch(both.join(one, "src").join(two, "dst").where("f2 IS NOT NULL OR d2 > d1 OR d2 = d1 AND dst < src").select(F.col("src").alias("id"), F.col("dst").alias("of")), "before")
     pairs = palette.select("place", "colour")
-    done, rest = scratch(ranked.where("fixed IS NOT NULL").select("id", F.upper("fixed").alias("colour")), "coloured"), scratch(one.select(F.col("src").alias("id")), "rest")
-    while not rest.isEmpty():
-        seen = before.join(done.select(F.col("id").alias("of"), "colour"), "of", "left").groupBy("id").agg(F.count_if(F.col("colour").isNull()).alias("open"), F.collect_set("colour").alias("used"))
-        ready = rest.join(seen, "id", "left").where("coalesce(open, 0) = 0").select("id", F.coalesce("used", F.array().cast("array<string>")).alias("used"))
+
+    def state(rows: DataFrame) -> tuple[DataFrame, int]:
+        """rows (id, colour) written, and how many have no colour yet."""
+        seen = Observation()
+        return scratch(rows.observe(seen, F.count_if(F.col("colour").isNull()).alias("open")), "coloured"), seen.get["open"]
+
+    now, left = state(ranked.select("id", F.upper("fixed").alias("colour")))
+    while left:
+        seen = before.join(now.select(F.col("id").alias("of"), "colour"), "of").groupBy("id").agg(F.count_if(F.col("colour").isNull()).alias("open"), F.collect_set("colour").alias("used"))
+        ready = now.where("colour IS NULL").select("id").join(seen, "id", "left").where("coalesce(open, 0) = 0").select("id", F.coalesce("used", F.array().cast("array<string>")).alias("used"))
         each = ready.crossJoin(F.broadcast(pairs))  # a palette is a short list of colours
         far = F.array_min(F.transform("used", lambda u: F.round(S.delta_e(F.upper("colour"), u), 6)))
         best = F.max(F.struct((~F.array_contains("used", F.upper("colour"))).alias("free"), F.coalesce(far, F.lit(float("inf"))).alias("far"), (-F.col("place")).alias("p"), F.upper("colour").alias("colour")))
-        done = scratch(done.unionByName(each.groupBy("id").agg(best["colour"].alias("colour"))), "coloured")
-        rest = scratch(rest.join(done, "id", "left_anti"), "rest")
-    return done
+        new = each.groupBy("id").agg(best["colour"].alias("new"))
+        now, left = state(now.join(new, "id", "left").select("id", F.coalesce("colour", "new").alias("colour")))
+    return now
 
 
 def reuse_ids(members: DataFrame, old: str, new: str) -> DataFrame:

@@ -70,8 +70,8 @@ def _(v):
 def _(v):
     path = shared(v.spark, "owners")
     tag = F.when(F.col("feature_id") % 10 == 0, "  ").otherwise(F.concat(F.lit(" "), F.lower("owner")))
-    # A document holds the features of one hash of the ids, some hundreds, however many a unit has; the reader takes any number of files.
-    files = v.features.groupBy("unit_id", F.pmod(F.xxhash64("feature_id"), F.lit(64))).agg(F.map_from_entries(F.collect_list(F.struct(F.col("feature_id").cast("string"), tag))).alias("owners"))
+    # A document holds at most a thousand features of a unit, those of 25,000 successive ids, however many it has; the reader takes any number of files.
+    files = v.features.groupBy("unit_id", F.floor(F.col("feature_id") / 25_000)).agg(F.map_from_entries(F.collect_list(F.struct(F.col("feature_id").cast("string"), tag))).alias("owners"))
     files.select("owners").write.option("maxRecordsPerFile", 1).json(path)
     return R.read_keyed_map(v.spark, path, "owners")
 
