@@ -25,7 +25,8 @@ def linked(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, larger: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         both = both if larger else both.where("dst < src")
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+        # Written, so that the join is one of two shuffled tables, whose hot nodes Spark splits.
+        least = scratch(both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")), "least")
         near = both.join(least, "src").where("dst > src AND dst <> m" if larger else "dst <> m")
         out = near.select(F.col("m").alias("src"), F.col("dst").alias("dst"))
         # Repeated edges that the large star makes go with those of the small one.
@@ -40,7 +41,7 @@ def linked(edges: DataFrame) -> DataFrame:
     was = None
     while now["n"] and now != was:
         was = now
-        kept, now = kept_with_sum(star(star(kept, True), False))
+        kept, now = kept_with_sum(star(scratch(star(kept, True), "large"), False))
     return kept.select(F.col("dst").alias("id"), F.col("src").alias("component")).unionByName(kept.select(F.col("src").alias("id"), F.col("src").alias("component")).distinct())
 
 
