@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POINTS = "array<struct<x:double,y:double>>"
+_POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
 
 def _around(ring: Column, zero: Column, step) -> Column:
@@ -139,6 +140,80 @@ def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return out.astype("Float64")
 
 
+def clip_ring(p: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """A ring (corners, 2), convex or not, cut to a convex counter-clockwise window edge by edge. What falls apart stays one ring, its pieces tied along the
+    window's border, so that the area is exact."""
+    for a, b in zip(window, np.roll(window, -1, 0), strict=True):
+        if not len(p):
+            break
+        d = b - a
+        side = d[0] * (p[:, 1] - a[1]) - d[1] * (p[:, 0] - a[0])
+        q, t = np.roll(p, -1, 0), np.roll(side, -1)
+        keep, cross = side >= 0, (side >= 0) != (t >= 0)
+        at = np.zeros(len(p))
+        at[cross] = side[cross] / (side[cross] - t[cross])
+        both = np.stack((p, p + (q - p) * at[:, None]), 1).reshape(-1, 2)
+        p = both[np.stack((keep, cross), 1).ravel()]
+    if len(p):
+        p = p[(p != np.roll(p, 1, 0)).any(1)]
+    return p
+
+
+def _array(ring) -> np.ndarray:
+    return np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2)
+
+
+def _rings(found: list[np.ndarray]) -> list:
+    return [[{"x": float(x), "y": float(y)} for x, y in p] for p in found]
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(_POINT)))
+def clip_rings(rings: pd.Series, window: pd.Series) -> pd.Series:
+    """The polygon's part in a convex window (a ring, wound either way); no rings if nothing is in it, null if either is null. Holes that nothing of is in the window are gone."""
+    out = []
+    for r, w in zip(rings, window, strict=True):
+        if r is None or w is None:
+            out.append(None)
+            continue
+        w = _array(w)
+        w = w if shoelace(w) >= 0 else w[::-1]
+        cut = [clip_ring(_array(x), w) for x in r]
+        whole = len(cut) > 0 and len(cut[0]) > 2 and shoelace(cut[0]) != 0
+        out.append(_rings([p for p in cut if len(p) > 2 and shoelace(p) != 0]) if whole else [])
+    return pd.Series(out)
+
+
+def inside_point(rings: list[np.ndarray]) -> tuple[float, float] | None:
+    """The middle of the widest stretch inside the polygon on a line across the middle of its height, between the heights of its corners. Of
+    equal stretches the westmost; without any area the first corner."""
+    rings = [r for r in rings if len(r)]
+    if not rings:
+        return None
+    heights = np.unique(np.concatenate(rings)[:, 1])
+    if len(heights) > 1:
+        k = int(np.clip(np.searchsorted(heights, (heights[0] + heights[-1]) / 2, "right"), 1, len(heights) - 1))
+        y = (heights[k - 1] + heights[k]) / 2
+        xs = []
+        for p in rings:
+            q = np.roll(p, -1, 0)
+            on = (p[:, 1] <= y) != (q[:, 1] <= y)
+            xs.append(p[on, 0] + (y - p[on, 1]) / (q[on, 1] - p[on, 1]) * (q[on, 0] - p[on, 0]))
+        x = np.sort(np.concatenate(xs))
+        if len(x) > 1:
+            n = len(x) // 2 * 2
+            wide = x[1:n:2] - x[0:n:2]
+            k = 2 * int(wide.argmax())
+            return float((x[k] + x[k + 1]) / 2), float(y)
+    return float(rings[0][0, 0]), float(rings[0][0, 1])
+
+
+@F.pandas_udf(_POINT)
+def inner_point(rings: pd.Series) -> pd.DataFrame:
+    """A point inside the polygon: see inside_point. Null if there are no corners."""
+    found = [None if r is None else inside_point([_array(x) for x in r]) for r in rings]
+    return pd.DataFrame({"x": [f[0] if f else None for f in found], "y": [f[1] if f else None for f in found]}, dtype="float64")
+
+
 def douglas_peucker(p: np.ndarray, tolerance: float) -> np.ndarray:
     """Mask of the points that stay, ends always; a point goes if it is within the tolerance of the chord that replaces it."""
     keep = np.zeros(len(p), bool)

@@ -42,6 +42,20 @@ def numbered(rows: DataFrame, order: list[Column], number: str = "number") -> Da
     return placed.withColumn("_rank", rank).join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_rank") + F.col("_before")).alias(number))
 
 
+def following(rows: DataFrame, keys: list[str], order: list[str], take: list[str], name: str = "next") -> DataFrame:
+    """rows with a struct of the columns take of the row that comes next in order among those of its keys, null for the last. By ranges of keys and
+    order, so that the rows of one key may lie in many tasks; the first row of each range (a row a partition) goes to all."""
+    dealt = rows.repartitionByRange(*keys, *order)
+    placed = scratch(dealt.withColumn("_part", F.spark_partition_id()), "following")
+    w = Window.partitionBy("_part").orderBy(*keys, *order)
+    own, ahead = F.struct(*keys), F.struct(F.struct(*keys).alias("k"), F.struct(*take).alias("v"))
+    firsts = placed.groupBy("_part").agg(F.min(F.struct(*keys, *order, *[F.col(t).alias("_t_" + t) for t in take])).alias("f"))
+    head = F.struct(F.struct(*[F.col(f"f.{k}").alias(k) for k in keys]).alias("k"), F.struct(*[F.col(f"f._t_{t}").alias(t) for t in take]).alias("v"))
+    after = firsts.select("_part", F.lead(head).over(Window.orderBy("_part")).alias("_after"))  # a row for each partition
+    seen = placed.withColumn("_ahead", F.lead(ahead).over(w)).join(F.broadcast(after), "_part").withColumn("_ahead", F.coalesce("_ahead", "_after"))
+    return seen.select(*rows.columns, F.when(F.col("_ahead.k").eqNullSafe(own), F.col("_ahead.v")).alias(name))
+
+
 def at_ranks(rows: DataFrame, value: str, shares: dict[str, float]) -> DataFrame:
     """One row: n, top and, for each name, the value at place round((n - 1) * share) of the values in order. Places come from counts of distinct
     values, numbered by ranges; no task holds more than one range."""

@@ -1,5 +1,9 @@
 """Spatial joins as equi-joins on grid cells with an exact test behind them, so that Spark deals and splits the work.
 
+Cells come in levels, each four times as wide as the one below. A shape lies in the cells of the level of its own size, nine
+by nine at most, be it a street or the whole globe; points and lesser shapes look into the cells around them on every level
+that the other side has. Cells carry boxes and keys alone; polygons are joined by key behind the test of the boxes.
+
 A polygon is an array of rings, a ring an array of points (x, y), closed or not; holes are further rings. A point on an
 edge belongs to the polygon on its right or above, so that touching polygons share no point. Null geometry joins nothing.
 """
@@ -10,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meridia.functions.scalars import haversine_km
+from meridia.sources.shared import scratch
 
 RING = "array<array<struct<x:double,y:double>>>"
 
@@ -48,11 +53,51 @@ def with_cells(df: DataFrame, size: float, xmin: Column, ymin: Column, xmax: Col
     return df.withColumn("cx", F.explode(F.sequence(cell(xmin), cell(xmax)))).withColumn("cy", F.explode(F.sequence(cell(ymin), cell(ymax))))
 
 
-def within(points: DataFrame, polygons: DataFrame, rings: str, lon: str = "lon", lat: str = "lat", size: float = 4.0) -> DataFrame:
-    """Pairs of a point and a polygon that holds it. Column names of the sides must differ."""
-    held = with_cells(polygons.where(F.col(rings).isNotNull()), size, *bounds(F.col(rings)))
-    at = points.withColumn("cx", F.floor(F.col(lon) / size)).withColumn("cy", F.floor(F.col(lat) / size))
-    return at.join(held, ["cx", "cy"]).where(contains(F.col(rings), F.col(lon), F.col(lat))).drop("cx", "cy")
+#: Least and greatest level; a cell of level k is 4 to the power k wide.
+LEVELS = (-12, 6)
+
+
+def level(width: Column) -> Column:
+    """The least level whose cells are an eighth of the width or more."""
+    up = F.ceil(F.log(4.0, F.greatest(width, F.lit(4.0 ** LEVELS[0])) / 8)).cast("int")
+    return F.greatest(F.lit(LEVELS[0]), F.least(F.lit(LEVELS[1]), up))
+
+
+def cell(c: Column, lv: Column) -> Column:
+    return F.floor(c / F.pow(F.lit(4.0), lv)).cast("long")
+
+
+def _levels(boxes: DataFrame, box: tuple[str, ...]) -> Column:
+    """The levels that the boxes have, in a list of 19 at most: a scalar subquery."""
+    return boxes.select(level(_width(box)).alias("lv")).agg(F.sort_array(F.collect_set("lv"))).scalar()
+
+
+def _width(box: tuple[str, ...]) -> Column:
+    return F.greatest(F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1]))
+
+
+def _dealt(df: DataFrame, box: tuple[str, ...], levels: Column, when: Column | None = None) -> DataFrame:
+    """A row for each of these levels (_lv) that when holds for, and each cell (_cx, _cy) there that the box touches."""
+    x0, y0, x1, y1 = map(F.col, box)
+    lv = F.col("_lv")
+    out = df.withColumn("_lv", F.explode(levels))
+    out = out if when is None else out.where(when)
+    return out.withColumn("_cx", F.explode(F.sequence(cell(x0, lv), cell(x1, lv)))).withColumn("_cy", F.explode(F.sequence(cell(y0, lv), cell(y1, lv))))
+
+
+def within(points: DataFrame, polygons: DataFrame, rings: str, lon: str = "lon", lat: str = "lat", key: str | None = None) -> DataFrame:
+    """Pairs of a point and a polygon that holds it. Column names of the sides must differ. key: a column that no two polygons share; without
+    one the polygons are written with a number of their own first."""
+    shapes = polygons.where(F.size(F.flatten(rings)) > 0)
+    if key is None:
+        shapes = scratch(shapes.withColumn("_shape", F.monotonically_increasing_id()), "shapes")
+    box = ("_x0", "_y0", "_x1", "_y1")
+    boxed = shapes.select(F.col(key or "_shape").alias("_key"), *[c.alias(n) for c, n in zip(bounds(F.col(rings)), box, strict=True)])
+    held = _dealt(boxed, box, F.array(level(_width(box))))
+    at = points.withColumn("_lv", F.explode(_levels(boxed, box))).withColumns({"_cx": cell(F.col(lon), F.col("_lv")), "_cy": cell(F.col(lat), F.col("_lv"))})
+    hit = at.join(held, ["_lv", "_cx", "_cy"]).where((F.col(lon) >= F.col("_x0")) & (F.col(lon) <= F.col("_x1")) & (F.col(lat) >= F.col("_y0")) & (F.col(lat) <= F.col("_y1")))
+    found = hit.drop("_lv", "_cx", "_cy", *box).join(shapes, F.col("_key") == F.col(key or "_shape"))
+    return found.where(contains(F.col(rings), F.col(lon), F.col(lat))).drop("_key", "_shape")
 
 
 def near(left: DataFrame, right: DataFrame, km: float, lon: str, lat: str, lon2: str, lat2: str, distance: str = "km") -> DataFrame:
@@ -82,13 +127,117 @@ def box_overlap(a: tuple[str, ...], b: tuple[str, ...]) -> Column:
     return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
 
 
-def box_pairs(left: DataFrame, right: DataFrame, a: tuple[str, ...], b: tuple[str, ...], size: float = 10.0) -> DataFrame:
-    """Pairs whose closed boxes meet, each once: of the cells that both touch only the first counts."""
-    one = with_cells(left, size, *map(F.col, a))
-    two = with_cells(right, size, *map(F.col, b))
-    first = (F.col("cx") == F.floor(F.greatest(a[0], b[0]) / size)) & (F.col("cy") == F.floor(F.greatest(a[1], b[1]) / size))
+def box_pairs(left: DataFrame, right: DataFrame, a: tuple[str, ...], b: tuple[str, ...], same: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Pairs whose closed boxes meet, each once: of the cells that both touch only the first counts. same: columns of the left and the right side that
+    must be equal, nulls to nulls. Column names of the sides must differ.
+
+    The lesser box of a pair looks for the greater one on its level: _role tells a box in its own cells from one that looks.
+    """
+    la, lb = level(_width(a)), level(_width(b))
+    own = lambda df, box, lv, role: _dealt(df.withColumn("_role", F.lit(role)), box, F.array(lv))
+    seen = lambda df, box, levels, role, when: _dealt(df.withColumn("_role", F.lit(role)), box, levels, when)
+    one = own(left, a, la, 0).unionByName(seen(left, a, _levels(right, b), 1, F.col("_lv") >= la))
+    two = own(right, b, lb, 1).unionByName(seen(right, b, _levels(left, a), 0, F.col("_lv") > lb))
+    keys = ["_role", "_lv", "_cx", "_cy"]
+    two = two.select(*[F.col(k).alias(k + "2") for k in keys], *right.columns)
+    on = [F.col(k) == F.col(k + "2") for k in keys] + [F.col(x).eqNullSafe(F.col(y)) for x, y in same or []]
+    first = (F.col("_cx") == cell(F.greatest(a[0], b[0]), F.col("_lv"))) & (F.col("_cy") == cell(F.greatest(a[1], b[1]), F.col("_lv")))
     meet = (F.col(a[0]) <= F.col(b[2])) & (F.col(b[0]) <= F.col(a[2])) & (F.col(a[1]) <= F.col(b[3])) & (F.col(b[1]) <= F.col(a[3]))
-    return one.join(two, ["cx", "cy"]).where(meet & first).drop("cx", "cy")
+    return one.join(two, on).where(meet & first).select(*left.columns, *right.columns)
+
+
+def segment_gap(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> Column:
+    """(distance, x, y, u, v): the least distance of the segments a b and c d, and their nearest points, x y on the first and u v on the second. Of equal
+    distances an end of the first comes before one of the second; segments that cross have the crossing as both points."""
+
+    def foot(px, py, ex, ey, fx, fy, swap: bool) -> Column:
+        n = (fx - ex) * (fx - ex) + (fy - ey) * (fy - ey)
+        t = F.when(n > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - ex) * (fx - ex) + (py - ey) * (fy - ey)) / F.when(n > 0, n)))).otherwise(0.0)
+        qx, qy = ex + t * (fx - ex), ey + t * (fy - ey)
+        x, y, u, v = (qx, qy, px, py) if swap else (px, py, qx, qy)
+        return F.struct(F.hypot(px - qx, py - qy).alias("distance"), x.alias("x"), y.alias("y"), u.alias("u"), v.alias("v"))
+
+    orient = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
+    da, db = orient(cx, cy, dx, dy, ax, ay), orient(cx, cy, dx, dy, bx, by)
+    cross = (da * db < 0) & (orient(ax, ay, bx, by, cx, cy) * orient(ax, ay, bx, by, dx, dy) < 0)
+    at = da / F.when(cross, da - db)
+    mx, my = ax + (bx - ax) * at, ay + (by - ay) * at
+    met = F.struct(F.lit(0.0).alias("distance"), mx.alias("x"), my.alias("y"), mx.alias("u"), my.alias("v"))
+    best = F.least(foot(ax, ay, cx, cy, dx, dy, False), foot(bx, by, cx, cy, dx, dy, False), foot(cx, cy, ax, ay, bx, by, True), foot(dx, dy, ax, ay, bx, by, True))
+    return F.when(cross, met).otherwise(best)
+
+
+#: Metres of a degree of latitude on a globe of the mean radius.
+DEGREE = 6_371_008.8 * 3.141592653589793 / 180
+
+
+def near_lines(points: DataFrame, lines: DataFrame, metres: float, lon: str = "lon", lat: str = "lat", distance: str = "metres") -> DataFrame:
+    """Pairs of a point and an edge (x0, y0, x1, y1) of lines within that many metres, with the distance; across the date line too. Metres are those
+    of the plane that touches the globe at the point, so they hold for tens of kilometres. Column names of the sides must differ."""
+    high = metres / DEGREE
+    wide = lambda far: F.least(F.lit(180.0), high / F.cos(F.radians(F.least(far + high, F.lit(89.9)))))
+    own = wide(F.abs(F.col(lat)))
+    at = points.withColumns({"_x0": F.col(lon) - own, "_y0": F.col(lat) - high, "_x1": F.col(lon) + own, "_y1": F.col(lat) + high})
+    # Lines that reach over the date line, or close to it, are there once more a turn further.
+    least, most, reach = F.least("x0", "x1"), F.greatest("x0", "x1"), wide(F.greatest(F.abs("y0"), F.abs("y1")) + high)
+    turn = F.array_compact(F.array(F.lit(0.0), F.when(least - reach <= -180, F.lit(360.0)), F.when(most + reach >= 180, F.lit(-360.0))))
+    there = lines.withColumn("_turn", F.explode(turn)).withColumns({"_u0": least + F.col("_turn"), "_v0": F.least("y0", "y1"), "_u1": most + F.col("_turn"), "_v1": F.greatest("y0", "y1")})
+    pairs = box_pairs(at, there, ("_x0", "_y0", "_x1", "_y1"), ("_u0", "_v0", "_u1", "_v1"))
+    k, zero = F.cos(F.radians(F.col(lat))), F.lit(0.0)
+    x = lambda c, t: (F.col(c) + t - F.col(lon)) * k
+    y = lambda c: F.col(c) - F.col(lat)
+    gap = lambda t: F.struct((segment_gap(zero, zero, zero, zero, x("x0", t), y("y0"), x("x1", t), y("y1"))["distance"] * DEGREE).alias("d"), F.lit(t).alias("turn"))
+    best = pairs.withColumn("_gap", F.least(gap(0.0), gap(360.0), gap(-360.0))).where(F.col("_gap.turn") == F.col("_turn"))  # a pair counts once
+    return best.withColumn(distance, F.col("_gap.d")).where(F.col(distance) <= metres).select(*points.columns, *lines.columns, distance)
+
+
+def _edge_boxes(e: DataFrame, names: tuple[str, ...], reach: Column | float = 0.0) -> DataFrame:
+    box = (F.least("x0", "x1") - reach, F.least("y0", "y1") - reach, F.greatest("x0", "x1") + reach, F.greatest("y0", "y1") + reach)
+    return e.withColumns(dict(zip(names, box, strict=True)))
+
+
+def intersecting(left: DataFrame, right: DataFrame, a: str, b: str, rings: str, rings2: str, touch: float = 1e-9) -> DataFrame:
+    """(a, b): pairs of polygons, named by the unique columns a and b, that share a point; a common corner is enough, up to touch. Edges meet by
+    cells and no row has a whole polygon; pairs without edges that meet are those where one holds a vertex of the other."""
+    e = _edge_boxes(edges(left.select(a, rings), rings), ("_x0", "_y0", "_x1", "_y1"), touch)
+    f = _edge_boxes(edges(right.select(b, rings2), rings2), ("_u0", "_v0", "_u1", "_v1"))
+    f = f.select(b, *[F.col(c).alias(n) for c, n in zip(("x0", "y0", "x1", "y1"), ("u0", "v0", "u1", "v1"), strict=True)], "_u0", "_v0", "_u1", "_v1")
+    met = box_pairs(e, f, ("_x0", "_y0", "_x1", "_y1"), ("_u0", "_v0", "_u1", "_v1"))
+    met = met.where(segment_gap(*map(F.col, ("x0", "y0", "x1", "y1", "u0", "v0", "u1", "v1")))["distance"] <= touch).select(a, b)
+    corner = lambda df, k, r: df.where(F.size(F.flatten(r)) > 0).select(k, F.get(F.get(r, F.lit(0)), F.lit(0))["x"].alias("_lon"), F.get(F.get(r, F.lit(0)), F.lit(0))["y"].alias("_lat"))
+    inside = within(corner(left, a, rings), right.select(b, rings2), rings2, "_lon", "_lat", b).select(a, b)
+    holds = within(corner(right, b, rings2), left.select(a, rings), rings, "_lon", "_lat", a).select(a, b)
+    return met.unionByName(inside).unionByName(holds).distinct()
+
+
+def gaps(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, rings: str, rings2: str, reach: float) -> DataFrame:
+    """pairs (a, b) with the gap of their polygons, named by the unique columns a and b: distance (0 if they share a point) and the nearest points x, y of
+    a's and u, v of b's; null where a pair's polygons are not there. Edges meet by cells within reach; pairs that are
+    further apart go through again with four times the reach, with their edges alone, until all are found."""
+    wanted = scratch(pairs.select(a, b).distinct(), "gap-pairs")
+    there = wanted.join(left.where(F.size(F.flatten(rings)) > 0).select(a), a, "left_semi").join(right.where(F.size(F.flatten(rings2)) > 0).select(b), b, "left_semi")
+    one, two = edges(left.select(a, rings), rings), edges(right.select(b, rings2), rings2)
+    two = _edge_boxes(two, ("_u0", "_v0", "_u1", "_v1")).select(F.col(b).alias("_b"), *[F.col(c).alias(n) for c, n in zip(("x0", "y0", "x1", "y1"), ("u0", "v0", "u1", "v1"), strict=True)], "_u0", "_v0", "_u1", "_v1")
+    # One polygon inside another has no edges that meet: a vertex of it tells.
+    corner = lambda df, k, r: df.where(F.size(F.flatten(r)) > 0).select(k, F.get(F.get(r, F.lit(0)), F.lit(0))["x"].alias("_lon"), F.get(F.get(r, F.lit(0)), F.lit(0))["y"].alias("_lat"))
+    inside = within(corner(left, a, rings), right.select(b, rings2), rings2, "_lon", "_lat", b).select(a, b, "_lon", "_lat")
+    holds = within(corner(right, b, rings2), left.select(a, rings), rings, "_lon", "_lat", a).select(a, b, "_lon", "_lat")
+    x, y = F.col("_lon"), F.col("_lat")
+    held = inside.unionByName(holds).join(wanted, [a, b], "left_semi").select(a, b, F.struct(F.lit(0.0).alias("distance"), x.alias("x"), y.alias("y"), x.alias("u"), y.alias("v")).alias("g"))
+    found = [scratch(held.groupBy(a, b).agg(F.min("g").alias("g")), "gaps")]
+    rest = scratch(there.join(found[0], [a, b], "left_anti"), "gap-rest")
+    while not rest.isEmpty():
+        e = _edge_boxes(one.join(rest, a), ("_x0", "_y0", "_x1", "_y1"), reach)
+        f = two.join(rest.select(F.col(b).alias("_b")).distinct(), "_b", "left_semi")
+        met = box_pairs(e, f, ("_x0", "_y0", "_x1", "_y1"), ("_u0", "_v0", "_u1", "_v1"), [(b, "_b")])
+        near = met.select(a, b, segment_gap(*map(F.col, ("x0", "y0", "x1", "y1", "u0", "v0", "u1", "v1"))).alias("g")).groupBy(a, b).agg(F.min("g").alias("g"))
+        found.append(scratch(near.where(F.col("g.distance") <= reach), "gaps"))
+        rest = scratch(rest.join(found[-1], [a, b], "left_anti"), "gap-rest")
+        reach *= 4
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return wanted.join(every, [a, b], "left").select(a, b, "g.distance", "g.x", "g.y", "g.u", "g.v")
 
 
 def box_distance(x: Column, y: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:

@@ -29,7 +29,7 @@ def second(df, **names):
 
 @query("c1_within", f"SELECT p.place_id, u.unit_id FROM places p LEFT JOIN units u ON {_IN}")
 def _(v):
-    hit = G.within(v.places.select("place_id", "lon", "lat"), polygons(v.units, "unit_id"), "rings").groupBy("place_id").agg(F.min("unit_id").alias("unit_id"))
+    hit = G.within(v.places.select("place_id", "lon", "lat"), polygons(v.units, "unit_id"), "rings", key="unit_id").groupBy("place_id").agg(F.min("unit_id").alias("unit_id"))
     return v.places.select("place_id").join(hit, "place_id", "left")
 
 
@@ -148,7 +148,7 @@ def _(v):
 
 @query("c15_probe_coverage", "SELECT p.place_id, bool_or(z.zone_id IS NOT NULL) AS covered, count(z.zone_id) AS zones FROM places p LEFT JOIN zones z ON p.lon >= z.xmin AND p.lon < z.xmax AND p.lat >= z.ymin AND p.lat < z.ymax AND z.zone_id % 2 = p.place_id % 2 GROUP BY p.place_id")
 def _(v):
-    hit = G.within(v.places.select("place_id", "lon", "lat"), polygons(v.zones, "zone_id"), "rings").where("zone_id % 2 = place_id % 2").groupBy("place_id").agg(F.count("zone_id").alias("zones"))
+    hit = G.within(v.places.select("place_id", "lon", "lat"), polygons(v.zones, "zone_id"), "rings", key="zone_id").where("zone_id % 2 = place_id % 2").groupBy("place_id").agg(F.count("zone_id").alias("zones"))
     return v.places.select("place_id").join(hit, "place_id", "left").select("place_id", F.col("zones").isNotNull().alias("covered"), F.coalesce("zones", F.lit(0)).alias("zones"))
 
 
@@ -230,7 +230,7 @@ def _(v):
 
 @query("c26_anchor_or_keyword", "WITH c AS (SELECT d.depot_id, z.zone_id, CASE WHEN d.lon >= z.xmin AND d.lon < z.xmax AND d.lat >= z.ymin AND d.lat < z.ymax THEN 0 WHEN z.zone_id % 10 = d.depot_id % 10 THEN 1 END AS step, z.xmax - z.xmin AS area FROM depots d, zones z) SELECT depot_id, zone_id, step FROM (SELECT *, row_number() OVER (PARTITION BY depot_id ORDER BY step, zone_id) AS rn FROM c WHERE step IS NOT NULL) WHERE rn = 1")
 def _(v):
-    anchor = G.within(v.depots.select("depot_id", "lon", "lat"), polygons(v.zones, "zone_id"), "rings").groupBy("depot_id").agg(F.min("zone_id").alias("zone_id")).withColumn("step", F.lit(0))
+    anchor = G.within(v.depots.select("depot_id", "lon", "lat"), polygons(v.zones, "zone_id"), "rings", key="zone_id").groupBy("depot_id").agg(F.min("zone_id").alias("zone_id")).withColumn("step", F.lit(0))
     word = v.zones.groupBy((F.col("zone_id") % 10).alias("word")).agg(F.min("zone_id").alias("zone_id"))
     other = v.depots.join(word, F.col("depot_id") % 10 == F.col("word")).select("depot_id", "zone_id", F.lit(1).alias("step"))
     best = anchor.unionByName(other).groupBy("depot_id").agg(F.min(F.struct("step", "zone_id")).alias("m"))

@@ -320,7 +320,7 @@ def _(v):
 
 @query("k11_city_coverage", "SELECT p.place_id, count(z.zone_id) AS zones FROM places p LEFT JOIN zones z ON p.lon >= z.xmin AND p.lon < z.xmax AND p.lat >= z.ymin AND p.lat < z.ymax GROUP BY p.place_id HAVING count(z.zone_id) <> 1")
 def _(v):
-    held = G.within(v.places.select("place_id", "lon", "lat"), polygons(v.zones, "zone_id"), "rings").select("place_id", "zone_id")
+    held = G.within(v.places.select("place_id", "lon", "lat"), polygons(v.zones, "zone_id"), "rings", key="zone_id").select("place_id", "zone_id")
     return checks.not_covered_once(v.places, "place_id", held, "zone_id").withColumnRenamed("groups", "zones")
 
 

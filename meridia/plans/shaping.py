@@ -115,7 +115,7 @@ def _(v):
 
 @query("b17_mask_clip", "SELECT p.home_unit_id, count(*) FILTER (WHERE u.unit_id IS NULL) AS excluded, count(u.unit_id) AS kept FROM places p LEFT JOIN units u ON u.unit_id % 3 = 0 AND p.lon >= u.xmin AND p.lon < u.xmax AND p.lat >= u.ymin AND p.lat < u.ymax GROUP BY p.home_unit_id")
 def _(v):
-    inside = G.within(v.places.select("place_id", "lon", "lat"), polygons(v.units.where("unit_id % 3 = 0"), "unit_id"), "rings").select("place_id", F.lit(1).alias("hit"))
+    inside = G.within(v.places.select("place_id", "lon", "lat"), polygons(v.units.where("unit_id % 3 = 0"), "unit_id"), "rings", key="unit_id").select("place_id", F.lit(1).alias("hit"))
     return v.places.join(inside, "place_id", "left").groupBy("home_unit_id").agg(F.count_if(F.col("hit").isNull()).alias("excluded"), F.count("hit").alias("kept"))
 
 

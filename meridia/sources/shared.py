@@ -24,4 +24,14 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back, so that a lost executor costs nothing before it."""
     path = shared(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of scratch whose readers have been written, as rounds leave many behind."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark.sessionState().newHadoopConf()).delete(path, True)

@@ -32,7 +32,7 @@ def test_containment_of_concave_and_holed_polygons(spark):
     pts = [(i, rng.uniform(-1, 7), rng.uniform(-2, 5)) for i in range(400)] + [(1000, 0.0, 0.0), (1001, 4.0, 0.0), (1002, 2.0, 0.0)]
     points = spark.createDataFrame(pts, "id long, lon double, lat double")
     polys = spark.createDataFrame([(1, rings(CONCAVE)), (2, rings(HOLED)), (3, None)], f"pid long, rings {POLYGON}")
-    got = {(r.id, r.pid) for r in G.within(points, polys, "rings", size=0.7).collect()}
+    got = {(r.id, r.pid) for r in G.within(points, polys, "rings").collect()}
     assert got == {(i, k) for i, x, y in pts for k, p in ((1, CONCAVE), (2, HOLED)) if inside(p, x, y)}
 
 

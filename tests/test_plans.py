@@ -39,7 +39,12 @@ def test_hot_cell_is_split_by_adaptive_execution(spark):
     polys = spark.range(180).select(F.col("id").alias("pid"), F.col("id").cast("double").alias("xmin"), F.lit(0.0).alias("ymin"), (F.col("id") + 1).cast("double").alias("xmax"), F.lit(1.0).alias("ymax"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = G.within(pts, polys.select("pid", G.box_rings("xmin", "ymin", "xmax", "ymax").alias("rings")), "rings", size=1.0)
-        assert plan(df).count("hashpartitioning(cx") >= 2 and df.count() == 3000
+        df = G.within(pts, polys.select("pid", G.box_rings("xmin", "ymin", "xmax", "ymax").alias("rings")), "rings", key="pid")
+        text = plan(df)
+        assert text.count("hashpartitioning(_lv") >= 2 and df.count() == 3000
+        # Cells carry boxes and keys: the polygons meet the points behind them, by key.
+        for side in text.split("hashpartitioning(_lv")[1:]:
+            assert "rings" not in side.split("\n")[1].split("AS ")[0] and "rings" not in side.split("Generate")[0]
+        assert "SortMergeJoin [_key" in text
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
