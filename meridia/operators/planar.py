@@ -37,7 +37,7 @@ def _low_high() -> tuple[Column, Column]:
     return F.least(a, b), F.greatest(a, b)
 
 
-def _segments(edges: DataFrame, scope: list[str]) -> DataFrame:
+def segments(edges: DataFrame, scope: list[str]) -> DataFrame:
     """The different segments of a scope, each once, the lesser end first."""
     low, high = _low_high()
     return edges.select(*scope, low["x"].alias("x0"), low["y"].alias("y0"), high["x"].alias("x1"), high["y"].alias("y1")).distinct()
@@ -47,7 +47,7 @@ def contacts(edges: DataFrame, scope: list[str] | None = None, touch: float = TO
     """(scope, x0, y0, x1, y1, x, y): points strictly inside a segment where another one of its scope (equal columns) ends or crosses it. Empty if
     and only if the edges are noded. Segments meet by cells, equal ones as one."""
     scope = scope or []
-    s = scratch(_segments(edges, scope).withColumn("_seg", F.monotonically_increasing_id()), "segments")
+    s = scratch(segments(edges, scope).withColumn("_seg", F.monotonically_increasing_id()), "segments")
     box = lambda e, n: [F.least(e[0], e[2]) - touch, F.least(e[1], e[3]) - touch, F.greatest(e[0], e[2]) + touch, F.greatest(e[1], e[3]) + touch]
     other = ["u0", "v0", "u1", "v1"]
     names = [["_ax", "_ay", "_bx", "_by"], ["_cx0", "_cy0", "_dx", "_dy"]]
@@ -134,48 +134,56 @@ def ranked(links: DataFrame) -> DataFrame:
     return now.select("id", F.when(closed, F.col("best.id")).otherwise(F.col("at")).alias("chain"), F.when(closed, first).otherwise(-F.col("hops")).alias("place"), closed.alias("closed"))
 
 
+def _keys(keys: list[str]) -> Column:
+    """The keys as one column _k, whatever their names and types."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.lit(0).alias("none")).alias("_k")
+
+
+def _named(keys: list[str]) -> list[Column]:
+    return [F.col(f"_k.k{i}").alias(k) for i, k in enumerate(keys)]
+
+
 def rings(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ring, points, area, corners): the closed rings of an outline, the inside on their left, so that outer rings have positive areas and holes
     negative ones. A ring begins at its least point. Where several meet at a point each keeps to its inside: parts that touch at a corner are two
     rings; a hole that touches its outer ring at a corner is one ring with it. An edge that none follows is an error."""
-    h = scratch(edges.select(*keys, *ENDS).withColumn("id", F.monotonically_increasing_id()), "half-edges")
-    node = [*keys, "vx", "vy"]
-    outs = h.select(*keys, F.col("x0").alias("vx"), F.col("y0").alias("vy"), F.col("id").alias("to"), F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")).alias("angle"))
-    ins = h.select(*keys, F.col("x1").alias("vx"), F.col("y1").alias("vy"), "id", F.atan2(F.col("y0") - F.col("y1"), F.col("x0") - F.col("x1")).alias("angle"))
+    h = scratch(edges.select(_keys(keys), *ENDS).withColumn("id", F.monotonically_increasing_id()), "half-edges")
+    node = ["_k", "vx", "vy"]
+    outs = h.select("_k", F.col("x0").alias("vx"), F.col("y0").alias("vy"), F.col("id").alias("to"), F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")).alias("angle"))
+    ins = h.select("_k", F.col("x1").alias("vx"), F.col("y1").alias("vy"), "id", F.atan2(F.col("y0") - F.col("y1"), F.col("x0") - F.col("x1")).alias("angle"))
     degree = scratch(outs.groupBy(*node).agg(F.count(F.lit(1)).alias("n"), F.min("to").alias("to")), "vertices")
-    at = lambda d: [F.col(f"i.{c}").eqNullSafe(F.col(f"{d}.{c}")) for c in keys] + [F.col(f"i.vx") == F.col(f"{d}.vx"), F.col("i.vy") == F.col(f"{d}.vy")]  # noqa: E731, F541
-    one = ins.alias("i").join(degree.alias("d"), at("d"), "left").select(F.col("i.id"), F.coalesce("d.n", F.lit(0)).alias("n"), F.col("d.to").alias("next"))
+    at = [F.col("i._k").eqNullSafe(F.col("d._k")), F.col("i.vx") == F.col("d.vx"), F.col("i.vy") == F.col("d.vy")]
+    one = ins.alias("i").join(degree.alias("d"), at, "left").select("i.id", F.coalesce("d.n", F.lit(0)).alias("n"), F.col("d.to").alias("next"))
     single = one.where("n = 1").select("id", "next").unionByName(one.where("n = 0").select("id", F.raise_error(F.lit("an outline is open: its edges are not noded")).cast("long").alias("next")))
     # Several rings at a vertex: round it clockwise, an edge that comes in is followed by the first that goes out.
     busy = degree.where("n > 1").select(*node)
     around = ins.select(*node, (-F.col("angle")).alias("turn"), F.lit(0).alias("out"), "id").unionByName(outs.select(*node, (-F.col("angle")).alias("turn"), F.lit(1).alias("out"), F.col("to").alias("id")))
-    around = scratch(around.alias("i").join(busy.alias("d"), at("d"), "left_semi"), "busy-vertices")
+    around = scratch(around.alias("i").join(busy.alias("d"), at, "left_semi"), "busy-vertices")
     first = around.groupBy(*node).agg(F.min(F.struct("turn", "out", "id")).alias("first"))
     turned = following(around, node, ["turn", "out", "id"], ["out", "id"]).where("out = 0")
-    turned = turned.alias("i").join(first.alias("d"), at("d")).select(F.col("i.id"), F.coalesce(F.col("i.next"), F.struct(F.col("d.first.out").alias("out"), F.col("d.first.id").alias("id"))).alias("n"))
+    turned = turned.alias("i").join(first.alias("d"), at).select("i.id", F.coalesce("i.next", F.struct(F.col("d.first.out").alias("out"), F.col("d.first.id").alias("id"))).alias("n"))
     several = turned.select("id", F.when(F.col("n.out") == 1, F.col("n.id")).otherwise(F.raise_error(F.lit("edges overlap at a vertex: the outline is not noded")).cast("long")).alias("next"))
     links = single.unionByName(several).join(h.select("id", F.struct(*ENDS).alias("label")), "id")
     cross = (F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")) / 2
     point = F.struct("place", F.col("x0").alias("x"), F.col("y0").alias("y"))
-    found = h.join(ranked(links), "id").groupBy(*keys, F.col("chain").alias("ring")).agg(F.array_sort(F.collect_list(point)).alias("p"), F.sum(cross).alias("area"), F.count(F.lit(1)).alias("corners"))
-    return found.select(*keys, "ring", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"), "area", "corners")
+    found = h.join(ranked(links), "id").groupBy("_k", F.col("chain").alias("ring")).agg(F.array_sort(F.collect_list(point)).alias("p"), F.sum(cross).alias("area"), F.count(F.lit(1)).alias("corners"))
+    return found.select(*_named(keys), "ring", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"), "area", "corners")
 
 
 def nested(found: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, part, rings, area, holes): polygons of rings' result: every hole is with the least outer ring of its keys that holds a point inside it."""
-    found = scratch(found, "rings")
+    found = scratch(found.select(_keys(keys), "ring", "points", "area"), "rings")
     outer = found.where("area > 0")
     inner = found.where("area <= 0").withColumn("c", M.inner_point(F.array("points")))
-    inner = inner.select(F.struct(*[F.col(k).alias(k) for k in keys], F.lit(0).alias("_")).alias("hole_keys"), F.col("ring").alias("hole"), F.col("points").alias("hole_points"), F.col("area").alias("hole_area"), F.col("c.x").alias("lon"), F.col("c.y").alias("lat"))
-    shells = outer.select(F.struct(*[F.col(k).alias(k) for k in keys], F.lit(0).alias("_")).alias("shell_keys"), F.col("ring").alias("part"), F.col("area").alias("shell_area"), F.array("points").alias("shell"))
-    held = G.within(inner.select("hole", "hole_keys", "hole_area", "lon", "lat"), shells, "shell", key="part")
+    inner = inner.select(F.col("_k").alias("hole_k"), F.col("ring").alias("hole"), F.col("points").alias("hole_points"), F.col("area").alias("hole_area"), F.col("c.x").alias("lon"), F.col("c.y").alias("lat"))
+    shells = outer.select(F.col("_k").alias("shell_k"), F.col("ring").alias("part"), F.col("area").alias("shell_area"), F.array("points").alias("shell"))
+    held = G.within(inner.select("hole", "hole_k", "hole_area", "lon", "lat"), shells, "shell", key="part")
     # Islands in a hole have less area than it, the rings around it have more.
-    held = held.where(F.col("hole_keys").eqNullSafe(F.col("shell_keys")) & (F.col("shell_area") > -F.col("hole_area")))
-    owner = held.groupBy("hole").agg(F.min(F.struct("shell_area", "part"))["part"].alias("part"))
-    holes = inner.join(owner, "hole").groupBy("part").agg(F.array_sort(F.collect_list("hole_points")).alias("_holes"), F.sum("hole_area").alias("_less"))
-    out = outer.join(holes, outer["ring"] == holes["part"], "left")
-    whole = F.concat(F.array("points"), F.coalesce("_holes", F.array().cast("array<array<struct<x:double,y:double>>>")))
-    return out.select(*[outer[k] for k in keys], outer["ring"].alias("part"), whole.alias("rings"), (outer["area"] + F.coalesce("_less", F.lit(0.0))).alias("area"), F.coalesce(F.size("_holes"), F.lit(0)).alias("holes"))
+    held = held.where(F.col("hole_k").eqNullSafe(F.col("shell_k")) & (F.col("shell_area") > -F.col("hole_area")))
+    owner = held.groupBy("hole").agg(F.min(F.struct("shell_area", "part"))["part"].alias("ring"))
+    holes = inner.join(owner, "hole").groupBy("ring").agg(F.array_sort(F.collect_list("hole_points")).alias("holes"), F.sum("hole_area").alias("less"))
+    whole = F.concat(F.array("points"), F.coalesce("holes", F.array().cast("array<array<struct<x:double,y:double>>>")))
+    return outer.join(holes, "ring", "left").select(*_named(keys), F.col("ring").alias("part"), whole.alias("rings"), (F.col("area") + F.coalesce("less", F.lit(0.0))).alias("area"), F.coalesce(F.size("holes"), F.lit(0)).alias("holes"))
 
 
 def dissolve(polygons: DataFrame, keys: list[str], rings_col: str, node: bool = True) -> DataFrame:
@@ -189,27 +197,27 @@ def lines(segments: DataFrame, keys: list[str], start: str, end: str, undirected
     """(keys, line, points, length, closed): segments (x0, y0, x1, y1) that follow one another at nodes, columns that compare equal where they meet, as
     lines. Lines end where a node has not exactly one segment that comes in and one that goes out. undirected: a unique column; then segments may lie
     either way round, lines end where not exactly two meet, and each line runs so that its least segment goes forward."""
-    s = segments.select(*keys, *ENDS, F.col(start).alias("_from"), F.col(end).alias("_to"), *([F.col(undirected).alias("_key"), F.lit(0).alias("_way")] if undirected else []))
+    s = segments.select(_keys(keys), *ENDS, F.col(start).alias("from"), F.col(end).alias("to"), *([F.col(undirected).alias("key"), F.lit(0).alias("way")] if undirected else []))
     if undirected:
-        s = s.unionByName(s.select(*keys, F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("_to").alias("_from"), F.col("_from").alias("_to"), "_key", F.lit(1).alias("_way")))
+        s = s.unionByName(s.select("_k", F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("to").alias("from"), F.col("from").alias("to"), "key", F.lit(1).alias("way")))
     h = scratch(s.withColumn("id", F.monotonically_increasing_id()), "line-parts")
-    same = lambda d: [F.col(f"h.{c}").eqNullSafe(F.col(f"{d}.{c}")) for c in keys] + [F.col("h._to") == F.col(f"{d}._node")]
+    same = [F.col("h._k").eqNullSafe(F.col("d._k")), F.col("h.to") == F.col("d.node")]
     # Nodes where a line goes on: one way in and one out, or two segments, each of which stands for one of both ways.
-    goes = h.groupBy(*keys, F.col("_from").alias("_node")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+    goes = h.groupBy("_k", F.col("from").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
     if undirected:
-        on = goes.where("n = 2").select(*keys, "_node", "a", "b")
-        twin = h.alias("h").join(on.alias("d"), same("d"), "left").join(h.select(F.col("id").alias("_a"), F.col("_key").alias("_ka")), F.col("d.a") == F.col("_a"), "left")
+        twin = h.alias("h").join(goes.where("n = 2").alias("d"), same, "left").join(h.select(F.col("id").alias("a2"), F.col("key").alias("ka")), F.col("d.a") == F.col("a2"), "left")
         # The way out that is not the same segment back; of a segment from a node to itself there is none.
-        links = twin.select(F.col("h.id").alias("id"), F.when(F.col("h._from") == F.col("h._to"), F.lit(None)).when(F.col("_ka") != F.col("h._key"), F.col("d.a")).otherwise(F.col("d.b")).alias("next"), F.struct(F.col("h._key").alias("k"), F.col("h._way").alias("w")).alias("label"))
+        on = F.when(F.col("h.from") == F.col("h.to"), F.lit(None)).when(F.col("ka") != F.col("h.key"), F.col("d.a")).otherwise(F.col("d.b"))
+        links = twin.select("h.id", on.alias("next"), F.struct(F.col("h.key").alias("k"), F.col("h.way").alias("w")).alias("label"))
     else:
-        comes = h.groupBy(*keys, F.col("_to").alias("_node")).agg(F.count(F.lit(1)).alias("m"))
-        on = goes.where("n = 1").alias("g").join(comes.where("m = 1").alias("c"), [F.col(f"g.{c}").eqNullSafe(F.col(f"c.{c}")) for c in keys] + [F.col("g._node") == F.col("c._node")]).select(*[F.col(f"g.{c}") for c in keys], F.col("g._node"), F.col("g.a"))
-        links = h.alias("h").join(on.alias("d"), same("d"), "left").select(F.col("h.id").alias("id"), F.col("d.a").alias("next"), F.struct(*[F.col(f"h.{c}").alias(c) for c in ENDS]).alias("label"))
+        comes = h.groupBy("_k", F.col("to").alias("node")).agg(F.count(F.lit(1)).alias("m"))
+        on = goes.where("n = 1").alias("h").join(comes.where("m = 1").alias("d"), [F.col("h._k").eqNullSafe(F.col("d._k")), F.col("h.node") == F.col("d.node")]).select("h._k", "h.node", "h.a")
+        links = h.alias("h").join(on.alias("d"), same, "left").select("h.id", F.col("d.a").alias("next"), F.struct(*[F.col(f"h.{c}").alias(c) for c in ENDS]).alias("label"))
     part = h.join(ranked(links), "id")
     far = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
-    way = [F.min(F.struct("_key", "_way"))["_way"].alias("_w"), F.min("_key").alias("_k")] if undirected else [F.lit(0).alias("_w")]
+    way = [F.min(F.struct("key", "way"))["way"].alias("w"), F.min("key").alias("k")] if undirected else [F.lit(0).alias("w"), F.lit(None).alias("k")]
     point = F.struct("place", F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("x1").alias("u"), F.col("y1").alias("v"))
-    found = part.groupBy(*keys, F.col("chain").alias("line"), "closed").agg(F.array_sort(F.collect_list(point)).alias("p"), F.sum(far).alias("length"), *way).where("_w = 0")
+    found = part.groupBy("_k", "chain", "closed").agg(F.array_sort(F.collect_list(point)).alias("p"), F.sum(far).alias("length"), *way).where("w = 0")
     last = F.element_at("p", -1)
     points = F.concat(F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))), F.array(F.struct(last["u"].alias("x"), last["v"].alias("y"))))
-    return found.select(*keys, (F.col("_k") if undirected else F.col("line")).alias("line"), points.alias("points"), "length", "closed")
+    return found.select(*_named(keys), F.col("k" if undirected else "chain").alias("line"), points.alias("points"), "length", "closed")
