@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,11 +85,11 @@ def shoelace(p: np.ndarray) -> np.ndarray:
     return (p[..., 0] * q[..., 1] - q[..., 0] * p[..., 1]).sum(-1) / 2
 
 
-def fans(rings: list) -> tuple[np.ndarray, np.ndarray]:
+def fans(rings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(signs, counter-clockwise triangles) whose indicator functions add up to the polygon's: outer rings count positive, holes negative."""
     out = [np.zeros((0, 3, 2))]
     for k, ring in enumerate(rings):
-        p = np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2)
+        p = ring
         if len(p) > 2:
             p = p if (shoelace(p) >= 0) == (k == 0) else p[::-1]
             out.append(np.stack((np.broadcast_to(p[0], (len(p) - 2, 2)), p[1:-1], p[2:]), 1))
@@ -130,14 +131,38 @@ def shared_areas(a: list, b: list, at_once: int = 1 << 16) -> np.ndarray:
     return total
 
 
-@F.pandas_udf(T.DoubleType())
-def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
+def polygons_of(column: pa.Array) -> list[list[np.ndarray] | None]:
+    """An Arrow column of polygons as rings of (corners, 2), null where it is null; views of its buffers, whatever sizes rings have."""
+    inner = column.values
+    xy = np.column_stack([inner.values.field(k).to_numpy(zero_copy_only=False) for k in ("x", "y")])
+    outer, at = column.offsets.to_numpy(), inner.offsets.to_numpy()
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    return [[xy[at[i] : at[i + 1]] for i in range(outer[k], outer[k + 1])] if known[k] else None for k in range(len(column))]
+
+
+def rings_of(column: pa.Array) -> list[np.ndarray | None]:
+    """The like for a column of rings."""
+    xy = np.column_stack([column.values.field(k).to_numpy(zero_copy_only=False) for k in ("x", "y")])
+    at, known = column.offsets.to_numpy(), column.is_valid().to_numpy(zero_copy_only=False)
+    return [xy[at[k] : at[k + 1]] if known[k] else None for k in range(len(column))]
+
+
+def to_polygons(found: list[list[np.ndarray] | None]) -> pa.Array:
+    flat = [p for rings in found if rings is not None for p in rings]
+    xy = np.concatenate([np.zeros((0, 2)), *flat])
+    points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["x", "y"])
+    rings = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, flat)]), pa.int32()), points)
+    ends = np.cumsum([0, *(len(r) if r is not None else 0 for r in found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rings, mask=pa.array([r is None for r in found], pa.bool_()))
+
+
+@F.arrow_udf(T.DoubleType())
+def overlap_area(a: pa.Array, b: pa.Array) -> pa.Array:
     """shared_areas by rows; null if either is null."""
-    known = [x is not None and y is not None for x, y in zip(a, b, strict=True)]
-    out = pd.Series(np.nan, range(len(a)), dtype="object")
-    out[:] = None
-    out[known] = shared_areas([x for x, k in zip(a, known, strict=True) if k], [y for y, k in zip(b, known, strict=True) if k])
-    return out.astype("Float64")
+    pairs = list(zip(polygons_of(a), polygons_of(b), strict=True))
+    known = [x is not None and y is not None for x, y in pairs]
+    found = iter(shared_areas([x for (x, _), k in zip(pairs, known, strict=True) if k], [y for (_, y), k in zip(pairs, known, strict=True) if k]))
+    return pa.array([float(next(found)) if k else None for k in known], pa.float64())
 
 
 def clip_ring(p: np.ndarray, window: np.ndarray) -> np.ndarray:
@@ -159,33 +184,24 @@ def clip_ring(p: np.ndarray, window: np.ndarray) -> np.ndarray:
     return p
 
 
-def _array(ring) -> np.ndarray:
-    return np.array([(q["x"], q["y"]) for q in ring], float).reshape(-1, 2)
-
-
-def _rings(found: list[np.ndarray]) -> list:
-    return [[{"x": float(x), "y": float(y)} for x, y in p] for p in found]
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(_POINT)))
-def clip_rings(rings: pd.Series, window: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.ArrayType(_POINT)))
+def clip_rings(rings: pa.Array, window: pa.Array) -> pa.Array:
     """The polygon's part in a convex window (a ring, wound either way); no rings if nothing is in it, null if either is null. Holes that nothing of is in the window are gone."""
-    out = []
-    for r, w in zip(rings, window, strict=True):
+    out: list[list[np.ndarray] | None] = []
+    for r, w in zip(polygons_of(rings), rings_of(window), strict=True):
         if r is None or w is None:
             out.append(None)
             continue
-        w = _array(w)
         w = w if shoelace(w) >= 0 else w[::-1]
-        cut = [clip_ring(_array(x), w) for x in r]
+        cut = [clip_ring(p, w) for p in r]
         whole = len(cut) > 0 and len(cut[0]) > 2 and shoelace(cut[0]) != 0
-        out.append(_rings([p for p in cut if len(p) > 2 and shoelace(p) != 0]) if whole else [])
-    return pd.Series(out)
+        out.append([p for p in cut if len(p) > 2 and shoelace(p) != 0] if whole else [])
+    return to_polygons(out)
 
 
 def inside_point(rings: list[np.ndarray]) -> tuple[float, float] | None:
     """The middle of the widest stretch inside the polygon on a line across the middle of its height, between the heights of its corners. Of
-    equal stretches the westmost; without any area the first corner."""
+    equal stretches (to nine digits) the westmost; without any area the first corner."""
     rings = [r for r in rings if len(r)]
     if not rings:
         return None
@@ -202,16 +218,16 @@ def inside_point(rings: list[np.ndarray]) -> tuple[float, float] | None:
         if len(x) > 1:
             n = len(x) // 2 * 2
             wide = x[1:n:2] - x[0:n:2]
-            k = 2 * int(wide.argmax())
+            k = 2 * int(np.round(wide, 9).argmax())
             return float((x[k] + x[k + 1]) / 2), float(y)
     return float(rings[0][0, 0]), float(rings[0][0, 1])
 
 
-@F.pandas_udf(_POINT)
-def inner_point(rings: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_POINT)
+def inner_point(rings: pa.Array) -> pa.Array:
     """A point inside the polygon: see inside_point. Null if there are no corners."""
-    found = [None if r is None else inside_point([_array(x) for x in r]) for r in rings]
-    return pd.DataFrame({"x": [f[0] if f else None for f in found], "y": [f[1] if f else None for f in found]}, dtype="float64")
+    found = [None if r is None else inside_point(r) for r in polygons_of(rings)]
+    return pa.array([{"x": f[0], "y": f[1]} if f else None for f in found], pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 
 
 def douglas_peucker(p: np.ndarray, tolerance: float) -> np.ndarray:

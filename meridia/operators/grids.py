@@ -7,7 +7,7 @@ interpolated. Windows and neighbours meet by keys; lines and rings are put toget
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,13 +105,12 @@ _SPANS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("r",
 def spans(size: float):
     """An Arrow function from polygons to runs of cells (row r, columns lo to hi) of that size whose middles are inside: a scan line for each row of cells."""
 
-    @F.pandas_udf(_SPANS)
-    def run(rings: pd.Series) -> pd.Series:
+    @F.arrow_udf(_SPANS)
+    def run(rings: pa.Array) -> pa.Array:
         out = []
-        for polygon in rings:
+        for polygon in M.polygons_of(rings):
             found: list[dict] = []
-            parts = [M._array(x) for x in polygon] if polygon is not None else []
-            parts = [p for p in parts if len(p)]
+            parts = [p for p in polygon or [] if len(p)]
             if parts:
                 a = np.concatenate(parts)
                 b = np.concatenate([np.roll(p, -1, 0) for p in parts])
@@ -123,7 +122,7 @@ def spans(size: float):
                     lo, hi = np.ceil(x[0::2] / size - 0.5), np.ceil(x[1::2] / size - 0.5) - 1
                     found += [{"r": r, "lo": int(i), "hi": int(j)} for i, j in zip(lo, hi, strict=True) if i <= j]
             out.append(found)
-        return pd.Series(out)
+        return pa.array(out, pa.list_(pa.struct([(n, pa.int64()) for n in ("r", "lo", "hi")])))
 
     return run
 

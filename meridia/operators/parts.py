@@ -39,7 +39,7 @@ def halves(polygons: DataFrame, rings: str) -> DataFrame:
 
 def bisect_to(polygons: DataFrame, key: str, rings: str, target: int) -> DataFrame:
     """(key, path, rings, area): the polygons, of which the largest is halved (halves) until there are target of them; path has a 0 or 1 for each cut.
-    Of equal ones the one that is cut less goes first, then that of the least key and path. Polygons without area are not cut.
+    Of equal ones (to nine digits) the one that is cut less goes first, then that of the least key and path. Polygons without area are not cut.
 
     No half is larger than the whole, so what is cut are the target - n largest of all polygons and possible halves. A round halves all
     that rank so high among those known by then, until they are all cut; rounds grow with the depth of cuts, not their number.
@@ -49,7 +49,7 @@ def bisect_to(polygons: DataFrame, key: str, rings: str, target: int) -> DataFra
     cuts = target - known.count()
     done = None
     while cuts > 0:
-        ranked = numbered(known.where("area > 0").select(key, "path", "area", "depth"), [-F.col("area"), F.col("depth"), F.col(key), F.col("path")], "_n")
+        ranked = numbered(known.where("area > 0").select(key, "path", "area", "depth"), [-F.round("area", 9), F.col("depth"), F.col(key), F.col("path")], "_n")
         chosen = scratch(ranked.where(F.col("_n") < cuts).select(key, "path"), "chosen")
         fresh = chosen if done is None else chosen.join(done, [key, "path"], "left_anti")
         new = halves(known.join(fresh, [key, "path"], "left_semi"), rings).withColumn("path", F.concat("path", F.col("half").cast("string")))

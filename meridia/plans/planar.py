@@ -39,26 +39,28 @@ def diamonds(v, name: str, rings: str):
 _DIAMOND = "(SELECT zone_id, xmin + 15 AS cx, ymin + 10 AS cy FROM zones)"
 
 # The parts of a group that share sides, by their least corner: what a dissolve must give on boxes that touch.
-_PARTS = """WITH RECURSIVE e AS (SELECT a.unit_id AS x, b.unit_id AS y FROM units a JOIN units b ON a.group_id = b.group_id AND a.unit_id <> b.unit_id AND (a.xmin = b.xmin AND (a.ymin = b.ymax OR a.ymax = b.ymin) OR a.ymin = b.ymin AND (a.xmin = b.xmax OR a.xmax = b.xmin))),
+_PARTS = """WITH RECURSIVE g AS (SELECT *, unit_id * unit_id % 13 % 2 AS grp FROM units), e AS (SELECT a.unit_id AS x, b.unit_id AS y FROM g a JOIN g b ON a.grp = b.grp AND a.unit_id <> b.unit_id AND (a.xmin = b.xmin AND (a.ymin = b.ymax OR a.ymax = b.ymin) OR a.ymin = b.ymin AND (a.xmin = b.xmax OR a.xmax = b.xmin))),
 w AS (SELECT unit_id, unit_id AS seen FROM units UNION SELECT w.unit_id, e.y FROM w JOIN e ON e.x = w.seen), m AS (SELECT unit_id, min(seen) AS part FROM w GROUP BY unit_id)
-SELECT group_id, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, round(sum((xmax - xmin) * (ymax - ymin)), 6) AS area FROM units JOIN m USING (unit_id) GROUP BY group_id, part"""
+SELECT grp, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, round(sum((xmax - xmin) * (ymax - ymin)), 6) AS area FROM g JOIN m USING (unit_id) GROUP BY grp, part"""
+#: Groups of units with parts that have holes, parts in holes and parts that touch at corners.
+_GROUP = "unit_id * unit_id % 13 % 2 AS grp"
 
 
 def _told(found):
     outer = F.get("rings", F.lit(0))
-    return found.select("group_id", *[c.alias(n) for c, n in zip(G.bounds(F.array(outer)), BOX, strict=True)], F.round("area", 6).alias("area"))
+    return found.select("grp", *[c.alias(n) for c, n in zip(G.bounds(F.array(outer)), BOX, strict=True)], F.round("area", 6).alias("area"))
 
 
 @query("d1_dissolve_rings", _PARTS)
 def _(v):
-    return _told(P.dissolve(v.units.select("group_id", G.box_rings(*BOX).alias("rings")), ["group_id"], "rings"))
+    return _told(P.dissolve(v.units.select(F.expr(_GROUP), G.box_rings(*BOX).alias("rings")), ["grp"], "rings"))
 
 
 @query("d1_dissolve_unnoded", _PARTS)
 def _(v):
     # Every other unit comes in an upper and a lower half, so that its neighbours' sides have no vertex where the halves meet.
     split = F.when(F.col("unit_id") % 2 == 1, F.array(points(("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymin + 14"), ("xmin", "ymin + 14")), points(("xmin", "ymin + 14"), ("xmax", "ymin + 14"), ("xmax", "ymax"), ("xmin", "ymax")))).otherwise(G.box_rings(*BOX))
-    return _told(P.dissolve(v.units.select("group_id", F.explode(split).alias("r")).select("group_id", F.array("r").alias("rings")), ["group_id"], "rings"))
+    return _told(P.dissolve(v.units.select(F.expr(_GROUP), F.explode(split).alias("r")).select("grp", F.array("r").alias("rings")), ["grp"], "rings"))
 
 
 @query("d1_contacts", "WITH h AS (SELECT xmin, xmax, ymin + 14 AS y FROM units WHERE unit_id % 2 = 1) SELECT DISTINCT u.unit_id, x.x, h.y FROM units u, h, (SELECT unnest([0, 1]) AS k) s, (SELECT DISTINCT xmin AS x FROM units UNION SELECT DISTINCT xmax FROM units) x WHERE u.unit_id % 2 = 0 AND x.x IN (u.xmin, u.xmax) AND x.x IN (h.xmin, h.xmax) AND h.y > u.ymin AND h.y < u.ymax")
@@ -244,29 +246,29 @@ def _(v):
 
 
 _GAPS = """WITH RECURSIVE s AS (SELECT group_id, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM units GROUP BY group_id),
-cell AS (SELECT r, c, (c + 0.5) * 12 AS x, (r + 0.5) * 12 AS y FROM (SELECT unnest(range(-15, 15)) AS c), (SELECT unnest(range(-6, 6)) AS r)),
-o AS (SELECT s.group_id, r, c, (c + 100) * 1000 + r + 100 AS id FROM s JOIN cell ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax WHERE NOT EXISTS (SELECT 1 FROM units u WHERE u.group_id = s.group_id AND x >= u.xmin AND x < u.xmax AND y >= u.ymin AND y < u.ymax)),
+cell AS (SELECT r, c, (c + 0.5) * 4 AS x, (r + 0.5) * 4 AS y FROM (SELECT unnest(range(-45, 45)) AS c), (SELECT unnest(range(-18, 18)) AS r)),
+o AS (SELECT s.group_id, r, c, (c + 100) * 1000 + r + 100 AS id FROM s JOIN cell ON x >= xmin AND x < xmax AND y >= ymin AND y < ymax WHERE NOT EXISTS (SELECT 1 FROM zones z WHERE z.zone_id % 5 = s.group_id AND x >= z.xmin AND x < z.xmax AND y >= z.ymin AND y < z.ymax AND NOT (x >= z.xmin + 10 AND x < z.xmin + 20 AND y >= z.ymin + 8))),
 e AS (SELECT a.group_id, a.id AS x, b.id AS y FROM o a JOIN o b ON a.group_id = b.group_id AND abs(a.r - b.r) + abs(a.c - b.c) = 1),
 w AS (SELECT group_id, id, id AS seen FROM o UNION SELECT w.group_id, w.id, e.y FROM w JOIN e ON e.x = w.seen AND e.group_id = w.group_id), m AS (SELECT group_id, id, min(seen) AS part FROM w GROUP BY group_id, id),
-f AS (SELECT group_id, part, 144.0 * count(*) AS area FROM m GROUP BY group_id, part HAVING count(*) >= 2)
+f AS (SELECT group_id, part, 16.0 * count(*) AS area FROM m GROUP BY group_id, part HAVING count(*) >= 4)
 SELECT group_id, count(*) AS fragments, CAST(sum(area) AS DOUBLE) AS total, CAST(max(area) AS DOUBLE) AS largest FROM f GROUP BY group_id"""
 
 
 @query("d5_gap_fragments", _GAPS)
 def _(v):
-    # What a group's units leave open of its box, on cells of 12 degrees; fragments of two cells and more. d5_coverage_gaps has the exact total.
+    # What zones, as Us, leave open of a group's box, on cells of 4 degrees; fragments of four cells and more. d5_coverage_gaps has exact totals of boxes.
     return gap_rows(v).groupBy("group_id").agg(F.count("*").alias("fragments"), F.sum("area").alias("total"), F.max("area").alias("largest"))
 
 
 def gap_rows(v):
     shell = v.units.groupBy("group_id").agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))
     of = lambda df: df.select("group_id", G.box_rings(*BOX).alias("rings"))
-    return grids.gap_fragments(of(shell), of(v.units), "group_id", "rings", 12.0, 288.0)
+    return grids.gap_fragments(of(shell), u_shapes(v).select((F.col("zone_id") % 5).alias("group_id"), "rings"), "group_id", "rings", 4.0, 64.0)
 
 
 @query("d5_gap_samples")
 def _(v):
-    # Up to five points inside a group's fragments, from west to east; the tests hold them to be in the shell and in no unit.
+    # Up to five points inside a group's fragments, from west to east; the tests hold them to be in the shell and in no zone.
     p = gap_rows(v).withColumn("p", M.inner_point("rings")).select("group_id", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))
     ranked = p.withColumn("n", F.expr("row_number() OVER (PARTITION BY group_id ORDER BY x, y)")).where("n <= 5")
     return ranked.select("group_id", "n", "x", "y")

@@ -11,7 +11,7 @@ from meridia.operators import spatial as G
 
 POLYGON = "array<array<struct<x:double,y:double>>>"
 CONCAVE = [[(0, 0), (4, 0), (4, 4), (2, 1), (0, 4)]]
-HOLED = [[(1, -1), (6, -1), (6, 3), (1, 3)], [(2, 0), (2, 2), (5, 2), (5, 0)]]
+HOLED = [[(1, -1), (6, -1), (6, 3), (1, 3)], [(2, 0), (2, 2), (5, 2), (5, 0), (4, 0)]]
 U = [[(0, 0), (5, 0), (5, 4), (4, 4), (4, 1), (1, 1), (1, 4), (0, 4)]]
 
 
