@@ -2,8 +2,9 @@
 
 A gear hash rolls over the bytes of a text; a chunk ends where it falls below a threshold. Where chunks end depends on
 the bytes just before alone, so text inserted elsewhere shifts no later chunk. Chunks are deduplicated by a 128-bit
-BLAKE2 digest: of equal chunks those of the least id stay. Runs of chunks that would go are cut from the text if they
-have enough words, so that phrases which happen to recur are left alone.
+BLAKE2 digest: of equal chunks those of the least id stay. A passage's first and last chunk reach into what surrounds it;
+so both ends of a run of repeated chunks are compared byte by byte with the text that the chunks come from, and the
+run ends where the texts do. Runs are cut if they have enough words, so that phrases which happen to recur are left alone.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .words import GOLDEN, U64, Text, chunks, mix, words
 WINDOW, MEAN_GAP, LEAST_GAP, MOST = 16, 24, 8, 2048
 #: Bytes of the table of repeated chunks' places up to which it is broadcast to the texts; beyond, both are shuffled.
 BROADCAST_BYTES = 64 << 20
+#: Bytes on either side of a chunk up to which a run is extended; a chunk of so many bytes has a probability of 10**-9.
+REACH = 512
 _GEAR = (mix(np.arange(1, 257, dtype=U64) * GOLDEN) >> U64(32)).astype(np.uint32)
 
 
@@ -87,6 +90,53 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.rows.column(0), part.rows.column(1), *lists], names=["id", "text_key", "a", "b", "again"])
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes before and behind each wanted chunk (its first place) in texts that have it."""
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            c = cuts(part)
+            wanted = part.rows.column(part.rows.schema.get_field_index("wanted"))
+            out: list[tuple[int, int, bytes, bytes]] = []
+            for d in range(len(part.rows)):
+                lo, hi = int(part.bounds[d]), int(part.bounds[d + 1])
+                own = slice(int(c.first[d]), int(c.first[d + 1]))
+                place = {}
+                for k, (a, b) in enumerate(zip(c.a[own].view(np.int64).tolist(), c.b[own].view(np.int64).tolist(), strict=True), own.start):
+                    place.setdefault((a, b), k)
+                for x in wanted[d].as_py():
+                    k = place.get((x["a"], x["b"]))
+                    if k is not None:
+                        i, j = int(c.start[k]), int(c.end[k])
+                        out.append((x["a"], x["b"], part.bytes[max(lo, i - REACH) : i].tobytes(), part.bytes[j : min(hi, j + REACH)].tobytes()))
+            a, b, left, right = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b", "left", "right"])
+
+
+def _shared(a: bytes, b: bytes) -> int:
+    """Bytes that both have at the end."""
+    n = min(len(a), len(b))
+    x, y = np.frombuffer(a, np.uint8)[::-1][:n], np.frombuffer(b, np.uint8)[::-1][:n]
+    unlike = np.flatnonzero(x != y)
+    return int(unlike[0]) if len(unlike) else n
+
+
+def _extended(part: Text, c: Cuts, d: int, edges: list[dict], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A document's runs, extended as far as the texts agree that their edge chunks come from."""
+    lo, hi = int(part.bounds[d]), int(part.bounds[d + 1])
+    start, end = start.copy(), end.copy()
+    for x in edges:
+        k = int(c.first[d]) + x["pos"]
+        i, j = int(c.start[k]), int(c.end[k])
+        run = int(np.searchsorted(start, i, "right")) - 1
+        if x["left"] is not None:
+            start[run] = min(start[run], i - _shared(part.bytes[max(lo, i - REACH) : i].tobytes(), x["left"]))
+        if x["right"] is not None:
+            end[run] = max(end[run], j + _shared(part.bytes[j : min(hi, j + REACH)].tobytes()[::-1], x["right"][::-1]))
+    # Runs that have grown into each other are one.
+    apart = np.append(True, start[1:] > np.maximum.accumulate(end)[:-1])
+    return start[apart], np.maximum.reduceat(end, np.flatnonzero(apart))
+
+
 def _cut(batches: Iterator[pa.RecordBatch], min_words: int, within: bool, out: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
@@ -105,9 +155,23 @@ def _cut(batches: Iterator[pa.RecordBatch], min_words: int, within: bool, out: p
             begins[1:] &= ~(flag[:-1] & inner[1:])
             ends[:-1] &= ~(flag[1:] & inner[1:])
             start, end = c.start[begins], c.end[ends]
-            keep = np.searchsorted(w.start, end) - np.searchsorted(w.start, start) >= min_words
-            start, end = start[keep], end[keep]
             doc = np.searchsorted(part.bounds, start, "right") - 1
+            edges = part.rows.column(part.rows.schema.get_field_index("edges"))
+            if edges.null_count < len(edges):
+                pieces = []
+                for d in np.unique(doc).tolist():
+                    own = slice(*np.searchsorted(doc, [d, d + 1]))
+                    e = edges[d].as_py()
+                    pieces.append((start[own], end[own]) if e is None else _extended(part, c, d, e, start[own], end[own]))
+                start, end = (np.concatenate(x) for x in zip(*pieces, strict=True)) if pieces else (start, end)
+                doc = np.searchsorted(part.bounds, start, "right") - 1
+            # From the first whole word on and up to the next one behind the run, but to the text's ends.
+            first, last = np.searchsorted(w.start, start), np.searchsorted(w.end, end, "right")
+            word_start, nothing = np.append(w.start, len(part.bytes)), len(w.start) == 0
+            start = np.where((start == part.bounds[doc]) | nothing, start, np.minimum(word_start[first], part.bounds[doc + 1]))
+            end = np.where((end == part.bounds[doc + 1]) | nothing, end, np.minimum(end, word_start[last]))
+            keep = (np.searchsorted(w.start, end) - np.searchsorted(w.start, start) >= min_words) & (end > start)
+            start, end, doc = start[keep], end[keep], doc[keep]
             spans: list[list] = [[] for _ in range(len(part.bounds) - 1)]
             for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True):
                 spans[d].append({"start": s - int(part.bounds[d]), "end": e - int(part.bounds[d])})
@@ -121,12 +185,13 @@ def _cut(batches: Iterator[pa.RecordBatch], min_words: int, within: bool, out: p
             yield pa.record_batch([x.cast(f.type) for x, f in zip(cols, out, strict=True)], schema=out)
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 32, within: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, min_words: int = 25, within: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs: id_col, n_chunks, removed (byte spans of the UTF-8 text that go), kept_text.
 
     A run of successive chunks, each of which also stands in a row of a lesser id (or, with within, earlier in the same
-    text), goes if at least min_words words begin in it. As a passage's first and last chunk reach into what is around it, a passage
-    must be some 15 words longer than min_words to be sure to be found. Null and empty texts have no chunks and are kept
+    text), is extended to both sides as far as the text agrees with those that its two first and two last chunks come from (REACH bytes
+    at most), and goes if at least min_words whole words are in it; words at its ends that are not whole stay. Chunks of no more than one in
+    a row are not extended. Null and empty texts have no chunks and are kept
     as empty; very long texts are cut whole and alone. Ids are meant to be unique; rows that repeat the least id (ties)
     are all kept. A null id is more than any other; among null ids nothing goes. An empty table gives no rows; further
     columns are not read, whatever their names.
@@ -139,15 +204,39 @@ def substring_dedup(docs: DataFrame, min_words: int = 32, within: bool = False,
     chunked = written(rows.mapInArrow(_digests, f"id {kind}, text_key long, a array<long>, b array<long>, again array<boolean>"), "chunks")
     each = chunked.select("id", "text_key", F.posexplode(F.arrays_zip("a", "b", "again")).alias("pos", "c")).where("NOT c.again").select("id", "text_key", "pos", "c.a", "c.b")
     owners = written(each.groupBy("a", "b").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "chunk-owners")
-    gone = each.join(owners, ["a", "b"]).where("NOT id <=> owner").groupBy("id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
-    gone = written(gone.select(F.col("id").alias("i"), F.col("text_key").alias("k"), "gone"), "chunks-gone")
-    size = gone.agg(F.sum(F.size("gone") * 4 + 100)).first()[0] or 0
-    joined = rows.join(F.broadcast(gone) if size <= BROADCAST_BYTES else gone, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left").select("id", "text", "gone")
+    hits = each.join(owners, ["a", "b"]).where("NOT id <=> owner")
+    gone = hits.groupBy("id", "text_key").agg(F.array_sort(F.collect_set(F.struct("pos", "a", "b", "owner"))).alias("hits"))
+    gone = written(gone.select(F.col("id").alias("i"), F.col("text_key").alias("k"), "hits"), "chunks-gone")
+    edges = _edges(gone, rows)
+    gone = gone.select("i", "k", F.col("hits.pos").alias("gone"))
+    both = gone.join(edges.select(F.col("i").alias("i2"), F.col("k").alias("k2"), "edges"), F.col("i").eqNullSafe(F.col("i2")) & (F.col("k") == F.col("k2")), "left").select("i", "k", "gone", "edges")
+    both = written(both, "cuts")
+    heavy = F.size("gone") * 4 + 100 + F.coalesce(F.aggregate("edges", F.lit(0), lambda n, e: n + 20 + F.coalesce(F.length(e["left"]), F.lit(0)) + F.coalesce(F.length(e["right"]), F.lit(0))), F.lit(0))
+    size = both.agg(F.sum(heavy)).first()[0] or 0
+    joined = rows.join(F.broadcast(both) if size <= BROADCAST_BYTES else both, F.col("id").eqNullSafe(F.col("i")) & (F.col("text_key") == F.col("k")), "left").select("id", "text", "gone", "edges")
     schema = docs.sparkSession.createDataFrame([], f"id {kind}, n_chunks long, removed array<struct<start:int,end:int>>, kept_text string").schema
     arrow = to_arrow_schema(schema)
     return joined.mapInArrow(lambda it: _cut(it, min_words, within, arrow), schema).withColumnRenamed("id", id_col)
 
 
+def _edges(gone: DataFrame, rows: DataFrame) -> DataFrame:
+    """(i, k, edges): for each row with hits the two first and two last chunks of its runs, with the bytes that stand before the former and behind the latter in
+    the text of their owner."""
+    each = gone.select("i", "k", F.posexplode("hits").alias("n", "h"), "hits")
+    at = lambda d: F.get(F.col("hits.pos"), F.col("n") + d) == F.col("h.pos") + d
+    near = lambda d: F.coalesce(at(d), F.lit(False))
+    # In a run of two chunks and more: nothing before, or nothing before the one before.
+    left = near(1) & ~near(-1) | near(-1) & ~near(-2)
+    right = near(-1) & ~near(1) | near(1) & ~near(2)
+    ends = each.where(left | right).select("i", "k", "h.pos", "h.a", "h.b", "h.owner", left.alias("l"), right.alias("r"))
+    ends = written(ends, "run-ends")
+    wanted = ends.select("owner", "a", "b").distinct().groupBy("owner").agg(F.collect_list(F.struct("a", "b")).alias("wanted"))
+    found = rows.join(wanted, F.col("id") == F.col("owner")).select("id", "text", "wanted").mapInArrow(_contexts, "a long, b long, left binary, right binary")
+    found = written(found.groupBy("a", "b").agg(F.min(F.struct("left", "right")).alias("c")), "contexts")
+    edge = F.struct("pos", F.when(F.col("l"), F.col("c.left")).alias("left"), F.when(F.col("r"), F.col("c.right")).alias("right"))
+    return ends.join(found, ["a", "b"]).groupBy("i", "k").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"))
     size = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

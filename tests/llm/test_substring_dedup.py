@@ -32,29 +32,95 @@ def naive_chunks(b):
 
 
 def naive_dedup(rows, min_words):
-    """The rows' kept texts, by a dictionary from chunk to the least id that has it."""
+    """The rows' kept texts, by a dictionary from chunk to the least id that has it and its text."""
     texts = [(i, naive_chunks((t or "").encode())) for i, t in rows]
     owner = {}
     for i, parts in texts:
+        at = 0
         for c in parts:
-            if i is not None and (c not in owner or i < owner[c]):
-                owner[c] = i
+            if i is not None and (c not in owner or i < owner[c][0]):
+                owner[c] = (i, b"".join(parts), at)
+            at += len(c)
     out = []
     for i, parts in texts:
-        flags = [c in owner and owner[c] != i for c in parts]
-        kept, k = [], 0
+        b = b"".join(parts)
+        starts = [sum(map(len, parts[:k])) for k in range(len(parts) + 1)]
+        flags = [c in owner and owner[c][0] != i for c in parts]
+        first = [c not in parts[:k] for k, c in enumerate(parts)]
+        hit = [f and n for f, n in zip(flags, first)] + [False, False]
+        runs, k = [], 0
         while k < len(parts):
             to = k
             while to < len(parts) and flags[to] == flags[k]:
                 to += 1
-            piece = b"".join(parts[k:to])
-            begins = sum(1 for m in WORD.finditer(b"".join(parts)) if len(b"".join(parts[:k])) <= m.start() < len(b"".join(parts[:k])) + len(piece)) if flags[k] else 0
-            kept += [] if flags[k] and begins >= min_words else [piece]
+            if flags[k]:
+                s, e = starts[k], starts[to]
+                for j in range(k, to):
+                    if not hit[j]:
+                        continue
+                    _, t, p = owner[parts[j]]
+                    q = starts[j]
+                    before, twice = hit[j - 1] if j else False, hit[j - 2] if j > 1 else False
+                    if (hit[j + 1] and not before) or (before and not twice):
+                        n = 0
+                        while n < min(p, q, S.REACH) and t[p - 1 - n] == b[q - 1 - n]:
+                            n += 1
+                        s = min(s, q - n)
+                    if (before and not hit[j + 1]) or (hit[j + 1] and not hit[j + 2]):
+                        p, q, n = p + len(parts[j]), q + len(parts[j]), 0
+                        while n < S.REACH and p + n < len(t) and q + n < len(b) and t[p + n] == b[q + n]:
+                            n += 1
+                        e = max(e, q + n)
+                runs.append([s, e])
             k = to
-        out.append((i, b"".join(kept).decode()))
+        merged = []
+        for s, e in runs:
+            if merged and s <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], e)
+            else:
+                merged.append([s, e])
+        spots = [(m.start(), m.end()) for m in WORD.finditer(b)]
+        kept, at = b"", 0
+        for s, e in merged:
+            if s:
+                s = min([w for w, _ in spots if w >= s], default=len(b))
+            if e < len(b):
+                e = min([e, *(w for w, z in spots if z > e)])
+            if e > s and sum(s <= w < e for w, _ in spots) >= min_words:
+                kept, at = kept + b[at:s], e
+        out.append((i, (kept + b[at:]).decode()))
     return sorted(out, key=str)
 
 
+def longest_shared(rows):
+    """For each id the most words in a row that a lesser id has too."""
+    words = [(i, [m.group() for m in WORD.finditer(t.encode())]) for i, t in sorted(rows)]
+    known, out = set(), {}
+    for i, w in words:
+        best = 0
+        for s in range(len(w)):
+            while s + best < len(w) and tuple(w[s : s + best + 1]) in known:
+                best += 1
+        out[i] = best
+        known |= {tuple(w[s : s + n]) for s in range(len(w)) for n in range(1, 41) if s + n <= len(w)}
+    return out
+
+
+def test_runs_of_25_words_and_more_are_found(spark):
+    rng = random.Random(21)
+    passages = [prose(rng, rng.randint(25, 40)) for _ in range(60)] + [prose(rng, rng.randint(12, 24)) for _ in range(30)]
+    rows = []
+    for i in range(300):
+        parts = [prose(rng, rng.randint(5, 30)) for _ in range(2)]
+        if i % 2:
+            parts.insert(rng.randint(0, 2), passages[rng.randrange(len(passages))])
+        rows.append((i, " ".join(parts)))
+    most = longest_shared(rows)
+    cut = {r.doc_id for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.removed}
+    due = {i for i, n in most.items() if n >= 25}
+    assert len(due) > 50 and cut <= due and len(cut) >= 0.95 * len(due)
+
+
 def test_agrees_with_a_plain_implementation(spark):
     rng = random.Random(11)
     pool = [prose(rng, rng.randint(5, 70)) for _ in range(12)] + ["ab" * 1500 + "é" * 800]
