@@ -2,8 +2,10 @@
 
 Every block of a page's tree gets its characters for each tag, adjusted for links; every block also gets the sum of its
 children's densities. The block of the greatest sum is the core of the article; the least density on the path from it to
-the body is the threshold above which the best blocks of other subtrees join it. Menus, notices, comments and the like,
-known by element, role or class, are taken out before anything is counted; no element is taken in by its name.
+the body is the threshold above which the best blocks of other subtrees join it. Density sees all that a reader sees but
+readers' comments and controls: menus, headers, footers, sidebars and notices are told from the article by it. What stands inside
+the picked blocks and is known by element, role or a whole class name as none of the article goes afterwards; no element is taken in
+by its name.
 """
 
 from __future__ import annotations
@@ -37,6 +39,13 @@ CLEAR_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense adsbygoogle adslot sponsor sponsored sponsors promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription signup paywall "
     "nav navbar navigation topnav sidenav mainnav menu submenu menubar dropdown breadcrumb breadcrumbs sidebar widget widgets share sharing comment comments commentlist commentform disqus pagination pager login".split()
 )
+#: Words that say nothing by themselves; a name of such and the words above only is one of theirs ("share-buttons"), others are not ("menu-items").
+PLAIN_WORDS = frozenset("box bar button buttons wrap wrapper container inner outer area block section top bottom left right list lists link links post posts entry holder slot unit zone form thread fixed sticky primary secondary global site mobile desktop small large main".split())
+#: Names of what readers write, and elements that no reader sees or that are controls: the only ones that density does not see.
+COMMENT_WORDS = frozenset("comment comments commentlist commentform disqus".split())
+UNSEEN = frozenset("script style noscript template iframe svg canvas object head title button select textarea dialog input".split())
+#: Elements that hold running text, unlike those that lay out a page.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre figcaption caption td th summary".split())
 #: Elements that an opening tag closes, unless one of the limits is nearer.
 SAME_LEVEL = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 SAME_LEVEL = {k: (a.split(), b.split()) for k, (a, b) in SAME_LEVEL.items()}
@@ -46,9 +55,6 @@ BARRIERS = ("table", "article", "section", "main")
 CONTAINERS = frozenset("div section ul ol dl table tr td header figure article main center details fieldset".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 
-#: What a wider block adds must have at least this part of the core's density.
-WIDEN = 0.25
-
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 ATTR = re.compile(r"""[\s/]*([^\s/>=]?[^\s/>=]*)(\s*=\s*)?""")
 BARE = re.compile(r"[^\s>]*")
@@ -57,28 +63,26 @@ NAMES = frozenset(("class", "id", "role", "style", "hidden", "aria-hidden"))
 
 
 def noise_level(tag: str, attrs: list[tuple[str, str]]) -> int:
-    """2: boilerplate wherever it stands; 1: by a word that may also name a part of a story; 0: none."""
-    if tag in NOISE_TAGS:
-        return 2
-    level = 0
+    """3: unseen or readers' comments; 2: boilerplate wherever it stands; 1: by a word that may also name a part of a story; 0: none."""
+    level = 3 if tag in UNSEEN else 2 * (tag in NOISE_TAGS)
     for name, value in attrs:
         if name in ("class", "id"):
-            told = {w.lower() for w in WORD.findall(value)}
-            if name == "class" and "hidden" in value.lower().split():
-                return 2
-            if not told & {"has", "no", "with", "without"}:  # "has-sidebar" names a page, not a sidebar
-                if told & CLEAR_WORDS:
-                    return 2
-                if tag in CONTAINERS and told & NOISE_WORDS:
-                    level = 1
+            for one in value.split():
+                told = {w.lower() for w in WORD.findall(one)}
+                if name == "class" and one.lower() == "hidden":
+                    return 3
+                if one.lower() == "adsbygoogle":
+                    level = max(level, 2)
+                # A word of a longer name, such as "modal-verbs", tells nothing, and none does on running text.
+                elif tag in CONTAINERS and told <= NOISE_WORDS | PLAIN_WORDS and told & NOISE_WORDS:
+                    level = max(level, 3 if told & COMMENT_WORDS else 2 if told & CLEAR_WORDS else 1)
         elif name == "role":
-            if value.lower() in NOISE_ROLES:
-                return 2
+            level = max(level, 2 * (value.lower() in NOISE_ROLES))
         elif name == "style":
             if "display:none" in value.replace(" ", "").lower():
-                return 2
+                return 3
         elif name == "hidden" or value.lower() == "true":
-            return 2
+            return 3
     return level
 
 
@@ -209,8 +213,9 @@ class Page:
             self.open[name].append(len(self.stack))
             self.stack.append(i)
 
-    def removed(self) -> tuple[list[bool], list[bool]]:
-        """For each node: whether it is boilerplate wherever it stands, and whether it is by what may also name a part of the story.
+    def removed(self) -> tuple[list[bool], list[bool], list[bool]]:
+        """For each node: whether density does not see it, whether it is boilerplate wherever it stands, and whether it is by what may also name a part
+        of the story.
 
         Neither goes if it holds the page's article or headline; inside an article a header stays, and what may name a part
         of the story, unless links are more than half of its characters.
@@ -235,12 +240,13 @@ class Page:
         for i in range(n - 1, 0, -1):
             holds[i] |= tag[i] == "h1" or tag[i] in ("article", "main") and not level[i] and not inside[i]
             holds[parent[i]] |= holds[i]
-        hard, soft = [False] * n, [False] * n
+        unseen, hard, soft = [False] * n, [False] * n, [False] * n
         for i in range(1, n):
             goes = tag[i] in NOISE_TAGS and tag[i] != "form" or not holds[i]
-            hard[i] = hard[parent[i]] or level[i] == 2 and goes
+            unseen[i] = unseen[parent[i]] or level[i] == 3 and goes
+            hard[i] = hard[parent[i]] or level[i] >= 2 and goes
             soft[i] = soft[parent[i]] or level[i] == 1 and goes
-        return hard, soft
+        return unseen, hard, soft
 
     def densities(self, gone: list[bool]) -> tuple[list[float], list[float], list[int], list[int]]:
         """For each block its density, the sum of its children's and its linked characters, and the block around each node. Inline elements but links
@@ -268,7 +274,7 @@ class Page:
                 link_tags[p] += link_tags[i]
                 tags[p] += tags[i] + 1
         body = links[0] / max(chars[0], 1)
-        self.counts = chars, tags, links, link_tags
+        self.counts = chars, links, self._prose(gone)
         dense, total = [0.0] * n, [0.0] * n
         for i in range(n - 1, -1, -1):
             if chars[i] and block[i] == i and not gone[i]:
@@ -278,6 +284,19 @@ class Page:
                     total[block[parent[i]]] += dense[i]
         return dense, total, links, block
 
+    def _prose(self, gone: list[bool]) -> list[int]:
+        """Characters of each block in elements that hold running text, without linked ones."""
+        tag, parent, n = self.tag, self.parent, len(self.tag)
+        inside, total = [False] * n, [0] * n
+        for i in range(1, n):
+            inside[i] = (inside[parent[i]] or tag[i] in PROSE) and tag[i] != "a"
+        for i, text in self.pieces:
+            if text and inside[i] and not gone[i]:
+                total[i] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            total[parent[i]] += total[i]
+        return total
+
     def picked(self, gone: list[bool]) -> set[int]:
         """The block of the greatest sum, and the best ones of the subtrees that reach the threshold."""
         dense, total, links, block = self.densities(gone)
@@ -288,6 +307,7 @@ class Page:
             own, other = best[i], best[p]
             if block[i] == i and total[own] > 0 and (total[own] > total[other] or total[own] == total[other] and (other != p or links[own] < links[other])):
                 best[p] = own
+        chars, _, prose = self.counts
         core = self.widened(best[0], dense, block)
         threshold, i = dense[core], core
         while i:
@@ -298,18 +318,16 @@ class Page:
         for i in range(1, n):
             p = block[self.parent[i]]
             reach[i] = block[i] == i and reach[p] and dense[i] >= threshold and dense[i] > 0
-        return {core} | {best[i] for i in range(n) if reach[i]}
+        # What joins has running text; a bare block of a few words has a high density too.
+        return {core, best[0]} | {best[i] for i in range(n) if reach[i] and 2 * prose[best[i]] >= chars[best[i]]}
 
     def widened(self, core: int, dense: list[float], block: list[int]) -> int:
-        """The core, or the block around it while what that adds is less than half links and, but inside an article or main, text like the core's: at
-        least WIDEN of its density. An article or main is not left."""
-        chars, tags, links, link_tags = self.counts
-        body = links[0] / max(chars[0], 1)
+        """The core, or the block around it while most of what that adds is running text without links. An article or main is not left."""
+        chars, links, prose = self.counts
         while core and self.tag[core] not in ("article", "main"):
             out = block[self.parent[core]]
-            more = [x[out] - x[core] for x in (chars, tags, links, link_tags)]
-            thin = not self.inside[core] and density(more[0], more[1] - 1, more[2], more[3], body) < WIDEN * dense[core] if more[0] else False
-            if more[0] and (2 * more[2] >= more[0] or thin):
+            more = chars[out] - chars[core]
+            if 2 * (prose[out] - prose[core]) < more:
                 break
             core = out
         return core
@@ -317,9 +335,9 @@ class Page:
     def main_text(self) -> str:
         """What is picked, the last headline before it, and what stands between these, unless most of it is links. White space is one space."""
         tag, parent, n = self.tag, self.parent, len(self.tag)
-        hard, soft = self.removed()
+        unseen, hard, soft = self.removed()
         gone = [a or b for a, b in zip(hard, soft, strict=True)]
-        roots = self.picked(gone)
+        roots = self.picked(unseen)
         kept, linked, headline = [False] * n, [False] * n, [0] * n
         for i in range(n):
             kept[i] = not gone[i] and (i in roots or i > 0 and kept[parent[i]])

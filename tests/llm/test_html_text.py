@@ -94,6 +94,37 @@ def test_whole_table(spark):
     assert sorted(r.text for r in extract_text(odd).collect()) == ["", "", WANT] and extract_text(odd.limit(0)).count() == 0
 
 
+def stripped(h):
+    """The page without names that tell its parts: all layout elements are div, and classes, ids and roles are gone."""
+    head, body = h.split("<body", 1)
+    body = re.sub(r"<(/?)(nav|header|footer|aside|form|article|main|section)\b", r"<\1div", body)
+    return head + "<body" + re.sub(r"\s(class|id|role)=(\"[^\"]*\"|'[^']*'|[^\s>]*)", "", body)
+
+
+def test_density_alone_on_the_whole_table(spark, monkeypatch):
+    """Nothing but density and running text tells menu, advert and footer from the article here; what is missed are articles shorter than these."""
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    want = [main_text(p) for p in pages]  # as test_whole_table holds
+    bare = [stripped(p) for p in pages]
+    kept = [main_text(b) == w for b, w in zip(bare, want, strict=True)]
+    assert sum(kept) >= 0.95 * len(pages) and all(k for k, w in zip(kept, want, strict=True) if len(w) >= 200)
+    with monkeypatch.context() as m:
+        m.setattr(H.Page, "picked", lambda self, gone: {0})
+        assert not any(main_text(b) == w for b, w in zip(bare, want, strict=True))
+    monkeypatch.setattr(H, "density", lambda *a: 1.0)
+    assert sum(main_text(b) == w for b, w in zip(bare, want, strict=True)) < sum(kept)
+
+
+def test_no_article_text_is_lost_by_a_word():
+    lead = "<div id=w><p>Short lead.</p><div class=sec><h2>One</h2>" + "".join(f"<p>{p}</p>" for p in PARA * 3) + "</div><div class=sec><h2>Two</h2><p>Brief.</p></div></div>"
+    assert main_text(f"<body>{LINKS}{lead}<div>Imprint</div></body>") == "Short lead. One " + " ".join(PARA * 3) + " Two Brief."
+    for part, text in (
+        ("<pre><code><span class='hljs-comment'># start the server</span>\nrun</code></pre>", "# start the server run"), ("<p><code class=comment><span class='token comment'># none</span></code></p>", "# none"),
+        ("<ul class='menu-items'><li>Soup of the day</ul>", "Soup of the day"), ("<p class='modal-verbs'>Can and could are modal verbs.</p>", "Can and could are modal verbs."), ("<p class=comment>A remark.</p>", "A remark."),
+    ):
+        assert main_text(f"<body><article>{ART}{part}</article></body>") == f"{WANT} {text}", part
+
+
 LINKS = "<div>" + "".join(f"<div><a href=/{i}>Story {i}</a></div>" for i in range(9)) + "</div>"
 
 
