@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from meridia.functions import scalars as S
-from meridia.sources.shared import scratch
+from meridia.sources.shared import discard, scratch
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -14,15 +19,57 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(linked(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+#: Edges that a task contracts together.
+AT_ONCE = 1 << 20
+
+
+def unite(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Joins the trees of i and j, all pairs at once, to the lesser root; all parents are roots afterwards, as they must be before."""
+    while len(i):
+        a, b = parent[i], parent[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent[:] = parent[parent]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.RecordBatch]:
+    """Of about at_once edges at a time, the edges from each component's least node to its others: the same components with an edge a node."""
+    held: list[pa.RecordBatch] = []
+
+    def settle() -> pa.RecordBatch:
+        both = pa.Table.from_batches(held).combine_chunks()
+        src, dst = (both.column(k).combine_chunks() for k in (0, 1))
+        nodes = pa.concat_arrays([src, dst]).unique()
+        nodes = nodes.take(pc.sort_indices(nodes))
+        parent = np.arange(len(nodes))
+        unite(parent, *(pc.index_in(x, nodes).to_numpy(zero_copy_only=False).astype(np.int64) for x in (src, dst)))
+        own = np.flatnonzero(parent != np.arange(len(parent)))
+        held.clear()
+        return pa.record_batch([nodes.take(pa.array(parent[own])), nodes.take(pa.array(own))], names=["src", "dst"])
+
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= at_once:
+            yield settle()
+            size = 0
+    if held:
+        yield settle()
+
+
 def linked(edges: DataFrame) -> DataFrame:
     """(id, component): for each end of an edge (src, dst) to another node the least id that it reaches in either direction.
 
-    A round ties every node's greater neighbours to the least node that it knows, then its lesser ones (large and small
-    star); what is left at the end is one edge from each node to its component. Rounds grow with the logarithm of the
-    nodes; minima combine before the shuffle, so a node with many neighbours is no hot task.
+    Every task first contracts the edges that it has, so that what lies in few tasks needs few rounds. A round then ties every
+    node's greater neighbours to the least node that it knows, then its lesser ones (large and small star); it ends when each node
+    but the least of its component has one edge, to that one. Rounds grow with the logarithm of the nodes; minima combine
+    before the shuffle, so a node with many neighbours is no hot task. Tables of a round are deleted when the next one is written.
     """
 
-    def star(e: DataFrame, larger: bool) -> DataFrame:
+    def star(e: DataFrame, larger: bool) -> tuple[DataFrame, DataFrame]:
         both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         both = both if larger else both.where("dst < src")
         # Written, so that the join is one of two shuffled tables, whose hot nodes Spark splits.
@@ -30,18 +77,24 @@ def linked(edges: DataFrame) -> DataFrame:
         near = both.join(least, "src").where("dst > src AND dst <> m" if larger else "dst <> m")
         out = near.select(F.col("m").alias("src"), F.col("dst").alias("dst"))
         # Repeated edges that the large star makes go with those of the small one.
-        return out if larger else out.unionByName(least.where("m < src").select(F.col("m").alias("src"), F.col("src").alias("dst"))).distinct()
-
-    def kept_with_sum(e: DataFrame) -> tuple[DataFrame, dict]:
-        """e written, and a sum over it that tells whether a round has changed anything, taken while it is written."""
-        seen = Observation()
-        return scratch(e.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("sum")), "star"), seen.get
-
-    kept, now = kept_with_sum(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
-    was = None
-    while now["n"] and now != was:
-        was = now
-        kept, now = kept_with_sum(star(scratch(star(kept, True), "large"), False))
+        return least, out if larger else out.unionByName(least.where("m < src").select(F.col("m").alias("src"), F.col("src").alias("dst"))).distinct()
+
+    def stars(e: DataFrame) -> bool:
+        """Whether every node has one edge to a lesser node, which has none, or has none."""
+        ends = e.select(F.col("src").alias("id"), F.lit(0).alias("n")).unionByName(e.select(F.col("dst").alias("id"), F.lit(1).alias("n")))
+        return ends.groupBy("id").agg(F.sum("n").alias("up"), F.count(F.lit(1)).alias("n")).where("up > 1 OR up = 1 AND n > 1").isEmpty()
+
+    first = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    at_once = AT_ONCE
+    contracted = lambda e: e.mapInArrow(lambda it: _contracted(it, at_once), e.schema)
+    kept = scratch(contracted(first), "star")
+    while not stars(kept):
+        least, out = star(kept, True)
+        large = scratch(out, "large")
+        least2, out = star(large, False)
+        new = scratch(contracted(out), "star")
+        discard(kept, least, large, least2)
+        kept = new
     return kept.select(F.col("dst").alias("id"), F.col("src").alias("component")).unionByName(kept.select(F.col("src").alias("id"), F.col("src").alias("component")).distinct())
 
 
