@@ -25,8 +25,8 @@ from .words import GOLDEN, U64, Text, chunks, mix, words
 WINDOW, MEAN_GAP, LEAST_GAP, MOST = 16, 24, 8, 2048
 #: Bytes of the table of repeated chunks' places up to which it is broadcast to the texts; beyond, both are shuffled.
 BROADCAST_BYTES = 64 << 20
-#: Bytes on either side of a chunk up to which a run is extended; a chunk of so many bytes has a probability of 10**-9.
-REACH = 512
+#: Bytes on either side of a chunk up to which a run is extended; in text that is not all alike one chunk in 150 is longer.
+REACH = 128
 _GEAR = (mix(np.arange(1, 257, dtype=U64) * GOLDEN) >> U64(32)).astype(np.uint32)
 
 
@@ -204,11 +204,10 @@ def substring_dedup(docs: DataFrame, min_words: int = 25, within: bool = False,
     chunked = written(rows.mapInArrow(_digests, f"id {kind}, text_key long, a array<long>, b array<long>, again array<boolean>"), "chunks")
     each = chunked.select("id", "text_key", F.posexplode(F.arrays_zip("a", "b", "again")).alias("pos", "c")).where("NOT c.again").select("id", "text_key", "pos", "c.a", "c.b")
     owners = written(each.groupBy("a", "b").agg(F.min("id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "chunk-owners")
-    hits = each.join(owners, ["a", "b"]).where("NOT id <=> owner")
-    gone = hits.groupBy("id", "text_key").agg(F.array_sort(F.collect_set(F.struct("pos", "a", "b", "owner"))).alias("hits"))
-    gone = written(gone.select(F.col("id").alias("i"), F.col("text_key").alias("k"), "hits"), "chunks-gone")
-    edges = _edges(gone, rows)
-    gone = gone.select("i", "k", F.col("hits.pos").alias("gone"))
+    hits = written(each.join(owners, ["a", "b"]).where("NOT id <=> owner"), "chunk-hits")
+    gone = hits.groupBy("id", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = written(gone.select(F.col("id").alias("i"), F.col("text_key").alias("k"), "gone"), "chunks-gone")
+    edges = _edges(gone, hits, rows)
     both = gone.join(edges.select(F.col("i").alias("i2"), F.col("k").alias("k2"), "edges"), F.col("i").eqNullSafe(F.col("i2")) & (F.col("k") == F.col("k2")), "left").select("i", "k", "gone", "edges")
     both = written(both, "cuts")
     heavy = F.size("gone") * 4 + 100 + F.coalesce(F.aggregate("edges", F.lit(0), lambda n, e: n + 20 + F.coalesce(F.length(e["left"]), F.lit(0)) + F.coalesce(F.length(e["right"]), F.lit(0))), F.lit(0))
@@ -219,18 +218,21 @@ def substring_dedup(docs: DataFrame, min_words: int = 25, within: bool = False,
     return joined.mapInArrow(lambda it: _cut(it, min_words, within, arrow), schema).withColumnRenamed("id", id_col)
 
 
-def _edges(gone: DataFrame, rows: DataFrame) -> DataFrame:
+def _edges(gone: DataFrame, hits: DataFrame, rows: DataFrame) -> DataFrame:
     """(i, k, edges): for each row with hits the two first and two last chunks of its runs, with the bytes that stand before the former and behind the latter in
     the text of their owner."""
-    each = gone.select("i", "k", F.posexplode("hits").alias("n", "h"), "hits")
-    at = lambda d: F.get(F.col("hits.pos"), F.col("n") + d) == F.col("h.pos") + d
-    near = lambda d: F.coalesce(at(d), F.lit(False))
+    near = lambda i, d: F.coalesce(F.get("gone", i + d) == F.get("gone", i) + d, F.lit(False))
     # In a run of two chunks and more: nothing before, or nothing before the one before.
-    left = near(1) & ~near(-1) | near(-1) & ~near(-2)
-    right = near(-1) & ~near(1) | near(1) & ~near(2)
-    ends = each.where(left | right).select("i", "k", "h.pos", "h.a", "h.b", "h.owner", left.alias("l"), right.alias("r"))
-    ends = written(ends, "run-ends")
-    wanted = ends.select("owner", "a", "b").distinct().groupBy("owner").agg(F.collect_list(F.struct("a", "b")).alias("wanted"))
+    left = lambda i: near(i, 1) & ~near(i, -1) | near(i, -1) & ~near(i, -2)
+    right = lambda i: near(i, -1) & ~near(i, 1) | near(i, 1) & ~near(i, 2)
+    marks = F.transform("gone", lambda p, i: F.struct(p.alias("pos"), left(i).alias("l"), right(i).alias("r")))
+    ends = gone.select("i", "k", F.explode(F.filter(marks, lambda m: m["l"] | m["r"])).alias("m")).select("i", "k", "m.pos", "m.l", "m.r")
+    told = hits.select(F.col("id").alias("i2"), F.col("text_key").alias("k"), "pos", "a", "b", "owner")
+    ends = ends.join(told, [F.col("i").eqNullSafe(F.col("i2")), ends["k"] == told["k"], ends["pos"] == told["pos"]]).select("i", ends["k"], ends["pos"], "l", "r", "a", "b", "owner")
+    ends = written(ends.distinct(), "run-ends")
+    wanted = written(ends.select("owner", "a", "b").distinct().groupBy("owner").agg(F.collect_list(F.struct("a", "b")).alias("wanted")), "wanted-chunks")
+    size = wanted.agg(F.sum(F.size("wanted") * 32 + 60)).first()[0] or 0
+    wanted = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
     found = rows.join(wanted, F.col("id") == F.col("owner")).select("id", "text", "wanted").mapInArrow(_contexts, "a long, b long, left binary, right binary")
     found = written(found.groupBy("a", "b").agg(F.min(F.struct("left", "right")).alias("c")), "contexts")
     edge = F.struct("pos", F.when(F.col("l"), F.col("c.left")).alias("left"), F.when(F.col("r"), F.col("c.right")).alias("right"))
