@@ -63,6 +63,19 @@ def circle(x: Column, y: Column, radius: Column, sides: int = 16) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(sides - 1)), lambda i: F.struct((x + radius * F.cos(angle(i))).alias("x"), (y + radius * F.sin(angle(i))).alias("y")))
 
 
+def circle_metres(lon: Column, lat: Column, metres: Column, sides: int = 16) -> Column:
+    """A ring of points that are all so many metres from a point of the globe, counter-clockwise from the east. Longitudes run on past the date line."""
+    d, y = metres / 6_371_008.8, F.radians(lat)
+
+    def corner(i: Column) -> Column:
+        turn = i * (2 * np.pi / sides)
+        up = F.asin(F.sin(y) * F.cos(d) + F.cos(y) * F.sin(d) * F.sin(turn))
+        east = F.atan2(F.cos(turn) * F.sin(d) * F.cos(y), F.cos(d) - F.sin(y) * F.sin(up))
+        return F.struct((lon + F.degrees(east)).alias("x"), F.degrees(up).alias("y"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(sides - 1)), corner)
+
+
 def clip(p: np.ndarray, n: np.ndarray, start: np.ndarray, direction: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Many convex polygons at once, (polygons, corners, 2) with n corners each, cut to the left of a line each; a cut adds one corner at most."""
     i = np.arange(p.shape[1])

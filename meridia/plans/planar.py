@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridia.functions import geometry as M
-from meridia.operators import grids, parts
+from meridia.functions import scalars as S
+from meridia.operators import canonical, grids, parts
 from meridia.operators import planar as P
 from meridia.operators import spatial as G
+from meridia.sources import files as R
+from meridia.sources.shared import shared
 
 from .joins import BOX, BOX2, second
 from .registry import query
@@ -286,3 +289,112 @@ def _(v):
     f = b.groupBy("feature").agg(F.min("p_brand").alias("grp"), F.array_sort(F.collect_list(F.struct("p_partkey", G.box_rings(*BOX).alias("r"))))["r"].alias("parts"))
     kept = parts.cull_parts(f, "feature", "grp", "parts", 12.0, v.depots.select("lon", "lat"), size=lambda r: F.round(M.area(r), 6))
     return kept.select("feature", F.size("parts").cast("long").alias("parts"), F.round(F.aggregate("parts", F.lit(0.0), lambda a, r: a + M.area(r)), 4).alias("area"))
+
+
+_SECTIONS = "(SELECT depot_id, name, lon AS x0, lat AS y0, lon + 0.6 AS x1, lat + 0.3 AS y1 FROM depots UNION ALL SELECT depot_id, name, lon + 0.6, lat + 0.3, lon + 1.0, lat - 0.2 FROM depots)"
+
+
+@query(
+    "c8_line_sections",
+    f"""WITH m AS (SELECT segment_id, CAST(split_part(segment_id, '-', 4) AS BIGINT) AS own, (x0 + x1) / 2 AS lon, (y0 + y1) / 2 AS lat FROM segments WHERE class = 'motorway'),
+e AS (SELECT depot_id, name, x0 + t AS x0, y0, x1 + t AS x1, y1 FROM {_SECTIONS}, (SELECT unnest([0, 360, -360]) AS t)),
+p AS (SELECT m.segment_id, m.own, e.depot_id, e.name, (e.x0 - m.lon) * cos(radians(m.lat)) AS ax, e.y0 - m.lat AS ay, (e.x1 - m.lon) * cos(radians(m.lat)) AS qx, e.y1 - m.lat AS qy FROM m JOIN e ON abs(m.lat - e.y0) < 1),
+f AS (SELECT *, greatest(0, least(1, -(ax * (qx - ax) + ay * (qy - ay)) / (pow(qx - ax, 2) + pow(qy - ay, 2)))) AS t FROM p),
+d AS (SELECT segment_id, own, depot_id, name, sqrt(pow(ax + t * (qx - ax), 2) + pow(ay + t * (qy - ay), 2)) * radians(6371008.8) AS metres FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY metres, depot_id) AS rn FROM d WHERE metres <= 20000)
+SELECT segment_id, name AS official_name, round(metres, 3) AS metres, depot_id <> own AS name_conflict, CASE WHEN depot_id <> own THEN ['name_conflict', 'section_matched'] ELSE ['section_matched'] END AS flags FROM n WHERE rn = 1""",
+    lists=("flags",),
+)
+def _(v):
+    # Official sections are lines of two edges each; a road's own name is that of its supplier's.
+    mid = v.segments.where("class = 'motorway'").select("segment_id", F.element_at(F.split("segment_id", "-"), 4).cast("long").alias("own"), ((F.col("x0") + F.col("x1")) / 2).alias("lon"), ((F.col("y0") + F.col("y1")) / 2).alias("lat"))
+    at = lambda dx, dy: F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
+    edge = F.explode(F.array(F.struct(at(0.0, 0.0).alias("a"), at(0.6, 0.3).alias("b")), F.struct(at(0.6, 0.3).alias("a"), at(1.0, -0.2).alias("b"))))
+    sections = v.depots.select("depot_id", "name", edge.alias("e")).select("depot_id", "name", F.col("e.a.x").alias("x0"), F.col("e.a.y").alias("y0"), F.col("e.b.x").alias("x1"), F.col("e.b.y").alias("y1"))
+    best = G.near_lines(mid, sections, 20_000.0).groupBy("segment_id", "own").agg(F.min(F.struct("metres", "depot_id", "name")).alias("m"))
+    conflict = F.col("m.depot_id") != F.col("own")
+    return best.select("segment_id", F.col("m.name").alias("official_name"), F.round("m.metres", 3).alias("metres"), conflict.alias("name_conflict"), F.array_sort(F.array_compact(F.array(F.lit("section_matched"), F.when(conflict, "name_conflict")))).alias("flags"))
+
+
+_STOPS = "SELECT l_orderkey, l_linenumber, max(l_quantity) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber"
+
+
+@query("d10_merged_lines", f"WITH s AS ({_STOPS}), e AS (SELECT a.l_orderkey, a.l_linenumber AS n, a.q AS q0, b.q AS q1 FROM s a JOIN s b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1), r AS (SELECT *, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS run FROM e) SELECT l_orderkey, min(n) AS first, count(*) AS segments, round(sum(sqrt(1 + pow(q1 - q0, 2))), 6) AS length FROM r GROUP BY l_orderkey, run HAVING sum(sqrt(1 + pow(q1 - q0, 2))) >= 20")
+def _(v):
+    # An order's lines through (line number, quantity), put together from segments of two stops; lines of 20 and more.
+    s = v.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+    e = s.join(s.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("q").alias("q1")), ["l_orderkey", "l_linenumber"])
+    e = e.select("l_orderkey", F.col("l_linenumber").cast("double").alias("x0"), F.col("q").alias("y0"), (F.col("l_linenumber") + 1).cast("double").alias("x1"), F.col("q1").alias("y1"), F.col("l_linenumber").alias("a"), (F.col("l_linenumber") + 1).alias("z"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"))
+    found = P.lines(e, ["l_orderkey"], "a", "z", undirected="id").where("length >= 20")
+    return found.select("l_orderkey", (F.col("line") % 100).cast("int").alias("first"), (F.size("points") - 1).cast("long").alias("segments"), F.round("length", 6).alias("length"))
+
+
+@query("h29_circle_metres", "SELECT depot_id, CAST(150000 AS DOUBLE) AS nearest, CAST(150000 AS DOUBLE) AS furthest, round(lat + degrees(150000 / 6371008.8), 6) AS north, 16 AS corners FROM depots")
+def _(v):
+    # All corners lie 150 km from the depot, by the haversine.
+    ring = v.depots.select("depot_id", "lon", "lat", F.posexplode(M.circle_metres(F.col("lon"), F.col("lat"), F.lit(150_000.0))).alias("i", "p"))
+    far = S.haversine_km(F.col("lon"), F.col("lat"), F.col("p.x"), F.col("p.y")) * 1000
+    return ring.withColumn("d", far).groupBy("depot_id").agg(F.round(F.min("d"), 3).alias("nearest"), F.round(F.max("d"), 3).alias("furthest"), F.round(F.max("p.y"), 6).alias("north"), F.count("*").cast("int").alias("corners"))
+
+
+@query(
+    "c26_smallest_polygon",
+    f"WITH b AS ({_BITS}), c AS (SELECT d.depot_id, b.part, 0 AS step, round((b.xmax - b.xmin) * (b.ymax - b.ymin), 6) AS area, b.grp FROM depots d JOIN b ON d.lon >= b.xmin AND d.lon < b.xmax AND d.lat >= b.ymin AND d.lat < b.ymax UNION ALL SELECT d.depot_id, p.p_partkey, 1, 0, p.p_brand FROM depots d JOIN part p ON p.p_size = d.depot_id % 50 + 1) SELECT depot_id, part, step FROM (SELECT *, row_number() OVER (PARTITION BY depot_id ORDER BY step, area, CASE WHEN step = 1 THEN grp END, part) AS rn FROM c) WHERE rn = 1",
+)
+def _(v):
+    # The smallest polygon around the anchor; else by keyword (the size), sources (brands) in order, then the least id.
+    p = F.col("p_partkey")
+    x, y = ((p * 7919) % 36000).cast("double") / 100 - 180, ((p * 104729) % 14000).cast("double") / 100 - 70
+    b = v.part.select(p.alias("part"), x.alias("xmin"), y.alias("ymin"), (x + F.col("p_size") / 8.0).alias("xmax"), (y + F.col("p_size") / 10.0).alias("ymax"))
+    b = b.select("part", G.box_rings(*BOX).alias("rings"))
+    held = G.within(v.depots.select("depot_id", "lon", "lat"), b, "rings", key="part").groupBy("depot_id").agg(F.min(F.struct(F.round(M.area(F.col("rings")), 6).alias("area"), "part"))["part"].alias("part")).withColumn("step", F.lit(0))
+    word = v.part.groupBy("p_size").agg(F.min(F.struct("p_brand", "p_partkey"))["p_partkey"].alias("part"))
+    other = v.depots.join(word, F.col("p_size") == F.col("depot_id") % 50 + 1).select("depot_id", "part", F.lit(1).alias("step"))
+    best = held.unionByName(other).groupBy("depot_id").agg(F.min(F.struct("step", "part")).alias("m"))
+    return best.select("depot_id", "m.part", "m.step")
+
+
+@query("d25_part_bounds", f"WITH b AS ({_BITS}) SELECT feature, count(*) AS parts, 4 * count(*) AS corners, round(max(xmax - xmin), 6) AS widest, max(CASE WHEN xmax >= 175 THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN xmin <= -175 THEN 1 ELSE 0 END) = 1 AS over_date_line FROM b GROUP BY feature")
+def _(v):
+    # A feature lies across the date line if it has parts that reach it from both sides; a part's own width tells nothing of that.
+    p = F.col("p_partkey")
+    x, y = ((p * 7919) % 36000).cast("double") / 100 - 180, ((p * 104729) % 14000).cast("double") / 100 - 70
+    b = v.part.select(F.floor(p / 4).alias("feature"), x.alias("xmin"), y.alias("ymin"), (x + F.col("p_size") / 8.0).alias("xmax"), (y + F.col("p_size") / 10.0).alias("ymax")).withColumn("rings", G.box_rings(*BOX))
+    x0, _, x1, _ = G.bounds(F.col("rings"))
+    each = b.select("feature", F.size(F.flatten("rings")).alias("corners"), x0.alias("x0"), x1.alias("x1"))
+    return each.groupBy("feature").agg(F.count("*").alias("parts"), F.sum("corners").alias("corners"), F.round(F.max(F.col("x1") - F.col("x0")), 6).alias("widest"), (F.max(F.col("x1") >= 175) & F.max(F.col("x0") <= -175)).alias("over_date_line"))
+
+
+_SNAPPED = "SELECT zone_id, zone_id % 7 AS country, greatest(round(xmin / 25) * 25, -150) AS a, round(ymin / 25) * 25 AS b, least(round(xmax / 25) * 25, 150) AS c, round(ymax / 25) * 25 AS d, (xmax - xmin) * (ymax - ymin) AS own FROM zones"
+
+
+@query("m3_canonical_ids", f"WITH s AS ({_SNAPPED}), k AS (SELECT country, count(*) FILTER (WHERE c <= a OR d <= b) AS lost FROM s GROUP BY country) SELECT zone_id, round(CASE WHEN lost = 0 THEN (c - a) * (d - b) ELSE own END, 6) AS area, CASE WHEN lost = 0 THEN 'canonical' ELSE 'lost ' || lost END AS reason FROM s JOIN k USING (country)")
+def _(v):
+    # Zones snap to a grid of 25 degrees and are cut to a shell; a country that would lose an id stays as it is.
+    z = v.zones.select("zone_id", (F.col("zone_id") % 7).alias("country"), G.box_rings(*BOX).alias("rings"))
+    out = canonical.canonicalise(z, "country", "zone_id", "rings", 25.0, points(("-150", "-100"), ("150", "-100"), ("150", "100"), ("-150", "100")))
+    return out.select("zone_id", F.round(M.area(F.col("rings")), 6).alias("area"), "reason")
+
+
+@query("k9_self_crossings", "SELECT zone_id, zone_id % 3 <> 0 AS simple, CASE WHEN zone_id % 3 = 0 THEN round((xmin + xmax) / 2, 6) END AS x FROM zones")
+def _(v):
+    # Every third zone is a bow tie, whose edges cross in its middle.
+    tie = F.array(points(("xmin", "ymin"), ("xmax", "ymax"), ("xmax", "ymin"), ("xmin", "ymax")))
+    z = v.zones.select("zone_id", F.when(F.col("zone_id") % 3 == 0, tie).otherwise(G.box_rings(*BOX)).alias("rings"))
+    met = P.contacts(P.directed(z, "rings"), ["zone_id"]).groupBy("zone_id").agg(F.round(F.min("x"), 6).alias("x"))
+    return z.select("zone_id").join(met, "zone_id", "left").select("zone_id", F.col("x").isNull().alias("simple"), "x")
+
+
+@query("a17_point_layer", "SELECT CAST(place_id AS VARCHAR) AS own, name, lon, lat FROM places")
+def _(v):
+    path = shared(v.spark, "points")
+    at = F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")))
+    R.write_geojson(v.places.select("place_id", "name", at.alias("points")), path, "points", ["name"], id_col="place_id")
+    return R.read_geojson(v.spark, path, ["name"], id_col="own").select("own", "name", F.get("points", F.lit(0))["x"].alias("lon"), F.get("points", F.lit(0))["y"].alias("lat"))
+
+
+@query("a5_line_features", "SELECT segment_id AS own, class, round(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2)), 9) AS length FROM segments")
+def _(v):
+    path = shared(v.spark, "lines")
+    R.write_geojson(v.segments.select("segment_id", "class", F.array(points(("x0", "y0"), ("x1", "y1"))).alias("lines")), path, "lines", ["class"], id_col="segment_id")
+    return R.read_geojson(v.spark, path, ["class"], id_col="own").select("own", "class", F.round(M.line_length(F.get("lines", F.lit(0))), 9).alias("length"))
