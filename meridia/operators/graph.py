@@ -191,3 +191,83 @@ def grow_parts(nodes: DataFrame, edges: DataFrame, group: str, x: str, quota: in
         seen = scratch(seen.unionByName(front.withColumn("level", F.lit(level))), "seen")
     order = F.row_number().over(Window.partitionBy("g").orderBy(F.asc_nulls_last("level"), "x", "id"))
     return own.join(seen, "id", "left").select("id", "level", F.floor((order - 1) / quota).cast("int").alias("part"))
+
+
+def connected_parts(nodes: DataFrame, edges: DataFrame, group: str, x: str, quota: int) -> DataFrame:
+    """(id, part): every group in quota connected parts, named by one of their nodes; as many as it has components if these are more, or nodes if these are
+    fewer. nodes: id, group and x; edges (src, dst) between groups do not count.
+
+    A component gets seats in proportion to its nodes, one at least. A breadth-first tree from its westmost node (ties by id) is cut from
+    the leaves up wherever a subtree has reached the part's due size, which never makes too many parts. Then the largest parts are cut once more
+    at the edge whose subtree is nearest to half of them, as many at a time as parts are missing. All components go side by side; rounds grow
+    with the depth of the trees.
+    """
+    own = nodes.select("id", F.col(group).alias("g"), F.col(x).alias("x"))
+    a, b = own.select(F.col("id").alias("src"), F.col("g").alias("g1")), own.select(F.col("id").alias("dst"), F.col("g").alias("g2"))
+    both = edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct()
+    inner = scratch(both.join(a, "src").join(b, "dst").where("g1 <=> g2").select("src", "dst"), "inner")
+    member = scratch(own.join(components(own, inner), "id"), "members")
+
+    # Seats: one a component, the rest by its further nodes and the largest remainders.
+    size = member.groupBy("g", "component").agg(F.count(F.lit(1)).alias("n"))
+    whole = size.groupBy("g").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("comps")).select(F.col("g").alias("g2"), (F.col("all") - F.col("comps")).alias("more"), F.greatest(F.least(F.lit(quota), F.col("all")) - F.col("comps"), F.lit(0)).alias("left"))
+    due = size.join(whole, F.col("g").eqNullSafe(F.col("g2"))).selectExpr("g", "component", "n", "left", "CASE WHEN more > 0 THEN (n - 1) * left div more ELSE 0 END AS base", "CASE WHEN more > 0 THEN (n - 1) * left % more ELSE 0 END AS rest")
+    w = Window.partitionBy("g")
+    place = F.row_number().over(w.orderBy(F.desc("rest"), "component"))
+    due = due.withColumn("k", 1 + F.col("base") + (place <= F.col("left") - F.sum("base").over(w)).cast("int")).select("component", "n", "k")
+    due = scratch(due, "due")
+
+    # Trees.
+    seeds = member.groupBy("component").agg(F.min(F.struct("x", "id"))["id"].alias("id")).select("id", F.lit(None).cast(nodes.schema["id"].dataType).alias("parent"))
+    levels = [scratch(seeds, "level")]
+    seen = levels[0].select("id")
+    while True:
+        found = inner.join(levels[-1].select(F.col("id").alias("src")), "src").join(seen.select(F.col("id").alias("dst")), "dst", "left_anti")
+        new = scratch(found.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent")), "level")
+        if new.isEmpty():
+            break
+        levels.append(new)
+        seen = seen.unionByName(new.select("id"))
+        if len(levels) % 8 == 0:
+            seen = scratch(seen, "seen")
+    of = member.select("id", "component").join(due, "component").withColumn("most", F.ceil(F.col("n") / F.col("k")))
+
+    def weights(cuts: DataFrame | None) -> DataFrame:
+        """(id, parent, component, w, cut): nodes of each subtree, without those of subtrees that are cut; cuts None: cut where they reach the due size."""
+        below, out = None, []
+        for level in reversed(levels):
+            rows = level.join(of.select("id", "component", "most"), "id")
+            rows = rows.withColumn("s", F.lit(0)) if below is None else rows.join(below, "id", "left")
+            rows = rows.withColumn("w", 1 + F.coalesce("s", F.lit(0)))
+            rows = rows.withColumn("cut", F.col("w") >= F.col("most")) if cuts is None else rows.join(cuts.select("id", F.lit(True).alias("c")), "id", "left").withColumn("cut", F.coalesce("c", F.lit(False)))
+            rows = rows.select("id", "parent", "component", F.col("w").cast("long").alias("w"), (F.col("cut") | F.col("parent").isNull()).alias("cut"))
+            out.append(scratch(rows, "weights"))
+            below = out[-1].where("NOT cut").groupBy(F.col("parent").alias("id")).agg(F.sum("w").alias("s"))
+        every = out[0]
+        for more in out[1:]:
+            every = every.unionByName(more)
+        return scratch(every, "tree")
+
+    tree = weights(None)
+    while True:
+        short = due.join(tree.where("cut").groupBy("component").agg(F.count(F.lit(1)).alias("p")), "component").where("p < k").select("component", (F.col("k") - F.col("p")).alias("d"))
+        part = scratch(_roots(tree), "parts")
+        short = scratch(short, "short")
+        if short.isEmpty():
+            return part
+        # The largest parts of these components, and in each the subtree nearest to half of it.
+        heads = tree.where("cut AND w > 1").join(short, "component").withColumn("nth", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("w"), "id"))).where("nth <= d").select(F.col("id").alias("part"), F.col("w").alias("whole"))
+        best = tree.where("NOT cut").join(part, "id").join(heads, "part").groupBy("part").agg(F.min(F.struct(F.abs(2 * F.col("w") - F.col("whole")).alias("off"), "id"))["id"].alias("id"))
+        tree = weights(scratch(tree.where("cut").select("id").unionByName(best.select("id")), "cuts"))
+
+
+def _roots(tree: DataFrame) -> DataFrame:
+    """(id, part): the nearest node above or at id that is cut, by doubling the steps upwards."""
+    now = scratch(tree.select("id", F.when(F.col("cut"), F.col("id")).otherwise(F.col("parent")).alias("up"), "cut"), "up")
+    while not now.where("NOT cut").isEmpty():
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("cut").alias("c2"))
+        moved = now.where("NOT cut").join(above, "up").select("id", F.col("up2").alias("up"), F.col("c2").alias("cut"))
+        new = scratch(moved.unionByName(now.where("cut")), "up")
+        discard(now)
+        now = new
+    return now.select("id", F.col("up").alias("part"))
