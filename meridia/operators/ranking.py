@@ -1,11 +1,12 @@
-"""Numbers, suffixes, quotas and seats. Windows are within a key; what must count over all keys works on a row for each key."""
+"""Numbers, suffixes, quotas and seats. Full numbers within a key go by ranges, so that a hot key is many tasks; windows are where few rows of a
+key count (quotas), or on a row for each key."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .selection import numbered
+from .selection import numbered, numbered_within
 
 
 def nth(keys: list[str], order: list[Column]) -> Column:
@@ -15,7 +16,8 @@ def nth(keys: list[str], order: list[Column]) -> Column:
 
 def ordinal_suffix(rows: DataFrame, keys: list[str], order: list[Column], text: Column, uid: str, joint: str = "__") -> DataFrame:
     """rows with uid: the text for the first row of its keys, text, joint and 1, 2, ... for further ones."""
-    return rows.withColumn("_nth", nth(keys, order)).withColumn(uid, F.concat(text, F.when(F.col("_nth") > 1, F.concat(F.lit(joint), F.col("_nth") - 1)).otherwise(""))).drop("_nth")
+    placed = numbered_within(rows, keys, order, "_nth")
+    return placed.withColumn(uid, F.concat(text, F.when(F.col("_nth") > 0, F.concat(F.lit(joint), F.col("_nth"))).otherwise(""))).drop("_nth")
 
 
 def sequential_ids(rows: DataFrame, order: list[Column], seq: str, prefix: str) -> DataFrame:
@@ -26,8 +28,8 @@ def sequential_ids(rows: DataFrame, order: list[Column], seq: str, prefix: str)
 def continue_suffix(new: DataFrame, existing: DataFrame, key: str, number: Column, order: list[Column], name: str, digits: int = 6) -> DataFrame:
     """new with a name: its key, an underscore and a number after the greatest that an existing row of the key has (0 if none)."""
     top = existing.groupBy(key).agg(F.max(number).alias("_top"))
-    ranked = new.withColumn("_nth", nth([key], order)).join(top, key, "left")
-    return ranked.withColumn(name, F.concat(key, F.lit("_"), F.lpad((F.coalesce("_top", F.lit(0)) + F.col("_nth")).cast("string"), digits, "0"))).drop("_nth", "_top")
+    ranked = numbered_within(new, [key], order, "_nth").join(top, key, "left")
+    return ranked.withColumn(name, F.concat(key, F.lit("_"), F.lpad((F.coalesce("_top", F.lit(0)) + F.col("_nth") + 1).cast("string"), digits, "0"))).drop("_nth", "_top")
 
 
 def quota_reveal(rows: DataFrame, key: str, order: list[Column], quota: Column, budget: int) -> DataFrame:

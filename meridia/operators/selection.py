@@ -42,6 +42,25 @@ def numbered(rows: DataFrame, order: list[Column], number: str = "number") -> Da
     return placed.withColumn("_rank", rank).join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_rank") + F.col("_before")).alias(number))
 
 
+def numbered_within(rows: DataFrame, keys: list[str], order: list[Column], number: str = "number") -> DataFrame:
+    """rows with their places from 0 among those of their keys: places in the whole order less that of the key's first row, so that the rows of one
+    key may lie in many tasks. Ties are numbered in any order."""
+    every = numbered(rows, [*[F.col(k) for k in keys], *order], "_all")
+    first = every.groupBy(*keys).agg(F.min("_all").alias("_first")).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_first")
+    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return every.join(first, on).select(*rows.columns, (F.col("_all") - F.col("_first")).alias(number))
+
+
+def group_quantile(rows: DataFrame, key: str, value: str, share: float, name: str = "q") -> DataFrame:
+    """(key, name): the exact quantile of each key's values that are not null, between two of them in proportion. No task holds more of a key than a range."""
+    known = rows.where(F.col(value).isNotNull()).select(key, value)
+    placed = scratch(numbered_within(known, [key], [F.col(value)], "_at"), "quantile")
+    sizes = placed.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).select(F.col(key).alias("_key"), ((F.col("_n") - 1) * share).alias("_place"))
+    near = placed.join(sizes, F.col(key).eqNullSafe(F.col("_key"))).where("_at = floor(_place) OR _at = ceil(_place)")
+    low, high = F.max(F.when(F.col("_at") == F.floor("_place"), F.col(value))), F.max(F.when(F.col("_at") == F.ceil("_place"), F.col(value)))
+    return near.groupBy(key).agg((low + (high - low) * F.max(F.col("_place") - F.floor("_place"))).alias(name))
+
+
 def following(rows: DataFrame, keys: list[str], order: list[str], take: list[str], name: str = "next") -> DataFrame:
     """rows with a struct of the columns take of the row that comes next in order among those of its keys, null for the last. By ranges of keys and
     order, so that the rows of one key may lie in many tasks; the first row of each range (a row a partition) goes to all."""

@@ -133,11 +133,12 @@ def _(v):
 
 @query("a18_output_manifest", "SELECT 'places' AS role, count(*) AS n FROM places UNION ALL SELECT 'zones', count(*) FROM zones UNION ALL SELECT 'segments', count(*) FROM segments")
 def _(v):
-    out = None
+    spec = {}
     for role in ("places", "zones", "segments"):
-        own = getattr(v, role).agg(F.count("*").alias("n")).select(F.lit(role).alias("role"), "n")
-        out = own if out is None else out.unionByName(own)
-    return out
+        path = shared(v.spark, role)
+        getattr(v, role).write.parquet(path)
+        spec[role] = path, "derived", 1
+    return manifests.output_manifest(v.spark, spec).select("role", F.col("feature_count").alias("n"))
 
 
 @query("a18_manifest_artifacts", "SELECT 'places' AS role, 'publish' AS artifact_class, count(*) AS feature_count, TRUE AS whole FROM places UNION ALL SELECT 'zones', 'derived', count(*), TRUE FROM zones UNION ALL SELECT 'segments', 'derived', count(*), TRUE FROM segments")

@@ -123,8 +123,10 @@ def _(v):
 
 @query("m1_product_builder", "SELECT class, count(*) AS n, round(sum(x1 - x0), 4) AS width FROM segments GROUP BY class")
 def _(v):
-    builder = lambda part: part.groupBy("class").agg(F.count("*").alias("n"), F.round(F.sum(F.col("x1") - F.col("x0")), 4).alias("width"))
-    return v.segments.transform(builder)
+    path = shared(v.spark, "chunks")
+    v.segments.select("class", "x0", "x1").write.parquet(path)
+    builder = lambda rows, chunk: rows.groupBy(chunk, "class").agg(F.count("*").alias("n"), F.sum(F.col("x1") - F.col("x0")).alias("width"))
+    return R.build_by_chunks(v.spark.read.parquet(path), builder).groupBy("class").agg(F.sum("n").alias("n"), F.round(F.sum("width"), 4).alias("width"))
 
 
 @query("m1_chunk_products", "SELECT class, count(*) AS n, round(sum(x1 - x0), 4) AS width, TRUE AS bounded FROM segments GROUP BY class")

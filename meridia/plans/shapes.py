@@ -64,11 +64,8 @@ def _(v):
 
 @query("h27_bisect", "SELECT zone_id, half, CASE WHEN half = 1 THEN (xmin + xmax) / 2 ELSE xmin END AS xmin, CASE WHEN half = 0 THEN (xmin + xmax) / 2 ELSE xmax END AS xmax FROM zones, (SELECT unnest([0, 1]) AS half)")
 def _(v):
-    # The longer side, in this layer always the width, is halved; h27_bisect_longer has boxes of both kinds.
-    wide = (F.col("xmax") - F.col("xmin")) >= (F.col("ymax") - F.col("ymin"))
-    mid = (F.col("xmin") + F.col("xmax")) / 2
-    z = v.zones.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1))))
-    return z.select("zone_id", "half", F.when(wide & (F.col("half") == 1), mid).otherwise(F.col("xmin")).alias("xmin"), F.when(wide & (F.col("half") == 0), mid).otherwise(F.col("xmax")).alias("xmax"))
+    # In this layer the longer side is always the width; h27_bisect_longer has boxes of both kinds.
+    return G.bisect(v.zones, *BOX).select("zone_id", "half", "xmin", "xmax")
 
 
 @query("h27_bisect_longer", "SELECT part_id, half, CASE WHEN wide AND half = 1 THEN (xmin + xmax) / 2 ELSE xmin END AS xmin, CASE WHEN NOT wide AND half = 1 THEN (ymin + ymax) / 2 ELSE ymin END AS ymin, CASE WHEN wide AND half = 0 THEN (xmin + xmax) / 2 ELSE xmax END AS xmax, CASE WHEN NOT wide AND half = 0 THEN (ymin + ymax) / 2 ELSE ymax END AS ymax FROM (SELECT p_partkey AS part_id, CAST(0 AS DOUBLE) AS xmin, CAST(0 AS DOUBLE) AS ymin, CAST(p_size AS DOUBLE) AS xmax, CAST(p_partkey % 50 + 1 AS DOUBLE) AS ymax, p_size >= p_partkey % 50 + 1 AS wide FROM part), (SELECT unnest([0, 1]) AS half)")
@@ -132,8 +129,9 @@ def _(v):
 
 @query("k6_manifest_contract", "SELECT lod, count(*) AS tiles, count(*) FILTER (WHERE n > 0) = count(*) AS non_empty FROM (SELECT 1 AS lod, CAST(floor((xmin + 180) / 90) AS INT) AS t, count(*) AS n FROM zones GROUP BY 2) GROUP BY lod")
 def _(v):
-    tiles = v.zones.groupBy(F.floor((F.col("xmin") + 180) / 90).alias("t")).agg(F.count("*").alias("n"))
-    return tiles.agg(F.count("*").alias("tiles"), (F.count_if(F.col("n") > 0) == F.count("*")).alias("non_empty")).select(F.lit(1).alias("lod"), "tiles", "non_empty")
+    tiles = v.zones.groupBy(F.floor((F.col("xmin") + 180) / 90).cast("string").alias("role")).agg(F.count("*").alias("feature_count")).withColumn("version", F.lit(1))
+    errors = manifests.contract_errors(tiles, tiles.select("role"), ["feature_count"], [], (1,)).select("role").distinct().withColumn("bad", F.lit(1))
+    return tiles.join(errors, "role", "left").agg(F.count("*").alias("tiles"), (F.count("bad") == 0).alias("non_empty")).select(F.lit(1).alias("lod"), "tiles", "non_empty")
 
 
 @query(

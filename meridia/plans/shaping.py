@@ -140,8 +140,8 @@ def _(v):
 def _(v):
     key = F.concat(S.latin_key(F.col("kind")), (F.col("place_id") % 5).cast("string"))
     one = v.places.groupBy("home_unit_id", key.alias("key")).agg(F.max(F.struct("population", (-F.col("place_id")).alias("p"))).alias("b"))
-    w = Window.partitionBy("home_unit_id").orderBy(F.col("b.population").desc(), F.col("b.p").desc())
-    return one.select((-F.col("b.p")).alias("place_id"), F.row_number().over(w).alias("rank"))
+    placed = selection.numbered_within(one.select("home_unit_id", "b.population", "b.p"), ["home_unit_id"], [-F.col("population"), -F.col("p")], "n")
+    return placed.select((-F.col("p")).alias("place_id"), (F.col("n") + 1).alias("rank"))
 
 
 @query("e3_ordinal_suffix", "SELECT feature_id, owner || CASE WHEN rn > 1 THEN '__' || (rn - 1) ELSE '' END AS uid FROM (SELECT *, row_number() OVER (PARTITION BY owner, unit_id ORDER BY feature_id) AS rn FROM features)")
@@ -180,7 +180,7 @@ def _(v):
 
 @query("e10_quantile_threshold", "SELECT p.place_id FROM places p JOIN (SELECT home_unit_id, quantile_cont(population, 0.8) AS q FROM places GROUP BY home_unit_id) t USING (home_unit_id) WHERE p.population >= t.q OR p.place_id % 50 = 0")
 def _(v):
-    q = v.places.groupBy("home_unit_id").agg(F.percentile("population", 0.8).alias("q"))
+    q = selection.group_quantile(v.places, "home_unit_id", "population", 0.8)
     return v.places.join(q, "home_unit_id").where("population >= q OR place_id % 50 = 0").select("place_id")
 
 
