@@ -71,13 +71,16 @@ def index_stream(seen: DataFrame, checkpoint: str, sink: str) -> None:
         query.awaitTermination()
 
 
-def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", bytes_per_trigger: int = 1 << 30, digest=sha256) -> DataFrame:
+def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text", bytes_per_trigger: int = 1 << 30, digest=sha256, state: str | None = None) -> DataFrame:
     """One row for each row at path: id_col, keep_id, group_size, kept, digest.
 
     Rows are equal if their texts, of any length, are identical after lower-casing A-Z; null counts as empty. Of equal
     rows the one with the largest id stays; ids are meant to be unique, and rows that repeat the keeper's id (ties) are
     kept with it. A null id is less than any other. An empty table gives no rows; further columns are not read, whatever
     their names.
+
+    state: a shared folder where digests and the index stay. A later call with it and the same path hashes and indexes the files that have
+    come since only; files that were read must stay as they are.
     """
     docs = spark.read.parquet(path)
     # A stream reads folders; of a path that is one file it takes the folder and that name.
@@ -85,7 +88,7 @@ def exact_dedup(spark: SparkSession, path: str, id_col: str = "doc_id", text_col
     single = docs.select("_metadata.file_path").limit(1).collect()
     if not single:
         return docs.limit(0).select(F.col(id_col), F.col(id_col).alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(False).alias("kept"), F.lit(b"").alias("digest"))
-    places = {k: fresh_path(spark, f"dedup-{k}") for k in ("digests", "digest-state", "index", "index-state")}
+    places = {k: f"{state}/{k}" if state else fresh_path(spark, f"dedup-{k}") for k in ("digests", "digest-state", "index", "index-state")}
     reader = spark.readStream.schema(docs.schema).option("maxBytesPerTrigger", str(bytes_per_trigger))
     stream = reader.option("pathGlobFilter", file).parquet(folder) if single[0][0].endswith(f"/{file}") else reader.parquet(path)
     digest_stream(stream, id_col, text_col, places["digest-state"], places["digests"], digest)

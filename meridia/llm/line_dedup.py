@@ -2,9 +2,10 @@
 
 A run is a table of (h, n, owner): line hash, documents that hold the line, largest of them; it is bucketed by h and
 sorted within each bucket. Batches come in descending order of doc_id. Each merge-anti-joins its own line hashes
-against the runs - a line that a run already knows to be in enough documents is settled, as its owner came earlier
-and is larger - and adds the rest as a new run of level 0. Two runs of one level are compacted into one run of
+against the runs - a line that a run already knows to be in enough documents and whose owner is no less than any of the
+batch is settled - and adds the rest as a new run of level 0. Two runs of one level are compacted into one run of
 the next, so that there are never more runs than the logarithm of the batches. At the end the runs together say which lines go, and from where.
+Runs may stay in a folder, and later calls go on from them, with documents of any ids.
 """
 
 from __future__ import annotations
@@ -30,30 +31,62 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled runs. Tables lie in the shared folder; the driver holds their names only."""
+    """The levelled runs. Tables lie in the shared folder, or in one that outlives the call; the driver holds their names only.
 
-    def __init__(self, spark: SparkSession, min_docs: int):
-        self.spark, self.min_docs = spark, min_docs
+    folder: where runs stay. Its table of versions, which only grows, tells each level's run; a call that dies leaves the last version whole.
+    """
+
+    def __init__(self, spark: SparkSession, min_docs: int, folder: str | None = None):
+        self.spark, self.min_docs, self.folder = spark, min_docs, folder
         self.levels: list[str | None] = []
-        self.buckets = partitions(spark)
+        self.paths: dict[str, str] = {}
+        self.buckets, self.version = partitions(spark), 0
+        if folder and (rows := self._versions()):
+            self.version = max(r.version for r in rows)
+            last = sorted((r for r in rows if r.version == self.version), key=lambda r: r.level)
+            self.buckets = last[0].buckets
+            for r in last:
+                self.levels += [None] * (r.level - len(self.levels)) + [self._opened(r.path)]
+
+    def _versions(self) -> list:
+        """Some rows for each call so far."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/versions")
+        if not where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+            return []
+        return self.spark.read.schema("version int, level int, path string, buckets int").json(f"{self.folder}/versions").collect()
+
+    def _opened(self, path: str) -> str:
+        name, kind = f"line_run_{uuid.uuid4().hex}", self.spark.read.parquet(path).schema["owner"].dataType.simpleString()
+        self.spark.sql(f"CREATE TABLE {name} (h BINARY, n BIGINT, owner {kind}) USING parquet CLUSTERED BY (h) SORTED BY (h) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        self.paths[name] = path
+        return name
 
     def _write(self, run: DataFrame) -> str:
         """run is dealt by h already, by the shuffle of its aggregate or by its inputs' buckets: a task has whole buckets."""
         name = f"line_run_{uuid.uuid4().hex}"
-        run.write.bucketBy(self.buckets, "h").sortBy("h").option("path", fresh_path(self.spark, "line-run")).saveAsTable(name)
+        self.paths[name] = f"{self.folder}/{name}" if self.folder else fresh_path(self.spark, "line-run")
+        run.write.bucketBy(self.buckets, "h").sortBy("h").option("path", self.paths[name]).saveAsTable(name)
         return name
 
+    def save(self) -> None:
+        """The runs as they are become the folder's newest version."""
+        if self.folder:
+            rows = [(self.version + 1, k, self.paths[x], self.buckets) for k, x in enumerate(self.levels) if x]
+            self.spark.createDataFrame(rows, "version int, level int, path string, buckets int").coalesce(1).write.mode("append").json(f"{self.folder}/versions")
+            self.version += 1
+
     def _merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
         """Both runs as one: a merge join, bucket by bucket, without a shuffle."""
         b = b.select("h", F.col("n").alias("n2"), F.col("owner").alias("owner2"))
         n = F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))
         return a.hint("merge").join(b, "h", "full_outer").select("h", n.alias("n"), F.greatest("owner", "owner2").alias("owner"))
 
-    def add(self, batch: DataFrame) -> None:
-        """batch: rows (h, doc), each line of a document once. Its documents must be smaller than all before."""
+    def add(self, batch: DataFrame, bound) -> None:
+        """batch: rows (h, doc), each line of a document once; bound is no less than any of its documents."""
         new = batch.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("owner"))
         for name in filter(None, self.levels):
-            new = new.hint("merge").join(self.spark.table(name).where(F.col("n") >= self.min_docs).select("h"), "h", "left_anti")
+            settled = self.spark.table(name).where((F.col("n") >= self.min_docs) & (F.col("owner") >= F.lit(bound))).select("h")
+            new = new.hint("merge").join(settled, "h", "left_anti")
         run, level = self._write(new), 0
         while level < len(self.levels) and (other := self.levels[level]):
             self.levels[level] = None
@@ -75,21 +108,21 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def batch_cuts(ids: DataFrame, least: int, batch_rows: int) -> list:
-    """The least ids of all batches but the last, in descending order: at least so many batches, none of many more rows than batch_rows
+def batch_cuts(ids: DataFrame, least: int, batch_rows: int) -> tuple[list, object]:
+    """(the least ids of all batches but the last, in descending order; the largest id): at least so many batches, none of many more rows than batch_rows
     but where one id has more. Ids may be of any type that has an order; the driver gets one row for each shuffle partition."""
     dealt = ids.repartitionByRange(max(partitions(ids.sparkSession), 4 * least), F.col("doc").desc_nulls_last())
-    parts = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min("doc").alias("lo"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    parts = dealt.groupBy(F.spark_partition_id().alias("part")).agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()
     rows = sum(r.n for r in parts)
     batches, cuts, seen = max(least, -(-rows // batch_rows)), [], 0
     for r in parts:
         seen += r.n
         if r.lo is not None and seen < rows and seen * batches >= (len(cuts) + 1) * rows:
             cuts.append(r.lo)
-    return cuts
+    return cuts, max((r.hi for r in parts if r.hi is not None), default=None)
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, batch_rows: int = 1 << 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, batch_rows: int = 1 << 28, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """For each row of docs: id_col, n_lines, n_dropped, kept_text.
 
     Lines whose key (stripped of ASCII white space, A-Z lower-cased) has at least min_chars code points and is in at
@@ -98,26 +131,49 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches:
     id all keep the line. A null id is less than any other. Null and empty texts are one empty line. Texts of any length
     are taken whole; a text's lines must fit a task. At least batches of them, of about batch_rows rows at most. No rows
     give no rows; further columns are not read, whatever their names.
+
+    folder: a shared folder where runs stay. docs are then judged by all documents that calls with it were given, these included, and must not
+    have been given before; cut_lines judges documents anew without adding them.
     """
-    spark = docs.sparkSession
-    cuts = batch_cuts(docs.select(F.col(id_col).alias("doc")), batches, batch_rows)
+    cuts, top = batch_cuts(docs.select(F.col(id_col).alias("doc")), batches, batch_rows)
     place = sum((F.coalesce(F.col("doc") < F.lit(c), F.lit(True)).cast("int") for c in cuts), F.lit(0))
-    keys = F.transform(lines_of(F.col("text")), lambda x: F.when(F.length(line_key(x)) >= min_chars, F.unhex(F.md5(line_key(x)))))
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
-    path = fresh_path(spark, "line-hashes")
-    hashed = rows.select("doc", "text_key", keys.alias("hashes"), place.alias("batch"))
-    hashed.write.partitionBy("batch").parquet(path)
-    hashed = spark.read.schema(hashed.schema).parquet(path)
-
-    runs = LineRuns(spark, min_docs)
+    rows, hashed = _hashed(docs, place, min_chars, id_col, text_col)
+    runs = LineRuns(docs.sparkSession, min_docs, folder)
     try:
         for k in range(len(cuts) + 1):
             own = hashed.where(F.col("batch") == k)
-            runs.add(own.select("doc", F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("h")))
+            runs.add(own.select("doc", F.explode(F.array_distinct(F.filter("hashes", lambda h: h.isNotNull()))).alias("h")), cuts[k - 1] if k else top)
+        runs.save()
         repeated = written(runs.repeated(), "lines-repeated")
     finally:
         runs.close()
+    return _without(rows, hashed, repeated, id_col)
+
+
+def cut_lines(docs: DataFrame, folder: str, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As line_dedup, for documents that calls with this folder were given already: what they are by all that were given since."""
+    rows, hashed = _hashed(docs, F.lit(0), min_chars, id_col, text_col)
+    runs = LineRuns(docs.sparkSession, min_docs, folder)
+    try:
+        repeated = written(runs.repeated(), "lines-repeated")
+    finally:
+        runs.close()
+    return _without(rows, hashed, repeated, id_col)
+
+
+def _hashed(docs: DataFrame, place: Column, min_chars: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of doc, text, text_key; the hashes of their lines, written by batch)."""
+    spark = docs.sparkSession
+    keys = F.transform(lines_of(F.col("text")), lambda x: F.when(F.length(line_key(x)) >= min_chars, F.unhex(F.md5(line_key(x)))))
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
+    path = fresh_path(spark, "line-hashes")
+    hashed = rows.select("doc", "text_key", keys.alias("hashes"), place.alias("batch"))
+    hashed.write.partitionBy("batch").parquet(path)
+    return rows, spark.read.schema(hashed.schema).parquet(path)
+
 
+def _without(rows: DataFrame, hashed: DataFrame, repeated: DataFrame, id_col: str) -> DataFrame:
+    """rows without the repeated lines, but where a row is their owner."""
     # Rows with the same id and text lose the same lines, so the pair identifies what to cut.
     held = hashed.select("doc", "text_key", F.posexplode("hashes").alias("pos", "h")).where("h IS NOT NULL")
     gone = held.join(repeated, "h").where(~F.col("doc").eqNullSafe(F.col("owner")))

@@ -23,8 +23,9 @@ from .words import GOLDEN, U64, Text, chunks, mix, words
 
 #: Bytes of context of the gear hash; bytes between candidates on average; fewest bytes between an end and the candidate before; most bytes of a chunk.
 WINDOW, MEAN_GAP, LEAST_GAP, MOST = 16, 24, 8, 2048
-#: Bytes of the table of repeated chunks' places up to which it is broadcast to the texts; beyond, both are shuffled.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of the tables of repeated chunks' places up to which they are broadcast to the texts; beyond, both are shuffled. So low that all
+#: but small tables go one way, and grow in proportion.
+BROADCAST_BYTES = 1 << 20
 #: Bytes on either side of a chunk up to which a run is extended; in text that is not all alike one chunk in 150 is longer.
 REACH = 128
 _GEAR = (mix(np.arange(1, 257, dtype=U64) * GOLDEN) >> U64(32)).astype(np.uint32)

@@ -42,3 +42,12 @@ def test_texts_with_one_digest_are_told_apart_by_their_bytes(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
     assert exact_dedup(spark, f"{tmp_path}/docs").count() == 0
+
+
+def test_state_that_outlives_the_call(spark, tmp_path):
+    path, state = f"{tmp_path}/docs", f"file://{tmp_path}/state"
+    for k in range(0, len(ROWS), 5):
+        spark.createDataFrame(ROWS[k : k + 5], "doc_id long, text string").repartition(2).write.mode("append").parquet(path)
+        assert got(exact_dedup(spark, path, state=state)) == want(ROWS[: k + 5])
+    digests = spark.read.parquet(f"{state}/digests")
+    assert digests.count() == len(ROWS) and digests.select("file", "row").distinct().count() == len(ROWS)  # each was hashed once

@@ -2,7 +2,7 @@ import random
 from collections import defaultdict
 
 from meridia.llm import line_dedup as L
-from meridia.llm.line_dedup import line_dedup
+from meridia.llm.line_dedup import cut_lines, line_dedup
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 key = lambda line: line.strip(" \t\n\v\f\r").translate(LOW)
@@ -51,3 +51,19 @@ def test_the_shuffled_way_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(L, "BROADCAST_BYTES", -1)
     got = sorted(map(tuple, line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 12, 3).collect()), key=str)
     assert got == brute(rows, 12, 3)
+
+
+def test_runs_that_stay_in_a_folder(spark, tmp_path):
+    """Calls with parts of a table, in any order of ids, come to what one call with all of it gives."""
+    rng = random.Random(9)
+    rows = [(i, "\n".join(f"a common line {rng.randint(0, 40)}" for _ in range(rng.randint(0, 4)))) for i in range(150)]
+    for n, order in enumerate((sorted(rows), sorted(rows, reverse=True), rng.sample(rows, len(rows)))):
+        folder, seen = f"file://{tmp_path}/{n}", []
+        for k in range(0, 150, 50):
+            part = order[k : k + 50]
+            seen += part
+            got = sorted(map(tuple, line_dedup(spark.createDataFrame(part, "doc_id long, text string"), 12, 3, batches=2, folder=folder).collect()), key=str)
+            want = brute(seen, 12, 3)
+            assert got == [r for r in want if r[0] in {i for i, _ in part}]
+        again = cut_lines(spark.createDataFrame(rows, "doc_id long, text string"), folder, 12, 3)
+        assert sorted(map(tuple, again.collect()), key=str) == brute(rows, 12, 3)
