@@ -65,7 +65,7 @@ def linked(edges: DataFrame) -> DataFrame:
 
     Every task first contracts the edges that it has, so that what lies in few tasks needs few rounds. A round then ties every
     node's greater neighbours to the least node that it knows, then its lesser ones (large and small star); it ends when each node
-    but the least of its component has one edge, to that one. Rounds grow with the logarithm of the nodes; minima combine
+    but the least of its component has one edge, to that one, or when so few edges are left (AT_ONCE, counted) that one task contracts them. Rounds grow with the logarithm of the nodes; minima combine
     before the shuffle, so a node with many neighbours is no hot task. Tables of a round are deleted when the next one is written.
     """
 
@@ -84,17 +84,27 @@ def linked(edges: DataFrame) -> DataFrame:
         ends = e.select(F.col("src").alias("id"), F.lit(0).alias("n")).unionByName(e.select(F.col("dst").alias("id"), F.lit(1).alias("n")))
         return ends.groupBy("id").agg(F.sum("n").alias("up"), F.count(F.lit(1)).alias("n")).where("up > 1 OR up = 1 AND n > 1").isEmpty()
 
-    first = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    at_once = AT_ONCE
-    contracted = lambda e: e.mapInArrow(lambda it: _contracted(it, at_once), e.schema)
-    kept = scratch(contracted(first), "star")
-    while not stars(kept):
+    # A task a core, so that small tables are many edges a task and large ones still are dealt to all.
+    at_once, tasks = AT_ONCE, edges.sparkSession.sparkContext.defaultParallelism
+
+    def contracted(e: DataFrame, tasks: int) -> tuple[DataFrame, int]:
+        """e contracted and written, and its edges."""
+        seen = Observation()
+        out = e.coalesce(tasks).mapInArrow(lambda it: _contracted(it, at_once), e.schema)
+        return scratch(out.observe(seen, F.count(F.lit(1)).alias("n")), "star"), seen.get["n"]
+
+    kept, n = contracted(edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), tasks)
+    while n > at_once and not stars(kept):
         least, out = star(kept, True)
         large = scratch(out, "large")
         least2, out = star(large, False)
-        new = scratch(contracted(out), "star")
+        new, n = contracted(out, tasks)
         discard(kept, least, large, least2)
         kept = new
+    if 0 < n <= at_once:  # so few edges are one task's
+        last, _ = contracted(kept, 1)
+        discard(kept)
+        kept = last
     return kept.select(F.col("dst").alias("id"), F.col("src").alias("component")).unionByName(kept.select(F.col("src").alias("id"), F.col("src").alias("component")).distinct())
 
 
