@@ -1,14 +1,15 @@
 """Rules as tables: selectors to features, ordered assignment with fallbacks, rule packs, mapping by sources, and what is amiss.
 
 Selectors are rows (rule_id, exclude, kind, value), members rows (kind, value, id): a feature's country, group, id or any
-other kind of key that it has. All matching is one equi-join of these and one aggregate, whatever the number of rules.
+other kind of key that it has. All matching is one equi-join of these and one aggregate, whatever the number of rules. Where only the
+last rule of a feature counts, or whether a rule has a target at all, no row is made for each rule and target.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,13 +39,40 @@ def targets(chosen: DataFrame, known: DataFrame) -> DataFrame:
     return hits.where("NOT out").select("rule_id", "id")
 
 
+def excluded(chosen: DataFrame, known: DataFrame) -> DataFrame:
+    """(rule_id, id): what the rules exclude."""
+    # Members are a row for each key of a feature, which the size of the features' table does not tell: never a broadcast.
+    return known.hint("merge").join(chosen.where("exclude"), ["kind", "value"]).select("rule_id", "id").distinct()
+
+
+def last_targets(rules: DataFrame, chosen: DataFrame, known: DataFrame) -> DataFrame:
+    """(rule_id, id): of targets the last in the order of priority and rule_id for each id. A feature that n rules exclude has it among the n + 1 last rules
+    of each of its keys, so rows grow with the features and what is excluded, not with all that rules select."""
+    out = excluded(chosen, known)
+    order = rules.groupBy("rule_id").agg(F.max("priority").alias("priority"))
+    last = Window.partitionBy("kind", "value").orderBy(F.desc("priority"), F.desc("rule_id"))
+    ranked = chosen.where("NOT exclude").join(order, "rule_id").withColumn("_nth", F.row_number().over(last)).select("kind", "value", "_nth", "rule_id", "priority")
+    lost = out.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("_lost"))
+    seen = known.hint("merge").join(lost, "id", "left").withColumn("_nth", F.explode(F.sequence(F.lit(1), F.coalesce("_lost", F.lit(0)) + 1)))
+    hits = seen.hint("merge").join(ranked, ["kind", "value", "_nth"]).select("rule_id", "id", "priority").join(out, ["rule_id", "id"], "left_anti")
+    return hits.groupBy("id").agg(F.max(F.struct("priority", "rule_id"))["rule_id"].alias("rule_id")).select("rule_id", "id")
+
+
+def with_target(chosen: DataFrame, known: DataFrame) -> DataFrame:
+    """(rule_id): rules of targets, each once: those with a selector whose key has more members than the rule excludes of them."""
+    include = chosen.where("NOT exclude").select("rule_id", "kind", "value")
+    lost = excluded(chosen, known).join(known.hint("merge"), "id").join(include, ["rule_id", "kind", "value"]).groupBy("rule_id", "kind", "value").agg(F.count(F.lit(1)).alias("_lost"))
+    n = known.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("_n"))
+    return include.join(n, ["kind", "value"]).join(lost, ["rule_id", "kind", "value"], "left").where("_n > coalesce(_lost, 0)").select("rule_id").distinct()
+
+
 def missing(chosen: DataFrame, known: DataFrame) -> DataFrame:
     """Selectors that no feature has."""
     return chosen.join(known.select("kind", "value").distinct(), ["kind", "value"], "left_anti").select("rule_id", "kind", "value", "exclude")
 
 
 def empty(rules: DataFrame, hit: DataFrame) -> DataFrame:
-    """Rules without any target."""
+    """Rules without any target; hit: targets or with_target."""
     return rules.select("rule_id").distinct().join(hit.select("rule_id").distinct(), "rule_id", "left_anti")
 
 
@@ -55,7 +83,7 @@ def last_rule(rules: DataFrame, hit: DataFrame, values: list[str]) -> DataFrame:
 
 
 def assign(features: DataFrame, id_col: str, rules: DataFrame, hit: DataFrame, direct: Column, fallbacks: dict[str, Column]) -> DataFrame:
-    """(id, tag, source): the last rule's tag; else the direct one; else the first fallback that has one, which names the source."""
+    """(id, tag, source), hit being targets or last_targets: the last rule's tag; else the direct one; else the first fallback that has one, which names the source."""
     ladder = F.coalesce(
         F.when(F.col("rule_tag").isNotNull(), F.struct(F.col("rule_tag").alias("tag"), F.col("rule_id").alias("source"))),
         *[F.when(c.isNotNull(), F.struct(c.cast("string").alias("tag"), F.lit(name).alias("source"))) for name, c in ({"direct": direct} | fallbacks).items()],
@@ -65,7 +93,7 @@ def assign(features: DataFrame, id_col: str, rules: DataFrame, hit: DataFrame, d
 
 
 def apply_pack(features: DataFrame, id_col: str, rules: DataFrame, hit: DataFrame, controllers: bool = True, cores: bool = True, owner: str = "owner", controller: str = "controller") -> DataFrame:
-    """(id, owner, controller, cores, rule_id): rules are matched against the baseline, so none sees what another has set; the last
+    """(id, owner, controller, cores, rule_id), hit being targets or last_targets: rules are matched against the baseline, so none sees what another has set; the last
     one sets the owner and, if so asked, the controller and the only core. rule_id is null where nothing was set."""
     ruled = last_rule(rules, hit, ["tag"]).withColumnRenamed("id", id_col)
     own, ctl = F.coalesce("tag", owner), F.coalesce("tag", controller) if controllers else F.col(controller)
