@@ -10,12 +10,18 @@ edge belongs to the polygon on its right or above, so that touching polygons sha
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meridia.functions.scalars import haversine_km
 from meridia.sources.shared import scratch
 
+#: Square kilometres of the globe.
+EARTH_AREA = 5.1e8
+
 RING = "array<array<struct<x:double,y:double>>>"
 
 
@@ -100,8 +106,19 @@ def within(points: DataFrame, polygons: DataFrame, rings: str, lon: str = "lon",
     return found.where(contains(F.col(rings), F.col(lon), F.col(lat))).drop("_key", "_shape")
 
 
-def near(left: DataFrame, right: DataFrame, km: float, lon: str, lat: str, lon2: str, lat2: str, distance: str = "km") -> DataFrame:
-    """Pairs of points of at most km kilometres, with the distance; across the date line too.
+def in_boxes(points: DataFrame, boxes: DataFrame, box: tuple[str, ...], lon: str = "lon", lat: str = "lat", same: list[str] | None = None) -> DataFrame:
+    """Pairs of a point and a box that holds it, as within has them for polygons of these boxes; box: names of xmin, ymin, xmax, ymax. same: columns of both
+    sides that must be equal. Where many points or boxes are equal, give each once: pairs are of all rows."""
+    keys = ["_lv", "_cx", "_cy", *(same or [])]
+    held = _dealt(boxes, box, F.array(level(_width(box))))
+    at = points.withColumn("_lv", F.explode(_levels(boxes, box))).withColumns({"_cx": cell(F.col(lon), F.col("_lv")), "_cy": cell(F.col(lat), F.col("_lv"))})
+    # Boxes are a row for each cell, which their table's size does not tell: never a broadcast.
+    hit = at.join(held.hint("merge"), keys).where((F.col(lon) >= F.col(box[0])) & (F.col(lon) < F.col(box[2])) & (F.col(lat) >= F.col(box[1])) & (F.col(lat) < F.col(box[3])))
+    return hit.drop("_lv", "_cx", "_cy")
+
+
+def near(left: DataFrame, right: DataFrame, km: float, lon: str, lat: str, lon2: str, lat2: str, distance: str = "km", same: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Pairs of points of at most km kilometres, with the distance; across the date line too. same: columns of the left and the right side that must be equal.
 
     Cells are km high; a left point looks into the rows of cells above and below and, in each, into as many columns as
     km is wide at the latitude of its far edge; close to a pole, into all.
@@ -117,7 +134,42 @@ def near(left: DataFrame, right: DataFrame, km: float, lon: str, lat: str, lon2:
     at = at.withColumn("cx", F.explode(F.array_distinct(F.transform(F.sequence(col - reach, col + reach), lambda x: F.pmod(x, F.lit(columns))))))
     there = right.withColumn("cy", row(F.col(lat2))).withColumn("cx", F.pmod(F.floor((F.col(lon2) + 180) / width), F.lit(columns)))
     d = haversine_km(F.col(lon), F.col(lat), F.col(lon2), F.col(lat2))
-    return at.join(there, ["cx", "cy"]).withColumn(distance, d).where(F.col(distance) <= km).drop("cx", "cy")
+    there = there.withColumnsRenamed({"cx": "_cx2", "cy": "_cy2"})
+    on = [F.col("cx") == F.col("_cx2"), F.col("cy") == F.col("_cy2"), *[F.col(x) == F.col(y) for x, y in same or []]]
+    # The left side is a row for each cell, which its table's size does not tell: never a broadcast.
+    return at.join(there.hint("merge"), on).withColumn(distance, d).where(F.col(distance) <= km).drop("cx", "cy", "_cx2", "_cy2")
+
+
+def nearest(points: DataFrame, right: DataFrame, km: float, k: int, order: str, lon: str, lat: str, lon2: str, lat2: str, distance: str = "km") -> DataFrame:
+    """(lon, lat, distance, right columns but its coordinates): for each different point the k nearest rows of right within km kilometres, of equal distances the
+    first in order, a unique column of right.
+
+    Equal points are one on both sides, with the first k rows on the right. The radius begins where about 2 k sites would lie in it if they were spread
+    evenly, and doubles for points that have found fewer than k rows, up to km: pairs grow with the points, not with points times sites."""
+    rest = scratch(points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(lon, lat).distinct(), "spots")
+    rows = [c for c in right.columns if c not in (lon2, lat2)]
+    first = right.where(F.col(lon2).isNotNull() & F.col(lat2).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(lon2, lat2).orderBy(order))).where(F.col("_n") <= k)
+    sites = scratch(first.groupBy(lon2, lat2).agg(F.collect_list(F.struct(order, *[c for c in rows if c != order])).alias("_rows")), "sites")
+    radius, even = km, (2 * k * EARTH_AREA / math.pi / max(1, sites.count())) ** 0.5
+    while radius / 2 >= even:
+        radius /= 2
+    found = []
+    while True:
+        each = near(rest, sites, radius, lon, lat, lon2, lat2, distance).select(lon, lat, distance, F.inline("_rows"))
+        place = F.row_number().over(Window.partitionBy(lon, lat).orderBy(distance, order))
+        best = each.withColumn("_n", place).where(F.col("_n") <= k)
+        last = radius >= km
+        if last:
+            found.append(best.drop("_n"))
+            break
+        best = scratch(best, "nearest")
+        done = scratch(best.where(F.col("_n") == k).select(lon, lat), "found")
+        found.append(best.join(done, [lon, lat], "left_semi").drop("_n"))
+        rest = scratch(rest.join(done, [lon, lat], "left_anti"), "spots")
+        if rest.isEmpty():
+            break
+        radius = min(km, 2 * radius)
+    return reduce(DataFrame.unionByName, found)
 
 
 def box_overlap(a: tuple[str, ...], b: tuple[str, ...]) -> Column:
