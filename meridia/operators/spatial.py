@@ -248,6 +248,24 @@ def _edge_boxes(e: DataFrame, names: tuple[str, ...], reach: Column | float = 0.
     return e.withColumns(dict(zip(names, box, strict=True)))
 
 
+def _side(px: str, py: str, qx: str, qy: str, rx: str, ry: str) -> Column:
+    """Twice the area of the triangle p q r, above 0 if r lies on the left of p q."""
+    c = F.col
+    return (c(qx) - c(px)) * (c(ry) - c(py)) - (c(qy) - c(py)) * (c(rx) - c(px))
+
+
+def _apart(ax: str, ay: str, bx: str, by: str, cx: str, cy: str, dx: str, dy: str, touch: float) -> Column:
+    """Whether c and d lie on one side of the line a b, further than touch from it."""
+    reach = F.hypot(F.col(bx) - F.col(ax), F.col(by) - F.col(ay)) * touch
+    one, two = _side(ax, ay, bx, by, cx, cy), _side(ax, ay, bx, by, dx, dy)
+    return (F.least(one, two) > reach) | (F.greatest(one, two) < -reach)
+
+
+def _cross(ax: str, ay: str, bx: str, by: str, cx: str, cy: str, dx: str, dy: str) -> Column:
+    """Whether a b and c d have a point inside both in common."""
+    return (_side(cx, cy, dx, dy, ax, ay) * _side(cx, cy, dx, dy, bx, by) < 0) & (_side(ax, ay, bx, by, cx, cy) * _side(ax, ay, bx, by, dx, dy) < 0)
+
+
 def intersecting(left: DataFrame, right: DataFrame, a: str, b: str, rings: str, rings2: str, touch: float = 1e-9) -> DataFrame:
     """(a, b): pairs of polygons, named by the unique columns a and b, that share a point; a common corner is enough, up to touch. Edges meet by
     cells and no row has a whole polygon; pairs without edges that meet are those where one holds a vertex of the other."""
@@ -255,7 +273,13 @@ def intersecting(left: DataFrame, right: DataFrame, a: str, b: str, rings: str,
     f = _edge_boxes(edges(right.select(b, rings2), rings2), ("_u0", "_v0", "_u1", "_v1"))
     f = f.select(b, *[F.col(c).alias(n) for c, n in zip(("x0", "y0", "x1", "y1"), ("u0", "v0", "u1", "v1"), strict=True)], "_u0", "_v0", "_u1", "_v1")
     met = box_pairs(e, f, ("_x0", "_y0", "_x1", "_y1"), ("_u0", "_v0", "_u1", "_v1"))
-    met = met.where(segment_gap(*map(F.col, ("x0", "y0", "x1", "y1", "u0", "v0", "u1", "v1")))["distance"] <= touch).select(a, b)
+    # Most edges lie on one side of the other, or cross: a cheap test tells; the gap is worked out for the rest, which are those that touch.
+    ends = ("x0", "y0", "x1", "y1", "u0", "v0", "u1", "v1")
+    met = met.where(~_apart(*ends, touch) & ~_apart(*ends[4:], *ends[:4], touch)).select(a, b, *ends, _cross(*ends).alias("_cross"))
+    met = scratch(met.select(a, b, "_cross", *[F.when(~F.col("_cross"), F.col(c)).alias(c) for c in ends]).distinct(), "met")
+    crossed = met.where("_cross").select(a, b)
+    open_ = met.where("NOT _cross").join(crossed, [a, b], "left_anti")
+    met = crossed.unionByName(scratch(open_, "touching").where(segment_gap(*map(F.col, ends))["distance"] <= touch).select(a, b))
     corner = lambda df, k, r: df.where(F.size(F.flatten(r)) > 0).select(k, F.get(F.get(r, F.lit(0)), F.lit(0))["x"].alias("_lon"), F.get(F.get(r, F.lit(0)), F.lit(0))["y"].alias("_lat"))
     inside = within(corner(left, a, rings), right.select(b, rings2), rings2, "_lon", "_lat", b).select(a, b)
     holds = within(corner(right, b, rings2), left.select(a, rings), rings, "_lon", "_lat", a).select(a, b)

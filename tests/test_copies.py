@@ -69,3 +69,18 @@ def test_nearest_by_a_plain_loop(spark, k):
         near = sorted((round(d, 6), i) for i, x, y in sites if (d := km(p, (x, y))) <= 3000)[:k]
         want += [(*p, i) for _, i in near]
     assert found == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["c5_polygon_adjacency", "c28_isolated"])
+def test_pairs_of_zones(spark, copies, monkeypatch, name):
+    pairs = []
+    box_pairs = G.box_pairs
+
+    def counted(*args, **kwargs):
+        out = box_pairs(*args, **kwargs)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "box_pairs", counted)
+    expect(copies, name, QUERIES[name](spark, copies))
+    assert sum(pairs) <= 40 * 40  # the edges of ten zones, not of two hundred
