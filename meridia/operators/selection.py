@@ -42,6 +42,17 @@ def numbered(rows: DataFrame, order: list[Column], number: str = "number") -> Da
     return placed.withColumn("_rank", rank).join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_rank") + F.col("_before")).alias(number))
 
 
+def running(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
+    """rows with the sum of a column of whole numbers, without nulls, up to and with each row in the whole order, as numbered has their places."""
+    names = [f"_order_{i}" for i in range(len(order))]
+    dealt = rows.select("*", *[c.alias(n) for c, n in zip(order, names, strict=True)]).repartitionByRange(*names)
+    placed = scratch(dealt.withColumn("_part", F.spark_partition_id()), "running")
+    upto = F.sum(value).over(Window.partitionBy("_part").orderBy(*names).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sizes = placed.groupBy("_part").agg(F.sum(value).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each partition
+    return placed.withColumn("_upto", upto).join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_upto") + F.col("_before")).alias(name))
+
+
 def numbered_within(rows: DataFrame, keys: list[str], order: list[Column], number: str = "number") -> DataFrame:
     """rows with their places from 0 among those of their keys: places in the whole order less that of the key's first row, so that the rows of one
     key may lie in many tasks. Ties are numbered in any order."""

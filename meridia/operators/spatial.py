@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from meridia.functions.scalars import haversine_km
 from meridia.sources.shared import scratch
 
+from .selection import running
+
 #: Square kilometres of the globe.
 EARTH_AREA = 5.1e8
 
@@ -63,9 +65,9 @@ def with_cells(df: DataFrame, size: float, xmin: Column, ymin: Column, xmax: Col
 LEVELS = (-12, 6)
 
 
-def level(width: Column) -> Column:
-    """The least level whose cells are an eighth of the width or more."""
-    up = F.ceil(F.log(4.0, F.greatest(width, F.lit(4.0 ** LEVELS[0])) / 8)).cast("int")
+def level(width: Column, per: int = 8) -> Column:
+    """The least level whose cells are an eighth of the width or more, or another share of it."""
+    up = F.ceil(F.log(4.0, F.greatest(width, F.lit(4.0 ** LEVELS[0])) / per)).cast("int")
     return F.greatest(F.lit(LEVELS[0]), F.least(F.lit(LEVELS[1]), up))
 
 
@@ -73,9 +75,9 @@ def cell(c: Column, lv: Column) -> Column:
     return F.floor(c / F.pow(F.lit(4.0), lv)).cast("long")
 
 
-def _levels(boxes: DataFrame, box: tuple[str, ...]) -> Column:
+def _levels(boxes: DataFrame, box: tuple[str, ...], per: int = 8) -> Column:
     """The levels that the boxes have, in a list of 19 at most: a scalar subquery."""
-    return boxes.select(level(_width(box)).alias("lv")).agg(F.sort_array(F.collect_set("lv"))).scalar()
+    return boxes.select(level(_width(box), per).alias("lv")).agg(F.sort_array(F.collect_set("lv"))).scalar()
 
 
 def _width(box: tuple[str, ...]) -> Column:
@@ -101,7 +103,8 @@ def within(points: DataFrame, polygons: DataFrame, rings: str, lon: str = "lon",
     boxed = shapes.select(F.col(key or "_shape").alias("_key"), *[c.alias(n) for c, n in zip(bounds(F.col(rings)), box, strict=True)])
     held = _dealt(boxed, box, F.array(level(_width(box))))
     at = points.withColumn("_lv", F.explode(_levels(boxed, box))).withColumns({"_cx": cell(F.col(lon), F.col("_lv")), "_cy": cell(F.col(lat), F.col("_lv"))})
-    hit = at.join(held, ["_lv", "_cx", "_cy"]).where((F.col(lon) >= F.col("_x0")) & (F.col(lon) <= F.col("_x1")) & (F.col(lat) >= F.col("_y0")) & (F.col(lat) <= F.col("_y1")))
+    # Boxes are a row for each cell, which their table's size does not tell: never a broadcast.
+    hit = at.join(held.hint("merge"), ["_lv", "_cx", "_cy"]).where((F.col(lon) >= F.col("_x0")) & (F.col(lon) <= F.col("_x1")) & (F.col(lat) >= F.col("_y0")) & (F.col(lat) <= F.col("_y1")))
     found = hit.drop("_lv", "_cx", "_cy", *box).join(shapes, F.col("_key") == F.col(key or "_shape"))
     return found.where(contains(F.col(rings), F.col(lon), F.col(lat))).drop("_key", "_shape")
 
@@ -117,6 +120,35 @@ def in_boxes(points: DataFrame, boxes: DataFrame, box: tuple[str, ...], lon: str
     return hit.drop("_lv", "_cx", "_cy")
 
 
+def smallest_around(points: DataFrame, polygons: DataFrame, rings: str, key: str, size: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """(lon, lat, key): for each different point in any polygon the one of least size, of equal sizes that of the least key, a unique column.
+
+    Polygons go in order of size by classes, within which the area of their boxes, summed up in that order, grows sixteenfold; the first class covers a
+    16th of the box around them all. A point meets a class only if no lesser one holds it: pairs grow with the points, not with points times polygons."""
+    box = ("_x0", "_y0", "_x1", "_y1")
+    boxed = dict(zip(box, bounds(F.col(rings)), strict=True))
+    shapes = scratch(polygons.where(F.size(F.flatten(rings)) > 0).select(F.col(key).alias("_key"), rings, size.alias("_size")).withColumns(boxed), "shapes")
+    wide, high = shapes.agg(F.max("_x1") - F.min("_x0"), F.max("_y1") - F.min("_y0")).first()  # one row
+    unit = max((wide or 0.0) * (high or 0.0) / 16, 1e-9) / (1 << 20)
+    area = F.ceil((F.col("_x1") - F.col("_x0")) * (F.col("_y1") - F.col("_y0")) / unit).cast("long")  # whole numbers, whose sums rise along the order
+    summed = running(shapes.select("_key", "_size", *box, area.alias("_area")), [F.col("_size"), F.col("_key")], "_area", "_sum")
+    nth = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.col("_sum") / (1 << 20)))).cast("int")
+    classes = scratch(summed.select("_key", "_size", *box, nth.alias("_class")), "classes")
+    rest = scratch(points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(lon, lat).distinct(), "spots")
+    cells, found = ["_lv", "_cx", "_cy"], []
+    for (k,) in sorted(classes.select("_class").distinct().collect()):  # 20 at most
+        # Few points are left for a box, so cells are as wide as it: a row for each of four cells.
+        own = classes.where(F.col("_class") == k).drop("_class")
+        at = rest.withColumn("_lv", F.explode(_levels(own, box, 1))).withColumns({"_cx": cell(F.col(lon), F.col("_lv")), "_cy": cell(F.col(lat), F.col("_lv"))})
+        hit = at.join(_dealt(own, box, F.array(level(_width(box), 1))).hint("merge"), cells).where((F.col(lon) >= F.col("_x0")) & (F.col(lon) <= F.col("_x1")) & (F.col(lat) >= F.col("_y0")) & (F.col(lat) <= F.col("_y1")))
+        held = hit.select(lon, lat, "_size", "_key").join(shapes.select("_key", rings).hint("merge"), "_key").where(contains(F.col(rings), F.col(lon), F.col(lat)))
+        found.append(scratch(held.groupBy(lon, lat).agg(F.min(F.struct("_size", "_key"))["_key"].alias(key)), "smallest"))
+        rest = scratch(rest.join(found[-1], [lon, lat], "left_anti"), "spots")
+        if rest.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found) if found else rest.join(polygons.select(key).limit(0))
+
+
 def near(left: DataFrame, right: DataFrame, km: float, lon: str, lat: str, lon2: str, lat2: str, distance: str = "km", same: list[tuple[str, str]] | None = None) -> DataFrame:
     """Pairs of points of at most km kilometres, with the distance; across the date line too. same: columns of the left and the right side that must be equal.
 
