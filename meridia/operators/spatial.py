@@ -211,23 +211,26 @@ def box_overlap(a: tuple[str, ...], b: tuple[str, ...]) -> Column:
     return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
 
 
-def box_pairs(left: DataFrame, right: DataFrame, a: tuple[str, ...], b: tuple[str, ...], same: list[tuple[str, str]] | None = None) -> DataFrame:
+def box_pairs(left: DataFrame, right: DataFrame, a: tuple[str, ...], b: tuple[str, ...], same: list[tuple[str, str]] | None = None, per: int = 8) -> DataFrame:
     """Pairs whose closed boxes meet, each once: of the cells that both touch only the first counts. same: columns of the left and the right side that
-    must be equal, nulls to nulls. Column names of the sides must differ.
+    must be equal, nulls to nulls. Column names of the sides must differ. per: cells across a box; fewer where most boxes meet many others.
 
-    The lesser box of a pair looks for the greater one on its level: _role tells a box in its own cells from one that looks.
+    The lesser box of a pair looks for the greater one on its level: _role tells a box in its own cells from one that looks. Boxes that no lesser
+    one can look for are in no cells of their own.
     """
-    la, lb = level(_width(a)), level(_width(b))
-    own = lambda df, box, lv, role: _dealt(df.withColumn("_role", F.lit(role)), box, F.array(lv))
+    la, lb = level(_width(a), per), level(_width(b), per)
+    all_a, all_b = _levels(left, a, per), _levels(right, b, per)
+    own = lambda df, box, lv, role, when: _dealt(df.withColumn("_role", F.lit(role)), box, F.array(lv), when)
     seen = lambda df, box, levels, role, when: _dealt(df.withColumn("_role", F.lit(role)), box, levels, when)
-    one = own(left, a, la, 0).unionByName(seen(left, a, _levels(right, b), 1, F.col("_lv") >= la))
-    two = own(right, b, lb, 1).unionByName(seen(right, b, _levels(left, a), 0, F.col("_lv") > lb))
+    one = own(left, a, la, 0, F.array_min(all_b) < F.col("_lv")).unionByName(seen(left, a, all_b, 1, F.col("_lv") >= la))
+    two = own(right, b, lb, 1, F.array_min(all_a) <= F.col("_lv")).unionByName(seen(right, b, all_a, 0, F.col("_lv") > lb))
     keys = ["_role", "_lv", "_cx", "_cy"]
     two = two.select(*[F.col(k).alias(k + "2") for k in keys], *right.columns)
     on = [F.col(k) == F.col(k + "2") for k in keys] + [F.col(x).eqNullSafe(F.col(y)) for x, y in same or []]
     first = (F.col("_cx") == cell(F.greatest(a[0], b[0]), F.col("_lv"))) & (F.col("_cy") == cell(F.greatest(a[1], b[1]), F.col("_lv")))
     meet = (F.col(a[0]) <= F.col(b[2])) & (F.col(b[0]) <= F.col(a[2])) & (F.col(a[1]) <= F.col(b[3])) & (F.col(b[1]) <= F.col(a[3]))
-    return one.join(two, on).where(meet & first).select(*left.columns, *right.columns)
+    # Boxes are a row for each cell, which their table's size does not tell: never a broadcast.
+    return one.join(two.hint("merge"), on).where(meet & first).select(*left.columns, *right.columns)
 
 
 def segment_gap(ax: Column, ay: Column, bx: Column, by: Column, cx: Column, cy: Column, dx: Column, dy: Column) -> Column:

@@ -2,9 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from meridia.operators import spatial as G
+from meridia.plans import QUERIES
+
+from .test_copies import copies, expect  # noqa: F401
 
 
 def test_smallest_around_by_a_plain_loop(spark):
@@ -28,3 +32,24 @@ def test_smallest_around_without_polygons(spark):
     none = spark.createDataFrame([], f"part long, rings {G.RING}")
     got = G.smallest_around(spark.createDataFrame([(1.0, 2.0)], "lon double, lat double"), none, "rings", "part", F.lit(1.0))
     assert got.columns == ["lon", "lat", "part"] and got.count() == 0
+
+
+@pytest.mark.parametrize("name", ["c13_pairwise_overlap", "i1_connected_components"])
+def test_equal_zones_meet_others_once(spark, copies, monkeypatch, name):
+    pairs = []
+    box_pairs = G.box_pairs
+
+    def counted(*args, **kwargs):
+        out = box_pairs(*args, **kwargs)
+        pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "box_pairs", counted)
+    expect(copies, name, QUERIES[name](spark, copies))
+    assert sum(pairs) <= 10 * 10  # ten places of two hundred zones
+
+
+def test_gaps_look_only_into_the_pairs_asked_for(spark, copies, monkeypatch):
+    # The seams of equal and nested diamonds, without all pairs of a zone and those that hold its corner.
+    monkeypatch.setattr(G, "within", None)
+    expect(copies, "c16_polygon_seams", QUERIES["c16_polygon_seams"](spark, copies))
