@@ -330,11 +330,17 @@ def gaps(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str, ri
     one, two = edges(left.select(a, rings), rings), edges(right.select(b, rings2), rings2)
     two = _edge_boxes(two, ("_u0", "_v0", "_u1", "_v1")).select(F.col(b).alias("_b"), *[F.col(c).alias(n) for c, n in zip(("x0", "y0", "x1", "y1"), ("u0", "v0", "u1", "v1"), strict=True)], "_u0", "_v0", "_u1", "_v1")
     # One polygon inside another has no edges that meet: a vertex of it tells.
-    corner = lambda df, k, r: df.where(F.size(F.flatten(r)) > 0).select(k, F.get(F.get(r, F.lit(0)), F.lit(0))["x"].alias("_lon"), F.get(F.get(r, F.lit(0)), F.lit(0))["y"].alias("_lat"))
-    inside = within(corner(left, a, rings), right.select(b, rings2), rings2, "_lon", "_lat", b).select(a, b, "_lon", "_lat")
-    holds = within(corner(right, b, rings2), left.select(a, rings), rings, "_lon", "_lat", a).select(a, b, "_lon", "_lat")
     x, y = F.col("_lon"), F.col("_lat")
-    held = inside.unionByName(holds).join(wanted, [a, b], "left_semi").select(a, b, F.struct(F.lit(0.0).alias("distance"), x.alias("x"), y.alias("y"), x.alias("u"), y.alias("v")).alias("g"))
+
+    def holding(one: DataFrame, k: str, r: str, two: DataFrame, m: str, s: str) -> DataFrame:
+        """Pairs whose second polygon holds the first one's first vertex; boxes come before polygons."""
+        corner = F.get(F.get(r, F.lit(0)), F.lit(0))
+        at = wanted.join(one.where(F.size(F.flatten(r)) > 0).select(k, corner["x"].alias("_lon"), corner["y"].alias("_lat")), k)
+        x0, y0, x1, y1 = (c.alias(n) for c, n in zip(bounds(F.col(s)), ("_u0", "_v0", "_u1", "_v1"), strict=True))
+        boxed = at.join(two.where(F.size(F.flatten(s)) > 0).select(m, x0, y0, x1, y1), m).where((x >= F.col("_u0")) & (x <= F.col("_u1")) & (y >= F.col("_v0")) & (y <= F.col("_v1")))
+        return boxed.select(a, b, "_lon", "_lat").join(two.select(m, s), m).where(contains(F.col(s), x, y)).select(a, b, "_lon", "_lat")
+
+    held = holding(left, a, rings, right, b, rings2).unionByName(holding(right, b, rings2, left, a, rings)).select(a, b, F.struct(F.lit(0.0).alias("distance"), x.alias("x"), y.alias("y"), x.alias("u"), y.alias("v")).alias("g"))
     found = [scratch(held.groupBy(a, b).agg(F.min("g").alias("g")), "gaps")]
     rest = scratch(there.join(found[0], [a, b], "left_anti"), "gap-rest")
     while not rest.isEmpty():
