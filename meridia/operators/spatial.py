@@ -172,22 +172,43 @@ def near(left: DataFrame, right: DataFrame, km: float, lon: str, lat: str, lon2:
     return at.join(there.hint("merge"), on).withColumn(distance, d).where(F.col(distance) <= km).drop("cx", "cy", "_cx2", "_cy2")
 
 
-def nearest(points: DataFrame, right: DataFrame, km: float, k: int, order: str, lon: str, lat: str, lon2: str, lat2: str, distance: str = "km") -> DataFrame:
+def near_degrees(left: DataFrame, right: DataFrame, degrees: float, lon: str, lat: str, lon2: str, lat2: str, distance: str = "deg") -> DataFrame:
+    """Pairs of points of at most so many degrees on the plane that touches the globe at the left one, with the distance; not across the date line.
+    Longitudes from -360 to 360. Cells are that high and wide; a left point looks into as many columns as the distance is wide at its latitude."""
+    cut = lambda c: F.floor(c / degrees)
+    wide = F.least(F.lit(720.0), degrees / F.greatest(F.cos(F.radians(F.col(lat))), F.lit(1e-9)))
+    at = left.withColumn("cy", F.explode(F.sequence(cut(F.col(lat)) - 1, cut(F.col(lat)) + 1)))
+    at = at.withColumn("cx", F.explode(F.sequence(cut(F.greatest(F.lit(-360.0), F.col(lon) - wide)) - 1, cut(F.least(F.lit(360.0), F.col(lon) + wide)) + 1)))
+    there = right.withColumn("_cy2", cut(F.col(lat2))).withColumn("_cx2", cut(F.col(lon2)))
+    d = F.sqrt(F.pow((F.col(lon) - F.col(lon2)) * F.cos(F.radians(F.col(lat))), 2) + F.pow(F.col(lat) - F.col(lat2), 2))
+    # The left side is a row for each cell, which its table's size does not tell: never a broadcast.
+    return at.join(there.hint("merge"), [F.col("cx") == F.col("_cx2"), F.col("cy") == F.col("_cy2")]).withColumn(distance, d).where(F.col(distance) <= degrees).drop("cx", "cy", "_cx2", "_cy2")
+
+
+def nearest(points: DataFrame, right: DataFrame, km: float, k: int, order: str, lon: str, lat: str, lon2: str, lat2: str, distance: str = "km", degrees: bool = False) -> DataFrame:
     """(lon, lat, distance, right columns but its coordinates): for each different point the k nearest rows of right within km kilometres, of equal distances the
-    first in order, a unique column of right.
+    first in order, a unique column of right. degrees: km and distance are degrees, as near_degrees has them.
 
     Equal points are one on both sides, with the first k rows on the right. The radius begins where about 2 k sites would lie in it if they were spread
-    evenly, and doubles for points that have found fewer than k rows, up to km: pairs grow with the points, not with points times sites."""
+    evenly, and doubles for points that have found fewer than k rows, up to km: pairs grow with the points, not with points times sites. Of points and sites
+    the fewer look into the cells around them, so that the others are a row each."""
     rest = scratch(points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(lon, lat).distinct(), "spots")
     rows = [c for c in right.columns if c not in (lon2, lat2)]
     first = right.where(F.col(lon2).isNotNull() & F.col(lat2).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(lon2, lat2).orderBy(order))).where(F.col("_n") <= k)
     sites = scratch(first.groupBy(lon2, lat2).agg(F.collect_list(F.struct(order, *[c for c in rows if c != order])).alias("_rows")), "sites")
-    radius, even = km, (2 * k * EARTH_AREA / math.pi / max(1, sites.count())) ** 0.5
+    n = sites.count()
+    radius, even = km, (2 * k * EARTH_AREA / math.pi / max(1, n)) ** 0.5 / (111.0 if degrees else 1.0)
     while radius / 2 >= even:
         radius /= 2
     found = []
     while True:
-        each = near(rest, sites, radius, lon, lat, lon2, lat2, distance).select(lon, lat, distance, F.inline("_rows"))
+        if degrees:
+            pairs = near_degrees(rest, sites, radius, lon, lat, lon2, lat2, distance)
+        elif rest.count() > n:
+            pairs = near(sites, rest, radius, lon2, lat2, lon, lat, distance)
+        else:
+            pairs = near(rest, sites, radius, lon, lat, lon2, lat2, distance)
+        each = pairs.select(lon, lat, distance, F.inline("_rows"))
         place = F.row_number().over(Window.partitionBy(lon, lat).orderBy(distance, order))
         best = each.withColumn("_n", place).where(F.col("_n") <= k)
         last = radius >= km
