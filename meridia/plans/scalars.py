@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meridia.functions import scalars as S
+from meridia.operators import spatial as G
 
 from .registry import query
 
@@ -177,13 +178,9 @@ def _(v):
 
 @query("h32_angular_match", "WITH c AS (SELECT p.place_id, d.depot_id, sqrt(pow((p.lon - d.lon) * cos(radians(p.lat)), 2) + pow(p.lat - d.lat, 2)) AS deg FROM places p, depots d) SELECT place_id, depot_id, round(deg, 9) AS deg FROM (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY deg, depot_id) AS rn FROM c WHERE deg <= 1.5) WHERE rn = 1")
 def _(v):
-    # Cells of 1.5 degrees of latitude: a match is at most one row of cells away; the sides meet by an equi-join on the row.
-    row = lambda c: F.floor(F.col(c) / 1.5)
-    p = v.places.withColumn("row", F.explode(F.sequence(row("lat") - 1, row("lat") + 1)))
-    d = v.depots.select("depot_id", F.col("lon").alias("x"), F.col("lat").alias("y"), row("lat").alias("row"))
-    deg = F.sqrt(F.pow((F.col("lon") - F.col("x")) * F.cos(F.radians("lat")), 2) + F.pow(F.col("lat") - F.col("y"), 2))
-    near = p.join(d, "row").withColumn("deg", deg).where("deg <= 1.5")
-    return near.groupBy("place_id").agg(F.min(F.struct("deg", "depot_id")).alias("m")).select("place_id", "m.depot_id", F.round("m.deg", 9).alias("deg"))
+    d = v.depots.select("depot_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    best = G.nearest(v.places, d, 1.5, 1, "depot_id", "lon", "lat", "x", "y", "deg", degrees=True)
+    return v.places.select("place_id", "lon", "lat").join(best, ["lon", "lat"]).select("place_id", "depot_id", F.round("deg", 9).alias("deg"))
 
 
 @query("h33_tag_lists", "SELECT feature_id, CASE WHEN upper(owner) = upper(controller) THEN [upper(owner)] ELSE [upper(owner), upper(controller)] END AS tags FROM features", lists=("tags",))
