@@ -284,18 +284,23 @@ def near_lines(points: DataFrame, lines: DataFrame, metres: float, lon: str = "l
     of the plane that touches the globe at the point, so they hold for tens of kilometres. Column names of the sides must differ."""
     high = metres / DEGREE
     wide = lambda far: F.least(F.lit(180.0), high / F.cos(F.radians(F.least(far + high, F.lit(89.9)))))
-    own = wide(F.abs(F.col(lat)))
-    at = points.withColumns({"_x0": F.col(lon) - own, "_y0": F.col(lat) - high, "_x1": F.col(lon) + own, "_y1": F.col(lat) + high})
-    # Lines that reach over the date line, or close to it, are there once more a turn further.
-    least, most, reach = F.least("x0", "x1"), F.greatest("x0", "x1"), wide(F.greatest(F.abs("y0"), F.abs("y1")) + high)
+    # Points are a row each and lie in the boxes of lines, widened by the reach; a box over the date line, or close to it, is there once more a turn further.
+    least, most, reach = F.least("x0", "x1"), F.greatest("x0", "x1"), wide(F.greatest(F.abs("y0"), F.abs("y1")) + high) + 1e-9
     turn = F.array_compact(F.array(F.lit(0.0), F.when(least - reach <= -180, F.lit(360.0)), F.when(most + reach >= 180, F.lit(-360.0))))
-    there = lines.withColumn("_turn", F.explode(turn)).withColumns({"_u0": least + F.col("_turn"), "_v0": F.least("y0", "y1"), "_u1": most + F.col("_turn"), "_v1": F.greatest("y0", "y1")})
-    pairs = box_pairs(at, there, ("_x0", "_y0", "_x1", "_y1"), ("_u0", "_v0", "_u1", "_v1"))
-    k, zero = F.cos(F.radians(F.col(lat))), F.lit(0.0)
-    x = lambda c, t: (F.col(c) + t - F.col(lon)) * k
-    y = lambda c: F.col(c) - F.col(lat)
-    gap = lambda t: F.struct((segment_gap(zero, zero, zero, zero, x("x0", t), y("y0"), x("x1", t), y("y1"))["distance"] * DEGREE).alias("d"), F.lit(t).alias("turn"))
-    best = pairs.withColumn("_gap", F.least(gap(0.0), gap(360.0), gap(-360.0))).where(F.col("_gap.turn") == F.col("_turn"))  # a pair counts once
+    there = lines.withColumn("_turn", F.explode(turn)).withColumns({"_u0": least - reach + F.col("_turn"), "_v0": F.least("y0", "y1") - high - 1e-9, "_u1": most + reach + F.col("_turn"), "_v1": F.greatest("y0", "y1") + high + 1e-9})
+    at = points.withColumn("_lon", F.pmod(F.col(lon) + 180, F.lit(360.0)) - 180)
+    pairs = in_boxes(at, there, ("_u0", "_v0", "_u1", "_v1"), "_lon", lat)
+    k = F.cos(F.radians(F.col(lat)))
+
+    def gap(t: float) -> Column:
+        """The distance from the point to the edge a turn further."""
+        ax, ay, qx, qy = (F.col("x0") + t - F.col(lon)) * k, F.col("y0") - F.col(lat), (F.col("x1") + t - F.col(lon)) * k, F.col("y1") - F.col(lat)
+        n = F.pow(qx - ax, 2) + F.pow(qy - ay, 2)
+        share = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * (qx - ax) + ay * (qy - ay)) / n))).otherwise(0.0)
+        return F.struct((F.hypot(ax + share * (qx - ax), ay + share * (qy - ay)) * DEGREE).alias("d"), F.lit(t).alias("turn"))
+
+    shift = F.round((F.col(lon) - F.col("_lon")) / 360) * 360
+    best = pairs.withColumn("_gap", F.least(gap(0.0), gap(360.0), gap(-360.0))).where(F.col("_gap.turn") - shift == F.col("_turn"))  # a pair counts once
     return best.withColumn(distance, F.col("_gap.d")).where(F.col(distance) <= metres).select(*points.columns, *lines.columns, distance)
 
 
