@@ -42,6 +42,11 @@ def numbered(rows: DataFrame, order: list[Column], number: str = "number") -> Da
     return placed.withColumn("_rank", rank).join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_rank") + F.col("_before")).alias(number))
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt over all cores by keys: for work that is long for the bytes of its rows, which Spark would leave to few tasks."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def running(rows: DataFrame, order: list[Column], value: str, name: str) -> DataFrame:
     """rows with the sum of a column of whole numbers, without nulls, up to and with each row in the whole order, as numbered has their places."""
     names = [f"_order_{i}" for i in range(len(order))]
