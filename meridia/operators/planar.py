@@ -203,11 +203,12 @@ def lines(segments: DataFrame, keys: list[str], start: str, end: str, undirected
     h = scratch(s.withColumn("id", F.monotonically_increasing_id()), "line-parts")
     same = [F.col("h._k").eqNullSafe(F.col("d._k")), F.col("h.to") == F.col("d.node")]
     # Nodes where a line goes on: one way in and one out, or two segments, each of which stands for one of both ways.
-    goes = h.groupBy("_k", F.col("from").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"))
+    goes = h.groupBy("_k", F.col("from").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), *([F.min(F.struct("id", "key"))["key"].alias("ka")] if undirected else []))
     if undirected:
-        twin = h.alias("h").join(goes.where("n = 2").alias("d"), same, "left").join(h.select(F.col("id").alias("a2"), F.col("key").alias("ka")), F.col("d.a") == F.col("a2"), "left")
+        # The key comes with the node: looked up by the way out, all ends of lines, which have none, would meet in one task.
+        twin = h.alias("h").join(goes.where("n = 2").alias("d"), same, "left")
         # The way out that is not the same segment back; of a segment from a node to itself there is none.
-        on = F.when(F.col("h.from") == F.col("h.to"), F.lit(None)).when(F.col("ka") != F.col("h.key"), F.col("d.a")).otherwise(F.col("d.b"))
+        on = F.when(F.col("h.from") == F.col("h.to"), F.lit(None)).when(F.col("d.ka") != F.col("h.key"), F.col("d.a")).otherwise(F.col("d.b"))
         links = twin.select("h.id", on.alias("next"), F.struct(F.col("h.key").alias("k"), F.col("h.way").alias("w")).alias("label"))
     else:
         comes = h.groupBy("_k", F.col("to").alias("node")).agg(F.count(F.lit(1)).alias("m"))
