@@ -11,7 +11,7 @@ from meridia.functions import geometry as M
 from meridia.sources.shared import scratch
 
 from . import spatial as G
-from .selection import numbered
+from .selection import numbered, spread
 
 
 def cull_parts(features: DataFrame, key: str, group: str, parts: str, least: float, points: DataFrame | None = None, lon: str = "lon", lat: str = "lat", size: Callable[[Column], Column] = M.area) -> DataFrame:
@@ -45,14 +45,14 @@ def bisect_to(polygons: DataFrame, key: str, rings: str, target: int) -> DataFra
     that rank so high among those known by then, until they are all cut; rounds grow with the depth of cuts, not their number.
     """
     at = lambda df: df.select(key, "path", rings, "area", F.length("path").alias("depth"))
-    known = scratch(at(polygons.select(key, F.lit("").alias("path"), rings).withColumn("area", M.area(F.col(rings)))), "halves")
+    known = scratch(at(spread(polygons.select(key, F.lit("").alias("path"), rings), key).withColumn("area", M.area(F.col(rings)))), "halves")
     cuts = target - known.count()
     done = None
     while cuts > 0:
         ranked = numbered(known.where("area > 0").select(key, "path", "area", "depth"), [-F.round("area", 9), F.col("depth"), F.col(key), F.col("path")], "_n")
         chosen = scratch(ranked.where(F.col("_n") < cuts).select(key, "path"), "chosen")
         fresh = chosen if done is None else chosen.join(done, [key, "path"], "left_anti")
-        new = halves(known.join(fresh, [key, "path"], "left_semi"), rings).withColumn("path", F.concat("path", F.col("half").cast("string")))
+        new = halves(spread(known.join(fresh, [key, "path"], "left_semi"), key, "path"), rings).withColumn("path", F.concat("path", F.col("half").cast("string")))
         new = scratch(at(new.drop("half").withColumn("area", M.area(F.col(rings)))), "halves")
         if new.isEmpty():
             # What is left: neither cut itself nor below one that is not.
