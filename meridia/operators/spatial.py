@@ -288,20 +288,28 @@ def near_lines(points: DataFrame, lines: DataFrame, metres: float, lon: str = "l
     least, most, reach = F.least("x0", "x1"), F.greatest("x0", "x1"), wide(F.greatest(F.abs("y0"), F.abs("y1")) + high) + 1e-9
     turn = F.array_compact(F.array(F.lit(0.0), F.when(least - reach <= -180, F.lit(360.0)), F.when(most + reach >= 180, F.lit(-360.0))))
     there = lines.withColumn("_turn", F.explode(turn)).withColumns({"_u0": least - reach + F.col("_turn"), "_v0": F.least("y0", "y1") - high - 1e-9, "_u1": most + reach + F.col("_turn"), "_v1": F.greatest("y0", "y1") + high + 1e-9})
-    at = points.withColumn("_lon", F.pmod(F.col(lon) + 180, F.lit(360.0)) - 180)
+    at = points.withColumn("_shift", F.floor((F.col(lon) + 180) / 360) * 360.0).withColumns({"_lon": F.col(lon) - F.col("_shift"), "_k": F.cos(F.radians(F.col(lat)))})
     pairs = in_boxes(at, there, ("_u0", "_v0", "_u1", "_v1"), "_lon", lat)
-    k = F.cos(F.radians(F.col(lat)))
 
-    def gap(t: float) -> Column:
-        """The distance from the point to the edge a turn further."""
-        ax, ay, qx, qy = (F.col("x0") + t - F.col(lon)) * k, F.col("y0") - F.col(lat), (F.col("x1") + t - F.col(lon)) * k, F.col("y1") - F.col(lat)
+    def ends(t: Column) -> list[Column]:
+        """The edge's ends a turn further, seen from the point."""
+        x = lambda c: (F.col(c) + t - F.col(lon)) * F.col("_k")
+        return [x("x0").alias("_ax"), (F.col("y0") - F.col(lat)).alias("_ay"), x("x1").alias("_qx"), (F.col("y1") - F.col(lat)).alias("_qy")]
+
+    def gap(ax: Column, ay: Column, qx: Column, qy: Column) -> Column:
         n = F.pow(qx - ax, 2) + F.pow(qy - ay, 2)
         share = F.when(n > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * (qx - ax) + ay * (qy - ay)) / n))).otherwise(0.0)
-        return F.struct((F.hypot(ax + share * (qx - ax), ay + share * (qy - ay)) * DEGREE).alias("d"), F.lit(t).alias("turn"))
-
-    shift = F.round((F.col(lon) - F.col("_lon")) / 360) * 360
-    best = pairs.withColumn("_gap", F.least(gap(0.0), gap(360.0), gap(-360.0))).where(F.col("_gap.turn") - shift == F.col("_turn"))  # a pair counts once
-    return best.withColumn(distance, F.col("_gap.d")).where(F.col(distance) <= metres).select(*points.columns, *lines.columns, distance)
+        return F.sqrt(F.pow(ax + share * (qx - ax), 2) + F.pow(ay + share * (qy - ay), 2)) * DEGREE
+
+    turned = F.col("_turn") + F.col("_shift")
+    if not lines.where(most - least + 2 * reach >= 360).isEmpty():
+        # Only an edge all around the globe has several turns that hold a point: the nearest one counts.
+        near = [F.struct(gap(*ends(F.lit(t))).alias("d"), F.lit(t).alias("turn")) for t in (0.0, 360.0, -360.0)]
+        pairs = pairs.where(F.least(*near)["turn"] == turned)
+    # The ends are columns of their own by an inline: Catalyst would write them out wherever the gap names them, in code too long for the JVM to compile.
+    seen = pairs.select(*points.columns, *lines.columns, F.inline(F.array(F.struct(*ends(turned)))))
+    found = seen.withColumn(distance, gap(*map(F.col, ("_ax", "_ay", "_qx", "_qy")))).where(F.col(distance) <= metres)
+    return found.select(*points.columns, *lines.columns, distance)
 
 
 def _edge_boxes(e: DataFrame, names: tuple[str, ...], reach: Column | float = 0.0) -> DataFrame:
