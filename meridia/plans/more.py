@@ -9,7 +9,7 @@ from meridia.functions import scalars as S
 from meridia.operators import graph, ranking
 from meridia.operators import spatial as G
 from meridia.sources import files as R
-from meridia.sources.shared import shared
+from meridia.sources.shared import scratch, shared
 
 from .joins import BOX, BOX2, _MEET, second
 from .registry import query
@@ -103,10 +103,18 @@ def _(v):
     return graph.reuse_ids(v.features.select(old.alias("o"), new.alias("n")), "o", "n")
 
 
+def _places(v):
+    """Zones with the first of their place, and pairs (src, dst) of places that meet: equal zones meet one another and the same others."""
+    zones = scratch(v.zones.select(*BOX, "zone_id", F.min("zone_id").over(Window.partitionBy(*BOX)).alias("first")), "zones")
+    one = zones.where("zone_id = first").select(*BOX, F.col("first").alias("src"))
+    pairs = G.box_pairs(one, second(one, src="dst"), BOX, BOX2, per=2).where("src < dst")
+    return zones, pairs.select("src", "dst")
+
+
 @query("i6_colouring")
 def _(v):
-    pairs = G.box_pairs(v.zones.withColumnRenamed("zone_id", "src"), second(v.zones, zone_id="dst"), BOX, BOX2).where("src < dst")
-    return graph.greedy_colours(v.zones.select(F.col("zone_id").alias("id")), pairs.select("src", "dst"))
+    zones, pairs = _places(v)
+    return graph.greedy_colours(zones.select(F.col("zone_id").alias("id"), "first"), pairs, same="first")
 
 
 #: The colours of the query's palette, by place.
@@ -116,9 +124,9 @@ PALETTE = ("#e6194b", "#3cb44b", "#ffe119", "#4363d8", "#f58231", "#911eb4", "#4
 @query("i6_palette_colouring")
 def _(v):
     # Zones with a number that 50 divides have a fixed colour.
-    pairs = G.box_pairs(v.zones.withColumnRenamed("zone_id", "src"), second(v.zones, zone_id="dst"), BOX, BOX2).where("src < dst")
-    nodes = v.zones.select(F.col("zone_id").alias("id"), F.when(F.col("zone_id") % 50 == 0, PALETTE[0]).alias("fixed"))
-    return graph.palette_colours(nodes, pairs.select("src", "dst"), v.spark.createDataFrame(list(enumerate(PALETTE)), "place int, colour string"))
+    zones, pairs = _places(v)
+    nodes = zones.select(F.col("zone_id").alias("id"), "first", F.when(F.col("zone_id") % 50 == 0, PALETTE[0]).alias("fixed"))
+    return graph.palette_colours(nodes, pairs, v.spark.createDataFrame(list(enumerate(PALETTE)), "place int, colour string"), same="first")
 
 
 @query("m1_product_builder", "SELECT class, count(*) AS n, round(sum(x1 - x0), 4) AS width FROM segments GROUP BY class")
